@@ -18,9 +18,7 @@ _UNITS = {
 
 def interval(duration: str) -> Column:
     """``48h``, ``-7d`` or ``30 days`` as an interval (always positive)."""
-    match = re.fullmatch(r"\s*-?\s*(\d+)\s*([a-z]+?)s?\s*", duration.lower()) or re.fullmatch(
-        r"\s*-?\s*(\d+)\s*(s)\s*", duration.lower()
-    )
+    match = re.fullmatch(r"\s*-?\s*(\d+)\s*([a-z]+?)s?\s*", duration.lower())
     if not match or match.group(2) not in _UNITS:
         raise ValueError(f"not a duration: {duration!r}")
     return F.expr(f"INTERVAL {match.group(1)} {_UNITS[match.group(2)]}")
