@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAC_PATTERN = "^([0-9A-Fa-f]{2}[:-]){5}([0-9A-Fa-f]{2})$"
-ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
 
 # Lower voltage bound, band, estimated months left, test passed (fixed values).
 BATTERY_BANDS = [
@@ -34,7 +34,9 @@ def same_text(left: Column, right: Column) -> Column:
 
 def parse_iso(text: Column) -> Column:
     """ISO-8601 text to an instant; ``Z`` and offsets honoured, bad text is null."""
-    return F.when(text.rlike(ISO_PATTERN), F.try_to_timestamp(text))
+    # seconds may be left out before a zone, which the cast does not allow
+    full = F.regexp_replace(text, r"^(.{10}[T ]\d{2}:\d{2})(Z|[+-])", "$1:00$2")
+    return F.when(text.rlike(ISO_PATTERN), F.try_to_timestamp(full))
 
 
 def local_time(ts: Column, zone: Column) -> Column:

@@ -104,7 +104,3 @@ def with_views(names: str, body: str, **extra: str) -> str:
     ctes += [f"{n} AS ({text})" for n, text in extra.items()]
     return f"WITH {', '.join(ctes)} {body}" if ctes else body
 
-
-def r6(expr: str) -> str:
-    """Six digits; the small offset keeps exact ties on one side whatever the summation order."""
-    return f"floor(({expr}) * 1e6 + 0.501) / 1e6"

@@ -16,6 +16,9 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # the JVM does not compile methods beyond 8000 bytes: above that, per-operator
+    # code in small methods is several times faster than one interpreted loop
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 _local_scratch: dict[str, str] = {}

@@ -18,25 +18,51 @@ HISTORY_RECORD = 24
 MAX_CHUNK_ID = 0xFFFF  # the id is a 16-bit field
 
 
-def unsigned(payload: Column, offset: int, width: int = 1) -> Column:
+WORDS = [f"_w{k}" for k in range(4)]
+
+
+def with_words(df: DataFrame, source: str) -> DataFrame:
+    """Add the first 24 bytes as four 48-bit integers.
+
+    Text conversion is the expensive step; it runs four times a record and every
+    field is then a shift and a mask on a long. Missing bytes read as zero.
+    """
+    digits = F.rpad(F.hex(source), 48, "0")
+    return df.withColumns({
+        w: F.conv(F.substring(digits, 12 * k + 1, 12), 16, 10).cast("long") for k, w in enumerate(WORDS)
+    })
+
+
+def byte(offset: int) -> Column:
+    return bits(F.col(WORDS[offset // 6]), 8 * (5 - offset % 6), 0xFF)
+
+
+def unsigned(offset: int, width: int = 1) -> Column:
     """Big-endian unsigned integer at a zero-based byte offset."""
-    return F.conv(F.hex(F.substring(payload, offset + 1, width)), 16, 10).cast("long")
+    end = offset % 6 + width
+    if end <= 6:  # inside one word
+        return bits(F.col(WORDS[offset // 6]), 8 * (6 - end), (1 << 8 * width) - 1)
+    return _joined([byte(offset + i) for i in reversed(range(width))])
 
 
-def unsigned_le(payload: Column, offset: int, width: int) -> Column:
-    out = unsigned(payload, offset)
-    for i in range(1, width):
-        out = out + unsigned(payload, offset + i) * F.lit(1 << (8 * i))
+def unsigned_le(offset: int, width: int) -> Column:
+    return _joined([byte(offset + i) for i in range(width)])
+
+
+def _joined(low_first: list[Column]) -> Column:
+    out = low_first[0]
+    for i, b in enumerate(low_first[1:], 1):
+        out = out.bitwiseOR(F.shiftleft(b, 8 * i))
     return out
 
 
-def signed(raw: Column, bits_wide: int) -> Column:
-    """Two's complement of an unsigned integer."""
-    return F.when(raw >= 1 << (bits_wide - 1), raw - (1 << bits_wide)).otherwise(raw)
+def signed(raw: Column, wide: int) -> Column:
+    """Two's complement of an unsigned integer: shift its sign bit to the top and back."""
+    return F.shiftright(F.shiftleft(raw, 64 - wide), 64 - wide)
 
 
-def _milli_g(payload: Column, offset: int) -> Column:
-    return signed(unsigned(payload, offset, 2), 16) / F.lit(1000.0)
+def _milli_g(raw: Column) -> Column:
+    return signed(raw, 16) / F.lit(1000.0)
 
 
 def _pressure_hpa(raw: Column) -> Column:
@@ -45,10 +71,11 @@ def _pressure_hpa(raw: Column) -> Column:
 
 def route_frames(frames: DataFrame) -> DataFrame:
     """Add ``payload``, ``data_format`` and ``route`` (why a frame is kept or not)."""
-    payload = F.try_element_at("manufacturer_data", F.lit(MANUFACTURER_ID))
-    first = unsigned(F.col("payload"), 0)
-    size = F.length("payload")
-    return frames.withColumn("payload", payload).withColumn(
+    first, size = byte(0), F.length("payload")
+    routed = with_words(
+        frames.withColumn("payload", F.try_element_at("manufacturer_data", F.lit(MANUFACTURER_ID))), "payload"
+    )
+    return routed.withColumn(
         "route",
         F.when(F.col("payload").isNull(), "other_manufacturer")
         .when(size == 0, "empty")
@@ -67,16 +94,16 @@ def _routed(frames: DataFrame, data_format: int) -> DataFrame:
     return route_frames(frames).filter(F.col("data_format") == data_format)
 
 
-def _format3_fields(p: Column) -> dict[str, Column]:
+def _format3_fields() -> dict[str, Column]:
     return {
-        "humidity": unsigned(p, 1) / F.lit(2.0),
+        "humidity": byte(1) / F.lit(2.0),
         # the fraction is added to the signed whole degrees
-        "temperature": signed(unsigned(p, 2), 8) + unsigned(p, 3) / F.lit(100.0),
-        "pressure": _pressure_hpa(unsigned(p, 4, 2)),
-        "acceleration_x": _milli_g(p, 6),
-        "acceleration_y": _milli_g(p, 8),
-        "acceleration_z": _milli_g(p, 10),
-        "battery_voltage": unsigned(p, 12, 2) / F.lit(1000.0),
+        "temperature": signed(byte(2), 8) + byte(3) / F.lit(100.0),
+        "pressure": _pressure_hpa(unsigned(4, 2)),
+        "acceleration_x": _milli_g(unsigned(6, 2)),
+        "acceleration_y": _milli_g(unsigned(8, 2)),
+        "acceleration_z": _milli_g(unsigned(10, 2)),
+        "battery_voltage": unsigned(12, 2) / F.lit(1000.0),
         "tx_power": F.lit(None).cast("int"),
         "movement_counter": F.lit(None).cast("int"),
         "measurement_sequence": F.lit(None).cast("int"),
@@ -91,18 +118,18 @@ def _power_fields(word: Column) -> dict[str, Column]:
     }
 
 
-def _format5_fields(p: Column) -> dict[str, Column]:
+def _format5_fields() -> dict[str, Column]:
     return {
-        "temperature": signed(unsigned(p, 1, 2), 16) * F.lit(0.005),
-        "humidity": unsigned(p, 3, 2) * F.lit(0.0025),
-        "pressure": _pressure_hpa(unsigned(p, 5, 2)),
-        "acceleration_x": _milli_g(p, 7),
-        "acceleration_y": _milli_g(p, 9),
-        "acceleration_z": _milli_g(p, 11),
-        **_power_fields(unsigned(p, 13, 2)),
-        "movement_counter": unsigned(p, 15).cast("int"),
-        "measurement_sequence": unsigned(p, 16, 2).cast("int"),
-        "mac": F.regexp_replace(F.hex(F.substring(p, 19, 6)), "(..)(?=.)", "$1:"),
+        "temperature": signed(unsigned(1, 2), 16) * F.lit(0.005),
+        "humidity": unsigned(3, 2) * F.lit(0.0025),
+        "pressure": _pressure_hpa(unsigned(5, 2)),
+        "acceleration_x": _milli_g(unsigned(7, 2)),
+        "acceleration_y": _milli_g(unsigned(9, 2)),
+        "acceleration_z": _milli_g(unsigned(11, 2)),
+        **_power_fields(unsigned(13, 2)),
+        "movement_counter": byte(15).cast("int"),
+        "measurement_sequence": unsigned(16, 2).cast("int"),
+        "mac": F.regexp_replace(F.hex(F.substring("payload", 19, 6)), "(..)(?=.)", "$1:"),
     }
 
 
@@ -112,23 +139,23 @@ READING_FIELDS = [
 ]
 
 
+def _decode(routed: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    return routed.withColumns({k: fields[k] for k in READING_FIELDS}).drop(*WORDS)
+
+
 def decode_f3(frames: DataFrame) -> DataFrame:
-    fields = _format3_fields(F.col("payload"))
-    return _routed(frames, 3).withColumns({k: fields[k] for k in READING_FIELDS})
+    return _decode(_routed(frames, 3), _format3_fields())
 
 
 def decode_f5(frames: DataFrame) -> DataFrame:
-    fields = _format5_fields(F.col("payload"))
-    return _routed(frames, 5).withColumns({k: fields[k] for k in READING_FIELDS})
+    return _decode(_routed(frames, 5), _format5_fields())
 
 
 def decode_frames(frames: DataFrame) -> DataFrame:
     """Both formats in one pass, so the frame table is read once."""
-    three, five = _format3_fields(F.col("payload")), _format5_fields(F.col("payload"))
+    three, five = _format3_fields(), _format5_fields()
     kept = route_frames(frames).filter(F.col("data_format").isNotNull())
-    return kept.withColumns(
-        {k: F.when(F.col("data_format") == 3, three[k]).otherwise(five[k]) for k in READING_FIELDS}
-    )
+    return _decode(kept, {k: F.when(F.col("data_format") == 3, three[k]).otherwise(five[k]) for k in READING_FIELDS})
 
 
 def attach_envelope(decoded: DataFrame) -> DataFrame:
@@ -158,23 +185,22 @@ def split_records(blobs: DataFrame, size: int = HISTORY_RECORD, payload: str = "
 
 def decode_history(records: DataFrame, base_seconds: str = "base_seconds") -> DataFrame:
     """Little-endian log record of 16 to 24 bytes; longer records carry more fields."""
-    r = F.col("record")
-    size = F.length(r)
-    power = _power_fields(unsigned_le(r, 16, 2))
-    return records.filter(size >= 16).withColumns({
-        "ts": epoch_offset(F.col(base_seconds), unsigned_le(r, 0, 4)),
-        "temperature": signed(unsigned_le(r, 4, 2), 16) * F.lit(0.005),
-        "humidity": unsigned_le(r, 6, 2) * F.lit(0.0025),
-        "pressure": _pressure_hpa(unsigned_le(r, 8, 2)),
-        "acceleration_x": signed(unsigned_le(r, 10, 2), 16) / F.lit(1000.0),
-        "acceleration_y": signed(unsigned_le(r, 12, 2), 16) / F.lit(1000.0),
-        "acceleration_z": signed(unsigned_le(r, 14, 2), 16) / F.lit(1000.0),
+    size = F.length("record")
+    power = _power_fields(unsigned_le(16, 2))
+    return with_words(records.filter(size >= 16), "record").withColumns({
+        "ts": epoch_offset(F.col(base_seconds), unsigned_le(0, 4)),
+        "temperature": signed(unsigned_le(4, 2), 16) * F.lit(0.005),
+        "humidity": unsigned_le(6, 2) * F.lit(0.0025),
+        "pressure": _pressure_hpa(unsigned_le(8, 2)),
+        "acceleration_x": _milli_g(unsigned_le(10, 2)),
+        "acceleration_y": _milli_g(unsigned_le(12, 2)),
+        "acceleration_z": _milli_g(unsigned_le(14, 2)),
         "battery_voltage": F.when(size >= 20, power["battery_voltage"]),
         "tx_power": F.when(size >= 20, power["tx_power"]),
-        "movement_counter": F.when(size >= 22, unsigned_le(r, 18, 2).cast("int")),
-        "measurement_sequence": F.when(size >= 24, unsigned_le(r, 20, 2).cast("int")),
+        "movement_counter": F.when(size >= 22, unsigned_le(18, 2).cast("int")),
+        "measurement_sequence": F.when(size >= 24, unsigned_le(20, 2).cast("int")),
         "data_format": F.lit(5),
-    })
+    }).drop(*WORDS)
 
 
 def _received(chunks: DataFrame) -> DataFrame:
@@ -221,8 +247,7 @@ def transfer_progress(chunks: DataFrame) -> DataFrame:
 
 def decode_capabilities(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Capability record; shorter than 8 bytes gives the defaults."""
-    p = F.col(payload)
-    known = F.length(p) >= 8
+    known = F.length(payload) >= 8
     # latin-1 keeps one character per byte, so a NUL splits exactly at its byte
     texts = F.split(F.decode(F.expr(f"substring({payload}, 9)"), "ISO-8859-1"), "\\x00", -1)
 
@@ -231,10 +256,10 @@ def decode_capabilities(df: DataFrame, payload: str = "payload") -> DataFrame:
         body = F.decode(F.encode(texts[index], "ISO-8859-1"), "UTF-8")
         return F.when(terminated, body).otherwise(F.lit(""))
 
-    return df.withColumns({
-        "supports_history": F.when(known, bits(unsigned(p, 0), 0, 1) == 1).otherwise(F.lit(False)),
-        "max_records": F.when(known, unsigned_le(p, 1, 2).cast("int")).otherwise(F.lit(0)),
-        "interval_seconds": F.when(known, unsigned_le(p, 3, 2).cast("int")).otherwise(F.lit(0)),
+    return with_words(df, payload).withColumns({
+        "supports_history": F.when(known, bits(byte(0), 0, 1) == 1).otherwise(F.lit(False)),
+        "max_records": F.when(known, unsigned_le(1, 2).cast("int")).otherwise(F.lit(0)),
+        "interval_seconds": F.when(known, unsigned_le(3, 2).cast("int")).otherwise(F.lit(0)),
         "firmware_version": text(0),
         "hardware_version": text(1),
-    })
+    }).drop(*WORDS)
