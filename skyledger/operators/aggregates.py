@@ -9,8 +9,6 @@ from .align import errors_long
 from .filters import interval, last, time_range
 from .ordered import quantiles, running_before
 
-LATEST = F.struct("ts", "event_id")
-
 
 # --- windows ---------------------------------------------------------------
 
@@ -112,7 +110,7 @@ def recent_activity(points: DataFrame, now: str, duration: str = "10m") -> DataF
 
 def last_value(points: DataFrame, keys: list[str]) -> DataFrame:
     """Newest value per series; ``max_by`` keeps one row per series before the shuffle."""
-    newest = F.max_by(F.struct("ts", "value"), LATEST).alias("newest")
+    newest = F.max_by(F.struct("ts", "value"), F.struct("ts", "event_id")).alias("newest")
     return points.groupBy(*keys).agg(newest).select(*keys, "newest.ts", "newest.value")
 
 

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import FORECAST_FIELDS
 from ..session import scratch_path
 from ..sources import files, forecast_json, frames, points
 from .oracle import with_views
 from .registry import query
-from .views import NOW, RANGE_START, RANGE_STOP, SENSORS, Tables, mac_sql, select_sql
+from .views import HISTORY_RECORD_INTS, NOW, RANGE_START, RANGE_STOP, Tables, select_sql
 
 POINT_COLUMNS = "event_id, mac, data_format, ts, measurement, field, value"
 
@@ -329,13 +328,7 @@ def _(t: Tables) -> DataFrame:
     return frames.frames_to_readings(t.frames)
 
 
-_HISTORY = ", ".join(f"{expr} AS {name}" for name, expr in {
-    "offset_s": "(l_orderkey * 60 + k * 10) % 4294967296", "t_raw": "(l_partkey * 31 + k * 7) % 65536",
-    "h_raw": "(l_partkey * 5 + k) % 65536", "p_raw": "(l_orderkey * 3 + k) % 65536",
-    "x_raw": "(l_orderkey * 11 + k) % 65536", "y_raw": "(l_orderkey * 13 + k) % 65536",
-    "z_raw": "(l_orderkey * 17 + k) % 65536", "w_raw": "(l_partkey * 19 + k) % 65536",
-    "move": "(l_partkey + k) % 65536", "seq": "(l_orderkey + k) % 65536",
-}.items())
+_HISTORY = ", ".join(select_sql(HISTORY_RECORD_INTS))
 _RECORDS = "SELECT *, unnest(range(cast(l_linenumber AS BIGINT))) AS k FROM lineitem"
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import align
-from ..session import prepare
+from ..session import materialize, prepare
 from ..sources.points import readings_to_points
 
 NOW = "2024-01-31 00:00:00"
@@ -219,11 +219,11 @@ class Tables:
         text = f"case when fmt = 3 then concat({','.join(three)}) else concat({','.join(five)}) end"
         frame = ints.selectExpr("*", f"unhex(substring({text}, 1, kept_bytes * 2)) AS body")
         # a foreign manufacturer's data may ride along; it must be ignored
-        return frame.selectExpr(
+        return materialize(frame.selectExpr(
             "frame_id", "address", "rssi", "received_at",
             "case when other then map(76, body) else map(1177, body, 76, unhex('01020304')) end"
             " AS manufacturer_data",
-        )
+        ), "frames")
 
     @cached_property
     def history_blobs(self) -> DataFrame:
@@ -233,10 +233,10 @@ class Tables:
         record = ",".join(_le(f"({k[name]})", width) for name, width in widths)
         body = f"array_join(transform(sequence(0, n_records - 1), k -> concat({record}, '0000')), '')"
         partial = "case when l_orderkey % 5 = 0 then 'AABBCC' else '' end"
-        return self.raw("lineitem").selectExpr(*select_sql(HISTORY_INTS)).selectExpr(
+        return materialize(self.raw("lineitem").selectExpr(*select_sql(HISTORY_INTS)).selectExpr(
             "l_orderkey", "l_linenumber", "l_partkey", "base_seconds",
             f"unhex(concat({body}, {partial})) AS payload",
-        )
+        ), "blobs")
 
     @cached_property
     def forecast_docs(self) -> DataFrame:
