@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import abs_error, signed_error
+from .correlation import safe_corr
 
 METRICS = {"temp": "temperature", "pressure": "pressure", "humidity": "humidity"}
 
@@ -68,7 +69,9 @@ def actual_vs_forecast(actual: DataFrame, forecast: DataFrame, metric: str = "te
 
 
 def correlation(pairs: DataFrame) -> DataFrame:
-    return pairs.agg(F.corr("actual", "forecast").alias("correlation"), F.count("*").alias("n"))
+    return pairs.agg(
+        safe_corr(F.col("actual"), F.col("forecast")).alias("correlation"), F.count("*").alias("n")
+    )
 
 
 def errors_long(errors: DataFrame, keys: list[str] = ("ts", "horizon_hours", "source")) -> DataFrame:

@@ -6,7 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -18,10 +18,17 @@ KENDALL_EDGES = 64
 def corr_pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     """All pairs in one scan."""
     pairs = list(combinations(columns, 2))
-    wide = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    wide = df.agg(*[safe_corr(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
     return _named_pairs(wide)
 
 
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson's coefficient, null for a constant column (``corr`` would divide by zero)."""
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def _named_pairs(wide: DataFrame) -> DataFrame:
     long = wide.unpivot([], wide.columns, "pair", "corr")
     parts = F.split("pair", "\\|")
@@ -194,4 +201,4 @@ def corr_cramers(df: DataFrame, columns: list[str]) -> DataFrame:
 def missing_corr(df: DataFrame, columns: list[str]) -> DataFrame:
     """Correlation of the null flags; a column that is never or always null has none."""
     flags = df.select(*[F.col(c).isNull().cast("double").alias(c) for c in columns])
-    return corr_pearson(flags, columns).filter(F.col("corr").isNotNull() & ~F.isnan("corr"))
+    return corr_pearson(flags, columns).filter(F.col("corr").isNotNull())

@@ -62,7 +62,7 @@ def _bucket(column: str, span: tuple[float, float], bins: int) -> Column:
     if hi == lo:
         return F.when(F.col(column).isNotNull(), F.lit(0))
     place = F.floor((F.col(column) - F.lit(lo)) * F.lit(float(bins)) / F.lit(hi - lo)).cast("int")
-    return F.least(place, F.lit(bins - 1))
+    return F.when(place.isNotNull(), F.least(place, F.lit(bins - 1)))  # least() alone would skip a null
 
 
 def profile_histogram(df: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
@@ -123,18 +123,17 @@ def profile_alerts(df: DataFrame, columns: list[str], limits: dict = ALERTS) ->
         F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(c) for c, (lo, hi) in fences.items()
     ]).unpivot([], list(fences), "column", "outliers")
     rows = F.col("count") + F.col("missing")
-    found = stats.join(outside, "column", "left").select(
-        "column",
-        F.inline(F.array(
-            F.struct(F.lit("high_missing").alias("alert"), (F.col("missing") * 100.0 / rows).alias("value"),
-                     F.lit(limits["missing_percent"]).alias("limit")),
-            F.struct(F.lit("constant"), F.when(F.col("distinct") <= 1, 1.0).otherwise(0.0), F.lit(0.5)),
-            F.struct(F.lit("zeros"), F.col("zeros") * 100.0 / rows, F.lit(limits["zeros_percent"])),
-            F.struct(F.lit("skewed"), F.abs("skewness"), F.lit(limits["skewness"])),
-            F.struct(F.lit("outliers"), F.try_divide(F.col("outliers") * 100.0, F.col("count")),
-                     F.lit(limits["outlier_percent"])),
-        )),
-    )
+    tests = {
+        "high_missing": (F.col("missing") * 100.0 / rows, "missing_percent"),
+        "constant": (F.when(F.col("distinct") <= 1, 1.0).otherwise(0.0), None),
+        "zeros": (F.col("zeros") * 100.0 / rows, "zeros_percent"),
+        "skewed": (F.abs("skewness"), "skewness"),
+        "outliers": (F.try_divide(F.col("outliers") * 100.0, F.col("count")), "outlier_percent"),
+    }
+    found = stats.join(outside, "column", "left").select("column", F.inline(F.array(*[
+        F.struct(F.lit(alert).alias("alert"), value.alias("value"), F.lit(limits[key] if key else 0.5).alias("limit"))
+        for alert, (value, key) in tests.items()
+    ])))
     pairs = corr_pearson(df, columns).select(
         F.concat_ws(",", "a", "b").alias("column"), F.lit("high_correlation").alias("alert"),
         F.abs("corr").alias("value"), F.lit(limits["correlation"]).alias("limit"),

@@ -612,7 +612,7 @@ def _(t: Tables) -> DataFrame:
 @query("f04_alert_intervals", with_views(
     "forecast_errors",
     "SELECT source, level, min(ts) AS start_ts, max(ts) AS end_ts, avg(mae) AS mean_mae, count(*) AS windows FROM islands "
-    "WHERE met GROUP BY source, level, island, hold HAVING epoch_us(max(ts)) - epoch_us(min(ts)) >= hold * 60000000",
+    "WHERE met GROUP BY source, level, island, hold HAVING epoch_us(max(ts)) - epoch_us(min(ts)) >= hold * 6e7",
     mae="SELECT source, time_bucket(interval '30 minutes', ts, timestamp '1970-01-01') + interval '30 minutes' AS ts, "
     "avg(temp_abs_error) AS mae FROM forecast_errors WHERE horizon_hours = 24 AND temp_abs_error IS NOT NULL GROUP BY ALL",
     tested="SELECT *, 'warning' AS level, 120 AS hold, mae > 3 AS met FROM mae UNION ALL "

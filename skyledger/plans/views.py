@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import align
-from ..session import materialize, prepare
+from ..session import materialize, prepare, scratch_path
 from ..sources.points import readings_to_points
+from ..streaming.live import read_stream
 
 NOW = "2024-01-31 00:00:00"
 RANGE_START, RANGE_STOP = "2024-01-01 00:00:00", "2024-01-31 00:00:00"
@@ -166,6 +167,20 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """A given table as a stream."""
+        return read_stream(self.spark, f"{self.sf_dir}/{name}.parquet", self.raw(name).schema)
+
+    def streamed(self, df: DataFrame, name: str) -> DataFrame:
+        """A derived table, landed as files, as a stream."""
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        return read_stream(self.spark, path, df.schema)
+
+    @property
+    def stream_readings(self) -> DataFrame:
+        return self.stream("events").selectExpr(*select_sql(READINGS))
+
     @cached_property
     def readings(self) -> DataFrame:
         return self.raw("events").selectExpr(*select_sql(READINGS))
