@@ -79,8 +79,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("h05_stream_window", with_views(
     "readings",
-    f"SELECT {_bucket('1 hour')} AS ts, avg(temperature) AS temperature, avg(pressure) AS pressure, avg(humidity) AS humidity, "
-    f"count(*) AS n FROM readings GROUP BY 1 HAVING {_bucket('1 hour')} <= {CLOSED}",
+    "SELECT w AS ts, avg(temperature) AS temperature, avg(pressure) AS pressure, avg(humidity) AS humidity, count(*) AS n FROM "
+    f"(SELECT *, {_bucket('1 hour')} AS w FROM readings) WHERE w <= {CLOSED} GROUP BY w",
 ), "temperature pressure humidity")
 def _(t: Tables) -> DataFrame:
     return live.run_to_table(live.stream_window(t.stream_readings), "window")

@@ -168,8 +168,8 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def stream(self, name: str) -> DataFrame:
-        """A given table as a stream."""
-        return read_stream(self.spark, f"{self.sf_dir}/{name}.parquet", self.raw(name).schema)
+        """A given table as a stream. A pattern, as the table may be one file and a plain path must be a folder."""
+        return read_stream(self.spark, f"{self.sf_dir}/[{name[0]}]{name[1:]}.parquet", self.raw(name).schema)
 
     def streamed(self, df: DataFrame, name: str) -> DataFrame:
         """A derived table, landed as files, as a stream."""
