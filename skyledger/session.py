@@ -37,10 +37,10 @@ def get_session(app_name: str = "skyledger", master: str | None = None, **conf:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime defaults to a session someone else created."""
-    for key, value in SESSION_CONF.items():
-        if spark.conf.get(key, None) != value:
-            spark.conf.set(key, value)
+    """Set what results depend on, and no tuning, in a session someone else created."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"):
+        if spark.conf.get(key, None) != SESSION_CONF[key]:
+            spark.conf.set(key, SESSION_CONF[key])
     return spark
 
 
