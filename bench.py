@@ -10,7 +10,7 @@ import os
 import time
 
 from skyledger.plans import catalog
-from skyledger.session import get_session
+from skyledger.session import drop_scratch, get_session
 
 HEADLINE = [
     "d16_horizon_report",
@@ -52,6 +52,7 @@ def main() -> None:
         started = time.perf_counter()
         catalog.run(name, spark, sf_dir).write.mode("overwrite").format("noop").save()
         seconds[name] = round(time.perf_counter() - started, 3)
+    drop_scratch(spark)
     print(json.dumps({
         "metric": "headline queries, total wall time", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(sf_dir).removeprefix("sf"),

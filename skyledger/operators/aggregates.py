@@ -117,9 +117,8 @@ def last_value(points: DataFrame, keys: list[str]) -> DataFrame:
 def latest_wide(points: DataFrame, fields: list[str], keys: list[str] = ("mac",)) -> DataFrame:
     """One row per sensor with the last value of each field."""
     newest = last_value(points.filter(F.col("field").isin(*fields)), [*keys, "field"])
-    wide = newest.groupBy(*keys).pivot("field", fields).agg(F.first("value"))
-    seen = newest.groupBy(*keys).agg(F.max("ts").alias("last_ts"))
-    return wide.join(seen, list(keys))
+    picks = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields]
+    return newest.groupBy(*keys).agg(*picks, F.max("ts").alias("last_ts"))
 
 
 # --- forecast error statistics ---------------------------------------------
@@ -178,9 +177,8 @@ def error_histogram(errors: DataFrame, width: float = 0.5, column: str = "temp_s
 
 def error_overlay(errors: DataFrame, column: str = "temp_signed_error") -> DataFrame:
     """Mean, median and deviation drawn over the histogram."""
-    moments = errors.agg(
-        F.lit(column).alias("column"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("stddev")
-    )
+    long = errors.select(F.col(column).cast("double").alias(column)).unpivot([], [column], "column", "value")
+    moments = long.groupBy("column").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("stddev"))
     median = quantiles(errors, [column], [0.5]).select("column", F.col("q0").alias("median"))
     return moments.join(median, "column").select("mean", "median", "stddev")
 

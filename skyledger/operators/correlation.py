@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import sys
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .ordered import running_before
 
-KENDALL_EDGES = 64
+# the functions that run on executors travel with the job: nothing to install there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+BLOCK_CELLS = 500_000  # distinct value pairs one task should scan
+MIN_EDGES, MAX_EDGES = 64, 512
 
 
 def corr_pearson(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -99,71 +105,94 @@ def concordance(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> float:
     return total
 
 
-def _block(edges: list[float]):
-    """Order-preserving block number: each edge value alone, open intervals between.
+def _block_of(cuts: dict[str, np.ndarray]):
+    """Order-preserving block number of a value in its series.
 
-    A value frequent enough to be an edge sits alone, and equal values never
-    count in Kendall's sum, so no block that has to be scanned is large.
+    Each edge value is a block of its own, with open intervals between. A value
+    frequent enough to be an edge sits alone, and equal values never count in
+    Kendall's sum, so no block that has to be scanned is large.
     """
-    cut = np.unique(np.asarray(edges, dtype=float))
-
     @F.pandas_udf("int")
-    def block(values: pd.Series) -> pd.Series:
-        x = values.to_numpy(dtype=float)
-        position = np.searchsorted(cut, x, side="left")
-        on_edge = cut[np.minimum(position, len(cut) - 1)] == x
-        return pd.Series((2 * position + on_edge).astype("int32"))
+    def block(series: pd.Series, values: pd.Series) -> pd.Series:
+        out = np.zeros(len(values), dtype="int32")
+        x, names = values.to_numpy(dtype=float), series.to_numpy()
+        for name in pd.unique(names):
+            cut, rows = cuts[name], names == name
+            position = np.searchsorted(cut, x[rows], side="left")
+            on_edge = cut[np.minimum(position, len(cut) - 1)] == x[rows]
+            out[rows] = 2 * position + on_edge
+        return pd.Series(out)
 
     return block
 
 
-def _block_sums(cells: DataFrame, block: str, u: str, v: str) -> float:
-    """Concordance inside the open-interval blocks, one small task per block."""
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        s = concordance(rows["u"].to_numpy(), rows["v"].to_numpy(), rows["n"].to_numpy())
-        return pd.DataFrame({"s": [s]})
+def _scan_block(rows: pd.DataFrame) -> pd.DataFrame:
+    s = concordance(rows["u"].to_numpy(), rows["v"].to_numpy(), rows["n"].to_numpy())
+    return pd.DataFrame({"pair": [rows["pair"].iloc[0]], "s": [s]})
 
-    narrow = cells.filter(F.col(block) % 2 == 0).groupBy(block, F.col(u).alias("u"), F.col(v).alias("v")).agg(
-        F.sum("n").alias("n")
-    )
-    summed = narrow.groupBy(block).applyInPandas(scan, "s double").agg(F.sum("s")).first()[0]
-    return summed or 0.0
 
+def kendall_tau(cells: DataFrame, edges: int | None = None) -> dict[str, float | None]:
+    """Exact tau-b per ``pair`` from (pair, x, y, n) cells, without comparing all pairs of rows.
 
-def kendall_tau(cells: DataFrame, edges: int = KENDALL_EDGES) -> float | None:
-    """Exact tau-b from (x, y, n) cells without comparing all pairs.
-
-    The plane is cut into blocks along x and y. A pair differs in both block
+    The plane is cut into blocks along x and y. Two rows differ in both block
     numbers (counted on the grid of block totals, whose size is fixed by
-    ``edges``), or shares only its y block, or shares its x block; the latter two
-    are scanned block by block.
+    ``edges``), or share only their y block, or share their x block; the latter
+    two kinds are scanned block by block.
     """
+    if edges is None:
+        largest = cells.groupBy("pair").count().agg(F.max("count")).first()[0] or 0
+        edges = min(MAX_EDGES, max(MIN_EDGES, largest // BLOCK_CELLS))
     probs = [(i + 1) / (edges + 1) for i in range(edges)]
-    cut = cells.agg(F.percentile_approx("x", probs).alias("x"), F.percentile_approx("y", probs).alias("y")).first()
-    if cut["x"] is None:
-        return None
-    blocked = materialize(
-        cells.select("x", "y", "n", _block(cut["x"])("x").alias("bx"), _block(cut["y"])("y").alias("by")), "blocks"
+    cuts = {}
+    for r in cells.groupBy("pair").agg(
+        F.percentile_approx("x", probs).alias("x"), F.percentile_approx("y", probs).alias("y")
+    ).collect():  # one row per pair
+        for side in ("x", "y"):
+            cuts[f"{r['pair']}|{side}"] = np.unique(np.asarray(r[side], dtype=float))
+    block = _block_of(cuts)
+    blocked = materialize(cells.select(
+        "pair", "x", "y", "n", block(F.concat("pair", F.lit("|x")), "x").alias("bx"),
+        block(F.concat("pair", F.lit("|y")), "y").alias("by"),
+    ), "blocks")
+
+    score: dict[str, float] = {}
+    total: dict[str, float] = {}
+    grid = blocked.groupBy("pair", "bx", "by").agg(F.sum("n").alias("n")).toPandas()  # (2 edges + 1)^2 rows per pair
+    for pair, g in grid.groupby("pair"):
+        score[pair] = concordance(g["bx"].to_numpy(), g["by"].to_numpy(), g["n"].to_numpy())
+        total[pair] = float(g["n"].sum())
+
+    same_y = F.when(F.col("by") % 2 == 0, F.struct(
+        F.lit("y").alias("kind"), F.col("by").alias("block"), F.col("bx").cast("double").alias("u"), F.col("y").alias("v")))
+    same_x = F.when(F.col("bx") % 2 == 0, F.struct(
+        F.lit("x").alias("kind"), F.col("bx").alias("block"), F.col("x").alias("u"), F.col("y").alias("v")))
+    scans = (
+        blocked.select("pair", "n", F.inline(F.array_compact(F.array(same_y, same_x))))
+        .groupBy("pair", "kind", "block").applyInPandas(_scan_block, "pair string, s double")
     )
-    grid = blocked.groupBy("bx", "by").agg(F.sum("n").alias("n")).toPandas()  # at most (2 edges + 1)^2 rows
-    s = concordance(grid["bx"].to_numpy(), grid["by"].to_numpy(), grid["n"].to_numpy())
-    s += _block_sums(blocked, "by", "bx", "y") + _block_sums(blocked, "bx", "x", "y")
-
-    def ties(column: str) -> float:
-        t = blocked.groupBy(column).agg(F.sum("n").cast("double").alias("t"))
-        return t.agg(F.sum(F.col("t") * (F.col("t") - 1) / 2)).first()[0]
-
-    n = float(grid["n"].sum())
-    pairs = n * (n - 1) / 2
-    scale = ((pairs - ties("x")) * (pairs - ties("y"))) ** 0.5
-    return s / scale if scale else None
-
-
-def corr_kendall(df: DataFrame, columns: list[str]) -> DataFrame:
-    cells = materialize(pair_cells(df, columns), "cells")
-    rows = [
-        (a, b, kendall_tau(cells.filter((F.col("a") == a) & (F.col("b") == b)))) for a, b in combinations(columns, 2)
-    ]
+    for r in scans.groupBy("pair").agg(F.sum("s").alias("s")).collect():
+        score[r["pair"]] += r["s"]
+
+    sides = F.inline(F.array(*[
+        F.struct(F.lit(c).alias("side"), F.col(c).alias("value")) for c in ("x", "y")
+    ]))
+    tied = blocked.select("pair", "n", sides).groupBy("pair", "side", "value").agg(F.sum("n").cast("double").alias("t"))
+    ties = {
+        (r["pair"], r["side"]): r["ties"]
+        for r in tied.groupBy("pair", "side").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("ties")).collect()
+    }
+    out = {}
+    for pair, s in score.items():
+        pairs = total[pair] * (total[pair] - 1) / 2
+        scale = ((pairs - ties[pair, "x"]) * (pairs - ties[pair, "y"])) ** 0.5
+        out[pair] = s / scale if scale else None
+    return out
+
+
+def corr_kendall(df: DataFrame, columns: list[str], edges: int | None = None) -> DataFrame:
+    cells = materialize(pair_cells(df, columns), "cells").withColumn("pair", F.concat_ws(",", "a", "b"))
+    tau = kendall_tau(cells, edges)
+    rows = [(a, b, tau.get(f"{a},{b}")) for a, b in combinations(columns, 2)]
     return df.sparkSession.createDataFrame(rows, "a string, b string, corr double")
 
 

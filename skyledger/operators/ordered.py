@@ -8,6 +8,8 @@ own, and only one row per (keys, range) crosses between ranges.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,11 +89,73 @@ def ranked_values(df: DataFrame, columns: list[str]) -> DataFrame:
     return running_before(value_counts(df, columns), ["column"], ["value"], F.col("n"), "before")
 
 
+# Below this many values sorting them all is cheaper than a second scan.
+BRACKET_ROWS = 200_000
+_ACCURACY = 10_000
+_MARGIN = 5.0 / _ACCURACY  # the sketch is within 1 / accuracy of the true rank
+
+
 def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """Exact linearly interpolated quantiles: one row per column, ``q0 .. qk``."""
+    """Exact linearly interpolated quantiles: one row per column, ``n, q0 .. qk``.
+
+    A sketch brackets each quantile, a second scan counts what lies below each
+    bracket and keeps only the values inside (about a thousandth of the rows),
+    and the exact value is picked among those. Small tables are ranked whole.
+    """
+    aggs = []
+    for c in columns:
+        value = F.col(c).cast("double")
+        sides = [x for p in probs for x in (max(0.0, p - _MARGIN), min(1.0, p + _MARGIN))]
+        aggs += [F.count(value).alias(f"{c}|n"), F.percentile_approx(value, sides, _ACCURACY).alias(f"{c}|b")]
+    sketch = df.agg(*aggs).first()
+    totals = {c: sketch[f"{c}|n"] for c in columns}
+    if max(totals.values()) >= BRACKET_ROWS:
+        found = _bracketed(df, columns, probs, totals, {c: sketch[f"{c}|b"] for c in columns})
+        if found is not None:
+            return found
     return quantiles_of(ranked_values(df, columns), probs)
 
 
+def _bracketed(df: DataFrame, columns: list[str], probs: list[float], totals: dict[str, int],
+               sides: dict[str, list[float] | None]) -> DataFrame | None:
+    """Quantiles from the values inside the brackets, or None if a bracket missed its rank."""
+    brackets = {
+        (c, i): (sides[c][2 * i], sides[c][2 * i + 1]) for c in columns if totals[c] for i in range(len(probs))
+    }
+    inside = F.array_compact(F.array(*[
+        F.when(F.col(c).cast("double").between(lo, hi),
+               F.struct(F.lit(f"{c}|{i}").alias("slot"), F.col(c).cast("double").alias("value")))
+        for (c, i), (lo, hi) in brackets.items()
+    ]))
+    below = df.agg(*[
+        F.count_if(F.col(c).cast("double") < lo).alias(f"{c}|{i}") for (c, i), (lo, _) in brackets.items()
+    ]).first()
+    counts = df.select(F.inline(inside)).groupBy("slot", "value").agg(F.count("*").alias("n"))
+    ranked = running_before(counts, ["slot"], ["value"], F.col("n"), "before")
+
+    wanted = []  # (slot, rank inside the bracket's values, is upper neighbour)
+    for c, i in brackets:
+        position = probs[i] * (totals[c] - 1)
+        for upper, rank in ((False, math.floor(position)), (True, math.ceil(position))):
+            wanted.append((f"{c}|{i}", rank - below[f"{c}|{i}"], upper))
+    spark = df.sparkSession
+    asked = spark.createDataFrame(wanted, "slot string, rank long, upper boolean")
+    hits = ranked.join(asked, "slot").filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
+    picked = {(r["slot"], r["upper"]): r["value"] for r in hits.select("slot", "upper", "value").collect()}  # two per bracket
+    if len(picked) < len(wanted):
+        return None
+    rows = []
+    for c in columns:
+        row = [c, totals[c]]
+        for i, p in enumerate(probs):
+            lo, hi = picked.get((f"{c}|{i}", False)), picked.get((f"{c}|{i}", True))
+            position = p * (totals[c] - 1)
+            row.append(None if lo is None else lo + (hi - lo) * (position - math.floor(position)))
+        rows.append(tuple(row))
+    schema = "column string, n long, " + ", ".join(f"q{i} double" for i in range(len(probs)))
+    return spark.createDataFrame([r for r in rows if r[1]], schema)
+
+
 def quantiles_of(ranked: DataFrame, probs: list[float]) -> DataFrame:
     totals = ranked.groupBy("column").agg(F.sum("n").alias("_total"))
     rows = ranked.join(totals, "column")
@@ -116,8 +180,3 @@ def quantiles_of(ranked: DataFrame, probs: list[float]) -> DataFrame:
             for i in range(len(probs))
         ],
     )
-
-
-def average_ranks(ranked: DataFrame) -> DataFrame:
-    """(column, value, rank): the mean of the 1-based positions a tied value occupies."""
-    return ranked.select("column", "value", (F.col("before") + (F.col("n") + 1) / 2.0).alias("rank"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .correlation import corr_pearson
-from .ordered import quantiles_of, ranked_values
+from .ordered import quantiles, value_counts
 
 QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 ALERTS = {"missing_percent": 5.0, "zeros_percent": 10.0, "correlation": 0.9, "skewness": 1.0, "outlier_percent": 1.0}
@@ -29,7 +29,7 @@ def profile_overview(df: DataFrame) -> DataFrame:
 
 
 def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Moments from one scan; distinct values and quantiles from the ranked value counts."""
+    """Moments from one scan, distinct values from the value counts, exact quantiles."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
     v = F.col("value")
     moments = long.groupBy("column").agg(
@@ -38,9 +38,8 @@ def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
         F.var_samp(v).alias("variance"), F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis"),
         F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"),
     )
-    ranked = ranked_values(df, columns)
-    distinct = ranked.groupBy("column").agg(F.count("*").alias("distinct"))
-    q = quantiles_of(ranked, QUANTILES).select(
+    distinct = value_counts(df, columns).groupBy("column").agg(F.count("*").alias("distinct"))
+    q = quantiles(df, columns, QUANTILES).select(
         "column", *[F.col(f"q{i}").alias(f"p{round(p * 100)}") for i, p in enumerate(QUANTILES)]
     )
     return (

@@ -112,18 +112,19 @@ def _(t: Tables) -> DataFrame:
 
 @query("a07_export_json", with_views(
     "sensors",
-    "SELECT (SELECT count(*) FROM events) AS record_count, (SELECT count(*) FROM events) AS data_lines, "
-    "count(*) AS sensor_lines FROM sensors",
+    "SELECT 'record_count' AS item, count(*) AS n FROM events UNION ALL SELECT 'data_lines', count(*) FROM events UNION ALL "
+    "SELECT 'sensor_lines', count(*) FROM sensors",
 ))
 def _(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "export")
     files.export_json(t.readings, t.sensors, path)
-    info = t.spark.read.schema("record_count bigint, version string").json(f"{path}/export_info")
-    lines = [
-        t.spark.read.text(f"{path}/{part}").agg(F.count("*").alias(name)).withColumn("version", F.lit("1.0"))
-        for part, name in (("data", "data_lines"), ("sensors", "sensor_lines"))
-    ]
-    return info.join(lines[0], "version").join(lines[1], "version").drop("version")
+    out = t.spark.read.schema("record_count bigint").json(f"{path}/export_info").select(
+        F.lit("record_count").alias("item"), F.col("record_count").alias("n")
+    )
+    for part, name in (("data", "data_lines"), ("sensors", "sensor_lines")):
+        lines = t.spark.read.text(f"{path}/{part}").agg(F.count("*").alias("n"))
+        out = out.unionByName(lines.withColumn("item", F.lit(name)))
+    return out
 
 
 @query("a08_export_csv", with_views("readings", "SELECT cast(event_id AS VARCHAR) AS event_id, mac, "

@@ -59,7 +59,17 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one intermediate table."""
-    return f"{scratch_root(spark)}/skyledger/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_app_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _app_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/skyledger-{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; results read from them must be consumed first."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

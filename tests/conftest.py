@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from skyledger.plans.views import Tables  # noqa: E402
-from skyledger.session import get_session  # noqa: E402
+from skyledger.session import drop_scratch, get_session  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -16,7 +16,8 @@ def spark():
     session = get_session("tests", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
                           spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    drop_scratch(session)
 
 
 @pytest.fixture(scope="session")

@@ -46,14 +46,26 @@ def test_a_hot_group_is_split(skewed):
     assert len(sizes) > 1 and sizes.max() < 0.5 * sizes.sum()
 
 
-def test_quantiles(skewed):
+@pytest.mark.parametrize("bracket_rows", [1, 10**9])
+def test_quantiles(skewed, monkeypatch, bracket_rows):
+    monkeypatch.setattr(ordered, "BRACKET_ROWS", bracket_rows)
     df, pdf = skewed
     probs = [0.0, 0.05, 1 / 3, 0.5, 0.95, 1.0]
     row = ordered.quantiles(df, ["value"], probs).first()
     assert [row[f"q{i}"] for i in range(len(probs))] == pytest.approx(list(pdf.value.quantile(probs)))
 
 
-def test_quantiles_with_nulls_and_constant(spark):
+def test_a_bracket_that_misses_falls_back(skewed, monkeypatch):
+    """Brackets from a sketch that lies must not give a wrong value."""
+    monkeypatch.setattr(ordered, "BRACKET_ROWS", 1)
+    monkeypatch.setattr(ordered, "_MARGIN", -0.2)
+    df, pdf = skewed
+    assert ordered.quantiles(df, ["value"], [0.5]).first()["q0"] == pdf.value.median()
+
+
+@pytest.mark.parametrize("bracket_rows", [1, 10**9])
+def test_quantiles_with_nulls_and_constant(spark, monkeypatch, bracket_rows):
+    monkeypatch.setattr(ordered, "BRACKET_ROWS", bracket_rows)
     df = spark.createDataFrame([(1.0, 2.0), (None, 2.0), (3.0, 2.0)], "a double, b double")
     rows = {r["column"]: (r["n"], r["q0"]) for r in ordered.quantiles(df, ["a", "b"], [0.5]).collect()}
     assert rows == {"a": (2, 2.0), "b": (3, 2.0)}
@@ -101,8 +113,7 @@ def test_rank_correlations_match_pandas(spark, edges):
     pairs = len(kept) * (len(kept) - 1) / 2
     ties = [sum(t * (t - 1) / 2 for t in kept[c].value_counts()) for c in ("x", "y")]
     expected = s / ((pairs - ties[0]) * (pairs - ties[1])) ** 0.5
-    cells = correlation.pair_cells(df, ["x", "y"])
-    assert correlation.kendall_tau(cells, edges) == pytest.approx(expected)
+    assert correlation.corr_kendall(df, ["x", "y"], edges).first()["corr"] == pytest.approx(expected)
     ranks = kept.rank()
     assert correlation.corr_spearman(df, ["x", "y"]).first()["corr"] == pytest.approx(ranks.x.corr(ranks.y))
 
