@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .ordered import running_before
+from .ordered import lookup, running_before
 
 # the functions that run on executors travel with the job: nothing to install there
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -69,9 +69,10 @@ def corr_spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     rx = ranks.filter("side = 'x'").select("a", "b", F.col("value").alias("x"), F.col("rank").alias("rx"))
     ry = ranks.filter("side = 'y'").select("a", "b", F.col("value").alias("y"), F.col("rank").alias("ry"))
     # the mean rank is (N + 1) / 2 exactly: centring first keeps the sums small
-    totals = cells.groupBy("a", "b").agg(((F.sum("n") + 1) / 2.0).alias("mid"))
-    both = cells.join(rx, ["a", "b", "x"]).join(ry, ["a", "b", "y"]).join(totals, ["a", "b"])
-    dx, dy, n = F.col("rx") - F.col("mid"), F.col("ry") - F.col("mid"), F.col("n")
+    mids = {f"{r['a']}|{r['b']}": (r["n"] + 1) / 2 for r in cells.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()}
+    both = cells.join(rx, ["a", "b", "x"]).join(ry, ["a", "b", "y"])
+    mid = lookup(mids, F.concat_ws("|", "a", "b"))
+    dx, dy, n = F.col("rx") - mid, F.col("ry") - mid, F.col("n")
     sums = both.groupBy("a", "b").agg(
         F.sum(n * dx * dy).alias("xy"), F.sum(n * dx * dx).alias("xx"), F.sum(n * dy * dy).alias("yy")
     )

@@ -9,6 +9,8 @@ own, and only one row per (keys, range) crosses between ranges.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,10 +42,11 @@ def running_before(df: DataFrame, keys: list[str], order: list[str], weight: Col
     totals = chunked.groupBy(*keys, CHUNK).agg(F.sum("_w").alias("_t"))
     # one row per range of a group: a small window whatever the group's size
     offset = F.coalesce(F.sum("_t").over(_before(keys, [F.col(CHUNK)])), F.lit(0))
-    starts = totals.select(*keys, CHUNK, offset.alias("_start"))
+    starts = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, CHUNK])], offset.alias("_start"))
     inside = F.coalesce(F.sum("_w").over(_before(keys + [CHUNK], [F.col(c) for c in order])), F.lit(0))
-    joined = chunked.withColumn("_in", inside).join(starts, keys + [CHUNK])
-    return joined.withColumn(name, F.col("_start") + F.col("_in")).drop("_w", "_in", "_start", CHUNK)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*keys, CHUNK])])  # null is a group too
+    joined = chunked.withColumn("_in", inside).join(starts, same)
+    return joined.select(*df.columns, (F.col("_start") + F.col("_in")).alias(name))
 
 
 def max_gap(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
@@ -156,9 +159,15 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], totals: di
     return spark.createDataFrame([r for r in rows if r[1]], schema)
 
 
+def lookup(values: dict[str, float], key: Column) -> Column:
+    """A literal map: a handful of per-column numbers needs no join with the big table."""
+    pairs = [F.lit(x) for item in values.items() for x in item]
+    return F.create_map(*pairs)[key] if pairs else F.lit(None).cast("long")
+
+
 def quantiles_of(ranked: DataFrame, probs: list[float]) -> DataFrame:
-    totals = ranked.groupBy("column").agg(F.sum("n").alias("_total"))
-    rows = ranked.join(totals, "column")
+    totals = {r["column"]: r["_t"] for r in ranked.groupBy("column").agg(F.sum("n").alias("_t")).collect()}
+    rows = ranked.withColumn("_total", lookup(totals, F.col("column")))
 
     def at(rank: Column) -> Column:
         inside = (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))

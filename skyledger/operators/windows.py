@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import banded
 from .aggregates import aggregate_window
 from .filters import last
 
+GROUP_LIMIT = 1000  # Spark's own bound for limiting a group before the shuffle
+SALTS = 64
+
 # Lower bound and label, worst first (fixed values of the stat panels).
 BANDS = {
     "temp_mae_1h": [(2.0, "red"), (1.0, "yellow")],
@@ -38,19 +41,29 @@ def latest_per_sensor(readings: DataFrame) -> DataFrame:
 
 
 def latest_n(readings: DataFrame, n: int, keys: list[str] = ("mac",)) -> DataFrame:
-    """The newest ``n`` rows per sensor.
-
-    Spark limits each group inside the map task as well (a window group limit),
-    so a sensor with many rows sends at most ``n`` per task to the shuffle.
-    """
-    w = Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("event_id"))
-    return readings.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).drop("rn")
+    """The newest ``n`` rows per sensor."""
+    return _first_rows(readings, n, list(keys), [F.desc("ts"), F.desc("event_id")])
 
 
 def limit_per_series(points: DataFrame, n: int, keys: list[str]) -> DataFrame:
     """The first ``n`` rows of every series."""
-    w = Window.partitionBy(*keys).orderBy("ts", "event_id")
-    return points.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).drop("rn")
+    return _first_rows(points, n, keys, [F.asc("ts"), F.asc("event_id")])
+
+
+def _first_rows(df: DataFrame, n: int, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first ``n`` rows per group.
+
+    Spark limits each group inside the map task as well (a window group limit),
+    so a group with many rows sends at most ``n`` per task to the shuffle. It
+    does so only for small ``n``; beyond, salted parts of a group are limited first.
+    """
+    def limited(rows: DataFrame, by: list) -> DataFrame:
+        numbered = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        return numbered.filter(F.col("_rn") <= n).drop("_rn")
+
+    if n > GROUP_LIMIT:
+        df = limited(df, [*keys, F.pmod(F.xxhash64("event_id"), F.lit(SALTS))])
+    return limited(df, keys)
 
 
 def timed_moving_average(series: DataFrame, every: str, period: str, keys: list[str], value: str = "value") -> DataFrame:

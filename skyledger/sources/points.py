@@ -107,14 +107,15 @@ def errors_to_points(errors: DataFrame) -> DataFrame:
 def dedupe_points(points: DataFrame, tags: list[str] = ("mac", "data_format"), later: str = "event_id") -> DataFrame:
     """One value per (measurement, tags, field, second): the later write wins.
 
-    ``max_by`` combines before the shuffle, so a sensor that repeats the same
-    second many times is reduced where it is read.
+    ``max_by`` on a number combines in a hash table before the shuffle, so a
+    sensor that repeats the same second many times is reduced where it is read.
+    ``later`` grows with every write.
     """
     second = F.date_trunc("second", "ts")
     return (
         points.withColumn("second", second)
         .groupBy("measurement", *tags, "field", "second")
-        .agg(F.max_by("value", F.struct("ts", later)).alias("value"), F.max(later).alias(later))
+        .agg(F.max_by("value", later).alias("value"), F.max(later).alias(later))
         .withColumnRenamed("second", "ts")
     )
 
@@ -136,13 +137,16 @@ def write_points(points: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def upsert_points(points: DataFrame, path: str) -> None:
-    """Merge a batch (for instance late history) into stored points, touching only its days."""
+    """Merge a batch (for instance late history) into stored points, touching only its days.
+
+    The days come back to the driver (a calendar is short), so the stored table
+    is read by partition and the rest of it is not opened.
+    """
     spark = points.sparkSession
-    batch = dedupe_points(points).withColumn("date", F.to_date("ts"))
-    days = batch.select("measurement", "date").distinct()
-    stored = spark.read.parquet(path).withColumn("date", F.col("date").cast("date"))
-    touched = stored.join(days, ["measurement", "date"], "left_semi").select(*batch.columns)
-    merged = materialize(touched.unionByName(batch).drop("date"), "upsert")
+    days = [r["date"] for r in points.select(F.to_date("ts").alias("date")).distinct().collect()]
+    columns = ["measurement", "mac", "data_format", "field", "ts", "value", "event_id"]
+    touched = spark.read.parquet(path).filter(F.col("date").isin(days)).select(*columns)
+    merged = materialize(touched.unionByName(dedupe_points(points).select(*columns)), "upsert")
     write_points(merged, path)
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skyledger.operators import aggregates, correlation, ordered
+from skyledger.operators import aggregates, correlation, ordered, windows
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -40,6 +40,22 @@ def test_running_before(skewed):
     assert len(merged) == len(pdf) and (merged.before_x == merged.before_y).all()
 
 
+def test_null_is_a_group(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "key string, pos int")
+    got = ordered.running_before(df, ["key"], ["pos"], F.lit(1), "before")
+    assert sorted((str(r["key"]), r["before"]) for r in got.collect()) == [("None", 0), ("None", 1), ("a", 0)]
+
+
+@pytest.mark.parametrize("limit", [1, 1000])
+def test_first_rows_of_a_hot_group(skewed, monkeypatch, limit):
+    monkeypatch.setattr(windows, "GROUP_LIMIT", limit)
+    df, pdf = skewed
+    rows = df.withColumnsRenamed({"key": "mac", "pos": "event_id"}).withColumn("ts", F.timestamp_seconds("event_id"))
+    got = windows.latest_n(rows, 5).toPandas().groupby("mac")["event_id"].apply(sorted)
+    want = pdf.groupby("key")["pos"].apply(lambda p: sorted(p)[-5:])
+    assert got.to_dict() == want.to_dict()
+
+
 def test_a_hot_group_is_split(skewed):
     df, _ = skewed
     sizes = ordered.ordered_chunks(df, ["key", "pos"]).groupBy(ordered.CHUNK).count().toPandas()["count"]
