@@ -55,8 +55,7 @@ def max_gap(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     The mean telescopes to (last - first) / (n - 1); the longest gap is the
     larger of those inside ranges and those between a range and the next.
     """
-    seconds = F.col(ts).cast("double")
-    chunked = ordered_chunks(df.select(*keys, seconds.alias("_s")), keys + ["_s"])
+    chunked = ordered_chunks(df.select(*keys, F.unix_micros(ts).alias("_s")), keys + ["_s"])
     step = F.col("_s") - F.lag("_s").over(Window.partitionBy(*keys, CHUNK).orderBy("_s"))
     per_range = (
         chunked.withColumn("_g", step)
@@ -70,8 +69,8 @@ def max_gap(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
         .groupBy(*keys)
         .agg(
             F.sum("_n").alias("n"),
-            F.try_divide(F.max("_last") - F.min("_first"), F.sum("_n") - 1).alias("mean_gap"),
-            F.greatest(F.max("_g"), F.max("_bridge")).alias("max_gap"),
+            F.try_divide((F.max("_last") - F.min("_first")) / 1e6, F.sum("_n") - 1).alias("mean_gap"),
+            (F.greatest(F.max("_g"), F.max("_bridge")) / 1e6).alias("max_gap"),
         )
     )
 

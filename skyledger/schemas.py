@@ -37,6 +37,7 @@ SENSOR_STRUCT = (
     "enabled:boolean,notes:string,firmware_version:string,battery_level:double>"
 )
 
+# Physical ranges: of the sensor, and the wider ones (fixed values).
 RANGE_SPEC = {
     "temperature": (-40.0, 85.0),
     "humidity": (0.0, 100.0),

@@ -19,6 +19,8 @@ SESSION_CONF = {
     # the JVM does not compile methods beyond 8000 bytes: above that, per-operator
     # code in small methods is several times faster than one interpreted loop
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # a busy sensor's readings become sessions where they are read, not in one task
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 _local_scratch: dict[str, str] = {}
@@ -37,8 +39,9 @@ def get_session(app_name: str = "skyledger", master: str | None = None, **conf:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set what results depend on, and no tuning, in a session someone else created."""
-    for key in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"):
+    """Set what the library depends on in a session someone else created; sizes stay as they are."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit",
+                "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"):
         if spark.conf.get(key, None) != SESSION_CONF[key]:
             spark.conf.set(key, SESSION_CONF[key])
     return spark

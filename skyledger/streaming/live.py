@@ -130,13 +130,7 @@ def stream_moving_average(readings: DataFrame, period: str = "24 hours", every:
     )
 
 
-def silences(readings: DataFrame, gap: str = "5 minutes") -> DataFrame:
-    """Alerts for sensors that stopped reporting.
-
-    A session closes ``gap`` after its last reading, so each closed session is a
-    silence: it began at ``last_seen`` and was noticed at ``alert_ts``.
-    """
-    sessions = readings.groupBy(F.session_window("ts", gap), "mac").agg(F.count("*").alias("readings"))
+def _silence_rows(sessions: DataFrame, gap: str) -> DataFrame:
     return sessions.select(
         "mac", F.col("session_window.start").alias("first_seen"),
         (F.col("session_window.end") - F.expr(f"INTERVAL {gap}")).alias("last_seen"),
@@ -144,8 +138,26 @@ def silences(readings: DataFrame, gap: str = "5 minutes") -> DataFrame:
     )
 
 
+def silences(readings: DataFrame, gap: str = "5 minutes") -> DataFrame:
+    """Alerts for sensors that stopped reporting for at least ``gap`` (of one second or more).
+
+    A session closes ``gap`` after its last reading, so each closed session is a
+    silence: it began at ``last_seen`` and was noticed at ``alert_ts``. Readings
+    of one second are merged first, which bounds the rows of a busy sensor.
+    """
+    seconds = readings.groupBy("mac", F.window("ts", "1 second")).agg(
+        F.min("ts").alias("ts"), F.max("ts").alias("_last"), F.count("*").alias("_n")
+    )
+    span = F.unix_micros("_last") - F.unix_micros("ts") + F.unix_micros(F.expr(f"timestamp_seconds(0) + INTERVAL {gap}"))
+    own_gap = F.concat(span.cast("string"), F.lit(" microseconds"))
+    sessions = seconds.groupBy(F.session_window("ts", own_gap), "mac").agg(F.sum("_n").alias("readings"))
+    return _silence_rows(sessions, gap)
+
+
 def stream_silence(readings: DataFrame, gap: str = "5 minutes") -> DataFrame:
-    return silences(readings.withWatermark("ts", WATERMARK), gap)
+    """The same live, once the watermark has passed the alert (sessions merge before the shuffle, see the session defaults)."""
+    marked = readings.withWatermark("ts", WATERMARK)
+    return _silence_rows(marked.groupBy(F.session_window("ts", gap), "mac").agg(F.count("*").alias("readings")), gap)
 
 
 def stream_dedupe(readings: DataFrame, within: str = WATERMARK) -> DataFrame:

@@ -67,6 +67,13 @@ def test_silence_is_reported_once_closed(spark, landing, tmp_path):
     assert sorted(tuple(r) for r in rows.collect()) == [("a", 200, 500, 2), ("a", 1000, 1300, 1)]
 
 
+def test_batch_silence_equals_plain_sessions(tables):
+    plain = tables.readings.groupBy(F.session_window("ts", "5 minutes"), "mac").agg(F.count("*").alias("readings"))
+    want = plain.selectExpr("mac", "session_window.start first_seen", "session_window.end alert_ts", "readings")
+    got = live.silences(tables.readings).select(*want.columns)
+    assert want.count() == got.count() and want.exceptAll(got).isEmpty()
+
+
 def test_late_rows_are_counted_and_backfilled(spark, landing, tmp_path):
     """A row older than the watermark leaves the live window, is counted, and arrives by back-fill."""
     out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
