@@ -221,7 +221,10 @@ _BIN_PAIRS = " UNION ALL ".join(
     "SELECT a, b, chi2, sqrt(greatest(0, chi2 / n - (k - 1) * (r - 1) / (n - 1)) / least(k - (k - 1) * (k - 1) / (n - 1) - 1, "
     "r - (r - 1) * (r - 1) / (n - 1) - 1)) AS cramers_v FROM stats",
     rows="SELECT * FROM (" + _BIN_PAIRS + ")",
-    cells="SELECT a, b, x, y, count(*)::DOUBLE AS o FROM rows GROUP BY ALL",
+    # a combination that never occurs still has an expected count
+    cells="SELECT l.a, l.b, l.x, r.y, count(c.x)::DOUBLE AS o FROM (SELECT DISTINCT a, b, x FROM rows) l "
+    "JOIN (SELECT DISTINCT a, b, y FROM rows) r ON r.a = l.a AND r.b = l.b "
+    "LEFT JOIN rows c ON c.a = l.a AND c.b = l.b AND c.x = l.x AND c.y = r.y GROUP BY ALL",
     expected="SELECT *, sum(o) OVER (PARTITION BY a, b, x) * sum(o) OVER (PARTITION BY a, b, y) / sum(o) OVER (PARTITION BY a, b) AS e "
     "FROM cells",
     stats="SELECT a, b, sum((o - e) * (o - e) / e) AS chi2, sum(o) AS n, count(DISTINCT x)::DOUBLE AS r, count(DISTINCT y)::DOUBLE AS k "
