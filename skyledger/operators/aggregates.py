@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,19 +179,27 @@ def error_histogram(errors: DataFrame, width: float = 0.5, column: str = "temp_s
 
 def error_overlay(errors: DataFrame, column: str = "temp_signed_error") -> DataFrame:
     """Mean, median and deviation drawn over the histogram."""
-    long = errors.select(F.col(column).cast("double").alias(column)).unpivot([], [column], "column", "value")
-    moments = long.groupBy("column").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("stddev"))
+    moments = per_column(errors, [column], lambda v: {"mean": F.avg(v), "stddev": F.stddev_samp(v)})
     median = quantiles(errors, [column], [0.5]).select("column", F.col("q0").alias("median"))
     return moments.join(median, "column").select("mean", "median", "stddev")
 
 
+def per_column(df: DataFrame, columns: list[str], aggs: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """The same aggregates of several columns from one scan without repeating its rows: one row per column."""
+    named = {c: aggs(F.col(c).cast("double")) for c in columns}
+    wide = df.agg(*[agg.alias(f"{c}|{name}") for c, found in named.items() for name, agg in found.items()])
+    rows = [
+        F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}|{name}`").alias(name) for name in found])
+        for c, found in named.items()
+    ]
+    return wide.select(F.inline(F.array(*rows)))
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, deviation, extremes and quartiles per column."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
-    moments = long.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-    )
+    moments = per_column(df, columns, lambda v: {
+        "count": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v),
+    })
     q = quantiles(df, columns, [0.25, 0.5, 0.75]).select(
         "column", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75")
     )

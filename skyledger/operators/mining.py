@@ -9,7 +9,7 @@ from ..functions.scalars import item_label
 from ..session import materialize
 from .ordered import quantiles
 
-MAX_SUBSET_ITEMS = 12
+MAX_SUBSET_ITEMS = 10
 
 
 class NotEnoughData(ValueError):

@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .aggregates import per_column
 from .correlation import corr_pearson
 from .ordered import quantiles, value_counts
 
@@ -30,14 +31,11 @@ def profile_overview(df: DataFrame) -> DataFrame:
 
 def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """Moments from one scan, distinct values from the value counts, exact quantiles."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
-    v = F.col("value")
-    moments = long.groupBy("column").agg(
-        F.count(v).alias("count"), F.count_if(v.isNull()).alias("missing"), F.min(v).alias("min"),
-        F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.var_samp(v).alias("variance"), F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis"),
-        F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"),
-    )
+    moments = per_column(df, columns, lambda v: {
+        "count": F.count(v), "missing": F.count_if(v.isNull()), "min": F.min(v), "max": F.max(v), "mean": F.avg(v),
+        "std": F.stddev_samp(v), "variance": F.var_samp(v), "skewness": F.skewness(v), "kurtosis": F.kurtosis(v),
+        "zeros": F.count_if(v == 0), "negatives": F.count_if(v < 0),
+    })
     distinct = value_counts(df, columns).groupBy("column").agg(F.count("*").alias("distinct"))
     q = quantiles(df, columns, QUANTILES).select(
         "column", *[F.col(f"q{i}").alias(f"p{round(p * 100)}") for i, p in enumerate(QUANTILES)]

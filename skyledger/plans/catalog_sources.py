@@ -36,7 +36,7 @@ DOC_ROWS = (
     "count(*) OVER (PARTITION BY source, event_id // 100) AS cnt FROM forecast_points)"
 )
 PARSED = (
-    "SELECT doc_id, source, pos, ts, temperature, "
+    "SELECT doc_id, source, cast(pos AS INT) AS pos, ts, temperature, "
     "CASE WHEN block % 3 = 0 AND pos = cnt - 1 THEN NULL ELSE humidity END AS humidity, pressure, weather_code, "
     "source = 'provider_a' AS is_forecast FROM doc_rows WHERE NOT (block % 5 = 0 AND pos = 0)"
 )
@@ -335,7 +335,7 @@ _RECORDS = "SELECT *, unnest(range(cast(l_linenumber AS BIGINT))) AS k FROM line
 
 @query("b05_decode_history", with_views(
     "",
-    "SELECT l_orderkey, l_linenumber, l_partkey, k AS record_no, "
+    "SELECT l_orderkey, l_linenumber, l_partkey, cast(k AS INT) AS record_no, "
     "timestamp '1970-01-01' + (1700000000 + l_suppkey + offset_s) * interval '1' second AS ts, "
     f"({_signed('t_raw')}) * 0.005e0 AS temperature, h_raw * 0.0025e0 AS humidity, "
     f"(p_raw + 50000) / 100.0e0 AS pressure, {_ACC}, {_POWER}, cast(move AS INT) AS movement_counter, "
@@ -348,7 +348,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("b06_split_records", with_views(
-    "", "SELECT l_orderkey, l_linenumber, l_partkey, k AS record_no, 24 AS bytes FROM records", records=_RECORDS
+    "", "SELECT l_orderkey, l_linenumber, l_partkey, cast(k AS INT) AS record_no, 24 AS bytes FROM records", records=_RECORDS
 ))
 def _(t: Tables) -> DataFrame:
     return frames.split_records(t.history_blobs).select(
