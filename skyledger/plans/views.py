@@ -30,12 +30,13 @@ def mac_sql(x: str) -> str:
 
 _F5 = "event_id % 5 <> 0"
 
+# Adding zero turns a rounded -0.0 into 0.0 on both sides.
 READINGS = {
     "event_id": "event_id",
     "mac": mac_sql("user_id"),
     "ts": "cast(ts as timestamp)",
     "data_format": "cast(case when event_id % 5 = 0 then 3 else 5 end as int)",
-    "temperature": "case when event_id % 17 <> 0 then round(value * 0.6 - 10, 3) end",
+    "temperature": "case when event_id % 17 <> 0 then round(value * 0.6 - 10, 3) + 0.0e0 end",
     "humidity": "case when event_id % 13 <> 0 then round(value + event_id % 10, 2) end",
     "pressure": "case when event_id % 19 <> 0 then round(950 + value * 0.5 + event_id % 7, 3) end",
     "acceleration_x": "(event_id % 2001 - 1000) / 1000.0e0",
@@ -57,7 +58,7 @@ FORECAST_POINTS = {
     "horizon_hours": f"cast({_H} as int)",
     "source": "case when user_id % 3 = 0 then 'provider_a' else 'provider_b' end",
     "data_type": "case when event_id % 10 = 0 then 'historical' else 'forecast' end",
-    "temperature": f"round(value * 0.6 - 10 + (event_id % 11 - 5) * 0.05 * {_H}, 3)",
+    "temperature": f"round(value * 0.6 - 10 + (event_id % 11 - 5) * 0.05 * {_H}, 3) + 0.0e0",
     "humidity": "round(value + event_id % 9, 2)",
     "pressure": "round(950 + value * 0.5 - event_id % 5, 3)",
     "weather_code": "case when event_id % 6 <> 0 then cast(event_id % 100 as int) end",
