@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, decontamination, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,48 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = bpe.decode(encoded.select("doc_id", "bpe.ids", "bpe.n_tokens"), vocabulary)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                           F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words and items of every document, and the rule for a contaminated one."""
+    found = decontamination.find_hits(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                      table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    ids = F.array_join(F.array_sort(F.col("hits.items").cast("array<string>")), ",")
+    return found.select(
+        "doc_id", "hits.n_words", F.size("hits.hit_words").cast("long").alias("n_hit"),
+        F.size("hits.items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"),
+        decontamination.contaminated(F.col("hits")).alias("contaminated"))
+
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+ORACLES["op8_benchmark_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT DISTINCT item_id, w, least(13, len(w)) AS k
+      FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+bw AS (SELECT item_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM b),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM bw),
+dk AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+       FROM d, (SELECT DISTINCT k FROM b) WHERE len(w) >= k),
+hit AS (SELECT doc_id, i, k, item_id FROM (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM dk)
+        JOIN win USING (k, g)),
+hw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY 1),
+hi AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
+       FROM (SELECT DISTINCT doc_id, CAST(item_id AS varchar) AS id FROM hit) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(hw.n, 0) AS n_hit, coalesce(hi.n, 0) AS n_items,
+       sha256(coalesce(hi.ids, '')) AS items_sha256, coalesce(hw.n, 0) > 0 AND 20 * coalesce(hw.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+"""
+
+
+@query
+def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` dealt into 16 shards by the permuted number of the row; the law is ``rows``."""
+    sized = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
+    placed = sharding.assign(sized, ["doc_id", "size", "text_crc32"], shards=16, seed=20_260)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "place.shard", "place.slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
