@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, sharding
+from . import bpe, decontamination, language, quality, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,28 @@ def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(sized, ["doc_id", "size", "text_crc32"], shards=16, seed=20_260)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "place.shard", "place.slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+def held_out(parts: int, part: int):
+    """Whether a document is kept from learning, by the checksum of its id."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
+
+
+@query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    documents = table(spark, sf_dir, "documents")
+    learned = documents.filter(F.col("doc_id").isNotNull() & ~held_out(4, 2)).select("text", "lang")
+    predicted = language.predict(documents.select("doc_id", "text"), language.train(learned))
+    return predicted.select("doc_id", held_out(4, 2).alias("held_out"), F.col("language.lang").alias("lang_pred"),
+                            "language.score")
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from labelled ones that are not held out."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(documents, labels, ~held_out(3, 1))
+    scored = quality.score(documents.select("doc_id", "text"), model, out="score")
+    return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
