@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, limit: int,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``text, label`` of at most ``limit`` labelled documents, those of the smallest hashed ids.
+    """``doc_id, text, label`` of at most ``limit`` labelled documents, those of the smallest hashed ids.
 
     Rows with a null id or label are left out; of repeated ids the larger label counts, and the longer text. The ids
     are chosen before any text is read, so the documents are scanned once, against a list of bounded size.
@@ -21,4 +21,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: C
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(chosen), "doc_id")
     longest = F.max_by("text", F.struct(F.length("text"), "text"))
-    return found.groupBy("doc_id").agg(longest.alias("text"), F.first("label").alias("label")).drop("doc_id")
+    return found.groupBy("doc_id").agg(longest.alias("text"), F.first("label").alias("label"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language, quality, sharding
+from . import bpe, decontamination, language, quality, sharding, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(documents.select("doc_id", "text"), model, out="score")
     return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from labelled ones that are not held out."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(documents, labels, ~held_out(5, 0))
+    scored = toxicity.score(documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "toxicity.score",
+                         (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"), "toxicity.evidence")
