@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language, quality, sharding, toxicity
+from . import bpe, decontamination, language, near_dup, quality, sharding, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(documents.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "toxicity.score",
                          (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"), "toxicity.evidence")
+
+
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dup.classes(table(spark, sf_dir, "documents"))
