@@ -20,12 +20,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import prepare, worker_state
 
 MIN_SHARE = 1e-5
 ORDER = 4
 COUNTED_WORDS = 200_000  # distinct words a task holds before it hands on its counts
 CACHED_WORDS = 400_000  # words a Python worker remembers the scores of
+LEAST_SCORE = -60.0
 UNDETERMINED = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -80,11 +82,12 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Broadcast:
         known = frequent(counts, totals).collect()  # at most 1 / MIN_SHARE rows a language
         # one n-gram for each character and for the end of the word
         each = F.explode(F.expr(f"transform(sequence(1, length(word) + 1), i -> substr(concat('^', word, '{'$' * (ORDER - 1)}'), i, {ORDER}))"))
-        longest = counts.select("lang", "n", each.alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        longest = materialize(counts.select("lang", "n", each.alias("gram")).groupBy("lang", "gram").agg(
+            F.sum("n").alias("n")), "grams")
         sizes = {r["lang"]: r["n"] for r in longest.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        for order in range(ORDER, 0, -1):
-            shorter = longest.groupBy("lang", F.substring("gram", 1, order).alias("gram")).agg(F.sum("n").alias("n"))
-            grams += frequent(shorter, sizes).collect()
+        prefixes = F.explode(F.array(*[F.substring("gram", 1, order) for order in range(1, ORDER + 1)]))
+        every = longest.select("lang", "n", prefixes.alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        grams = frequent(every, sizes).collect()  # at most ORDER / MIN_SHARE rows a language
     counts.unpersist()
     langs = sorted(totals)
     return spark.sparkContext.broadcast({
@@ -105,37 +108,38 @@ class Scorer(dict):
 
     def __init__(self, held: dict):
         super().__init__()
-        self.words, self.grams = held["words"], held["grams"]
-        self.totals = np.maximum(np.array(held["totals"], float), 1)
         self.langs, self.used = held["langs"], 0
+        totals = np.maximum(np.array(held["totals"], float), 1)
+        counts = np.array(list(held["words"].values()), float).reshape(-1, len(self.langs))
+        self.known = {word: i for i, word in enumerate(held["words"])}
+        self.known_scores = np.log((counts + 0.1) / totals)
+        # probability of the last character of an n-gram after the others, one row per n-gram
+        grams, self.grams = held["grams"], {gram: i for i, gram in enumerate(held["grams"])}
+        after = np.array(list(grams.values()), float).reshape(-1, len(self.langs))
+        before = np.array([grams[g[:-1]] if g[:-1] in grams else totals for g in grams], float).reshape(after.shape)
+        self.gram_scores = np.log((after + 0.1) / (np.maximum(before, after) + 1))
         self.scores = np.zeros((1024, len(self.langs)))
 
     def __missing__(self, word: str) -> int:
-        counts = self.words.get(word)
-        if counts is not None:
-            score = np.log((np.array(counts) + 0.1) / self.totals)
-        else:
-            score = self.backed_off(word)
         if self.used == len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[self.used] = score
+        at = self.known.get(word)
+        self.scores[self.used] = self.known_scores[at] if at is not None else self.backed_off(word)
         self[word] = self.used
         self.used += 1
         return self.used - 1
 
-    def backed_off(self, word: str) -> np.ndarray:
-        """Each character by the longest known n-gram that begins with its context and ends with it."""
-        text = f"^{word}$"
-        score = np.full(len(self.langs), math.log(MIN_SHARE))
+    def backed_off(self, word: str) -> np.ndarray | float:
+        """An unseen word: each character after as long a context as is known."""
+        text, grams, rows = f"^{word}$", self.grams, []
         for end in range(2, len(text) + 1):
-            for order in range(min(ORDER, end), 0, -1):
-                counts = self.grams.get(text[end - order:end])
-                if counts is not None:
-                    context = self.grams.get(text[end - order:end - 1]) if order > 1 else None
-                    base = np.array(context, float) if context else self.totals
-                    score = score + np.log((np.array(counts) + 0.1) / (np.maximum(base, np.array(counts)) + 1.0))
+            for start in range(max(end - ORDER, 0), end):
+                row = grams.get(text[start:end])
+                if row is not None:
+                    rows.append(row)
                     break
-        return np.maximum(score, -60.0)
+        # the sum over a long word is bounded, as is what a single unknown word can say
+        return np.maximum(math.log(MIN_SHARE) + self.gram_scores[rows].sum(axis=0), LEAST_SCORE)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = words(text)
