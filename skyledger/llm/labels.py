@@ -10,8 +10,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: C
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, text, label`` of at most ``limit`` labelled documents, those of the smallest hashed ids.
 
-    Rows with a null id or label are left out; of repeated ids the larger label counts, and the longer text. The ids
-    are chosen before any text is read, so the documents are scanned once, against a list of bounded size.
+    Rows with a null id or label are left out; of an id labelled twice the larger label counts. The ids are chosen
+    before any text is read, so the documents are scanned once, against a list of bounded size, and no text is
+    shuffled. An id that several documents share comes with each of them: callers reduce to one row per id.
     """
     chosen = (
         labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label")).dropna().filter(learnable)
@@ -19,6 +20,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: C
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id")
-    longest = F.max_by("text", F.struct(F.length("text"), "text"))
-    return found.groupBy("doc_id").agg(longest.alias("text"), F.first("label").alias("label"))
+    return texts.join(F.broadcast(chosen), "doc_id")

@@ -164,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "q
         return pa.array(list(_feature_rows(texts.to_pylist())), pa.list_(pa.float64()))
 
     sample = labelled_sample(docs, labels, label, learnable, LABELLED, doc_id, text)
-    rows = sample.select(measured("text").alias("x"), "label").collect()
+    measures = sample.select("doc_id", measured("text").alias("x"), "label")
+    rows = measures.groupBy("doc_id").agg(F.max("x").alias("x"), F.max("label").alias("label")).collect()
     rows.sort(key=lambda r: (r["x"], r["label"]))
     x = np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES))
     return spark.sparkContext.broadcast(fit(x, np.array([float(r["label"] > 0) for r in rows])))

@@ -24,15 +24,15 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .common import prepare, worker_state
 from .labels import labelled_sample
 
-LABELLED = 20_000  # at most so many labelled documents are examples
+LABELLED = 10_000  # at most so many labelled documents are examples
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 LEAST_EXAMPLES = 8  # a term of fewer examples is chance
-ASSOCIATION = 4.0
-NEIGHBOURS, BLOCK = 15, 64
+ASSOCIATION, EFFECT = 4.0, 2.0
+CALIBRATED = 2_000  # examples whose votes from the others teach the probabilities
+NEIGHBOURS, BLOCK = 15, 256
 SHRINK = 0.5  # similarity that the vote of texts without a neighbour counts as
 CACHED_WORDS = 400_000
 COUNTED_TERMS = 300_000
@@ -169,8 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "t
           text: str = "text") -> Broadcast:
     """Index at most ``LABELLED`` labelled documents for which ``learnable`` (over ``doc_id``) holds."""
     spark = prepare(docs.sparkSession)
-    sample = materialize(labelled_sample(docs, labels, label, learnable, LABELLED, doc_id, text), "examples")
-    sizes = {bool(r["positive"]): r["n"] for r in sample.groupBy((F.col("label") > 0).alias("positive")).agg(
+    sample = labelled_sample(docs, labels, label, learnable, LABELLED, doc_id, text)
+    sizes = {r["positive"]: r["n"] for r in sample.groupBy((F.col("label") > 0).alias("positive")).agg(
         F.count("*").alias("n")).collect()}
     n_pos, n_neg = sizes.get(True, 0), sizes.get(False, 0)
 
@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "t
         (F.col("positive") + F.col("negative") >= LEAST_EXAMPLES)
         & (F.abs(odds) >= ASSOCIATION * F.sqrt(1 / pos + 1 / neg))
         # what goes with the absence of the label says little in a text that has both
-        & (odds > 0))
+        & (odds >= EFFECT))
     chosen = sorted((r["term"], r["positive"] + r["negative"]) for r in telling.collect())
     terms = [t for t, _ in chosen]
     idf = [math.log((1 + n_pos + n_neg) / (1 + n)) + 1 for _, n in chosen]
@@ -191,15 +191,19 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "t
         known = Terms(numbers)
         return pa.array([list(known.counts(t).items()) for t in texts.to_pylist()], pa.map_(pa.int32(), pa.int32()))
 
-    rows = sample.select("doc_id", "label", vectors("text").alias("counts")).collect()
+    each = sample.select("doc_id", "label", F.array_sort(F.map_entries(vectors("text"))).alias("counts"))
+    rows = [{**r.asDict(), "counts": {c["key"]: c["value"] for c in r["counts"]}} for r in each.groupBy("doc_id").agg(
+        F.max("counts").alias("counts"), F.max("label").alias("label")).collect()]
     empty = [r for r in rows if not r["counts"]]
-    kept = sorted((r for r in rows if r["counts"]), key=lambda r: (sorted(r["counts"].items(), key=lambda c: (-idf[c[0]], c)), r["doc_id"]))
+    kept = sorted((r for r in rows if r["counts"]), key=lambda r: (
+        sorted(r["counts"].items(), key=lambda c: (-idf[c[0]], c)), r["doc_id"]))
     rate = (sum(r["label"] > 0 for r in empty) + n_pos / (n_pos + n_neg + 1)) / (len(empty) + 1)
     held = {"terms": terms, "idf": idf, "ids": [r["doc_id"] for r in kept], "labels": [r["label"] > 0 for r in kept],
             "vectors": [weighted(r["counts"], idf) for r in kept], "empty_rate": rate}
     index = Index(held)
-    votes = np.array([index.vote(index.nearest(v, without=i)) for i, v in enumerate(held["vectors"])])
-    held["steps"] = _rising(votes, np.array(held["labels"], float)) if kept else ([0.0], [rate])
+    taught = range(0, len(kept), -(-len(kept) // CALIBRATED) or 1)
+    votes = np.array([index.vote(index.nearest(held["vectors"][i], without=i)) for i in taught])
+    held["steps"] = _rising(votes, np.array([float(held["labels"][i]) for i in taught])) if kept else ([0.0], [rate])
     return spark.sparkContext.broadcast(held)
 
 
