@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language, near_dup, quality, sharding, toxicity
+from . import bpe, decontamination, fingerprints, language, near_dup, quality, sharding, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,27 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they and the next document's are."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    marked = documents.withColumn("n_chars", F.length("text").cast("long")).withColumn(
+        "digests", fingerprints.digests(F.col("text")))
+    paired = fingerprints.with_next(marked, "doc_id", ["text", "digests"], "n_chars")
+    kept = F.col("n_chars") - F.expr("n_chars div 3")
+    edited = paired.withColumn("edited", F.concat(
+        F.substring("text", F.lit(1), kept), F.substring("next_text", F.lit(1), F.expr("n_chars div 3"))))
+    found = edited.select("doc_id", "n_chars", "digests", "next_digests",
+                          F.sha2("edited", 256).alias("edited_sha256"),
+                          fingerprints.digests(F.col("edited")).alias("edited_digests"))
+    for part in ("", "edited_", "next_"):
+        found = fingerprints.with_sketch(found, f"{part}digests", f"{part}cells")
+    for part in ("edited_", "next_"):
+        found = fingerprints.differences(found, "digests", "cells", f"{part}digests", f"{part}cells", f"{part}apart")
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprints.printed("cells").alias("fingerprint"),
+        fingerprints.printed("edited_cells").alias("edited_fingerprint"),
+        fingerprints.likeness("digests", "edited_digests", "edited_apart").alias("near_edited"),
+        fingerprints.likeness("digests", "next_digests", "next_apart").alias("near_next"))
