@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fingerprints, language, near_dup, quality, sharding, toxicity
+from . import (bpe, decontamination, fingerprints, language, licenses, near_dup, quality, sharding, toxicity)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,43 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.printed("edited_cells").alias("edited_fingerprint"),
         fingerprints.likeness("digests", "edited_digests", "edited_apart").alias("near_edited"),
         fingerprints.likeness("digests", "next_digests", "next_apart").alias("near_next"))
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in every document: how many parts match, the best match and all licences."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.element_at(F.array_sort(F.transform("licenses", lambda m: F.struct(
+        (-m["dice"]).alias("d"), m["license"].alias("license")))), 1)
+    return found.select(
+        "doc_id", F.size(F.array_distinct("licenses.part")).cast("long").alias("n_parts"),
+        F.array_join(F.array_sort(F.array_distinct("licenses.license")), ",").alias("licenses"),
+        F.when(F.size("licenses") > 0, best["license"]).alias("best_license"),
+        F.when(F.size("licenses") > 0, -best["d"]).alias("best_dice"))
+
+
+def _license_oracle() -> str:
+    known = ", ".join(f"('{name}', {number}, {found})" for name, number, found in licenses.templates())
+    plain = r"trim(regexp_replace(lower(p), '[^a-z0-9]+', ' ', 'g'))"
+    return rf"""
+WITH t AS (SELECT * FROM (VALUES {known}) AS v(license, template, grams)),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+raw AS (SELECT doc_id, text AS p FROM d
+  UNION ALL SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) FROM d
+  UNION ALL SELECT doc_id, unnest(string_split(text, chr(10))) FROM d
+  UNION ALL SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10))) FROM d),
+part AS (SELECT DISTINCT doc_id, {plain} AS part FROM raw),
+short AS (SELECT doc_id, part, string_split(part, ' ') AS w FROM part WHERE part LIKE '% %'),
+g AS (SELECT doc_id, part, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM short),
+m AS (SELECT doc_id, part, license, 2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice
+      FROM g JOIN t ON len(g.grams) <= 1.6 * len(t.grams) AND len(t.grams) <= 1.6 * len(g.grams)),
+hit AS (SELECT * FROM m WHERE dice >= {licenses.DICE}),
+best AS (SELECT doc_id, license, dice FROM hit QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license) = 1),
+ids AS (SELECT doc_id, count(DISTINCT part) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM hit GROUP BY 1)
+SELECT d.doc_id, coalesce(ids.n, 0) AS n_parts, coalesce(ids.licenses, '') AS licenses, best.license AS best_license,
+       best.dice AS best_dice
+FROM d LEFT JOIN ids USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
+ORACLES["op7_license_scan"] = _license_oracle()
