@@ -7,7 +7,8 @@ not for texts that merely share vocabulary. Each of ``SKETCHES`` sketches puts a
 No bucket is expanded into pairs. Its best-known member (the one whose buckets hold most texts, the likely original of
 a family of copies) is compared with the others; those it does not match go on to the next round under finer keys made
 of several sketches. Every round removes at least one member from each bucket, so rounds go on until none is left
-open. Work per round is linear in the rows that are still open.
+open. Work per round is linear in the rows that are still open. A link between two texts is missed only if each of
+the buckets they share keeps being led by a third text that matches one of them at most.
 
 A pair is verified by alignment: the longest common subsequence of the two shingle sequences inside the diagonal band
 that a similarity of ``SIMILARITY`` allows. Similarity is matched over all distinct shingles of the pair, so it is the
@@ -137,23 +138,23 @@ def _compared(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array([aligned(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in pairs], pa.float64())
 
 
-def _open_buckets(rows: DataFrame) -> DataFrame:
-    """``key, id, rank`` rows of keys with more than one id."""
-    shared = rows.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
-    return rows.join(shared, "key", "left_semi")
+def _of_sketches(start: int, offsets: tuple[int, ...], *more: Column) -> Column:
+    parts = [F.col("sketches")[(start + o) % SKETCHES] for o in offsets]
+    return F.xxhash64(F.lit(start), F.lit(str(offsets)), *parts, *more)
 
 
-def _finer(rows: DataFrame, sketched: DataFrame, steps: tuple[tuple[int, ...], ...], by_key: bool) -> DataFrame:
-    """The same ids under keys of several sketches; ``by_key`` keeps apart what the old key kept apart."""
-    def key(start: int, offsets: tuple[int, ...]) -> Column:
-        parts = [F.col("sketches")[(start + o) % SKETCHES] for o in offsets]
-        return F.xxhash64(F.lit(start), F.lit(str(offsets)), *parts, *([F.col("key")] if by_key else []))
+def _finer(left: DataFrame, sketched: DataFrame) -> DataFrame:
+    """The texts that share an open bucket, under keys of several sketches."""
+    shared = left.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
+    ids = left.join(shared, "key", "left_semi").select("id", "rank").distinct()
+    keys = F.explode(F.array(*[_of_sketches(start, o) for start in range(SKETCHES) for o in FINER]))
+    return ids.join(sketched, "id").select(keys.alias("key"), "id", "rank")
 
-    starts = range(1) if by_key else range(SKETCHES)
-    keys = F.explode(F.array(*[key(s, o) for s in starts for o in steps]))
-    wanted = rows if by_key else rows.select("id", "rank").distinct()
-    joined = wanted.join(sketched, "id")
-    return joined.select(keys.alias("key"), "id", "rank").distinct()
+
+def _longer(left: DataFrame, sketched: DataFrame, turn: int) -> DataFrame:
+    """The same buckets divided by more sketches, one more of them each turn."""
+    more = tuple(7 * i for i in range(turn))
+    return left.join(sketched, "id").select(_of_sketches(3 * turn, more, F.col("key")).alias("key"), "id", "rank")
 
 
 def links(sketched: DataFrame, prints_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -171,9 +172,13 @@ def links(sketched: DataFrame, prints_of: Callable[[DataFrame], DataFrame]) -> D
     prints = materialize(prints_of(ranks.select("id")), "prints")
 
     found, turn = [], 0
-    while not rows.isEmpty():
-        leaders = rows.groupBy("key").agg(F.max(F.struct("rank", F.negative("id").alias("neg"))).alias("_l"))
-        starred = rows.join(leaders.select("key", F.negative("_l.neg").alias("leader")), "key").filter("id <> leader")
+    while True:
+        leaders = rows.groupBy("key").agg(F.max(F.struct("rank", F.negative("id").alias("neg"))).alias("_l"),
+                                          F.count("*").alias("_n")).filter("_n > 1")
+        starred = materialize(rows.join(leaders.select("key", F.negative("_l.neg").alias("leader")), "key")
+                              .filter("id <> leader"), "starred")
+        if starred.isEmpty():
+            break
         pairs = starred.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         both = pairs.join(prints.select(F.col("id").alias("a"), F.col("print").alias("_pa")), "a").join(
             prints.select(F.col("id").alias("b"), F.col("print").alias("_pb")), "b")
@@ -183,12 +188,9 @@ def links(sketched: DataFrame, prints_of: Callable[[DataFrame], DataFrame]) -> D
         matched = verified.select(F.explode(F.array(
             F.struct(F.col("a").alias("id"), F.col("b").alias("leader")),
             F.struct(F.col("b").alias("id"), F.col("a").alias("leader")))).alias("_m")).select("_m.*")
-        left = _open_buckets(starred.join(matched, ["id", "leader"], "left_anti").select("key", "id", "rank"))
-        if turn == 0:
-            left = _open_buckets(_finer(left, sketched, FINER, by_key=False))
-        elif turn > 1:  # keys still shared by texts that do not match: one more sketch, chosen two ways
-            left = _open_buckets(_finer(left, sketched, (((3 * turn) % SKETCHES,), ((5 * turn + 1) % SKETCHES,)), by_key=True))
-        rows = materialize(left, "open")
+        left = materialize(starred.join(matched, ["id", "leader"], "left_anti").select("key", "id", "rank"), "left")
+        # the second round takes finer keys and the third the same again; later ones divide what is still shared
+        rows = _finer(left, sketched) if turn == 0 else left if turn == 1 else _longer(left, sketched, turn)
         turn += 1
     empty = sketched.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
     for part in found:
@@ -204,18 +206,19 @@ def components(edges: DataFrame) -> DataFrame:
     """
     links_ = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                          .filter("u <> v").distinct(), "edges")
+    state = None
     while True:
         both = links_.union(links_.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("_v")).select("u", F.least("u", "_v").alias("low"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        large = materialize(large, "edges")
         low = large.groupBy("u").agg(F.min("v").alias("low"))
-        near = large.join(low, "u")
-        small = near.filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).union(
+        small = large.join(low, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).union(
             low.select("u", F.col("low").alias("v"))).distinct()
-        after = materialize(small, "edges")
-        if after.count() == links_.count() and after.exceptAll(links_).isEmpty():
+        links_ = materialize(small, "edges")
+        before, state = state, links_.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v"))).first()
+        if state == before:
             break
-        links_ = after
     return links_.select(F.col("u").alias("id"), F.col("v").alias("class"))
 
 
