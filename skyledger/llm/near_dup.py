@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 from .common import prepare
@@ -122,17 +123,17 @@ def distinct(hashes: np.ndarray) -> np.ndarray:
     return hashes[np.sort(np.unique(hashes, return_index=True)[1])]
 
 
-@F.arrow_udf("array<bigint>")
+@F.arrow_udf(T.ArrayType(T.LongType()))
 def _sketched(texts: pa.Array) -> pa.Array:
     return pa.array([sketches(shingles(t)) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _shingled(texts: pa.Array) -> pa.Array:
     return pa.array([distinct(shingles(t)).tobytes() for t in texts.to_pylist()], pa.binary())
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _compared(left: pa.Array, right: pa.Array) -> pa.Array:
     pairs = zip(left.to_pylist(), right.to_pylist())
     return pa.array([aligned(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in pairs], pa.float64())
