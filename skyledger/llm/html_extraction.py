@@ -75,7 +75,8 @@ class Page:
             if name == "body":
                 head = 0
             if token.group(1):
-                links, _ = self._close(stack, name, links)
+                links, closed = self._close(stack, name, links)
+                self._run += name == "p" and not closed  # stands for an empty paragraph
             elif name in _VOID:
                 if name == "br":
                     self.texts.append((stack[-1][1], " ", False, self._run))

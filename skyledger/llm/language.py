@@ -109,13 +109,13 @@ class Scorer(dict):
     def __init__(self, held: dict):
         super().__init__()
         self.langs, self.used = held["langs"], 0
-        totals = np.maximum(np.array(held["totals"], float), 1)
-        counts = np.array(list(held["words"].values()), float).reshape(-1, len(self.langs))
+        totals = np.maximum(np.array(held["totals"] or [0], float), 1)
+        counts = np.array(list(held["words"].values()), float).reshape(-1, max(len(self.langs), 1))
         self.known = {word: i for i, word in enumerate(held["words"])}
         self.known_scores = np.log((counts + 0.1) / totals)
         # probability of the last character of an n-gram after the others, one row per n-gram
         grams, self.grams = held["grams"], {gram: i for i, gram in enumerate(held["grams"])}
-        after = np.array(list(grams.values()), float).reshape(-1, len(self.langs))
+        after = np.array(list(grams.values()), float).reshape(-1, max(len(self.langs), 1))
         before = np.array([grams[g[:-1]] if g[:-1] in grams else totals for g in grams], float).reshape(after.shape)
         self.gram_scores = np.log((after + 0.1) / (np.maximum(before, after) + 1))
         self.scores = np.zeros((1024, len(self.langs)))

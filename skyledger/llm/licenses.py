@@ -9,6 +9,7 @@ it is column expressions over one row: no join, no shuffle and no Python.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -88,7 +89,7 @@ def bigrams(text: str) -> list[str]:
 
 def size_bounds(size: int, dice: float = DICE) -> tuple[int, int]:
     """Fewest and most bigrams that a part may have to reach the coefficient with a template of ``size``."""
-    return -int(-dice * size // (2 - dice)), int((2 - dice) * size / dice)
+    return math.ceil(dice * size / (2 - dice) - 1e-9), math.floor((2 - dice) * size / dice + 1e-9)
 
 
 def templates() -> list[tuple[str, int, list[str]]]:

@@ -29,8 +29,8 @@ from .labels import labelled_sample
 
 LABELLED = 10_000  # at most so many labelled documents are examples
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
-LEAST_EXAMPLES = 8  # a term of fewer examples is chance
-ASSOCIATION, EFFECT = 4.0, 2.0
+LEAST_EXAMPLES = 5  # a term of fewer examples is chance
+ASSOCIATION, EFFECT = 3.0, 1.5
 CALIBRATED = 2_000  # examples whose votes from the others teach the probabilities
 NEIGHBOURS, BLOCK = 15, 256
 SHRINK = 0.5  # similarity that the vote of texts without a neighbour counts as
