@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 from array import array
+from functools import cached_property
 
 import ahocorasick
 import pyarrow as pa
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import prepare, worker_state
 
-CACHED_PIECES = 400_000  # pieces kept per Python worker; the memo starts anew when full
-CACHED_PAIRS = 400_000
+CACHED_PIECES = 150_000  # pieces kept per Python worker; the memo starts anew when full
+CACHED_PAIRS = 150_000
 CACHED_LENGTH = 64
 
 
@@ -52,13 +53,18 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.automaton = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
-        self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, bytes] = {}
 
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Finds every token; made by the first text, as decoding does without."""
+        found = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            found.add_word(token.decode("latin-1"), (rank, len(token)))
+        found.make_automaton()
+        return found
+
     def compatible(self, left: int, right: int) -> bool:
         known = self.pairs.get((left, right))
         if known is None:

@@ -26,7 +26,7 @@ from .common import prepare, worker_state
 MIN_SHARE = 1e-5
 ORDER = 4
 COUNTED_WORDS = 200_000  # distinct words a task holds before it hands on its counts
-CACHED_WORDS = 400_000  # words a Python worker remembers the scores of
+CACHED_WORDS = 200_000  # words a Python worker remembers the scores of
 LEAST_SCORE = -60.0
 UNDETERMINED = "und"
 

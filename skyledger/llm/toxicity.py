@@ -34,8 +34,8 @@ ASSOCIATION, EFFECT = 3.0, 1.5
 CALIBRATED = 2_000  # examples whose votes from the others teach the probabilities
 NEIGHBOURS, BLOCK = 15, 256
 SHRINK = 0.5  # similarity that the vote of texts without a neighbour counts as
-CACHED_WORDS = 400_000
-COUNTED_TERMS = 300_000
+CACHED_WORDS = 150_000
+COUNTED_TERMS = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 EVIDENCE = "array<struct<doc_id: bigint, similarity: double, label: int>>"
@@ -77,10 +77,10 @@ class Terms(dict):
         super().__init__()
         self.numbers = numbers
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        found = self[word] = [n for t in word_terms(word) if (n := self.numbers.get(t)) is not None]
+        found = self[word] = tuple(n for t in word_terms(word) if (n := self.numbers.get(t)) is not None)
         return found
 
     def counts(self, text: str | None) -> Counter:
