@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +10,6 @@ from ..functions.scalars import item_label
 from ..session import materialize
 from .ordered import quantiles
 
-MAX_SUBSET_ITEMS = 10
-
 
 class NotEnoughData(ValueError):
     """The input has fewer rows than the operator needs."""
@@ -30,6 +29,8 @@ def bin_edges(df: DataFrame, columns: list[str], n: int = 3) -> dict[str, tuple[
     probs = [i / n for i in range(n + 1)] + [0.5]
     labels = {2: ["low", "high"], 3: ["low", "medium", "high"]}.get(n, [f"bin_{i + 1}" for i in range(n)])
     out = {}
+    if not present:
+        return out
     for row in quantiles(df, present, probs).collect():
         if row["n"] < n:
             continue
@@ -79,31 +80,20 @@ def _subsets(items: str, first: int, last: str) -> Column:
 def frequent_itemsets(baskets: DataFrame, min_support: float = 0.05) -> DataFrame:
     """(items, n, support) of itemsets with at least ``min_support``.
 
-    Equal baskets are counted once and only the distinct ones are unfolded into
-    subsets. Wide baskets, whose subsets would not fit, go to FP-growth.
+    FP-growth is asked for one basket less than that, because it rounds the count up after a floating-point product;
+    the exact comparison follows.
     """
-    distinct = materialize(baskets.groupBy("items").agg(F.count("*").alias("n")), "baskets")
-    sizes = distinct.agg(F.sum("n"), F.max(F.size("items"))).first()
-    total, widest = sizes[0] or 0, sizes[1] or 0
-    if widest > MAX_SUBSET_ITEMS:
-        return _fp_growth(baskets, total, min_support)
-    unfolded = distinct.filter(F.size("items") > 0).select("n", _subsets("items", 1, "shiftleft(1, size(items)) - 1").alias("s"))
+    known = materialize(baskets.select(F.array_distinct("items").alias("items")), "baskets")
+    total = known.count()
+    least = max(0.0, (min_support * total - 1) / max(total, 1))
+    found = FPGrowth(itemsCol="items", minSupport=least).fit(known).freqItemsets
     return (
-        unfolded.groupBy(F.col("s.picked").alias("items")).agg(F.sum("n").alias("n"))
-        .withColumn("support", F.col("n") / F.lit(float(total)))
+        found.select(F.array_sort("items").alias("items"), F.col("freq").alias("n"),
+                     (F.col("freq") / F.lit(float(total))).alias("support"))
         .filter(F.col("support") >= min_support)
     )
 
 
-def _fp_growth(baskets: DataFrame, total: int, min_support: float) -> DataFrame:
-    from pyspark.ml.fpm import FPGrowth
-
-    found = FPGrowth(itemsCol="items", minSupport=min_support).fit(baskets.select("items")).freqItemsets
-    return found.select(
-        F.array_sort("items").alias("items"), F.col("freq").alias("n"), (F.col("freq") / float(total)).alias("support")
-    )
-
-
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.5) -> DataFrame:
     """Rules from every antecedent/consequent split, with all metrics.
 

@@ -53,15 +53,17 @@ def max_gap(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """Count, mean and longest gap in seconds between neighbouring times of a group.
 
     The mean telescopes to (last - first) / (n - 1); the longest gap is the
-    larger of those inside ranges and those between a range and the next.
+    larger of those inside ranges and those between a range and the next. Rows
+    of one instant are counted first: a clock that stands still is one row.
     """
-    chunked = ordered_chunks(df.select(*keys, F.unix_micros(ts).alias("_s")), keys + ["_s"])
+    instants = df.select(*keys, F.unix_micros(ts).alias("_s")).groupBy(*keys, "_s").agg(F.count("*").alias("_c"))
+    chunked = ordered_chunks(instants, keys + ["_s"])
     step = F.col("_s") - F.lag("_s").over(Window.partitionBy(*keys, CHUNK).orderBy("_s"))
     per_range = (
         chunked.withColumn("_g", step)
         .groupBy(*keys, CHUNK)
-        .agg(F.count("*").alias("_n"), F.min("_s").alias("_first"), F.max("_s").alias("_last"),
-             F.max("_g").alias("_g"))
+        .agg(F.sum("_c").alias("_n"), F.min("_s").alias("_first"), F.max("_s").alias("_last"),
+             F.max(F.when(F.col("_c") > 1, F.greatest("_g", F.lit(0))).otherwise(F.col("_g"))).alias("_g"))
     )
     previous = F.lag("_last").over(Window.partitionBy(*keys).orderBy(CHUNK))
     return (
@@ -91,8 +93,6 @@ def ranked_values(df: DataFrame, columns: list[str]) -> DataFrame:
     return running_before(value_counts(df, columns), ["column"], ["value"], F.col("n"), "before")
 
 
-# Below this many values sorting them all is cheaper than a second scan.
-BRACKET_ROWS = 200_000
 _ACCURACY = 10_000
 _MARGIN = 5.0 / _ACCURACY  # the sketch is within 1 / accuracy of the true rank
 
@@ -102,7 +102,8 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFram
 
     A sketch brackets each quantile, a second scan counts what lies below each
     bracket and keeps only the values inside (about a thousandth of the rows),
-    and the exact value is picked among those. Small tables are ranked whole.
+    and the exact value is picked among those. Should a bracket miss its rank,
+    all values are ranked.
     """
     aggs = []
     for c in columns:
@@ -111,11 +112,8 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFram
         aggs += [F.count(value).alias(f"{c}|n"), F.percentile_approx(value, sides, _ACCURACY).alias(f"{c}|b")]
     sketch = df.agg(*aggs).first()
     totals = {c: sketch[f"{c}|n"] for c in columns}
-    if max(totals.values()) >= BRACKET_ROWS:
-        found = _bracketed(df, columns, probs, totals, {c: sketch[f"{c}|b"] for c in columns})
-        if found is not None:
-            return found
-    return quantiles_of(ranked_values(df, columns), probs)
+    found = _bracketed(df, columns, probs, totals, {c: sketch[f"{c}|b"] for c in columns})
+    return quantiles_of(ranked_values(df, columns), probs) if found is None else found
 
 
 def _bracketed(df: DataFrame, columns: list[str], probs: list[float], totals: dict[str, int],
@@ -124,6 +122,9 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], totals: di
     brackets = {
         (c, i): (sides[c][2 * i], sides[c][2 * i + 1]) for c in columns if totals[c] for i in range(len(probs))
     }
+    schema = "column string, n long, " + ", ".join(f"q{i} double" for i in range(len(probs)))
+    if not brackets:
+        return df.sparkSession.createDataFrame([], schema)
     inside = F.array_compact(F.array(*[
         F.when(F.col(c).cast("double").between(lo, hi),
                F.struct(F.lit(f"{c}|{i}").alias("slot"), F.col(c).cast("double").alias("value")))
@@ -154,7 +155,6 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], totals: di
             position = p * (totals[c] - 1)
             row.append(None if lo is None else lo + (hi - lo) * (position - math.floor(position)))
         rows.append(tuple(row))
-    schema = "column string, n long, " + ", ".join(f"q{i} double" for i in range(len(probs)))
     return spark.createDataFrame([r for r in rows if r[1]], schema)
 
 

@@ -9,7 +9,6 @@ from ..functions.scalars import banded
 from .aggregates import aggregate_window
 from .filters import last
 
-GROUP_LIMIT = 1000  # Spark's own bound for limiting a group before the shuffle
 SALTS = 64
 
 # Lower bound and label, worst first (fixed values of the stat panels).
@@ -53,17 +52,14 @@ def limit_per_series(points: DataFrame, n: int, keys: list[str]) -> DataFrame:
 def _first_rows(df: DataFrame, n: int, keys: list[str], order: list[Column]) -> DataFrame:
     """The first ``n`` rows per group.
 
-    Spark limits each group inside the map task as well (a window group limit),
-    so a group with many rows sends at most ``n`` per task to the shuffle. It
-    does so only for small ``n``; beyond, salted parts of a group are limited first.
+    Salted parts of a group are limited first, so no task sorts a whole group.
+    Spark also limits each part inside the map task (a window group limit).
     """
     def limited(rows: DataFrame, by: list) -> DataFrame:
         numbered = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
         return numbered.filter(F.col("_rn") <= n).drop("_rn")
 
-    if n > GROUP_LIMIT:
-        df = limited(df, [*keys, F.pmod(F.xxhash64("event_id"), F.lit(SALTS))])
-    return limited(df, keys)
+    return limited(limited(df, [*keys, F.pmod(F.xxhash64("ts", "event_id"), F.lit(SALTS))]), keys)
 
 
 def timed_moving_average(series: DataFrame, every: str, period: str, keys: list[str], value: str = "value") -> DataFrame:
@@ -116,8 +112,9 @@ def sort_time(df: DataFrame) -> DataFrame:
     return df.orderBy("ts", "event_id")
 
 
-def recent(df: DataFrame, n: int) -> DataFrame:
-    return df.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
+def recent(df: DataFrame, n: int, *ties: str) -> DataFrame:
+    """The newest ``n`` rows overall; ``ties`` order rows of one event."""
+    return df.orderBy(F.desc("ts"), F.desc("event_id"), *ties).limit(n)
 
 
 def top_k(df: DataFrame, k: int, *order) -> DataFrame:

@@ -61,6 +61,24 @@ def _(t: Tables) -> DataFrame:
     return mining.frequent_itemsets(_baskets(t)).withColumn("items", F.array_join("items", ","))
 
 
+# Twelve items a row, so that baskets are wider than any list of columns.
+_WIDE_ITEMS = [f"concat('k{k}_', cast((l_orderkey * 7 + l_partkey * {k} + l_linenumber) % {k} as {{text}}))" for k in range(3, 15)]
+
+
+@query("j03_itemsets_wide", (
+    f"WITH baskets AS (SELECT row_number() OVER () AS b, [{', '.join(i.format(text='varchar') for i in _WIDE_ITEMS)}] AS items FROM lineitem), "
+    "each AS (SELECT b, unnest(items) AS item FROM baskets), total AS (SELECT count(*) AS n FROM baskets), "
+    "sets AS (SELECT item AS items, count(*) AS n FROM each GROUP BY 1 UNION ALL "
+    "SELECT x.item || ',' || y.item, count(*) FROM each x JOIN each y ON x.b = y.b AND x.item < y.item GROUP BY 1) "
+    "SELECT sets.items, sets.n, sets.n / total.n AS support FROM sets, total WHERE sets.n / total.n >= 0.08"
+), "support", 9)
+def _(t: Tables) -> DataFrame:
+    """Itemsets of one and two items among baskets of twelve."""
+    items = F.array(*[F.expr(i.format(text="string")) for i in _WIDE_ITEMS])
+    sets = mining.frequent_itemsets(t.raw("lineitem").select(items.alias("items")), 0.08)
+    return sets.filter(F.size("items") <= 2).withColumn("items", F.array_join("items", ","))
+
+
 def _part(a: str, z: str) -> str:
     return " AND ".join(f"({a}.{c} IS NULL OR {a}.{c} IS NOT DISTINCT FROM {z}.{c})" for c in "thp")
 

@@ -110,6 +110,26 @@ def _(t: Tables) -> DataFrame:
     return stored.select("measurement", "mac", "data_format", "field", "ts", "value")
 
 
+_ERROR_FIELDS = ("temp_abs_error", "temp_signed_error", "pressure_abs_error", "pressure_signed_error", "humidity_abs_error",
+                 "humidity_signed_error")
+
+
+@query("a05_write_errors", with_views(
+    "forecast_errors",
+    " UNION ALL ".join(
+        "SELECT 'forecast_errors' AS measurement, source, cast(horizon_hours AS VARCHAR) AS horizon, "
+        f"'{f}' AS field, ts, {f} AS value FROM forecast_errors WHERE {f} IS NOT NULL" for f in _ERROR_FIELDS
+    ),
+), "value")
+def _(t: Tables) -> DataFrame:
+    """Error points in the same kind of table, half of them written twice."""
+    path = scratch_path(t.spark, "error-points")
+    stored = points.errors_to_points(t.forecast_errors).withColumn("run", F.lit(1))
+    for part in (stored, stored.filter("cast(horizon AS INT) % 2 = 0")):
+        points.upsert_points(part, path, points.ERROR_TAGS, "run")
+    return t.spark.read.parquet(path).select("measurement", "source", "horizon", "field", "ts", "value")
+
+
 @query("a07_export_json", with_views(
     "sensors",
     "SELECT 'record_count' AS item, count(*) AS n FROM events UNION ALL SELECT 'data_lines', count(*) FROM events UNION ALL "
@@ -127,12 +147,13 @@ def _(t: Tables) -> DataFrame:
     return out
 
 
-@query("a08_export_csv", with_views("readings", "SELECT cast(event_id AS VARCHAR) AS event_id, mac, "
-       "cast(rssi AS VARCHAR) AS rssi FROM readings"))
+@query("a08_export_csv", with_views("readings", "SELECT * FROM readings"))
 def _(t: Tables) -> DataFrame:
+    """Every column comes back as it went out."""
     path = scratch_path(t.spark, "csv")
     files.export_csv(t.readings, path)
-    return files.import_csv(t.spark, path, t.readings.columns).select("event_id", "mac", "rssi")
+    back = files.import_csv(t.spark, path, t.readings.columns)
+    return back.select(*[F.col(c).cast(kind).alias(c) for c, kind in t.readings.dtypes])
 
 
 @query("a09_export_line_protocol", with_views(
@@ -216,11 +237,11 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("a13_read_annotated_csv", with_views(
-    "points", "SELECT mac, measurement, field, ts, value FROM points WHERE measurement = 'environmental'"
+    "points", "SELECT mac, measurement, field, ts, value FROM points"
 ))
 def _(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "annotated")
-    files.write_annotated_csv(t.points.filter("measurement = 'environmental'"), path, RANGE_START, RANGE_STOP)
+    files.write_annotated_csv(t.points, path, RANGE_START, RANGE_STOP)
     return files.read_annotated_csv(t.spark, path).select(
         "mac", F.col("_measurement").alias("measurement"), F.col("_field").alias("field"),
         F.col("_time").cast("timestamp").alias("ts"), F.col("_value").cast("double").alias("value"),
@@ -369,6 +390,15 @@ def _(t: Tables) -> DataFrame:
     return frames.reassemble(t.chunks).withColumn("payload", F.hex("payload"))
 
 
+@query("b07_rejected_chunks", with_views(
+    "chunks",
+    "SELECT transfer_id, CASE WHEN wide < 0 THEN 'negative id' ELSE 'id too large' END AS reason, count(*) AS n FROM "
+    "(SELECT *, chunk_id * 20000 - 30000 AS wide FROM chunks) WHERE wide < 0 OR wide > 65535 GROUP BY ALL",
+))
+def _(t: Tables) -> DataFrame:
+    return frames.rejected_chunks(t.chunks.withColumn("chunk_id", F.expr("chunk_id * 20000 - 30000")))
+
+
 @query("b08_transfer_progress", with_views(
     "chunks",
     "SELECT transfer_id, count(*) AS received_chunks, max(total) AS total_chunks, count(*) * 100.0e0 / max(total) AS "

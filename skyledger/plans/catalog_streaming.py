@@ -29,7 +29,11 @@ def _bucket(every: str) -> str:
     return f"time_bucket(interval '{every}', ts, timestamp '1970-01-01') + interval '{every}'"
 
 
-@query("a06_stream_points", with_views("points", f"SELECT {POINT_COLUMNS} FROM points"))
+@query("a06_stream_points", with_views(
+    "points",
+    f"SELECT {POINT_COLUMNS.replace('ts', 'second AS ts')} FROM (SELECT *, date_trunc('second', ts) AS second FROM points) QUALIFY "
+    "row_number() OVER (PARTITION BY measurement, mac, data_format, field, second ORDER BY event_id DESC) = 1",
+))
 def _(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "stream-points")
     live.stream_points(t.stream_readings, f"{path}/data", f"{path}/checkpoint", None).awaitTermination()
@@ -108,12 +112,16 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("h08_stream_dedupe", with_views(
-    "readings", "SELECT DISTINCT mac, measurement_sequence FROM readings WHERE measurement_sequence IS NOT NULL"
+    "readings",
+    "SELECT DISTINCT mac, measurement_sequence FROM readings WHERE measurement_sequence IS NOT NULL UNION ALL "
+    "SELECT mac, NULL FROM (SELECT DISTINCT mac, ts, temperature, humidity, pressure, battery_voltage FROM readings "
+    "WHERE measurement_sequence IS NULL)",
 ))
 def _(t: Tables) -> DataFrame:
-    """Every reading is advertised three times, a second apart."""
+    """Every reading is advertised three times: a second apart if it is numbered, at the same time if not."""
     repeated = t.stream_readings.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    repeated = repeated.withColumn("ts", F.timestamp_add("SECOND", F.col("again"), F.col("ts"))).drop("again")
+    repeated = repeated.withColumn("ts", F.when(F.col("measurement_sequence").isNull(), F.col("ts")).otherwise(
+        F.timestamp_add("SECOND", F.col("again"), F.col("ts")))).drop("again")
     once = live.run_to_table(live.stream_dedupe(repeated), "dedupe")
     return once.select("mac", "measurement_sequence")
 
@@ -133,9 +141,10 @@ def _(t: Tables) -> DataFrame:
     "row_number() OVER (PARTITION BY measurement, mac, data_format, field, date_trunc('second', ts) ORDER BY event_id DESC) = 1",
 ))
 def _(t: Tables) -> DataFrame:
-    """A third of the history arrives late, twice."""
+    """The live path begins the table; a third of the history arrives late, twice."""
     path = scratch_path(t.spark, "backfill")
-    points.write_points(t.points.filter("event_id % 3 <> 0"), path)
+    live.stream_points(t.stream_readings.filter("event_id % 3 <> 0"), path, scratch_path(t.spark, "backfill-checkpoint"),
+                       None).awaitTermination()
     for _ in range(2):
         live.backfill(t.readings.filter("event_id % 3 = 0"), path)
     return t.spark.read.parquet(path).select("measurement", "mac", "data_format", "field", "ts", "value")
@@ -162,7 +171,7 @@ def _(t: Tables) -> DataFrame:
 @query("i02_progress_log", "SELECT count(*) AS points FROM events")
 def _(t: Tables) -> DataFrame:
     """Progress of a run as an operation-metric table."""
-    progress = extend.ProgressLog()
+    progress = extend.ProgressLog(t.spark, scratch_path(t.spark, "progress-log"))
     t.spark.streams.addListener(progress)
     try:
         live.run_to_table(t.stream_readings, "progress")
@@ -171,7 +180,7 @@ def _(t: Tables) -> DataFrame:
             time.sleep(0.1)
     finally:
         t.spark.streams.removeListener(progress)
-    return progress.table(t.spark).agg(F.sum("points").alias("points"))
+    return progress.table().agg(F.sum("points").alias("points"))
 
 
 @query("i03_map_columns", with_views("errors_long", "SELECT ts, metric, horizon_hours, source, signed_error * signed_error AS squared "

@@ -649,10 +649,10 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("f07_recent", with_views(
-    "points", "SELECT ts, event_id, mac, field, value FROM points WHERE field = 'rssi' ORDER BY ts DESC, event_id DESC LIMIT 50"
+    "points", "SELECT ts, event_id, mac, field, value FROM points ORDER BY ts DESC, event_id DESC, field LIMIT 50"
 ))
 def _(t: Tables) -> DataFrame:
-    return windows.recent(t.points.filter("field = 'rssi'"), 50).select("ts", "event_id", "mac", "field", "value")
+    return windows.recent(t.points, 50, "field").select("ts", "event_id", "mac", "field", "value")
 
 
 @query("f08_limit_per_series", with_views(

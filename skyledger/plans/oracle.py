@@ -53,8 +53,8 @@ CTES = {
     "sensors": _select(v.SENSORS, "customer"),
     "env_wide": _select(v.ENV_WIDE, "lineitem"),
     "op_metrics": _select(v.OP_METRICS, "events"),
-    "chunks": "SELECT * FROM (" + _select({**v.CHUNKS, "payload": "lpad(hex(l_partkey), 8, '0')"}, "lineitem")
-    + ") WHERE chunk_id <= total",
+    "chunks": "SELECT *, max(chunk_id) OVER (PARTITION BY transfer_id) AS total FROM ("
+    + _select({**v.CHUNKS, "payload": "lpad(hex(l_partkey), 8, '0')"}, "lineitem") + ")",
     "frame_ints": _select(v.FRAME_INTS, "events"),
 }
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,8 +72,43 @@ def _app_folder(spark: SparkSession) -> str:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application; results read from them must be consumed first."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    delete_path(spark, _app_folder(spark))
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a table; nothing happens if there is none."""
+    folder, files = _folder(spark, path)
+    files.delete(folder, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    folder, files = _folder(spark, path)
+    return bool(files.exists(folder))
+
+
+def drop_partitions(spark: SparkSession, path: str, column: str, unwanted: Callable[[str], bool]) -> int:
+    """Delete the ``column=value`` folders, at any depth, whose value is unwanted; how many went."""
+    folder, files = _folder(spark, path)
+    if not files.exists(folder):
+        return 0
+    gone = 0
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if not status.isDirectory() or "=" not in name:
+            continue
+        key, _, value = name.partition("=")
+        if key == column:
+            if unwanted(value):
+                files.delete(status.getPath(), True)
+                gone += 1
+        else:
+            gone += drop_partitions(spark, status.getPath().toString(), column, unwanted)
+    return gone
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

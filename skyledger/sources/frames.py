@@ -216,6 +216,15 @@ def _received(chunks: DataFrame) -> DataFrame:
     )
 
 
+def rejected_chunks(chunks: DataFrame) -> DataFrame:
+    """``transfer_id, reason, n``: chunks left out because their id does not fit the 16-bit field."""
+    outside = F.when(F.col("chunk_id").isNull(), "missing id").when(F.col("chunk_id") < 0, "negative id").otherwise("id too large")
+    return (
+        chunks.filter(F.col("chunk_id").isNull() | ~F.col("chunk_id").between(0, MAX_CHUNK_ID))
+        .groupBy("transfer_id", outside.alias("reason")).agg(F.count("*").alias("n"))
+    )
+
+
 def reassemble(chunks: DataFrame) -> DataFrame:
     """Whole payload per complete transfer.
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import parse_iso, tag_map, tag_value
 from ..schemas import ERROR_FIELDS, FIELD_MEASUREMENT, FORECAST_FIELDS
-from ..session import materialize
+from ..session import drop_partitions, materialize, path_exists
 
 READING_KEYS = ["event_id", "mac", "data_format", "ts"]
 
@@ -120,14 +120,21 @@ def dedupe_points(points: DataFrame, tags: list[str] = ("mac", "data_format"), l
     )
 
 
-def write_points(points: DataFrame, path: str, mode: str = "overwrite") -> None:
+READING_TAGS, FORECAST_TAGS, ERROR_TAGS = ("mac", "data_format"), ("source", "data_type", "horizon"), ("source", "horizon")
+
+
+def write_points(points: DataFrame, path: str, mode: str = "overwrite", tags: tuple[str, ...] = READING_TAGS,
+                 later: str = "event_id") -> None:
     """Store de-duplicated points by measurement and day.
 
     With dynamic partition overwrite only the days present in the batch are
     replaced: writing the same batch twice leaves the same table. The rebalance
     hint clusters rows by day and lets AQE split a busy day and merge quiet ones.
+    ``tags`` name the columns that with the measurement, field and second identify
+    a point (readings, forecasts and errors each have theirs); of two points the one
+    larger in ``later`` stays.
     """
-    day = dedupe_points(points).withColumn("date", F.to_date("ts"))
+    day = dedupe_points(points, list(tags), later).withColumn("date", F.to_date("ts"))
     (
         day.hint("rebalance", "measurement", "date")
         .write.mode(mode).option("partitionOverwriteMode", "dynamic")
@@ -136,18 +143,23 @@ def write_points(points: DataFrame, path: str, mode: str = "overwrite") -> None:
     )
 
 
-def upsert_points(points: DataFrame, path: str) -> None:
+def upsert_points(points: DataFrame, path: str, tags: tuple[str, ...] = READING_TAGS, later: str = "event_id") -> None:
     """Merge a batch (for instance late history) into stored points, touching only its days.
 
     The days come back to the driver (a calendar is short), so the stored table
-    is read by partition and the rest of it is not opened.
+    is read by partition and the rest of it is not opened. A table that does not
+    exist yet is begun.
     """
     spark = points.sparkSession
+    if not path_exists(spark, path):
+        return write_points(points, path, tags=tags, later=later)
     days = [r["date"] for r in points.select(F.to_date("ts").alias("date")).distinct().collect()]
-    columns = ["measurement", "mac", "data_format", "field", "ts", "value", "event_id"]
-    touched = spark.read.parquet(path).filter(F.col("date").isin(days)).select(*columns)
-    merged = materialize(touched.unionByName(dedupe_points(points).select(*columns)), "upsert")
-    write_points(merged, path)
+    columns = ["measurement", *tags, "field", "ts", "value", later]
+    fresh = dedupe_points(points, list(tags), later)
+    schema = fresh.withColumn("date", F.to_date("ts")).schema  # the table may have no rows yet
+    touched = spark.read.schema(schema).parquet(path).filter(F.col("date").isin(days)).select(*columns)
+    merged = materialize(touched.unionByName(fresh.select(*columns)), "upsert")
+    write_points(merged, path, tags=tags, later=later)
 
 
 def apply_retention(points: DataFrame, days: int, now: str | datetime) -> DataFrame:
@@ -155,3 +167,20 @@ def apply_retention(points: DataFrame, days: int, now: str | datetime) -> DataFr
     edge = F.lit(str(now)).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS")
     kept = points.filter(F.col("ts") >= edge)
     return kept.filter(F.col("date") >= F.to_date(edge)) if "date" in points.columns else kept
+
+
+def delete_expired(spark: SparkSession, path: str, days: int, now: str | datetime, tags: tuple[str, ...] = READING_TAGS,
+                   later: str = "event_id") -> int:
+    """Remove stored points older than ``days`` days for good; how many day folders went.
+
+    Days wholly before the edge are deleted unread, and the day of the edge is rewritten without its older points.
+    """
+    edge = F.lit(str(now)).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS")
+    border = str(spark.range(1).select(F.to_date(edge).alias("d")).first()["d"])
+    gone = drop_partitions(spark, path, "date", lambda day: day < border)
+    stored = spark.read.parquet(path).filter(F.col("date") == border)
+    kept = materialize(stored.filter(F.col("ts") >= edge).drop("date"), "border")
+    drop_partitions(spark, path, "date", lambda day: day == border)
+    if not kept.isEmpty():
+        write_points(kept, path, "append", tags, later)
+    return gone

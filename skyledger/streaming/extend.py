@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,11 +42,14 @@ class BatchCallbacks:
 
 
 class ProgressLog(StreamingQueryListener):
-    """Keeps query progress as operation-metric rows, the newest ``limit`` of them."""
+    """Query progress as operation-metric rows, appended to a table; only the last ``held`` rows wait on the driver."""
 
-    def __init__(self, limit: int = 10_000) -> None:
-        self.limit = limit
+    SCHEMA = "metric string, ts string, duration double, points long, late_rows long, success boolean"
+
+    def __init__(self, spark: SparkSession, path: str, held: int = 100) -> None:
+        self.spark, self.path, self.held = spark, path, held
         self.rows: list[tuple] = []
+        self._lock = threading.Lock()
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -63,11 +67,21 @@ class ProgressLog(StreamingQueryListener):
             self._add((str(event.id), None, 0.0, 0, 0, False))
 
     def _add(self, row: tuple) -> None:
-        self.rows = [*self.rows, row][-self.limit:]
-
-    def table(self, spark: SparkSession) -> DataFrame:
-        schema = "metric string, ts string, duration double, points long, late_rows long, success boolean"
-        return spark.createDataFrame(self.rows, schema).selectExpr(
+        with self._lock:
+            self.rows.append(row)
+            full = len(self.rows) >= self.held
+        if full:
+            self.flush()
+
+    def flush(self) -> None:
+        with self._lock:
+            rows, self.rows = self.rows, []
+        if rows:
+            self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+    def table(self) -> DataFrame:
+        self.flush()
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path).selectExpr(
             "metric", "cast(ts as timestamp) as ts", "duration", "points", "late_rows", "success"
         )
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.align import METRICS, align_run, forecast_errors, hourly_means
 from ..operators.filters import _instant
-from ..session import scratch_path
+from ..session import delete_path, drop_partitions, materialize, scratch_path
 from ..sources.frames import frames_to_readings
 from ..sources.points import readings_to_points, upsert_points
 
@@ -46,9 +46,14 @@ def run_to_table(stream: DataFrame, name: str, partition_by: list[str] = ()) ->
 
 
 def stream_points(readings: DataFrame, path: str, checkpoint: str, interval: str | None = FLUSH) -> StreamingQuery:
-    """Readings appended as points each flush interval; a failed batch is replayed from the checkpoint."""
-    points = readings_to_points(readings).withColumn("date", F.to_date("ts"))
-    return start_append(points, path, checkpoint, ["measurement", "date"], interval)
+    """Readings merged into the points table each flush interval.
+
+    The same idempotent writer serves the live path and the back-fill: a replayed batch changes nothing, and both may
+    touch the same days.
+    """
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    writer = readings_to_points(readings).writeStream.option("checkpointLocation", checkpoint).trigger(**trigger)
+    return writer.foreachBatch(lambda batch, _: upsert_points(batch, path)).start()
 
 
 def stream_ingest(frames: DataFrame) -> DataFrame:
@@ -64,11 +69,11 @@ def stream_latest(readings: DataFrame, interval: str = FLUSH) -> DataFrame:
     return windows.select("mac", F.col("window.end").alias("flush_ts"), "r.*")
 
 
-def stream_last_seen(readings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_last_seen(readings: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Last-seen time per sensor, saved per batch.
 
     Batch ``n`` merges version ``n - 1`` with its changes into version ``n``; a
-    replayed batch rewrites the same version from the same input.
+    replayed batch rewrites the same version from the same input. Versions before the last two are deleted.
     """
     spark = readings.sparkSession
     changed = readings.groupBy("mac").agg(F.max("ts").alias("last_seen"))
@@ -79,10 +84,13 @@ def stream_last_seen(readings: DataFrame, path: str, checkpoint: str) -> Streami
             previous = spark.read.schema(batch.schema).parquet(f"{path}/version={batch_id - 1}")
             merged = previous.unionByName(batch).groupBy("mac").agg(F.max("last_seen").alias("last_seen"))
         merged.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        if batch_id > 1:
+            delete_path(spark, f"{path}/version={batch_id - 2}")
 
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return (
         changed.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(save).start()
+        .trigger(**trigger).foreachBatch(save).start()
     )
 
 
@@ -161,9 +169,15 @@ def stream_silence(readings: DataFrame, gap: str = "5 minutes") -> DataFrame:
 
 
 def stream_dedupe(readings: DataFrame, within: str = WATERMARK) -> DataFrame:
-    """Repeated advertisements (same sensor and sequence number) pass once."""
-    numbered = readings.filter(F.col("measurement_sequence").isNotNull())
-    return numbered.withWatermark("ts", within).dropDuplicatesWithinWatermark(["mac", "measurement_sequence"])
+    """Repeated advertisements pass once: same sensor and sequence number.
+
+    A reading without a number (format 3 has none) is known by its time and values.
+    """
+    values = F.concat_ws("|", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), *[
+        F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("temperature", "humidity", "pressure", "battery_voltage")])
+    known = F.coalesce(F.col("measurement_sequence").cast("string"), values)
+    keyed = readings.withColumn("_reading", known).withWatermark("ts", within)
+    return keyed.dropDuplicatesWithinWatermark(["mac", "_reading"]).drop("_reading")
 
 
 def incremental_errors(readings: DataFrame, forecasts: DataFrame, now: str, horizons: list[int], path: str,
@@ -180,9 +194,11 @@ def incremental_errors(readings: DataFrame, forecasts: DataFrame, now: str, hori
     errors = forecast_errors(align_run(actual, predicted, horizons), ["source"]).withColumn(
         "date", F.to_date(F.col("ts") - F.expr("INTERVAL 1 SECOND"))
     )
-    (
-        errors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
-    )
+    # a recomputed day may have lost all its rows: what is stored of the look-back goes first
+    errors = materialize(errors, "errors")
+    first = readings.sparkSession.range(1).select(F.to_date(start).alias("d")).first()["d"]
+    drop_partitions(readings.sparkSession, path, "date", lambda day: str(first) <= day < str(now)[:10])
+    errors.write.mode("append").partitionBy("date").parquet(path)
     return readings.sparkSession.read.parquet(path)
 
 
@@ -191,8 +207,10 @@ def backfill(history: DataFrame, path: str) -> None:
     upsert_points(readings_to_points(history), path)
 
 
-def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str,
+                interval: str | None = None) -> StreamingQuery:
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return (
-        stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        stream.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger)
         .foreachBatch(handle).start()
     )

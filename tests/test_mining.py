@@ -60,10 +60,16 @@ def test_itemsets_and_all_rule_splits(baskets):
         assert r["support"] <= min(r["antecedent_support"], r["consequent_support"]) + 1e-12
 
 
-def test_wide_baskets_use_fp_growth(baskets, monkeypatch):
-    expected = {tuple(r["items"]): r["n"] for r in mining.frequent_itemsets(baskets, 0.05).collect()}
-    monkeypatch.setattr(mining, "MAX_SUBSET_ITEMS", 2)
-    assert {tuple(r["items"]): r["n"] for r in mining.frequent_itemsets(baskets, 0.05).collect()} == expected
+def test_support_exactly_at_the_threshold_of_wide_baskets(spark):
+    """0.07 * 100 is a little more than 7 in floating point; an itemset of count 7 still has support 0.07."""
+    rows = [([f"i{k:02d}" for k in range(12)] if i < 7 else [f"r{i}"],) for i in range(100)]
+    sets = mining.frequent_itemsets(spark.createDataFrame(rows, "items array<string>"), 0.07)
+    assert sets.count() == 2**12 - 1 and sets.agg(F.min("n"), F.max("n")).first() == (7, 7)
+
+
+def test_columns_that_are_absent_are_skipped(spark):
+    df = spark.createDataFrame([(1.0,)], "other double")
+    assert mining.discretize(df, ["temperature"]).columns == ["other"]
 
 
 def test_no_rule_above_threshold(baskets):

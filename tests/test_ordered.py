@@ -46,9 +46,7 @@ def test_null_is_a_group(spark):
     assert sorted((str(r["key"]), r["before"]) for r in got.collect()) == [("None", 0), ("None", 1), ("a", 0)]
 
 
-@pytest.mark.parametrize("limit", [1, 1000])
-def test_first_rows_of_a_hot_group(skewed, monkeypatch, limit):
-    monkeypatch.setattr(windows, "GROUP_LIMIT", limit)
+def test_first_rows_of_a_hot_group(skewed):
     df, pdf = skewed
     rows = df.withColumnsRenamed({"key": "mac", "pos": "event_id"}).withColumn("ts", F.timestamp_seconds("event_id"))
     got = windows.latest_n(rows, 5).toPandas().groupby("mac")["event_id"].apply(sorted)
@@ -62,9 +60,7 @@ def test_a_hot_group_is_split(skewed):
     assert len(sizes) > 1 and sizes.max() < 0.5 * sizes.sum()
 
 
-@pytest.mark.parametrize("bracket_rows", [1, 10**9])
-def test_quantiles(skewed, monkeypatch, bracket_rows):
-    monkeypatch.setattr(ordered, "BRACKET_ROWS", bracket_rows)
+def test_quantiles(skewed):
     df, pdf = skewed
     probs = [0.0, 0.05, 1 / 3, 0.5, 0.95, 1.0]
     row = ordered.quantiles(df, ["value"], probs).first()
@@ -73,20 +69,28 @@ def test_quantiles(skewed, monkeypatch, bracket_rows):
 
 def test_a_bracket_that_misses_falls_back(skewed, monkeypatch):
     """Brackets from a sketch that lies must not give a wrong value."""
-    monkeypatch.setattr(ordered, "BRACKET_ROWS", 1)
     monkeypatch.setattr(ordered, "_MARGIN", -0.2)
     df, pdf = skewed
     assert ordered.quantiles(df, ["value"], [0.5]).first()["q0"] == pdf.value.median()
 
 
-@pytest.mark.parametrize("bracket_rows", [1, 10**9])
-def test_quantiles_with_nulls_and_constant(spark, monkeypatch, bracket_rows):
-    monkeypatch.setattr(ordered, "BRACKET_ROWS", bracket_rows)
+def test_quantiles_with_nulls_and_constant(spark):
     df = spark.createDataFrame([(1.0, 2.0), (None, 2.0), (3.0, 2.0)], "a double, b double")
     rows = {r["column"]: (r["n"], r["q0"]) for r in ordered.quantiles(df, ["a", "b"], [0.5]).collect()}
     assert rows == {"a": (2, 2.0), "b": (3, 2.0)}
 
 
+def test_quantiles_of_nothing(spark):
+    assert ordered.quantiles(spark.createDataFrame([(None,)], "a double"), ["a"], [0.5]).count() == 0
+
+
+def test_an_instant_that_repeats_is_one_row(spark):
+    """A third of all rows at one instant of one sensor."""
+    df = spark.range(30_000).selectExpr("'m' AS mac", "timestamp_seconds(if(id % 3 = 0, 500, id)) AS ts")
+    row = ordered.max_gap(df, ["mac"]).first()
+    assert row["n"] == 30_000 and row["max_gap"] == 2.0
+
+
 def test_max_gap(spark):
     times = [0, 5, 6, 100, 40, 41]
     df = spark.createDataFrame([("m", t) for t in times] + [("single", 1)], "mac string, s int")

@@ -49,6 +49,19 @@ def test_filters_and_columns_reach_the_scan(spark, tables):
     assert "props" not in plan.split("ReadSchema")[1]
 
 
+def test_expired_points_are_deleted(spark, tables, tmp_path):
+    from skyledger.sources import points
+
+    path = str(tmp_path / "aging")
+    points.write_points(tables.points, path)
+    edge = "timestamp '2024-01-25 12:00:00'"
+    left = spark.read.parquet(path).filter(f"ts >= {edge}").count()
+    assert points.delete_expired(spark, path, 5, "2024-01-30 12:00:00") > 10
+    stored = spark.read.parquet(path)
+    assert stored.count() == left and stored.filter(f"ts < {edge}").isEmpty()
+    assert points.delete_expired(spark, path, 5, "2024-01-30 12:00:00") == 0 and spark.read.parquet(path).count() == left
+
+
 def test_stored_points_prune_partitions(spark, tables, tmp_path):
     from skyledger.sources import points
 

@@ -96,6 +96,32 @@ def test_late_rows_are_counted_and_backfilled(spark, landing, tmp_path):
     assert spark.read.parquet(table).filter("field = 'temperature'").count() == 3
 
 
+def test_live_writes_and_backfill_share_a_table(spark, landing, tmp_path):
+    table = str(tmp_path / "points")
+    rows = [(i, "a", 10 * i, i) for i in range(9)]
+    live.backfill(spark.createDataFrame([], "event_id long, mac string, ts timestamp, temperature double, data_format int"), table + "-none")
+    for part in (rows[:3], rows[3:6]):
+        land(spark, landing, part)
+        source = stream(spark, landing).withColumn("data_format", F.lit(5))
+        live.stream_points(source, table, str(tmp_path / "ckpt"), None).awaitTermination()
+        late = spark.read.schema(SCHEMA).parquet(landing).withColumn("data_format", F.lit(5))
+        live.backfill(late, table)
+    land(spark, landing, rows[6:])
+    for _ in range(2):
+        live.backfill(spark.read.schema(SCHEMA).parquet(landing).withColumn("data_format", F.lit(5)), table)
+    assert spark.read.parquet(table).filter("field = 'temperature'").count() == 9
+
+
+def test_readings_without_a_number_pass(spark, landing, tmp_path):
+    rows = [("a", 1, "00:00:01", 1.0), ("a", 1, "00:00:02", 1.0), ("a", None, "00:00:01", 1.0), ("a", None, "00:00:01", 1.0), ("a", None, "00:00:03", 1.0)]
+    df = spark.createDataFrame(rows, "mac string, measurement_sequence int, t string, temperature double").selectExpr(
+        "mac", "measurement_sequence", "cast('2024-01-01 ' || t as timestamp) ts", "temperature", "1.0D humidity", "1.0D pressure", "3.0D battery_voltage")
+    df.write.parquet(f"{landing}-numbers")
+    source = spark.readStream.schema(df.schema).parquet(f"{landing}-numbers")
+    out = drain(live.stream_dedupe(source), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    assert sorted((r["measurement_sequence"] or 0 for r in out.collect())) == [0, 0, 1]
+
+
 def test_moving_average_matches_batch(spark, landing, tmp_path):
     land(spark, landing, [(i, "a", 1800 * i, i) for i in range(48)])
     out = drain(live.stream_moving_average(stream(spark, landing), "3 hours"), str(tmp_path / "o"), str(tmp_path / "c"))
