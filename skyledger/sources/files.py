@@ -37,10 +37,10 @@ def import_json(spark: SparkSession, path: str, fields: list[str] = IMPORT_FIELD
     """Records, as text, of documents that hold a ``data`` array, a bare array or one record.
 
     A document is a line, or a file with ``whole_files``. Text that is none of
-    the three shapes yields nothing.
+    the three shapes yields no record; ``rejected_json`` tells which.
     """
     record = "struct<" + ",".join(f"{f}:string" for f in fields) + ">"
-    docs = spark.read.text(path, wholetext=whole_files).select(F.trim("value").alias("doc")).filter("doc <> ''")
+    docs = _json_documents(spark, path, whole_files).filter("reason is null")
     listed = F.from_json("doc", f"array<{record}>")
     wrapped = F.from_json("doc", f"struct<data:array<{record}>>")["data"]
     single = F.array(F.from_json("doc", record))
@@ -50,6 +50,18 @@ def import_json(spark: SparkSession, path: str, fields: list[str] = IMPORT_FIELD
     return docs.select(F.inline(rows))
 
 
+def _json_documents(spark: SparkSession, path: str, whole_files: bool) -> DataFrame:
+    docs = spark.read.text(path, wholetext=whole_files).select(F.trim("value").alias("doc")).filter("doc <> ''")
+    parsed = F.try_parse_json("doc")
+    other = ~F.substring("doc", 1, 1).isin("{", "[")
+    return docs.withColumn("reason", F.when(parsed.isNull(), "not JSON").when(other, "neither a record nor a list"))
+
+
+def rejected_json(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """``doc, reason`` of the documents that ``import_json`` cannot read."""
+    return _json_documents(spark, path, whole_files).filter("reason is not null")
+
+
 # --- CSV ---------------------------------------------------------------------
 
 def export_csv(df: DataFrame, path: str) -> None:
