@@ -111,6 +111,18 @@ def _(t: Tables) -> DataFrame:
     return live.run_to_table(live.stream_silence(t.stream_readings), "silence")
 
 
+@query("h07_silent_now", with_views(
+    "readings",
+    "SELECT * FROM (SELECT mac, max(ts) AS last_seen, max(ts) + interval '12 hours' AS alert_ts FROM readings GROUP BY mac) "
+    f"WHERE alert_ts <= timestamp '{NOW}'",
+))
+def _(t: Tables) -> DataFrame:
+    """The feed has ended; the saved last-seen table and the clock tell who is silent."""
+    path = scratch_path(t.spark, "silent")
+    live.stream_last_seen(t.stream_readings, f"{path}/data", f"{path}/checkpoint").awaitTermination()
+    return live.silent_now(live.last_seen_table(t.spark, f"{path}/data"), NOW, "12 hours")
+
+
 @query("h08_stream_dedupe", with_views(
     "readings",
     "SELECT DISTINCT mac, measurement_sequence FROM readings WHERE measurement_sequence IS NOT NULL UNION ALL "

@@ -168,6 +168,16 @@ def stream_silence(readings: DataFrame, gap: str = "5 minutes") -> DataFrame:
     return _silence_rows(marked.groupBy(F.session_window("ts", gap), "mac").agg(F.count("*").alias("readings")), gap)
 
 
+def silent_now(last_seen: DataFrame, now: str, gap: str = "5 minutes") -> DataFrame:
+    """Sensors whose last reading is at least ``gap`` before ``now``, from the saved last-seen table.
+
+    The live alert waits for the watermark, and so for a later reading of any sensor. This one depends on the clock
+    alone: run by a timer, it also tells that the whole feed has stopped.
+    """
+    alert = F.col("last_seen") + F.expr(f"INTERVAL {gap}")
+    return last_seen.select("mac", "last_seen", alert.alias("alert_ts")).filter(F.col("alert_ts") <= _instant(now))
+
+
 def stream_dedupe(readings: DataFrame, within: str = WATERMARK) -> DataFrame:
     """Repeated advertisements pass once: same sensor and sequence number.
 

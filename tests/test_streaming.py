@@ -67,6 +67,16 @@ def test_silence_is_reported_once_closed(spark, landing, tmp_path):
     assert sorted(tuple(r) for r in rows.collect()) == [("a", 200, 500, 2), ("a", 1000, 1300, 1)]
 
 
+def test_a_feed_that_stops_is_told(spark, landing, tmp_path):
+    """No reading follows the last one, so no watermark moves; the clock alone raises the alerts."""
+    land(spark, landing, [(1, "a", 0, 1), (2, "b", 200, 2)])
+    live.stream_last_seen(stream(spark, landing), str(tmp_path / "seen"), str(tmp_path / "ckpt")).awaitTermination()
+    seen = live.last_seen_table(spark, str(tmp_path / "seen"))
+    day = seen.selectExpr("date_format(max(last_seen), 'yyyy-MM-dd')").first()[0]
+    told = lambda clock: sorted(r["mac"] for r in live.silent_now(seen, f"{day} {clock}").collect())
+    assert told("00:04:00") == [] and told("00:05:00") == ["a"] and told("00:30:00") == ["a", "b"]
+
+
 def test_batch_silence_equals_plain_sessions(tables):
     plain = tables.readings.groupBy(F.session_window("ts", "5 minutes"), "mac").agg(F.count("*").alias("readings"))
     want = plain.selectExpr("mac", "session_window.start first_seen", "session_window.end alert_ts", "readings")
