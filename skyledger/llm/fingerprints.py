@@ -34,22 +34,26 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(paragraphs, lambda p: F.xxhash64(p)))
 
 
-def _within(table_and_cell: str, digest: str) -> str:
-    """Whether a digest falls into a cell: each table reads other bits."""
-    shift = f"{64 // TABLES - 1} * ({table_and_cell} div {CELLS})"
-    return f"shiftrightunsigned({digest}, {shift}) & {CELLS - 1} = {table_and_cell} % {CELLS}"
+# where each cell looks: a table's bits of a digest, and the number they must be
+_PLACES = "array({})".format(", ".join(
+    f"named_struct('bits', {(64 // TABLES - 1) * table}, 'at', {at}L)" for table in range(TABLES) for at in range(CELLS)))
+
+
+def _within(cell: str, digest: str) -> str:
+    """Whether a digest falls into a cell."""
+    return f"shiftrightunsigned({digest}, {cell}.bits) & {CELLS - 1}L = {cell}.at"
 
 
 def _sketch(found: str) -> str:
-    """SQL of the cells of an array of digests."""
-    return f"""transform(transform(sequence(0, {TABLES * CELLS - 1}), c -> filter({found}, x -> {_within('c', 'x')})), m ->
-        named_struct('n', size(m), 'key', aggregate(m, 0L, (a, x) -> a ^ x),
-                     'check', aggregate(m, 0L, (a, x) -> a ^ xxhash64(x))))"""
+    """SQL of the cells of an array of digests; a cell carries its place."""
+    return f"""transform(transform({_PLACES}, c -> named_struct('c', c, 'm', filter({found}, x -> {_within('c', 'x')}))), w ->
+        named_struct('n', size(w.m), 'key', aggregate(w.m, 0L, (a, x) -> a ^ x),
+                     'check', aggregate(w.m, 0L, (a, x) -> a ^ xxhash64(x)), 'bits', w.c.bits, 'at', w.c.at))"""
 
 
 def _minus(left: str, right: str) -> str:
     return f"""zip_with({left}, {right}, (a, b) -> named_struct(
-        'n', a.n - b.n, 'key', a.key ^ b.key, 'check', a.check ^ b.check))"""
+        'n', a.n - b.n, 'key', a.key ^ b.key, 'check', a.check ^ b.check, 'bits', a.bits, 'at', a.at))"""
 
 
 def _peel(cells: str) -> str:
@@ -57,11 +61,12 @@ def _peel(cells: str) -> str:
     pure = "filter(s.cells, c -> abs(c.n) = 1 AND c.check = xxhash64(c.key))"
     fresh = f"array_distinct(transform({pure}, c -> named_struct('key', c.key, 'n', c.n)))"
     # what a cell loses: the fresh digests that fall into it
-    lost = f"filter(f, x -> {_within('i', 'x.key')})"
-    emptied = f"""transform(transform(s.cells, (c, i) -> named_struct('c', c, 'out', {lost})), m -> if(size(m.out) = 0, m.c,
+    lost = f"filter(f, x -> {_within('c', 'x.key')})"
+    emptied = f"""transform(transform(s.cells, c -> named_struct('c', c, 'out', {lost})), m -> if(size(m.out) = 0, m.c,
         named_struct('n', m.c.n - aggregate(m.out, 0, (a, x) -> a + x.n),
                      'key', m.c.key ^ aggregate(m.out, 0L, (a, x) -> a ^ x.key),
-                     'check', m.c.check ^ aggregate(m.out, 0L, (a, x) -> a ^ xxhash64(x.key)))))"""
+                     'check', m.c.check ^ aggregate(m.out, 0L, (a, x) -> a ^ xxhash64(x.key)),
+                     'bits', m.c.bits, 'at', m.c.at)))"""
     step = f"""element_at(transform(array({fresh}), f -> named_struct('cells', if(size(f) = 0, s.cells, {emptied}),
         'found', concat(s.found, f), 'going', size(f) > 0)), 1)"""
     start = f"""named_struct('cells', {cells}, 'found', cast(array() AS array<struct<key: bigint, n: int>>), 'going', true)"""

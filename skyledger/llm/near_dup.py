@@ -234,7 +234,8 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     named = df.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # one pass over the texts; from here on rows are narrow
     scanned = materialize(named.select("id", F.sha2("text", 256).alias("_same"), _sketched("text").alias("sketches")), "sketches")
-    first = scanned.filter("id is not null").groupBy("_same").agg(F.min("id").alias("first"))
+    # stored, so that the join below has a shuffle of its own, which may split a text of very many copies
+    first = materialize(scanned.filter("id is not null").groupBy("_same").agg(F.min("id").alias("first")), "first")
     copies = materialize(scanned.select("id", "_same").join(first, "_same", "left").select(
         "id", F.when(F.col("id").isNotNull(), F.col("first")).alias("first")), "copies")
     # the smallest id of a text stands for its copies; one that stands for several texts does so with one of them
