@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .align import errors_long
 from .filters import interval, last, time_range
 from .ordered import quantiles, running_before
@@ -28,6 +29,7 @@ def aggregate_window(df: DataFrame, every: str, keys: list[str], aggs: list[Colu
     )
     if not create_empty:
         return windows
+    windows = materialize(windows, "windows")  # read twice below
     grid = F.sequence(_first_end(start, every), _last_end(stop, every), F.expr(f"INTERVAL {every}"))
     spine = windows.select(*keys).distinct().withColumn("ts", F.explode(grid))
     return spine.join(windows, [*keys, "ts"], "left")
@@ -178,7 +180,8 @@ def error_histogram(errors: DataFrame, width: float = 0.5, column: str = "temp_s
 
 
 def error_overlay(errors: DataFrame, column: str = "temp_signed_error") -> DataFrame:
-    """Mean, median and deviation drawn over the histogram."""
+    """Mean, median and deviation drawn over the histogram; the errors, often a join, are worked out once."""
+    errors = materialize(errors.select(column), "errors")
     moments = per_column(errors, [column], lambda v: {"mean": F.avg(v), "stddev": F.stddev_samp(v)})
     median = quantiles(errors, [column], [0.5]).select("column", F.col("q0").alias("median"))
     return moments.join(median, "column").select("mean", "median", "stddev")

@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .aggregates import per_column
 from .correlation import corr_pearson
 from .ordered import quantiles, value_counts
@@ -121,9 +122,9 @@ def samples(df: DataFrame, order: list[str], n: int = 10, seed: int = 42) -> Dat
     return head.unionByName(tail).unionByName(random)
 
 
-def profile_alerts(df: DataFrame, columns: list[str], limits: dict = ALERTS) -> DataFrame:
-    """(alert, column, value) of columns and pairs that break a limit."""
-    stats = profile_numeric(df, columns)
+def profile_alerts(df: DataFrame, columns: list[str], limits: dict = ALERTS, stats: DataFrame | None = None) -> DataFrame:
+    """(alert, column, value) of columns and pairs that break a limit; ``stats`` is a numeric profile already made."""
+    stats = materialize(profile_numeric(df, columns), "profile") if stats is None else stats
     fences = {
         r["column"]: (r["p25"] - 1.5 * r["iqr"], r["p75"] + 1.5 * r["iqr"])
         for r in stats.select("column", "p25", "p75", "iqr").collect()  # one row per column

@@ -138,6 +138,7 @@ def reconcile(written: DataFrame, stored: DataFrame, minutes: int = 2,
     Both sides meet on (sensor, minute), so the points of a busy sensor spread
     over its minutes and only those near the sample survive the join.
     """
+    written = materialize(written.select("mac", "ts"), "samples")  # one row per sensor, read twice
     slack = F.expr(f"INTERVAL {int(minutes)} MINUTES")
     minute = F.expr("INTERVAL 1 MINUTE")
     span = F.sequence(F.date_trunc("minute", F.col("ts") - slack), F.date_trunc("minute", F.col("ts") + slack), minute)

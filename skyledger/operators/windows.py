@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import banded
+from ..session import materialize
 from .aggregates import aggregate_window
 from .filters import last
 
@@ -66,8 +67,9 @@ def timed_moving_average(series: DataFrame, every: str, period: str, keys: list[
     """Mean over the trailing ``period``, every ``every``, for windows ending inside the series' range.
 
     ``series`` is already a windowed series, so a row falls into a fixed number
-    of sliding windows (period / every).
+    of sliding windows (period / every). It is stored, as it is read twice.
     """
+    series = materialize(series, "series")
     sliding = (
         series.groupBy(F.window("ts", period, every).alias("w"), *keys)
         .agg(F.avg(value).alias("moving_average"))

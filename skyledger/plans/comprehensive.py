@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import correlation, mining, profile
 from ..operators.filters import analysis_frame, last
+from ..session import materialize
 
 log = logging.getLogger(__name__)
 COLUMNS = ["temperature", "humidity", "pressure"]
@@ -25,7 +26,7 @@ def comprehensive(df: DataFrame, now: str, days: int, columns: list[str] = COLUM
 
     A part that fails (too few rows, say) leaves the others in place.
     """
-    frame = analysis_frame(last(df, f"{days}d", now), columns)
+    frame = materialize(analysis_frame(last(df, f"{days}d", now), columns), "frame")
     present = [c for c in columns if c in frame.columns]
 
     def rules() -> dict[str, DataFrame]:
@@ -36,10 +37,11 @@ def comprehensive(df: DataFrame, now: str, days: int, columns: list[str] = COLUM
 
     def described() -> dict[str, DataFrame]:
         values = mining.require_rows(frame, 10).select(*present)
+        numeric = materialize(profile.profile_numeric(values, present), "profile")
         return {
-            "overview": profile.profile_overview(values), "numeric": profile.profile_numeric(values, present),
+            "overview": profile.profile_overview(values), "numeric": numeric,
             "pearson": correlation.corr_pearson(values, present), "spearman": correlation.corr_spearman(values, present),
-            "missing": profile.missing_bar(values, present), "alerts": profile.profile_alerts(values, present),
+            "missing": profile.missing_bar(values, present), "alerts": profile.profile_alerts(values, present, stats=numeric),
         }
 
     parts: dict[str, Callable[[], dict[str, DataFrame]]] = {
