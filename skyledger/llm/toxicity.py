@@ -28,12 +28,13 @@ from .common import prepare, worker_state
 from .labels import labelled_sample
 
 LABELLED = 10_000  # at most so many labelled documents are examples
-BEGINNINGS = (3, 4, 5, 6, 7, 8)
+BEGINNINGS = (4, 5, 6, 7, 8)
 LEAST_EXAMPLES = 5  # a term of fewer examples is chance
 ASSOCIATION, EFFECT = 3.0, 1.5
 CALIBRATED = 2_000  # examples whose votes from the others teach the probabilities
 NEIGHBOURS, BLOCK = 15, 256
-SHRINK = 0.5  # similarity that the vote of texts without a neighbour counts as
+STEEPNESS = 3  # votes fall with this power of the similarity: far neighbours of a long text say little
+SHRINK = 0.5  # weight that the vote of texts without a neighbour counts as
 CACHED_WORDS = 150_000
 COUNTED_TERMS = 200_000
 
@@ -134,8 +135,8 @@ class Index:
         return [(-s, row) for s, row in best]
 
     def vote(self, neighbours: list[tuple[float, int]]) -> float:
-        """Share of the label among the neighbours by squared similarity, shrunk to the rate of texts without any."""
-        weights = [s * s for s, _ in neighbours]
+        """Share of the label among the neighbours by similarity, shrunk to the rate of texts without any."""
+        weights = [s ** STEEPNESS for s, _ in neighbours]
         agreed = sum(w for w, (_, row) in zip(weights, neighbours) if self.labels[row])
         return (agreed + SHRINK * self.empty_rate) / (sum(weights) + SHRINK)
 
