@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import prepare, worker_state
 
-CACHED_PIECES = 150_000  # pieces kept per Python worker; the memo starts anew when full
-CACHED_PAIRS = 150_000
+CACHED_PIECES = 400_000  # pieces kept per Python worker; the memo starts anew when full
+CACHED_PAIRS = 400_000
 CACHED_LENGTH = 64
 
 
@@ -53,7 +53,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
 
     @cached_property
@@ -66,12 +66,13 @@ class Encoder:
         return found
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        pair = left << 32 | right  # one number takes half the memory of a pair
+        known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) >= CACHED_PAIRS:
                 self.pairs.clear()
             known = merge(self.tokens[left] + self.tokens[right], self.ranks) == [left, right]
-            self.pairs[left, right] = known
+            self.pairs[pair] = known
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
