@@ -4,11 +4,14 @@ A text is its sequence of five-word shingles, each labelled with its occurrence.
 takes the ``LENGTH`` smallest and keeps them *in the order of the text*, so it agrees for texts a few edits apart and
 not for texts that merely share vocabulary. Each of ``SKETCHES`` sketches puts a text into one bucket.
 
-No bucket is expanded into pairs. Its best-known member (the one whose buckets hold most texts, the likely original of
-a family of copies) is compared with the others; those it does not match go on to the next round under finer keys made
-of several sketches. Every round removes at least one member from each bucket, so rounds go on until none is left
-open. Work per round is linear in the rows that are still open. A link between two texts is missed only if each of
-the buckets they share keeps being led by a third text that matches one of them at most.
+The buckets find most links cheaply. No bucket is expanded into pairs: its best-known member (the one whose buckets hold
+most texts, the likely original of a family of copies) is compared with the others; those it does not match go on to
+the next round under finer keys made of several sketches, until none is left open. This loses links: a bucket may be
+led by a third text, and finer keys keep fewer texts together.
+
+What the buckets lose is found exactly by a prefix filter. Shingles have one order for all texts, rare ones first. Two
+texts of the wanted similarity share one of their first shingles (``prefix_sizes``), whatever the order is, so texts of
+different classes that share one, and whose sizes and places in the order still allow the similarity, are compared.
 
 A pair is verified by alignment: the longest common subsequence of the two shingle sequences inside the diagonal band
 that a similarity of ``SIMILARITY`` allows. Similarity is matched over all distinct shingles of the pair, so it is the
@@ -18,12 +21,14 @@ connected components of the verified pairs.
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +42,7 @@ SKETCHES, LENGTH = 16, 3
 # finer keys of the second round: steps between the sketches that form one key
 FINER = ((0, 1, 2), (0, 3, 7), (0, 1, 5, 10), (0, 2, 6, 9))
 _TOGETHER = 4096  # shingles of one text hashed for all sketches at once
+CELL_BITS, CHUNK_BITS = 22, 16  # shingles are counted in so many cells, and the counts added up in chunks
 
 _ODD = np.random.default_rng(20).integers(1, 2**63, SKETCHES + WORDS, np.uint64) | np.uint64(1)
 
@@ -158,10 +164,18 @@ def _longer(left: DataFrame, sketched: DataFrame, turn: int) -> DataFrame:
     return left.join(sketched, "id").select(_of_sketches(3 * turn, more, F.col("key")).alias("key"), "id", "rank")
 
 
-def links(sketched: DataFrame, prints_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Verified pairs ``a, b, similarity`` between the distinct ids of ``id, sketches`` rows.
+def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    both = pairs.join(prints.select(F.col("id").alias("a"), F.col("print").alias("_pa")), "a").join(
+        prints.select(F.col("id").alias("b"), F.col("print").alias("_pb")), "b")
+    return materialize(both.select("a", "b", _compared("_pa", "_pb").alias("similarity"))
+                       .filter(F.col("similarity") >= SIMILARITY), "links")
+
 
-    ``prints_of`` returns ``id, print`` for a table of ids: shingles are made only of texts that share a bucket.
+def links(sketched: DataFrame, prints_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Verified pairs ``a, b, similarity`` between the distinct ids of ``id, sketches`` rows, as far as buckets find them.
+
+    ``prints_of`` returns ``id, print`` for a table of ids: shingles are made only of texts that share a bucket. They
+    are returned as well.
     """
     each = sketched.select("id", F.posexplode("sketches").alias("_of", "_value"))
     rows = each.select(F.xxhash64("_of", "_value").alias("key"), "id")
@@ -171,7 +185,10 @@ def links(sketched: DataFrame, prints_of: Callable[[DataFrame], DataFrame]) -> D
     ranks = shared.groupBy("id").agg(F.sum("_n").alias("rank"))
     rows = materialize(shared.select("key", "id").join(ranks, "id"), "ranked")
     prints = materialize(prints_of(ranks.select("id")), "prints")
+    return _led(rows, sketched, prints), prints
+
 
+def _led(rows: DataFrame, sketched: DataFrame, prints: DataFrame) -> DataFrame:
     found, turn = [], 0
     while True:
         leaders = rows.groupBy("key").agg(F.max(F.struct("rank", F.negative("id").alias("neg"))).alias("_l"),
@@ -181,10 +198,7 @@ def links(sketched: DataFrame, prints_of: Callable[[DataFrame], DataFrame]) -> D
         if starred.isEmpty():
             break
         pairs = starred.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        both = pairs.join(prints.select(F.col("id").alias("a"), F.col("print").alias("_pa")), "a").join(
-            prints.select(F.col("id").alias("b"), F.col("print").alias("_pb")), "b")
-        verified = materialize(both.select("a", "b", _compared("_pa", "_pb").alias("similarity"))
-                               .filter(F.col("similarity") >= SIMILARITY), "links")
+        verified = _verified(pairs, prints)
         found.append(verified)
         matched = verified.select(F.explode(F.array(
             F.struct(F.col("a").alias("id"), F.col("b").alias("leader")),
@@ -199,6 +213,93 @@ def links(sketched: DataFrame, prints_of: Callable[[DataFrame], DataFrame]) -> D
     return empty
 
 
+def prefix_sizes(n: int) -> tuple[int, int]:
+    """How many of its first shingles a text of ``n`` must share one of with a longer text, and with a shorter one.
+
+    ``n`` and ``m`` distinct shingles need ``SIMILARITY / (1 + SIMILARITY) * (n + m)`` common ones, and the longer text
+    has at most ``n / SIMILARITY``.
+    """
+    common = math.ceil(2 * SIMILARITY / (1 + SIMILARITY) * n - 1e-9)
+    return n - common + 1, n - math.ceil(SIMILARITY * n - 1e-9) + 1
+
+
+def ordered(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Distinct shingles as keys that sort by how often their cell was counted."""
+    once = np.unique(hashes)
+    level = levels[once >> np.uint64(64 - CELL_BITS)].astype(np.uint64)
+    return np.sort((level << np.uint64(58)) | (once >> np.uint64(6)))
+
+
+def shingle_levels(texts: DataFrame) -> Broadcast:
+    """Binary logarithm of the shingles in each cell; any error here costs time, not links."""
+    chunk = 1 << CHUNK_BITS
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << CELL_BITS, np.uint32)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(cells, shingles(text) >> np.uint64(64 - CELL_BITS), 1)
+        for i in range(0, len(cells), chunk):
+            if cells[i:i + chunk].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // chunk], pa.int32()),
+                                                  pa.array([cells[i:i + chunk].tobytes()], pa.binary())], ["chunk", "cells"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, number = np.zeros(chunk, np.uint64), None
+        for batch in batches:
+            number = batch.column(0)[0]
+            for cells in batch.column(1).to_pylist():
+                total += np.frombuffer(cells, np.uint32)
+        levels = np.ceil(np.log2(total + 1.0)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([number.as_py()], pa.int32()), pa.array([levels.tobytes()], pa.binary())],
+                                         ["chunk", "levels"])
+
+    found = texts.select("text").mapInArrow(counted, "chunk int, cells binary").groupBy("chunk").applyInArrow(
+        added, "chunk int, levels binary").collect()
+    levels = np.zeros(1 << CELL_BITS, np.uint8)
+    for r in found:
+        levels[r["chunk"] * chunk:(r["chunk"] + 1) * chunk] = np.frombuffer(r["levels"], np.uint8)
+    return texts.sparkSession.sparkContext.broadcast(levels)
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """``n, first``, the size of every text in distinct shingles and its first ones, added to ``texts`` without ``text``."""
+    shared = shingle_levels(texts)
+
+    @F.arrow_udf("struct<n: int, first: array<bigint>>")
+    def prefixed(column: pa.Array) -> pa.Array:
+        sizes, firsts = [], []
+        for text in column.to_pylist():
+            keys = ordered(shingles(text), shared.value)
+            sizes.append(len(keys))
+            firsts.append(keys[:prefix_sizes(len(keys))[1]].view(np.int64) if len(keys) else [])
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["n", "first"])
+
+    return texts.withColumn("_p", prefixed("text")).drop("text").select("*", "_p.*").drop("_p")
+
+
+def missed(lists: DataFrame, prints_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Every pair ``a, b, similarity`` of texts ``id, class, n, first`` whose classes differ."""
+    # a shingle that only one class has among its first ones links nothing
+    several = materialize(lists.select(F.explode("first").alias("key"), "class").groupBy("key").agg(
+        F.min("class").alias("_a"), F.max("class").alias("_z")).filter("_a <> _z").select("key"), "several")
+    rows = lists.select("id", "class", "n", F.posexplode("first").alias("at", "key"))
+    rows = materialize(rows.join(several, "key"), "first_shingles")
+    # the shorter text, of equal ones that of the smaller id, is looked up by fewer of its shingles
+    share = SIMILARITY / (1 + SIMILARITY)
+    short = rows.filter(F.col("at") < F.col("n") - F.ceil(2 * share * F.col("n") - 1e-9) + 1)
+    s, t = short.alias("s"), rows.alias("t")
+    pairs = s.join(t, (F.col("s.key") == F.col("t.key")) & (F.col("s.class") != F.col("t.class"))
+                   & ((F.col("s.n") < F.col("t.n")) | ((F.col("s.n") == F.col("t.n")) & (F.col("s.id") < F.col("t.id"))))
+                   & (F.col("s.n") >= SIMILARITY * F.col("t.n") - 1e-9)
+                   # were this their first common shingle, enough would have to follow in both
+                   & (F.least(F.col("s.n") - F.col("s.at"), F.col("t.n") - F.col("t.at"))
+                      >= share * (F.col("s.n") + F.col("t.n")) - 1e-9))
+    pairs = materialize(pairs.select(F.least("s.id", "t.id").alias("a"), F.greatest("s.id", "t.id").alias("b")).distinct(), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return _verified(pairs, materialize(prints_of(ids), "prints"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id, class`` for the ids of ``a, b`` pairs; the class is the smallest id that can be reached.
 
@@ -244,13 +345,26 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                            .dropDuplicates(["id", "_same"]).select("id", "sketches"), "standing_sketches")
 
     def prints_of(ids: DataFrame) -> DataFrame:
-        wanted = standing.join(ids, "id", "left_semi")
+        wanted = materialize(standing.join(ids, "id", "left_semi"), "wanted")  # broadcast if there are few
         texts = named.withColumn("_same", F.sha2("text", 256)).join(wanted, ["id", "_same"], "left_semi")
         return texts.dropDuplicates(["id", "_same"]).select("id", _shingled("text").alias("print"))
 
     several = copies.groupBy("id").agg(F.min("first").alias("a"), F.max("first").alias("_z")).filter("a <> _z")
     tied = copies.join(several.select("id", "a"), "id").select("a", F.col("first").alias("b")).filter("a <> b")
-    joined = components(links(sketched, prints_of).select("a", "b").union(tied))
+    linked, prints = links(sketched, prints_of)
+    joined = components(linked.select("a", "b").union(tied))
+    classed = standing.join(joined, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    # an inner join, which is not moved below the lists of shingles: no text is shuffled
+    listed = prefixes(named.withColumn("_same", F.sha2("text", 256))).join(classed, ["id", "_same"])
+    lists = materialize(listed.dropDuplicates(["id", "_same"]).select("id", "class", "n", "first"), "prefixes")
+
+    def all_prints(ids: DataFrame) -> DataFrame:
+        new = materialize(ids.join(prints, "id", "left_anti"), "new_ids")
+        return prints.join(ids, "id", "left_semi").union(prints_of(new))
+
+    more = missed(lists, all_prints)
+    if not more.isEmpty():
+        joined = components(joined.select(F.col("id").alias("a"), F.col("class").alias("b")).union(more.select("a", "b")))
     return copies.join(joined.select(F.col("id").alias("first"), "class"), "first", "left").select(
         F.col("id").alias(doc_id), F.coalesce("class", "first").alias("class_id"))
 

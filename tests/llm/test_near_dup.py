@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 from conftest import SF_DIR
 
 from skyledger.llm import near_dup as n
@@ -112,3 +113,41 @@ def test_given_documents(spark):
     links = [(a, b) for a, b in combinations(prints, 2) if prints[a] and len(prints[a] & prints[b]) >= 0.8 * len(prints[a] | prints[b])]
     found = {r["doc_id"]: r["class_id"] for r in n.classes(spark.read.parquet(f"{SF_DIR}/documents.parquet")).collect()}
     assert found == plain_classes(list(prints), links)
+
+
+def pairs_of(prints):
+    return [(a, b) for a, b in combinations(range(len(prints)), 2)
+            if prints[a] and len(prints[a] & prints[b]) >= 0.8 * len(prints[a] | prints[b])]
+
+
+@pytest.mark.parametrize("size", [1, 3])
+def test_chains_and_families_over_one_template(spark, size):
+    draw = random.Random(11 + size)
+    texts, template = [], text_of(draw, 150)
+    for family in range(20 * size):
+        base = edited(draw, template, 9)  # families are not alike, but share most of their shingles
+        texts += [base] + [edited(draw, base, 3) for _ in range(4)]
+    for chain in range(2 * size):
+        last = text_of(draw, 120)
+        for _ in range(25):
+            texts.append(last)
+            last = edited(draw, last, 2)
+    draw.shuffle(texts)
+    prints = [set(n.shingles(t).tolist()) for t in texts]
+    found = {r["doc_id"]: r["class_id"] for r in n.classes(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == plain_classes(range(len(texts)), pairs_of(prints))
+
+
+def test_links_without_a_common_sketch(spark):
+    draw = random.Random(2)
+    texts = []
+    for size in list(range(1, 12)) + [40, 90, 400]:
+        base = text_of(draw, size + 4)
+        texts += [base] + [edited(draw, base, 1) for _ in range(3)] + [base + " " + text_of(draw, max(1, size // 5))]
+    prints = [n.distinct(n.shingles(t)) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    lists = n.prefixes(rows).withColumn("class", n.F.col("id"))
+    found = n.missed(lists, lambda ids: rows.join(ids, "id", "left_semi").select("id", n._shingled("text").alias("print")))
+    want = [(a, b) for a, b in combinations(range(len(texts)), 2) if n.aligned(prints[a], prints[b]) >= n.SIMILARITY]
+    assert sorted((r["a"], r["b"]) for r in found.collect()) == want
