@@ -151,3 +151,13 @@ def test_links_without_a_common_sketch(spark):
     found = n.missed(lists, lambda ids: rows.join(ids, "id", "left_semi").select("id", n._shingled("text").alias("print")))
     want = [(a, b) for a, b in combinations(range(len(texts)), 2) if n.aligned(prints[a], prints[b]) >= n.SIMILARITY]
     assert sorted((r["a"], r["b"]) for r in found.collect()) == want
+
+
+def test_copies_with_a_repeated_line(spark):
+    draw = random.Random(5)
+    texts = []
+    for _ in range(6):
+        base, line = text_of(draw, 150), text_of(draw, 8)
+        texts += [f"{base}\n{line}", base + f"\n{line}" * 50]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in n.classes(rows).collect()} == {i: i - i % 2 for i in range(12)}
