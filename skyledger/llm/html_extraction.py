@@ -25,17 +25,18 @@ from .common import prepare
 TREES, DEPTH, RATE, BINS, SMOOTHING, LEAST = 60, 4, 0.25, 32, 1.0, 8
 
 # The elements of HTML by how they lay out.
-_RAW = "script|style|template|textarea|title|iframe|noscript|svg|select|object|math|canvas|audio|video"
+_RAW = "script|style|template|textarea|title|iframe|svg|select|canvas|audio|video"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = (
     "html body main article section div nav header footer aside form fieldset p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table "
-    "thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary dialog center menu"
+    "thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary dialog center menu object noscript"
 ).split()
 _BLOCK = frozenset(_BLOCKS)
-_IN_P = _BLOCK - frozenset(("html", "body", "td", "th", "tr", "caption"))  # what a paragraph cannot hold
+_IN_P = _BLOCK - frozenset(("html", "body", "td", "th", "tr", "caption", "object", "noscript"))  # what a paragraph cannot hold
+_IN_HEAD = frozenset(("base", "basefont", "bgsound", "link", "meta", "noscript"))  # besides those of _RAW; all others end it
 _LIST_ITEMS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:{_RAW})\b(?:[^>]*[^>/])?>.*?(?:</(?:{_RAW})\s*>|\Z)|<[!?][^>]*>"
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])(?:[^>]*[^>/])?>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<[!?][^>]*>"
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S | re.I)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|data-mark)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORDS = re.compile("[a-z]+")
@@ -62,19 +63,21 @@ class Page:
         links = head = 0
         at = 0
         for token in _TOKEN.finditer(source):
-            if token.start() > at and not head:
-                self._text(source[at:token.start()], stack[-1][1], links > 0)
+            if token.start() > at:
+                between = source[at:token.start()]
+                head = head and between.isspace()
+                if not head:
+                    self._text(between, stack[-1][1], links > 0)
             at = token.end()
-            name = token.group(2)
+            name = token.group(3)
             if name is None:
                 continue
             name = name.lower()
             if name == "head":
-                head = not token.group(1)
+                head = not token.group(2) and len(self.tags) == 1
                 continue
-            if name == "body":
-                head = 0
-            if token.group(1):
+            head = head and (bool(token.group(2)) or name in _IN_HEAD)
+            if token.group(2):
                 links, closed = self._close(stack, name, links)
                 self._run += name == "p" and not closed  # stands for an empty paragraph
             elif name in _VOID:
@@ -90,12 +93,12 @@ class Page:
                     links = self._end_item(stack, name, links)
                 block = stack[-1][1]
                 if name in _BLOCK:
-                    block = self._open(name, block, token.group(3))
+                    block = self._open(name, block, token.group(4))
                 else:
                     self.inputs[block] += name == "button"
                 stack.append((name, block))
                 links += name == "a"
-        if at < len(source) and not head:
+        if at < len(source) and not (head and source[at:].isspace()):
             self._text(source[at:], stack[-1][1], links > 0)
 
     def _text(self, text: str, block: int, linked: bool) -> None:

@@ -51,6 +51,29 @@ def test_broken_markup_is_read_as_browsers_do():
     assert h.Page('<p title="a > b" class=\'c\'>kept</p><!-- <p>no</p> -->').text([True, True]) == "kept"
 
 
+def lines_of(source):
+    page = h.Page(source)
+    return page.text([True] * len(page.tags)).split("\n")
+
+
+def test_elements_whose_names_begin_like_dropped_ones():
+    for name in ("svg-icon", "video-player", "title-card", "select-box"):
+        assert lines_of(f"<article><p>One <{name}></{name}> two.</p><p>Three.</p></article><script>x</script>") == ["One two.", "Three."]
+    assert lines_of("<p>a <svg><title>t</title><style>s</style>u</svg>b</p><SCRIPT>'</style>'</script >c") == ["a b", "c"]
+
+
+def test_embedded_elements_keep_their_text():
+    assert lines_of("<p>The sum <math><mi>x</mi></math> is small.</p>") == ["The sum x is small."]
+    assert lines_of("<article><object data=x><p>One.</p></object><noscript><p>Two.</p></noscript><p>Three.</p></article>") == [
+        "One.", "Two.", "Three."]
+
+
+def test_head_without_its_end():
+    assert lines_of("<html><head><title>T</title><meta charset=utf-8><link href=x><p>One.</p><p>Two.</p>") == ["One.", "Two."]
+    assert lines_of("<head><meta name=a> Plain text.") == ["Plain text."]
+    assert lines_of("<head><noscript><link href=x></noscript><style>s</style></head><body><p>One.</p>") == ["One."]
+
+
 def test_no_text_is_kept_inside_a_dropped_block():
     page = h.Page("<div><p>a</p><div><p>b</p></div></div><p>c</p>")
     kept = page.decode(h.np.array([1.0, 0.5, 2.0, -9.0, 3.0, 1.0]))
