@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, decontamination, fingerprints, html_extraction, language, licenses, near_dup, quality, sharding,
+from . import (bpe, centroids, decontamination, fingerprints, html_extraction, language, licenses, near_dup, quality, sharding,
                toxicity)
 from .common import table
 
@@ -187,3 +187,42 @@ FROM d LEFT JOIN ids USING (doc_id) LEFT JOIN best USING (doc_id)
 
 
 ORACLES["op7_license_scan"] = _license_oracle()
+
+
+@query
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters of the vectors of ``embeddings`` after three rounds."""
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+                        F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
+def _centroid_oracle() -> str:
+    """Every distance to every centroid, a table of centroids per round."""
+    squared = "list_sum(list_transform(range(1, 65), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+    steps = []
+    for i in range(4):
+        steps.append(
+            f"a{i} AS MATERIALIZED (SELECT vec_id, x, n AS cluster, d AS distance FROM (SELECT vec_id, x, n, {squared} AS d FROM v, c{i}) "
+            "QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, n) = 1)")
+        if i < 3:
+            steps.append(
+                f"s{i} AS (SELECT cluster, p, sum(x[p])::BIGINT AS s, count(*) AS m FROM (SELECT cluster, x, unnest(range(1, 65)) AS p FROM a{i}) "
+                "GROUP BY ALL)")
+            steps.append(
+                f"c{i + 1} AS MATERIALIZED (SELECT n, coalesce(any_value(u), any_value(c)) AS c FROM c{i} LEFT JOIN (SELECT cluster, "
+                "list((s - ((s % m) + m) % m) // m ORDER BY p) AS u "
+                f"FROM s{i} GROUP BY cluster) ON n = cluster GROUP BY n)")
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS n, x AS c FROM
+  (SELECT sha256('1:' || vec_id) AS h, x FROM v ORDER BY h LIMIT 16)),
+{", ".join(steps)}
+SELECT vec_id, cluster::INT AS cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON n = cluster
+"""
+
+
+ORACLES["op11_centroid_clusters"] = _centroid_oracle()
