@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, centroids, decontamination, fingerprints, html_extraction, language, licenses, near_dup, negatives,
-               quality, sharding, toxicity)
+from . import (bpe, centroids, context_tree, decontamination, fingerprints, html_extraction, language, licenses,
+               near_dup, negatives, quality, sharding, toxicity)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,3 +250,12 @@ SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positi
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
 QUALIFY rank <= 5
 """
+
+
+@query
+def op13_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of every text by a context tree over bytes, beside that by word counts."""
+    scored = context_tree.score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out(7, 2))
+    return scored.select(
+        "doc_id", held_out(7, 2).alias("held_out"), "lm.n_tokens", "lm.n_known", "lm.train_tokens", "lm.base_score", "lm.score",
+        (-F.col("lm.score") / F.log10(F.lit(2.0)) / (F.col("lm.n_bytes") + 1)).alias("bits_per_byte"))

@@ -7,7 +7,7 @@ from conftest import SF_DIR
 import __spark_entry__ as entry
 from skyledger.llm import queries
 
-NAMES = ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "op11", "op12", "pipeline"]
+NAMES = ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "op11", "op12", "op13", "pipeline"]
 
 
 def test_every_operator_has_one_query():
