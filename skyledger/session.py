@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,7 @@ SESSION_CONF = {
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_scratch: dict[str, str] = {}
 
 
@@ -111,13 +113,28 @@ def drop_partitions(spark: SparkSession, path: str, column: str, unwanted: Calla
     return gone
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def released_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs inside go when their job ends, not when the driver next collects garbage.
+
+    For jobs whose result is stored: until they end nothing is released, so lost executors are made up for as ever.
+    """
+    before = spark.conf.get(_RELEASE, None)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_RELEASE) if before is None else spark.conf.set(_RELEASE, before)
+
+
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder once and read it back.
 
     Used where a later step must see the very rows (and partition ids) an
-    earlier one produced, also after an executor is lost.
+    earlier one produced, also after an executor is lost. ``options`` go to the writer.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with released_shuffles(spark):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
