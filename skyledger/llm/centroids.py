@@ -10,31 +10,18 @@ task sends one sum per centroid and component; the driver holds the centroids an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import prepare
+from .common import batches, prepare
 
 BLOCK = 256  # vectors behind one box
 CURVE_BITS = 2  # bits of every component that the curve orders by
 LIMIT = 1 << 27  # integers saturate here, so that a squared distance of 64 components fits a long
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-@contextmanager
-def batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of ``rows`` rows for jobs that read short rows."""
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH, before)
 
 
 def usable(vector: Column, dim: int | None = None) -> Column:

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Keep Arrow batches small: texts may be very long, and a batch is held whole by a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    spark.conf.set(_BATCH, "200")
     return spark
 
 
+@contextmanager
+def batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of ``rows`` rows for jobs that read short rows."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

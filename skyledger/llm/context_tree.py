@@ -8,9 +8,11 @@ mixes the predictions of all depths into one probability per node. A context tha
 its shorter neighbour then has all the remaining weight.
 
 On Spark: rows are stored in blocks of consecutive rows. Each block's distinct byte runs (context and next byte) are
-counted where they are read; every depth of the tree is one aggregate and one join over node rows, however many there
-are. Each block is then given the log probability of its own distinct runs and the counts of its own distinct words,
-and scores its texts by looking them up. Nothing of the model is broadcast or passes the driver but two totals.
+counted where they are read and added up over all blocks. Below the contexts of ``depth - 2`` bytes the tree falls into
+groups of bounded size that do not know of each other (at most 2^24 runs); whole groups are computed together in
+tasks. Above, every depth is one aggregate and one join. Each block is then given the log probability of its own
+distinct runs and the counts of its own distinct words, and scores its texts by looking them up. Nothing of the model is
+broadcast or passes the driver but three totals.
 """
 
 from __future__ import annotations
@@ -21,17 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import delete_path, scratch_path
-from .common import prepare
+from ..session import delete_path, released_shuffles, scratch_path
+from .common import batches, prepare
 
 DEPTH = 5  # bytes of the longest context
 BLOCK_BYTES = 48_000_000  # about so much text gets one list of runs and words
 MARK = 0xFF  # a byte that UTF-8 never uses: before a text, and its end
 WINDOW = 1 << 21  # bytes looked at together
+ROWS = 1 << 18  # runs of whole groups computed together, if no group is larger
 SCORES = T.StructType([T.StructField(name, T.DoubleType() if name.endswith("score") else T.LongType()) for name in (
     "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")])
 
@@ -167,30 +170,30 @@ def _counted(stored: DataFrame, depth: int) -> DataFrame:
     return stored.select("_block", "_learn", "_bytes").mapInArrow(count, "_block long, run long, word binary, n long")
 
 
-def _log_gamma(x: Column) -> Column:
-    """Stirling's series, eight steps further out."""
+def _log_gamma(x, ln):
+    """Stirling's series, eight steps further out; for columns and for arrays."""
     z, product = x + 8, x
     for i in range(1, 8):
         product = product * (x + i)
-    series = F.lit(1 / 12) / z - F.lit(1 / 360) / (z * z * z) + F.lit(1 / 1260) / (z * z * z * z * z)
-    return (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + series - F.ln(product)
+    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    return (z - 0.5) * ln(z) - z + 0.5 * math.log(2 * math.pi) + series - ln(product)
 
 
-def log_estimate(zeros: Column, ones: Column) -> Column:
-    """Natural logarithm of the Krichevsky-Trofimov probability of a record of zeros and ones."""
-    estimate = _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - math.log(math.pi)
-    return F.when(zeros + ones > 0, estimate).otherwise(0.0)
+def log_estimate(zeros, ones, ln):
+    """Natural logarithm of the Krichevsky-Trofimov probability of a record of zeros and ones, not both none."""
+    return _log_gamma(zeros + 0.5, ln) + _log_gamma(ones + 0.5, ln) - _log_gamma(zeros + ones + 1.0, ln) - math.log(math.pi)
 
 
 class _Scratch:
     """Tables of one run; each is deleted when it is no longer read."""
 
-    def __init__(self, spark):
+    def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         self.paths[name] = scratch_path(self.spark, name)
-        df.write.option("compression", "zstd").parquet(self.paths[name])
+        with released_shuffles(self.spark):
+            df.write.option("compression", "zstd").parquet(self.paths[name])
         return self.spark.read.schema(df.schema).parquet(self.paths[name])
 
     def drop(self, *names: str) -> None:
@@ -198,53 +201,125 @@ class _Scratch:
             delete_path(self.spark, self.paths.pop(name))
 
 
-def _probabilities(counts: DataFrame, depth: int, scratch: _Scratch) -> DataFrame:
-    """``run, log10``: the mixed log probability of the last byte of every run after the others.
+class Group:
+    """The part of the tree below some contexts of ``tail`` bytes, from all their runs.
 
-    A node is numbered by its context bytes and, in the lowest byte, a 1 followed by the bits chosen so far.
+    A node is numbered by its context bytes and, in the lowest byte, a 1 followed by the bits chosen so far. Levels are
+    held from the longest contexts to those of ``tail`` bytes.
     """
-    step = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    byte = F.col("run").bitwiseAND(F.lit(255))
-    chosen = counts.select("run", "n", byte.alias("byte"), step.alias("bit")).select(
-        F.expr("((run >> 8) << 8) | (1 << bit) | (byte >> (8 - bit))").alias("node"),
-        F.when(F.expr("(byte >> (7 - bit)) & 1") == 1, F.struct(F.lit(0).cast("long").alias("z"), F.col("n").alias("o")))
-        .otherwise(F.struct(F.col("n").alias("z"), F.lit(0).cast("long").alias("o"))).alias("c"))
-    level = chosen.groupBy("node").agg(F.sum("c.z").alias("zeros"), F.sum("c.o").alias("ones"))
-    level = scratch.put(level.withColumn("below", F.lit(None).cast("double")), f"depth{depth}")
-    levels = [level]
-    own = log_estimate(F.col("zeros"), F.col("ones"))
-    for d in range(depth - 1, -1, -1):
-        gap = F.abs(F.col("own") - F.col("below"))
-        weighted = F.when(F.col("below").isNull(), F.col("own")).otherwise(
-            F.greatest("own", "below") + F.log1p(F.exp(-gap)) - math.log(2))
-        above = F.col("node").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
-        level = level.withColumn("own", own).select(above.alias("node"), "zeros", "ones", weighted.alias("weighted"))
+
+    def __init__(self, runs: np.ndarray, counts: np.ndarray, depth: int, tail: int):
+        byte, step = runs & 255, np.arange(8)
+        self.bits = (byte[:, None] >> (7 - step)) & 1
+        nodes = ((runs >> 8) << 8)[:, None] | (1 << step) | (byte[:, None] >> (8 - step))
+        keys, self.places = np.unique(nodes, return_inverse=True)
+        self.places = self.places.reshape(nodes.shape)
+        add = lambda at, weights, size: np.bincount(at, weights=weights, minlength=size)
+        chosen = np.repeat(counts, 8).astype(np.float64)
+        ones = add(self.places.ravel(), chosen * self.bits.ravel(), len(keys))
+        zeros = add(self.places.ravel(), chosen, len(keys)) - ones
+        self.levels = [(keys, zeros, ones, np.full(len(keys), -np.inf))]  # a longest context has none below
+        self.above = []
+        weighted = self.own(zeros, ones)
+        for d in range(depth - 1, tail - 1, -1):
+            found, at = np.unique(keys & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+            keys, zeros, ones, below = found, *(add(at, v, len(found)) for v in (zeros, ones, weighted))
+            self.levels.append((keys, zeros, ones, below))
+            self.above.append(at)
+            own = self.own(zeros, ones)
+            weighted = np.logaddexp(own, below) - math.log(2)
+
+    @staticmethod
+    def own(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+        return np.where(zeros + ones > 0, log_estimate(zeros, ones, np.log), 0.0)
+
+    def mixed(self, part: np.ndarray, rest: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """log10 of the probability of every run, given what shorter contexts add for the nodes of the last level."""
+        for i in range(len(self.levels) - 1, -1, -1):
+            _, zeros, ones, below = self.levels[i]
+            if i + 1 < len(self.levels):
+                part, rest, before = (v[self.above[i]] for v in (part, rest, before))
+            weight = 1 / (1 + np.exp(np.minimum(below - self.own(zeros, ones), 700)))
+            one = (ones + 0.5) / (zeros + ones + 1)
+            before = np.where(zeros + ones > 0, part + rest * one, before)
+            part, rest = part + rest * weight * one, rest * (1 - weight)
+        one = before[self.places]
+        return np.log10(np.where(self.bits == 1, one, 1 - one)).sum(1)
+
+
+def _whole_groups(parts: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Rows sorted by ``tail``, put together until they are ``ROWS`` and no group is cut."""
+    held: list[dict[str, np.ndarray]] = []
+
+    def joined(some: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+        return {name: np.concatenate([s[name] for s in some]) for name in some[0]}
+
+    for part in parts:
+        if not len(part):
+            continue
+        held.append({name: part.column(name).to_numpy(zero_copy_only=False) for name in part.schema.names})
+        if sum(len(h["tail"]) for h in held) >= ROWS and held[-1]["tail"][-1] != held[0]["tail"][0]:
+            whole = joined(held)
+            cut = np.searchsorted(whole["tail"], whole["tail"][-1])
+            yield {name: v[:cut] for name, v in whole.items()}
+            held = [{name: v[cut:] for name, v in whole.items()}]
+    if held:
+        yield joined(held)
+
+
+def _probabilities(counts: DataFrame, depth: int, scratch: _Scratch) -> DataFrame:
+    """``run, log10``: the mixed log probability of the last byte of every run after the others."""
+    tail = max(0, depth - 2)
+    with_tail = lambda node: F.expr(f"({node} >> 8) & {(1 << 8 * tail) - 1}")
+    grouped = lambda df: df.repartition("tail").sortWithinPartitions("tail")
+
+    def upward(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(parts):
+            keys, zeros, ones, below = Group(rows["run"], rows["n"], depth, tail).levels[-1]
+            yield pa.record_batch({"node": pa.array(keys), "zeros": pa.array(zeros), "ones": pa.array(ones), "below": pa.array(below)})
+
+    with batches(scratch.spark, 20_000):
+        level = grouped(counts.withColumn("tail", with_tail("run"))).mapInArrow(
+            upward, "node long, zeros double, ones double, below double")
+        levels = [scratch.put(level, f"depth{tail}")]
+    seen = F.col("zeros") + F.col("ones") > 0
+    own = F.when(seen, log_estimate(F.col("zeros"), F.col("ones"), F.ln)).otherwise(0.0)
+    for d in range(tail - 1, -1, -1):
+        larger, smaller = F.greatest("own", "below"), F.least("own", "below")
+        level = levels[0].withColumn("own", own).select(
+            F.col("node").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("node"), "zeros", "ones",
+            (larger + F.log1p(F.exp(smaller - larger)) - math.log(2)).alias("weighted"))
         level = level.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
-        level = scratch.put(level, f"depth{d}")
-        levels.insert(0, level)
+        levels.insert(0, scratch.put(level, f"depth{d}"))
 
-    mixed = None
+    state = None
     for d, level in enumerate(levels):
-        weight = F.when(F.col("below").isNull(), 1.0).otherwise(1 / (1 + F.exp(F.col("below") - own)))
-        level = level.select("node", (F.col("zeros") + F.col("ones") > 0).alias("seen"), weight.alias("weight"),
-                             ((F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)).alias("one"))
-        if mixed is None:
+        weight, one = 1 / (1 + F.exp(F.col("below") - own)), (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
+        if state is None:
             level = level.withColumns({"part": F.lit(0.0), "rest": F.lit(1.0), "before": F.lit(0.5)})
         else:
             level = level.withColumn("shorter", F.col("node").bitwiseAND(F.lit((1 << 8 * d) - 1)))
-            level = level.join(mixed.select(F.col("node").alias("shorter"), "part", "rest", F.col("mixed").alias("before")), "shorter")
-        mixed = level.select(
-            "node", F.when(F.col("seen"), F.col("part") + F.col("rest") * F.col("one")).otherwise(F.col("before")).alias("mixed"),
-            (F.col("part") + F.col("rest") * F.col("weight") * F.col("one")).alias("part"),
-            (F.col("rest") * (1 - F.col("weight"))).alias("rest"))
-    # at most 255 nodes stand below one context
-    after = mixed.groupBy(F.shiftright("node", 8).alias("context")).agg(F.map_from_entries(F.collect_list(
-        F.struct(F.col("node").bitwiseAND(F.lit(255)).cast("int"), "mixed"))).alias("ones"))
-    log10 = "aggregate(sequence(0, 7), 0D, (s, b) -> s + log10(if(byte >> (7 - b) & 1 = 1, ones[(1 << b) | (byte >> (8 - b))], " \
-            "1 - ones[(1 << b) | (byte >> (8 - b))])))"
-    known = counts.select("run", F.shiftright("run", 8).alias("context"), byte.cast("int").alias("byte")).join(after, "context")
-    known = scratch.put(known.select("run", F.expr(log10).alias("log10")), "known")
-    scratch.drop(*[f"depth{d}" for d in range(depth + 1)])
+            level = level.join(state.withColumnRenamed("node", "shorter"), "shorter")
+        if d < tail:
+            state = level.select(
+                "node", (F.col("part") + F.col("rest") * weight * one).alias("part"), (F.col("rest") * (1 - weight)).alias("rest"),
+                F.when(seen, F.col("part") + F.col("rest") * one).otherwise(F.col("before")).alias("before"))
+
+    def downward(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(parts):
+            run = rows["n"] >= 0
+            group = Group(rows["key"][run], rows["n"][run], depth, tail)
+            order = np.argsort(rows["key"][~run])
+            logs = group.mixed(*(rows[c][~run][order] for c in ("part", "rest", "before")))
+            yield pa.record_batch({"run": pa.array(rows["key"][run]), "log10": pa.array(logs)})
+
+    none = F.lit(0.0)
+    both = counts.select(with_tail("run").alias("tail"), F.col("run").alias("key"), "n", none.alias("part"), none.alias("rest"),
+                         none.alias("before"))
+    both = both.unionAll(level.select(with_tail("node"), "node", F.lit(-1).cast("long"), "part", "rest", "before"))
+    with batches(scratch.spark, 20_000):
+        known = scratch.put(grouped(both).mapInArrow(downward, "run long, log10 double"), "known")
+    scratch.drop(*[f"depth{d}" for d in range(tail + 1)])
     return known
 
 
@@ -268,43 +343,49 @@ def score(df: DataFrame, learn: Column, text: str = "text", out: str = "lm", dep
                                      F.monotonically_increasing_id().alias("_number")), "rows")
     # rows were numbered as they were written: a block lies in one file
     block = F.shiftright("_number", 33) * (1 << 24) + F.expr(f"(_number & {(1 << 33) - 1}) div {per_block}")
-    stored = stored.withColumn("_block", block).drop("_number").withColumn(
-        "_bytes", F.coalesce(F.col(f"c{kept.columns.index(text)}").cast("binary"), F.lit(b"")))
-
-    counted = scratch.put(_counted(stored, depth), "counted")
-    runs_in = counted.filter("run is not null")
-    known = _probabilities(runs_in.groupBy("run").agg(F.sum("n").alias("n")), depth, scratch)
+    stored, place = stored.withColumn("_block", block).drop("_number"), f"c{kept.columns.index(text)}"
+
+    counted = scratch.put(_counted(stored.withColumn("_bytes", F.col(place).cast("binary")), depth), "counted")
+    runs_in = counted.filter("run is not null").select("_block", "run", "n")
+    counts = scratch.put(runs_in.groupBy("run").agg(F.sum("n").alias("n")), "counts")
+    known = _probabilities(counts, depth, scratch)
+    runs_of = scratch.put(runs_in.join(known, "run").groupBy("_block").agg(
+        F.collect_list(F.struct("run", "log10")).alias("l")).select("_block", "l.run", "l.log10"), "runs_of")
+    scratch.drop("counts", "known")
+    words_in = counted.filter("word is not null").select("_block", "word", "n")
     spread = Window.partitionBy("word")
-    words_in = scratch.put(counted.filter("word is not null").select(
-        "_block", "word", F.col("n"), F.sum("n").over(spread).alias("c"),
-        (F.row_number().over(spread.orderBy("_block")) == 1).alias("first")), "words")
+    words_in = scratch.put(words_in.withColumns({
+        "c": F.sum("n").over(spread), "first": F.row_number().over(spread.orderBy("_block")) == 1}), "words")
     ends = stored.filter("_learn").count()
     tokens, distinct = words_in.agg(F.sum("n"), F.count_if(F.col("first") & (F.col("c") > 0))).first()
     totals = {"ends": ends, "tokens": (tokens or 0) + ends, "distinct": distinct + (ends > 0)}
+    # a word whose whole count lies in a block is counted there again
+    words_of = scratch.put(words_in.filter("c > n").groupBy("_block").agg(F.collect_list(F.struct("word", "c")).alias("l"))
+                           .select("_block", "l.word", "l.c"), "words_of")
+    scratch.drop("counted", "words")
 
     no = F.lit(None)
-    runs_of = runs_in.select("_block", "run").join(known, "run").groupBy("_block").agg(
-        F.collect_list(F.struct("run", "log10")).alias("l"))
-    words_of = words_in.filter("c > 0").groupBy("_block").agg(F.collect_list(F.struct("word", "c")).alias("l"))
-    given = runs_of.select("_block", F.col("l.run").alias("runs"), F.col("l.log10").alias("logs"),
+    given = runs_of.select("_block", F.col("run").alias("runs"), F.col("log10").alias("logs"),
                            no.cast("array<binary>").alias("words"), no.cast("array<bigint>").alias("counts"))
-    given = given.unionAll(words_of.select("_block", no.cast("array<bigint>"), no.cast("array<double>"),
-                                           F.col("l.word"), F.col("l.c")))
+    given = given.unionAll(words_of.select("_block", no.cast("array<bigint>"), no.cast("array<double>"), "word", "c"))
 
     def scored(given: pa.Table, rows: pa.Table) -> pa.Table:
-        logs, counts = None, {}
+        texts = [(t or b"").lower() for t in rows.column(place).cast(pa.binary()).to_pylist()]
+        logs, counts = None, Counter()
+        for text, learn in zip(texts, rows.column("_learn").to_pylist()):
+            if learn:
+                counts.update(text.split())
         for runs_of, logs_of, words_of, counts_of in zip(*(given.column(c) for c in ("runs", "logs", "words", "counts"))):
             if runs_of.is_valid:
                 logs = Lookup(runs_of.values.to_numpy(), logs_of.values.to_numpy())
             else:
-                counts = dict(zip(words_of.values.to_pylist(), counts_of.values.to_pylist()))
-        found = _scores([t.lower() for t in rows.column("_bytes").to_pylist()], logs, counts, totals, depth)
-        whole = rows.drop_columns(["_block", "_bytes"])
+                dict.update(counts, zip(words_of.values.to_pylist(), counts_of.values.to_pylist()))
+        found = _scores(texts, logs, counts, totals, depth)
+        whole = rows.drop_columns(["_block", "_learn"])
         return whole.append_column("_scores", pa.StructArray.from_arrays(list(found.values()), names=list(found)))
 
-    rows = stored.drop("_learn")
-    schema = T.StructType([f for f in rows.schema.fields if f.name[0] == "c"] + [T.StructField("_scores", SCORES)])
-    found = given.groupBy("_block").cogroup(rows.groupBy("_block")).applyInArrow(scored, schema)
+    schema = T.StructType([f for f in stored.schema.fields if f.name[0] == "c"] + [T.StructField("_scores", SCORES)])
+    found = given.groupBy("_block").cogroup(stored.groupBy("_block")).applyInArrow(scored, schema)
     return found.toDF(*kept.columns, out)
 
 

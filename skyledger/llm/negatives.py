@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .centroids import batches, usable
-from .common import prepare
+from .centroids import usable
+from .common import batches, prepare
 from .sharding import number_rows
 
 PRIMES = (1021, 1019, 1013, 1009, 997, 991, 983)  # product beyond 2^69

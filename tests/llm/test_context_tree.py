@@ -91,10 +91,11 @@ def check(spark, rows, depth):
     return got
 
 
-@pytest.mark.parametrize("depth", [1, 3])
+@pytest.mark.parametrize("depth", [1, 4])
 def test_equals_the_definition(spark, monkeypatch, depth):
     monkeypatch.setattr(context_tree, "WINDOW", 40)
     monkeypatch.setattr(context_tree, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(context_tree, "ROWS", 50)
     draw = random.Random(depth)
     words = ["sun", "sand", "Sonne", "été", "a", "—"]
     rows = [(i, draw.choice([" ", "\n"]).join(draw.choices(words, k=draw.randint(0, 30))), draw.random() < 0.7) for i in range(40)]
