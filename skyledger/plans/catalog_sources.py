@@ -106,7 +106,7 @@ def _(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "points")
     for _ in range(2):  # writing the same batch twice must leave the same table
         points.write_points(t.points.unionByName(again), path)
-    stored = t.spark.read.parquet(path)
+    stored = points.read_points(t.spark, path)
     return stored.select("measurement", "mac", "data_format", "field", "ts", "value")
 
 
@@ -127,7 +127,7 @@ def _(t: Tables) -> DataFrame:
     stored = points.errors_to_points(t.forecast_errors).withColumn("run", F.lit(1))
     for part in (stored, stored.filter("cast(horizon AS INT) % 2 = 0")):
         points.upsert_points(part, path, points.ERROR_TAGS, "run")
-    return t.spark.read.parquet(path).select("measurement", "source", "horizon", "field", "ts", "value")
+    return points.read_points(t.spark, path).select("measurement", "source", "horizon", "field", "ts", "value")
 
 
 @query("a07_export_json", with_views(
@@ -313,6 +313,21 @@ def _(t: Tables) -> DataFrame:
     return points.apply_retention(t.points, 10, NOW)
 
 
+@query("a18_delete_expired", with_views(
+    "points",
+    "SELECT measurement, mac, data_format, field, date_trunc('second', ts) AS ts, value FROM points "
+    f"WHERE date_trunc('second', ts) >= timestamp '{NOW}' - interval '10' day - interval '5' hour QUALIFY "
+    "row_number() OVER (PARTITION BY measurement, mac, data_format, field, date_trunc('second', ts) ORDER BY event_id DESC) = 1",
+))
+def _(t: Tables) -> DataFrame:
+    """A stored table after retention, the edge inside a day."""
+    path = scratch_path(t.spark, "retention")
+    points.write_points(t.points, path)
+    edge = t.spark.range(1).select(F.lit(NOW).cast("timestamp") - F.expr("INTERVAL 5 HOURS")).first()[0]
+    points.delete_expired(t.spark, path, 10, edge)
+    return points.read_points(t.spark, path).select("measurement", "mac", "data_format", "field", "ts", "value")
+
+
 # --- binary decode -------------------------------------------------------------
 
 def _signed(c: str, wide: int = 16) -> str:

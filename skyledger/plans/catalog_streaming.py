@@ -37,7 +37,7 @@ def _bucket(every: str) -> str:
 def _(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "stream-points")
     live.stream_points(t.stream_readings, f"{path}/data", f"{path}/checkpoint", None).awaitTermination()
-    return t.spark.read.parquet(f"{path}/data").select(*POINT_COLUMNS.split(", "))
+    return points.read_points(t.spark, f"{path}/data").select(*POINT_COLUMNS.split(", "))
 
 
 @query("h01_stream_ingest", with_views(
@@ -140,9 +140,11 @@ def _(t: Tables) -> DataFrame:
 
 @query("h09_incremental_errors", with_views("forecast_errors", f"SELECT {ERROR_COLUMNS} FROM forecast_errors"), ERROR_VALUES)
 def _(t: Tables) -> DataFrame:
-    """A first run over everything, then the scheduled run that rewrites the last two days."""
+    """A first run over everything, two runs in the afternoon of a day, then the one that rewrites the last two days."""
     path = scratch_path(t.spark, "errors")
-    live.incremental_errors(t.readings, t.forecast_points, "2024-01-30 06:00:00", HORIZONS, path, 30 * 24)
+    live.incremental_errors(t.readings, t.forecast_points, "2024-01-29 06:00:00", HORIZONS, path, 30 * 24)
+    for _ in range(2):
+        live.incremental_errors(t.readings, t.forecast_points, "2024-01-29 15:00:00", HORIZONS, path, 48)
     table = live.incremental_errors(t.readings, t.forecast_points, NOW, HORIZONS, path, 48)
     return table.select(*ERROR_COLUMNS.split(", "))
 
@@ -159,7 +161,7 @@ def _(t: Tables) -> DataFrame:
                        None).awaitTermination()
     for _ in range(2):
         live.backfill(t.readings.filter("event_id % 3 = 0"), path)
-    return t.spark.read.parquet(path).select("measurement", "mac", "data_format", "field", "ts", "value")
+    return points.read_points(t.spark, path).select("measurement", "mac", "data_format", "field", "ts", "value")
 
 
 @query("i01_batch_callbacks", with_views(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import parse_iso, tag_map, tag_value
 from ..schemas import ERROR_FIELDS, FIELD_MEASUREMENT, FORECAST_FIELDS
-from ..session import drop_partitions, materialize, path_exists
+from .store import ConcurrentChange, Store
 
 READING_KEYS = ["event_id", "mac", "data_format", "ts"]
 
@@ -123,43 +123,54 @@ def dedupe_points(points: DataFrame, tags: list[str] = ("mac", "data_format"), l
 READING_TAGS, FORECAST_TAGS, ERROR_TAGS = ("mac", "data_format"), ("source", "data_type", "horizon"), ("source", "horizon")
 
 
-def write_points(points: DataFrame, path: str, mode: str = "overwrite", tags: tuple[str, ...] = READING_TAGS,
-                 later: str = "event_id") -> None:
-    """Store de-duplicated points by measurement and day.
+def points_store(spark: SparkSession, path: str) -> Store:
+    """The stored points: by measurement and day."""
+    return Store(spark, path, ["measurement", "date"])
 
-    With dynamic partition overwrite only the days present in the batch are
-    replaced: writing the same batch twice leaves the same table. The rebalance
-    hint clusters rows by day and lets AQE split a busy day and merge quiet ones.
-    ``tags`` name the columns that with the measurement, field and second identify
-    a point (readings, forecasts and errors each have theirs); of two points the one
-    larger in ``later`` stays.
-    """
+
+def read_points(spark: SparkSession, path: str, days: tuple[str, str] | None = None) -> DataFrame:
+    """Stored points of the newest version, optionally of the days from the first to the last given only."""
+    return points_store(spark, path).read(lambda part: days[0] <= (part["date"] or "") <= days[1] if days else True)
+
+
+def _by_day(points: DataFrame, tags: tuple[str, ...], later: str) -> DataFrame:
     day = dedupe_points(points, list(tags), later).withColumn("date", F.to_date("ts"))
-    (
-        day.hint("rebalance", "measurement", "date")
-        .write.mode(mode).option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", 5_000_000)
-        .partitionBy("measurement", "date").parquet(path)
-    )
+    return day.hint("rebalance", "measurement", "date")
+
+
+def write_points(points: DataFrame, path: str, tags: tuple[str, ...] = READING_TAGS, later: str = "event_id") -> int:
+    """Store de-duplicated points by measurement and day, in one commit; the version.
+
+    Only the days present in the batch are replaced: writing the same batch twice
+    leaves the same rows. The rebalance hint clusters rows by day and lets AQE
+    split a busy day and merge quiet ones. ``tags`` name the columns that with the
+    measurement, field and second identify a point (readings, forecasts and errors
+    each have theirs); of two points the one larger in ``later`` stays.
+    """
+    return points_store(points.sparkSession, path).commit(_by_day(points, tags, later))
 
 
-def upsert_points(points: DataFrame, path: str, tags: tuple[str, ...] = READING_TAGS, later: str = "event_id") -> None:
-    """Merge a batch (for instance late history) into stored points, touching only its days.
+def upsert_points(points: DataFrame, path: str, tags: tuple[str, ...] = READING_TAGS, later: str = "event_id") -> int:
+    """Merge a batch (for instance late history) into stored points, touching only its days; the version.
 
-    The days come back to the driver (a calendar is short), so the stored table
-    is read by partition and the rest of it is not opened. A table that does not
-    exist yet is begun.
+    The days come back to the driver (a calendar is short), so the rest of the
+    stored table is not opened. A table that does not exist yet is begun. Where
+    another writer has changed one of these days meanwhile, the merge starts again
+    from what it left.
     """
-    spark = points.sparkSession
-    if not path_exists(spark, path):
-        return write_points(points, path, tags=tags, later=later)
-    days = [r["date"] for r in points.select(F.to_date("ts").alias("date")).distinct().collect()]
+    store = points_store(points.sparkSession, path)
+    days = {str(r["date"]) for r in points.select(F.to_date("ts").alias("date")).distinct().collect()}
     columns = ["measurement", *tags, "field", "ts", "value", later]
-    fresh = dedupe_points(points, list(tags), later)
-    schema = fresh.withColumn("date", F.to_date("ts")).schema  # the table may have no rows yet
-    touched = spark.read.schema(schema).parquet(path).filter(F.col("date").isin(days)).select(*columns)
-    merged = materialize(touched.unionByName(fresh.select(*columns)), "upsert")
-    write_points(merged, path, tags=tags, later=later)
+    while True:
+        base = store.version() or 0
+        merged = points.select(*columns)
+        if base:
+            touched = store.read(lambda part: part["date"] in days, base)  # noqa: B023
+            merged = touched.select(*columns).unionByName(merged)
+        try:
+            return store.commit(_by_day(merged, tags, later), base=base)
+        except ConcurrentChange:
+            continue
 
 
 def apply_retention(points: DataFrame, days: int, now: str | datetime) -> DataFrame:
@@ -169,18 +180,24 @@ def apply_retention(points: DataFrame, days: int, now: str | datetime) -> DataFr
     return kept.filter(F.col("date") >= F.to_date(edge)) if "date" in points.columns else kept
 
 
-def delete_expired(spark: SparkSession, path: str, days: int, now: str | datetime, tags: tuple[str, ...] = READING_TAGS,
-                   later: str = "event_id") -> int:
-    """Remove stored points older than ``days`` days for good; how many day folders went.
+def delete_expired(spark: SparkSession, path: str, days: int, now: str | datetime, grace_seconds: float = 86_400) -> int:
+    """Remove stored points older than ``days`` days for good, in one commit; how many day folders went.
 
-    Days wholly before the edge are deleted unread, and the day of the edge is rewritten without its older points.
+    Days wholly before the edge are left out unread, and the day of the edge is rewritten without its older points.
+    The files go once neither the newest version nor the one before it lists them.
     """
     edge = F.lit(str(now)).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS")
     border = str(spark.range(1).select(F.to_date(edge).alias("d")).first()["d"])
-    gone = drop_partitions(spark, path, "date", lambda day: day < border)
-    stored = spark.read.parquet(path).filter(F.col("date") == border)
-    kept = materialize(stored.filter(F.col("ts") >= edge).drop("date"), "border")
-    drop_partitions(spark, path, "date", lambda day: day == border)
-    if not kept.isEmpty():
-        write_points(kept, path, "append", tags, later)
-    return gone
+    store = points_store(spark, path)
+    while base := store.version():
+        gone = sum(part["date"] < border for part in map(store.values, store.parts(base)))
+        stored = store.read(lambda part: part["date"] == border, base)
+        if not gone and stored.filter(F.col("ts") < edge).isEmpty():
+            return 0
+        try:
+            store.commit(stored.filter(F.col("ts") >= edge), lambda part: part["date"] <= border, base)
+        except ConcurrentChange:
+            continue
+        store.vacuum(grace_seconds=grace_seconds)
+        return gone
+    return 0

@@ -11,9 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.align import METRICS, align_run, forecast_errors, hourly_means
 from ..operators.filters import _instant
-from ..session import delete_path, drop_partitions, materialize, scratch_path
+from ..session import delete_path, scratch_path
 from ..sources.frames import frames_to_readings
 from ..sources.points import readings_to_points, upsert_points
+from ..sources.store import Store
 
 WATERMARK = "10 minutes"
 FLUSH = "10 seconds"
@@ -190,12 +191,19 @@ def stream_dedupe(readings: DataFrame, within: str = WATERMARK) -> DataFrame:
     return keyed.dropDuplicatesWithinWatermark(["mac", "_reading"]).drop("_reading")
 
 
+def errors_store(spark: SparkSession, path: str) -> Store:
+    """Forecast errors by the day they were measured."""
+    return Store(spark, path, ["date"])
+
+
 def incremental_errors(readings: DataFrame, forecasts: DataFrame, now: str, horizons: list[int], path: str,
                        look_back_hours: int = 48) -> DataFrame:
-    """Recompute the errors of the look-back and replace exactly those days in the stored table.
+    """Recompute the errors of the look-back, today's up to ``now`` among them, and replace exactly those days at once.
 
-    The window starts at a day border so that a replaced day is always whole.
+    The window starts at a day border so that a replaced day is always whole. Run again, at the same time or later the
+    same day, it replaces what it wrote; stopped on the way, it leaves the table as it was.
     """
+    spark, store = readings.sparkSession, errors_store(readings.sparkSession, path)
     start = F.date_trunc("day", _instant(now) - F.expr(f"INTERVAL {int(look_back_hours)} HOURS"))
     due = (F.col("ts") >= start) & (F.col("ts") < _instant(now))
     actual = hourly_means(readings.filter(due))
@@ -204,12 +212,10 @@ def incremental_errors(readings: DataFrame, forecasts: DataFrame, now: str, hori
     errors = forecast_errors(align_run(actual, predicted, horizons), ["source"]).withColumn(
         "date", F.to_date(F.col("ts") - F.expr("INTERVAL 1 SECOND"))
     )
-    # a recomputed day may have lost all its rows: what is stored of the look-back goes first
-    errors = materialize(errors, "errors")
-    first = readings.sparkSession.range(1).select(F.to_date(start).alias("d")).first()["d"]
-    drop_partitions(readings.sparkSession, path, "date", lambda day: str(first) <= day < str(now)[:10])
-    errors.write.mode("append").partitionBy("date").parquet(path)
-    return readings.sparkSession.read.parquet(path)
+    first, last = map(str, spark.range(1).select(F.to_date(start), F.to_date(_instant(now))).first())
+    # a recomputed day may have lost all its rows: every day of the look-back is replaced
+    store.commit(errors, lambda part: first <= (part["date"] or "") <= last)
+    return store.read()
 
 
 def backfill(history: DataFrame, path: str) -> None:

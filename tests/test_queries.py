@@ -68,11 +68,11 @@ def test_expired_points_are_deleted(spark, tables, tmp_path):
     path = str(tmp_path / "aging")
     points.write_points(tables.points, path)
     edge = "timestamp '2024-01-25 12:00:00'"
-    left = spark.read.parquet(path).filter(f"ts >= {edge}").count()
+    left = points.read_points(spark, path).filter(f"ts >= {edge}").count()
     assert points.delete_expired(spark, path, 5, "2024-01-30 12:00:00") > 10
-    stored = spark.read.parquet(path)
+    stored = points.read_points(spark, path)
     assert stored.count() == left and stored.filter(f"ts < {edge}").isEmpty()
-    assert points.delete_expired(spark, path, 5, "2024-01-30 12:00:00") == 0 and spark.read.parquet(path).count() == left
+    assert points.delete_expired(spark, path, 5, "2024-01-30 12:00:00") == 0 and points.read_points(spark, path).count() == left
 
 
 def test_stored_points_prune_partitions(spark, tables, tmp_path):
@@ -80,7 +80,7 @@ def test_stored_points_prune_partitions(spark, tables, tmp_path):
 
     path = str(tmp_path / "points")
     points.write_points(tables.points, path)
-    stored = spark.read.parquet(path)
+    stored = points.read_points(spark, path)
     recent = points.apply_retention(stored.filter("measurement = 'power'"), 3, "2024-01-31 00:00:00")
     partitions = plan_of(recent).split("PartitionFilters")[1].split("]")[0]
     assert "measurement" in partitions and "date" in partitions

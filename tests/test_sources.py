@@ -78,10 +78,10 @@ def test_current_json_zero_fill(spark):
 def test_write_points_replaces_only_its_days(spark, tables, tmp_path):
     path = str(tmp_path / "points")
     points.write_points(tables.points, path)
-    before = spark.read.parquet(path).groupBy("date").count().collect()
+    before = points.read_points(spark, path).groupBy("date").count().collect()
     day = tables.points.filter(F.to_date("ts") == "2024-01-05")
     points.write_points(day.withColumn("value", F.col("value") + 1), path)
-    after = spark.read.parquet(path)
+    after = points.read_points(spark, path)
     assert sorted(map(tuple, before)) == sorted(map(tuple, after.groupBy("date").count().collect()))
 
 

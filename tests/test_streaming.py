@@ -103,10 +103,12 @@ def test_late_rows_are_counted_and_backfilled(spark, landing, tmp_path):
     points.write_points(readings_to_points(rows.filter("event_id < 3")), table)
     for _ in range(2):
         live.backfill(rows.filter("event_id = 3"), table)
-    assert spark.read.parquet(table).filter("field = 'temperature'").count() == 3
+    assert points.read_points(spark, table).filter("field = 'temperature'").count() == 3
 
 
 def test_live_writes_and_backfill_share_a_table(spark, landing, tmp_path):
+    from skyledger.sources import points
+
     table = str(tmp_path / "points")
     rows = [(i, "a", 10 * i, i) for i in range(9)]
     live.backfill(spark.createDataFrame([], "event_id long, mac string, ts timestamp, temperature double, data_format int"), table + "-none")
@@ -119,7 +121,7 @@ def test_live_writes_and_backfill_share_a_table(spark, landing, tmp_path):
     land(spark, landing, rows[6:])
     for _ in range(2):
         live.backfill(spark.read.schema(SCHEMA).parquet(landing).withColumn("data_format", F.lit(5)), table)
-    assert spark.read.parquet(table).filter("field = 'temperature'").count() == 9
+    assert points.read_points(spark, table).filter("field = 'temperature'").count() == 9
 
 
 def test_readings_without_a_number_pass(spark, landing, tmp_path):
