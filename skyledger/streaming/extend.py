@@ -50,6 +50,7 @@ class ProgressLog(StreamingQueryListener):
         self.spark, self.path, self.held = spark, path, held
         self.rows: list[tuple] = []
         self._lock = threading.Lock()
+        self.ended = threading.Event()  # a query has ended and all its progress is here
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -65,6 +66,7 @@ class ProgressLog(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:
         if event.exception:
             self._add((str(event.id), None, 0.0, 0, 0, False))
+        self.ended.set()
 
     def _add(self, row: tuple) -> None:
         with self._lock:

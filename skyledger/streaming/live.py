@@ -3,21 +3,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..operators.align import METRICS, align_run, forecast_errors, hourly_means
 from ..operators.filters import _instant
-from ..session import delete_path, scratch_path
+from ..session import scratch_path
 from ..sources.frames import frames_to_readings
 from ..sources.points import readings_to_points, upsert_points
 from ..sources.store import Store
 
 WATERMARK = "10 minutes"
 FLUSH = "10 seconds"
+_STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -70,36 +77,40 @@ def stream_latest(readings: DataFrame, interval: str = FLUSH) -> DataFrame:
     return windows.select("mac", F.col("window.end").alias("flush_ts"), "r.*")
 
 
-def stream_last_seen(readings: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Last-seen time per sensor, saved per batch.
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB and save what changed, not all of it."""
+    before = {key: spark.conf.get(key, None) for key in _STATE_CONF}
+    for key, value in _STATE_CONF.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
-    Batch ``n`` merges version ``n - 1`` with its changes into version ``n``; a
-    replayed batch rewrites the same version from the same input. Versions before the last two are deleted.
-    """
-    spark = readings.sparkSession
-    changed = readings.groupBy("mac").agg(F.max("ts").alias("last_seen"))
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        merged = batch
-        if batch_id > 0:
-            previous = spark.read.schema(batch.schema).parquet(f"{path}/version={batch_id - 1}")
-            merged = previous.unionByName(batch).groupBy("mac").agg(F.max("last_seen").alias("last_seen"))
-        merged.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-        if batch_id > 1:
-            delete_path(spark, f"{path}/version={batch_id - 2}")
+def stream_last_seen(readings: DataFrame, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Last-seen time per sensor, kept as the keyed state of the stream.
 
+    A batch touches the sensors that reported in it and saves those alone. There is no second table to keep in step:
+    ``last_seen_table`` reads the state of the last finished batch, and a replayed batch starts from the one before it.
+    """
+    newest = readings.groupBy("mac").agg(F.max("ts").alias("last_seen"))
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    return (
-        changed.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-        .trigger(**trigger).foreachBatch(save).start()
-    )
+    with _state_on_disk(readings.sparkSession):
+        return (
+            newest.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+            .trigger(**trigger).format("noop").start()
+        )
 
 
-def last_seen_table(spark: SparkSession, path: str) -> DataFrame:
-    """The newest saved version."""
-    versions = spark.read.schema("mac string, last_seen timestamp, version int").parquet(path)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == newest).drop("version")
+def last_seen_table(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
+    """The state of ``stream_last_seen`` after its newest batch, or after an earlier one that is still kept."""
+    reader = spark.read.format("statestore")
+    if batch is not None:
+        reader = reader.option("batchId", batch)
+    return reader.load(checkpoint).select("key.mac", F.col("value.max").alias("last_seen"))
 
 
 def stream_stats(readings: DataFrame) -> DataFrame:
@@ -169,6 +180,56 @@ def stream_silence(readings: DataFrame, gap: str = "5 minutes") -> DataFrame:
     return _silence_rows(marked.groupBy(F.session_window("ts", gap), "mac").agg(F.count("*").alias("readings")), gap)
 
 
+def stream_silence_timers(readings: DataFrame, gap: str = "5 minutes") -> DataFrame:
+    """``mac, last_seen, alert_ts``: one alert for every sensor from which nothing arrived for ``gap``.
+
+    Each sensor has a timer on the clock, set anew by every batch in which it reports; so the alert needs no later
+    reading of any sensor, as ``stream_silence`` does, and comes when the whole feed stops. ``alert_ts`` is when the timer
+    ran out. A sensor that reports again can fall silent again. After a stop of the stream itself what has arrived
+    meanwhile is taken in before timers are looked at. Readings without a time or sensor set no timer.
+    """
+    spark = readings.sparkSession
+    wait = spark.range(1).select(F.unix_millis(F.expr(f"timestamp_seconds(0) + INTERVAL {gap}"))).first()[0]
+
+    class Silence(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.newest = handle.getValueState("newest", "micros long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            last = max(int(chunk["micros"].max()) for chunk in rows)
+            if self.newest.exists():
+                last = max(last, self.newest.get()[0])
+            self.newest.update((last,))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + wait)
+            return iter([])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            yield pd.DataFrame({"mac": [key[0]], "last": [self.newest.get()[0]], "alert": [expiredTimerInfo.getExpiryTimeInMs()]})
+
+        def close(self) -> None:
+            pass
+
+    def newest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a busy sensor is reduced where it is read
+        for part in parts:
+            best = pa.Table.from_batches([part]).group_by("mac").aggregate([("micros", "max")])
+            yield from best.rename_columns(["mac", "micros"]).to_batches()
+
+    seen = readings.filter(F.col("mac").isNotNull() & F.col("ts").isNotNull()).select("mac", F.unix_micros("ts").alias("micros"))
+    alerts = seen.mapInArrow(newest, "mac string, micros long").groupBy("mac").transformWithStateInPandas(
+        Silence(), "mac string, last long, alert long", "append", "processingTime")
+    return alerts.select("mac", F.timestamp_micros("last").alias("last_seen"), F.timestamp_millis("alert").alias("alert_ts"))
+
+
+def start_alerts(alerts: DataFrame, path: str, checkpoint: str, interval: str = FLUSH) -> StreamingQuery:
+    """Append alerts exactly once; timers are looked at every ``interval``, whether or not readings arrive."""
+    with _state_on_disk(alerts.sparkSession):
+        return start_append(alerts, path, checkpoint, interval=interval)
+
+
 def silent_now(last_seen: DataFrame, now: str, gap: str = "5 minutes") -> DataFrame:
     """Sensors whose last reading is at least ``gap`` before ``now``, from the saved last-seen table.
 

@@ -1,5 +1,7 @@
 """Streams over several batches, restarts and late rows."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,14 +52,73 @@ def test_latest_per_flush(spark, landing, tmp_path):
     assert sorted((r["mac"], r["event_id"]) for r in out.collect()) == [("a", 2), ("a", 3), ("b", 4)]
 
 
-def test_last_seen_merges_versions(spark, landing, tmp_path):
-    out, ckpt = str(tmp_path / "seen"), str(tmp_path / "ckpt")
+def seen(spark, checkpoint, batch=None):
+    found = live.last_seen_table(spark, checkpoint, batch).selectExpr("mac", "unix_seconds(last_seen) % 86400 as s")
+    return sorted(tuple(r) for r in found.collect())
+
+
+def test_last_seen_is_state(spark, landing, tmp_path):
+    ckpt = str(tmp_path / "ckpt")
     land(spark, landing, [(1, "a", 10, 1), (2, "b", 20, 1)])
-    live.stream_last_seen(stream(spark, landing), out, ckpt).awaitTermination()
+    live.stream_last_seen(stream(spark, landing), ckpt).awaitTermination()
+    assert seen(spark, ckpt) == [("a", 10), ("b", 20)]
     land(spark, landing, [(3, "a", 5, 2), (4, "c", 30, 1), (5, "b", 40, 1)])
-    live.stream_last_seen(stream(spark, landing), out, ckpt).awaitTermination()
-    seen = live.last_seen_table(spark, out).selectExpr("mac", "unix_seconds(last_seen) % 86400 as s")
-    assert sorted(tuple(r) for r in seen.collect()) == [("a", 10), ("b", 40), ("c", 30)]
+    live.stream_last_seen(stream(spark, landing), ckpt).awaitTermination()
+    assert seen(spark, ckpt) == [("a", 10), ("b", 40), ("c", 30)]
+
+
+def test_last_seen_survives_a_replayed_batch(spark, landing, tmp_path):
+    """The second batch is run again as if it had been lost before its end was noted."""
+    ckpt = tmp_path / "ckpt"
+    land(spark, landing, [(1, "a", 10, 1), (2, "b", 20, 1)])
+    live.stream_last_seen(stream(spark, landing), str(ckpt)).awaitTermination()
+    land(spark, landing, [(3, "b", 40, 1)])
+    live.stream_last_seen(stream(spark, landing), str(ckpt)).awaitTermination()
+    last = max(int(f.name) for f in (ckpt / "commits").iterdir() if f.name.isdigit())
+    for f in (ckpt / "commits").glob(f"*{last}*"):
+        f.unlink()
+    assert seen(spark, str(ckpt)) == [("a", 10), ("b", 20)]
+    land(spark, landing, [(4, "c", 50, 1)])
+    live.stream_last_seen(stream(spark, landing), str(ckpt)).awaitTermination()
+    assert seen(spark, str(ckpt)) == [("a", 10), ("b", 40), ("c", 50)]
+
+
+def test_last_seen_batches_save_what_changed(spark, landing, tmp_path):
+    """A thousand sensors, then one of them: the second batch writes one row of state."""
+    ckpt = str(tmp_path / "ckpt")
+    land(spark, landing, [(i, f"s{i}", 10, 1) for i in range(1000)])
+    live.stream_last_seen(stream(spark, landing), ckpt).awaitTermination()
+    land(spark, landing, [(2000, "s7", 20, 1)])
+    run = live.stream_last_seen(stream(spark, landing), ckpt)
+    run.awaitTermination()
+    updated = [p["stateOperators"][0]["numRowsUpdated"] for p in run.recentProgress if p["numInputRows"]]
+    assert updated == [1] and len(seen(spark, ckpt)) == 1000
+
+
+def wait_for(condition, seconds=90):
+    deadline = time.monotonic() + seconds
+    while not condition() and time.monotonic() < deadline:
+        time.sleep(0.3)
+    assert condition()
+
+
+def test_timers_tell_that_every_sensor_stopped(spark, landing, tmp_path):
+    """No reading follows; each alert comes once, also after a restart, and again after a new silence."""
+    out, ckpt = str(tmp_path / "alerts"), str(tmp_path / "ckpt")
+    alerts = lambda: sorted(tuple(r) for r in spark.read.schema("mac string, last_seen timestamp").parquet(out)
+                            .selectExpr("mac", "unix_seconds(last_seen) % 86400").collect())
+    start = lambda: live.start_alerts(live.stream_silence_timers(stream(spark, landing), "1 second"), out, ckpt, "1 second")
+    land(spark, landing, [(1, "a", 10, 1), (2, "b", 20, 1), (3, "a", 30, 2), (4, None, 40, 1)])
+    run = start()
+    wait_for(lambda: run.recentProgress and alerts() == [("a", 30), ("b", 20)])
+    run.stop()
+    land(spark, landing, [(5, "a", 25, 3)])  # late, but a sign of life
+    run = start()
+    wait_for(lambda: len(alerts()) == 3)
+    batches = len(run.recentProgress)
+    wait_for(lambda: len(run.recentProgress) >= batches + 2)
+    run.stop()
+    assert alerts() == [("a", 30), ("a", 30), ("b", 20)]
 
 
 def test_silence_is_reported_once_closed(spark, landing, tmp_path):
@@ -70,10 +131,10 @@ def test_silence_is_reported_once_closed(spark, landing, tmp_path):
 def test_a_feed_that_stops_is_told(spark, landing, tmp_path):
     """No reading follows the last one, so no watermark moves; the clock alone raises the alerts."""
     land(spark, landing, [(1, "a", 0, 1), (2, "b", 200, 2)])
-    live.stream_last_seen(stream(spark, landing), str(tmp_path / "seen"), str(tmp_path / "ckpt")).awaitTermination()
-    seen = live.last_seen_table(spark, str(tmp_path / "seen"))
-    day = seen.selectExpr("date_format(max(last_seen), 'yyyy-MM-dd')").first()[0]
-    told = lambda clock: sorted(r["mac"] for r in live.silent_now(seen, f"{day} {clock}").collect())
+    live.stream_last_seen(stream(spark, landing), str(tmp_path / "ckpt")).awaitTermination()
+    newest = live.last_seen_table(spark, str(tmp_path / "ckpt"))
+    day = newest.selectExpr("date_format(max(last_seen), 'yyyy-MM-dd')").first()[0]
+    told = lambda clock: sorted(r["mac"] for r in live.silent_now(newest, f"{day} {clock}").collect())
     assert told("00:04:00") == [] and told("00:05:00") == ["a"] and told("00:30:00") == ["a", "b"]
 
 
