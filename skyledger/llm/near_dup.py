@@ -324,39 +324,36 @@ def components(edges: DataFrame) -> DataFrame:
     return links_.select(F.col("u").alias("id"), F.col("v").alias("class"))
 
 
-def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, class_id`` of every row: rows in one class are exact copies or linked by near-duplicate pairs.
+def _text_classes(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows as ``id, same``; distinct texts as ``tid, first, same`` (their smallest id, their hash); ``id, class`` of the
+    texts that are linked to others, both numbers of texts.
 
-    The class is named by its smallest id. Null texts count as empty; empty texts are copies of each other, and texts
-    without any word match only their exact copies. An id given to several texts joins their classes. Rows with a null id get a null class and link nothing. Repeated
-    rows are returned as often as they occur; an empty table gives an empty table.
+    Texts are told apart by their hash from start to end, whatever ids they carry; rows with a null id take no part.
     """
     prepare(df.sparkSession)
-    named = df.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    named = df.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    hashed = named.withColumn("same", F.sha2("text", 256))
     # one pass over the texts; from here on rows are narrow
-    scanned = materialize(named.select("id", F.sha2("text", 256).alias("_same"), _sketched("text").alias("sketches")), "sketches")
-    # stored, so that the join below has a shuffle of its own, which may split a text of very many copies
-    first = materialize(scanned.filter("id is not null").groupBy("_same").agg(F.min("id").alias("first")), "first")
-    copies = materialize(scanned.select("id", "_same").join(first, "_same", "left").select(
-        "id", F.when(F.col("id").isNotNull(), F.col("first")).alias("first")), "copies")
-    # the smallest id of a text stands for its copies; one that stands for several texts does so with one of them
-    standing = materialize(first.groupBy(F.col("first").alias("id")).agg(F.min("_same").alias("_same")), "standing")
-    sketched = materialize(scanned.filter(F.size("sketches") > 0).join(standing, ["id", "_same"], "left_semi")
-                           .dropDuplicates(["id", "_same"]).select("id", "sketches"), "standing_sketches")
+    scanned = materialize(hashed.select("id", "same", _sketched("text").alias("sketches")), "sketches")
+    texts = materialize(scanned.filter("id is not null").groupBy("same").agg(
+        F.min("id").alias("first"), F.any_value("sketches").alias("sketches")).withColumn(
+        "tid", F.monotonically_increasing_id()), "texts")
+    sketched = texts.filter(F.size("sketches") > 0).select(F.col("tid").alias("id"), "sketches")
+    # a text is read where its smallest id has it
+    standing = texts.filter(F.size("sketches") > 0).select(F.col("first").alias("id"), "same", "tid")
 
     def prints_of(ids: DataFrame) -> DataFrame:
-        wanted = materialize(standing.join(ids, "id", "left_semi"), "wanted")  # broadcast if there are few
-        texts = named.withColumn("_same", F.sha2("text", 256)).join(wanted, ["id", "_same"], "left_semi")
-        return texts.dropDuplicates(["id", "_same"]).select("id", _shingled("text").alias("print"))
+        wanted = materialize(standing.join(ids.select(F.col("id").alias("tid")), "tid", "left_semi"), "wanted")  # broadcast if few
+        found = hashed.join(wanted, ["id", "same"]).dropDuplicates(["tid"])
+        return found.select(F.col("tid").alias("id"), _shingled("text").alias("print"))
 
-    several = copies.groupBy("id").agg(F.min("first").alias("a"), F.max("first").alias("_z")).filter("a <> _z")
-    tied = copies.join(several.select("id", "a"), "id").select("a", F.col("first").alias("b")).filter("a <> b")
     linked, prints = links(sketched, prints_of)
-    joined = components(linked.select("a", "b").union(tied))
-    classed = standing.join(joined, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    joined = components(linked.select("a", "b"))
+    classed = standing.join(joined.select(F.col("id").alias("tid"), "class"), "tid", "left").withColumn(
+        "class", F.coalesce("class", "tid"))
     # an inner join, which is not moved below the lists of shingles: no text is shuffled
-    listed = prefixes(named.withColumn("_same", F.sha2("text", 256))).join(classed, ["id", "_same"])
-    lists = materialize(listed.dropDuplicates(["id", "_same"]).select("id", "class", "n", "first"), "prefixes")
+    listed = prefixes(hashed).join(classed, ["id", "same"])
+    lists = materialize(listed.dropDuplicates(["tid"]).select(F.col("tid").alias("id"), "class", "n", "first"), "prefixes")
 
     def all_prints(ids: DataFrame) -> DataFrame:
         new = materialize(ids.join(prints, "id", "left_anti"), "new_ids")
@@ -365,12 +362,42 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     more = missed(lists, all_prints)
     if not more.isEmpty():
         joined = components(joined.select(F.col("id").alias("a"), F.col("class").alias("b")).union(more.select("a", "b")))
-    return copies.join(joined.select(F.col("id").alias("first"), "class"), "first", "left").select(
-        F.col("id").alias(doc_id), F.coalesce("class", "first").alias("class_id"))
+    return scanned.select("id", "same"), texts.select("tid", "first", "same"), joined
+
+
+def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, class_id`` of every row: rows in one class are exact copies or linked by near-duplicate pairs.
+
+    The class is named by its smallest id. Null texts count as empty; empty texts are copies of each other, and texts
+    without any word match only their exact copies. Every text of an id given to several finds its own links, and the
+    id, being one document in the result, joins their classes. Rows with a null id get a null class and link nothing.
+    Repeated rows are returned as often as they occur; an empty table gives an empty table.
+    """
+    rows, texts, joined = _text_classes(df, doc_id, text)
+    # stored, so that the join has a shuffle of its own, which may split a text of very many copies
+    copies = materialize(rows.join(texts.select("same", "tid"), "same", "left").select(
+        "id", F.when(F.col("id").isNotNull(), F.col("tid")).alias("tid")), "copies")
+    several = copies.groupBy("id").agg(F.min("tid").alias("a"), F.max("tid").alias("z")).filter("a <> z")
+    tied = materialize(copies.join(several.select("id", "a"), "id").select("a", F.col("tid").alias("b")).filter("a <> b"), "tied")
+    if not tied.isEmpty():
+        joined = components(joined.select(F.col("id").alias("a"), F.col("class").alias("b")).union(tied))
+    classed = texts.join(joined.withColumnRenamed("id", "tid"), "tid", "left").select(
+        "tid", "first", F.coalesce("class", "tid").alias("class"))
+    names = classed.groupBy("class").agg(F.min("first").alias("class_id"))
+    named = materialize(classed.join(names, "class").select("tid", "class_id"), "classes")
+    return copies.join(named, "tid", "left").select(F.col("id").alias(doc_id), "class_id")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class, the one of its smallest id; rows with a null id all stay."""
-    kept = classes(df, doc_id, text).filter(F.col(doc_id) == F.col("class_id")).select(doc_id).distinct()
-    return df.join(kept, doc_id, "left_semi").dropDuplicates([doc_id]).select(*df.columns).unionByName(
-        df.filter(F.col(doc_id).isNull()))
+    """One row of each class of texts, of the smallest id and then the smallest hash; rows with a null id all stay.
+
+    Unlike in ``classes`` an id ties nothing: of an id given to unlike texts each of them stays.
+    """
+    _, texts, joined = _text_classes(df, doc_id, text)
+    classed = texts.join(joined.withColumnRenamed("id", "tid"), "tid", "left").withColumn("class", F.coalesce("class", "tid"))
+    kept = materialize(classed.groupBy("class").agg(F.min(F.struct("first", "same")).alias("k")).select(
+        F.col("k.first").alias("_first"), F.col("k.same").alias("_same")), "kept")
+    hashed = df.withColumns({"_first": F.col(f"`{doc_id}`"), "_same": F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)})
+    one = hashed.join(kept, ["_first", "_same"], "left_semi").dropDuplicates(["_first", "_same"])
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return one.select(*columns).unionByName(df.filter(F.col(f"`{doc_id}`").isNull()).select(*columns))
