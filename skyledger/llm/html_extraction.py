@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from .common import prepare
 TREES, DEPTH, RATE, BINS, SMOOTHING, LEAST = 60, 4, 0.25, 32, 1.0, 8
 
 # The elements of HTML by how they lay out.
-_RAW = "script|style|template|textarea|title|iframe|svg|select|canvas|audio|video"
+_RAW = frozenset("script style template textarea title iframe svg select canvas audio video".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = (
     "html body main article section div nav header footer aside form fieldset p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table "
@@ -35,10 +37,11 @@ _BLOCK = frozenset(_BLOCKS)
 _IN_P = _BLOCK - frozenset(("html", "body", "td", "th", "tr", "caption", "object", "noscript"))  # what a paragraph cannot hold
 _IN_HEAD = frozenset(("base", "basefont", "bgsound", "link", "meta", "noscript"))  # besides those of _RAW; all others end it
 _LIST_ITEMS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])(?:[^>]*[^>/])?>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<[!?][^>]*>"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S | re.I)
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role|data-mark)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_START = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_REST = re.compile(r"""((?:"[^"]*+"|'[^']*+'|[^>"']++)*+)>""")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in _RAW}
+_NAMED, _MARKED = (re.compile(rf"""(?:^|\s)({names})\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)""", re.I) for names in (
+    "class|id|role", f"class|id|role|{html_layouts.MARK}"))
 _WORDS = re.compile("[a-z]+")
 
 _KINDS = list(html_layouts.NAMES)
@@ -48,68 +51,141 @@ _TAG_GROUPS = ("article main", "section", "div", "nav menu", "header", "footer",
 _GROUP = {tag: i for i, tags in enumerate(_TAG_GROUPS) for tag in tags.split()}
 
 
+def _tokens(source: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Start, end, element, whether it is an end tag, and attributes of every tag; other markup has no element.
+
+    Reads on from every character at most a few times: a tag that has no end takes the rest of the page with it, and
+    once a quote is not closed again, quotes no longer hide the end of a tag.
+    """
+    at, size, last, quoted = 0, len(source), source.rfind(">"), True
+    while (at := source.find("<", at)) >= 0:
+        if source.startswith(("<!", "<?"), at):
+            comment = source.startswith("<!--", at)
+            end = source.find("-->", at + 4) + 3 if comment else source.find(">", at) + 1
+            end = end if end > at else size
+            yield at, end, None, False, ""
+            at = end
+            continue
+        start = _START.match(source, at)
+        if not start:
+            at += 1
+            continue
+        if at > last:
+            yield at, size, None, False, ""
+            return
+        name, closing, end = start.group(2).lower(), bool(start.group(1)), start.end()
+        rest = _REST.match(source, end) if quoted else None
+        if rest:
+            attributes, end = rest.group(1), rest.end()
+        else:
+            quoted = False
+            close = source.find(">", end)
+            attributes, end = source[end:close], close + 1
+        if name in _RAW and not closing and not attributes.endswith("/"):
+            stop = _RAW_END[name].search(source, end)
+            end = (source.find(">", stop.end()) + 1 if stop else 0) or size
+            yield at, end, None, False, ""
+        else:
+            yield at, end, name, closing, attributes
+        at = end
+
+
+class _Open:
+    """Open elements and the block each belongs to; the nearest of a name is known without a search."""
+
+    def __init__(self):
+        self.elements: list[tuple[str, int]] = [("html", 0)]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.links = 0
+
+    def push(self, name: str, block: int) -> None:
+        self.places[name].append(len(self.elements))
+        if name in _BLOCK:
+            self.blocks.append(len(self.elements))
+        self.elements.append((name, block))
+        self.links += name == "a"
+
+    def nearest(self, *names: str) -> int:
+        """Place of the innermost open element of these names, 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def cut(self, place: int) -> bool:
+        """Close the element at ``place`` and all inside it; whether a block was among them."""
+        block = False
+        for name, _ in self.elements[place:]:
+            self.places[name].pop()
+            self.links -= name == "a"
+            if name in _BLOCK:
+                self.blocks.pop()
+                block = True
+        del self.elements[place:]
+        return block
+
+
 class Page:
-    """Blocks of one page in document order, the text of each, and what its start tag says."""
+    """Blocks of one page in document order, the text of each, and what its start tag says.
 
-    def __init__(self, source: str):
+    ``marked`` pages are annotated ones: only there the marker attribute is read.
+    """
+
+    def __init__(self, source: str, marked: bool = False):
         self.tags, self.parents, self.kinds, self.marks = ["html"], [-1], [0], [None]
         self.inputs = [0]
         self.texts: list[tuple[int, str, bool, int]] = []  # block, text, inside a link, number of the run
-        self._run = 0
+        self._run, self._named = 0, _MARKED if marked else _NAMED
         self._read(source)
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the block each belongs to
-        links = head = 0
+        stack = _Open()
+        head = False
         at = 0
-        for token in _TOKEN.finditer(source):
-            if token.start() > at:
-                between = source[at:token.start()]
+        for start, end, name, closing, attributes in _tokens(source):
+            if start > at:
+                between = source[at:start]
                 head = head and between.isspace()
                 if not head:
-                    self._text(between, stack[-1][1], links > 0)
-            at = token.end()
-            name = token.group(3)
+                    self._text(between, stack)
+            at = end
             if name is None:
                 continue
-            name = name.lower()
             if name == "head":
-                head = not token.group(2) and len(self.tags) == 1
+                head = not closing and len(self.tags) == 1
                 continue
-            head = head and (bool(token.group(2)) or name in _IN_HEAD)
-            if token.group(2):
-                links, closed = self._close(stack, name, links)
+            head = head and (closing or name in _IN_HEAD)
+            block = stack.elements[-1][1]
+            if closing:
+                closed = self._close(stack, name)
                 self._run += name == "p" and not closed  # stands for an empty paragraph
             elif name in _VOID:
                 if name == "br":
-                    self.texts.append((stack[-1][1], " ", False, self._run))
-                self.inputs[stack[-1][1]] += name == "input"
-            elif name == "html" or (name == "body" and len(stack) > 1):
+                    self.texts.append((block, " ", False, self._run))
+                self.inputs[block] += name == "input"
+            elif name == "html" or (name == "body" and len(stack.elements) > 1):
                 continue
             else:
-                if name in _IN_P:
-                    links = self._end_paragraph(stack, links)
+                if name in _IN_P and stack.blocks and stack.elements[stack.blocks[-1]][0] == "p":
+                    self._close(stack, "p")
                 if name in _LIST_ITEMS:
-                    links = self._end_item(stack, name, links)
-                block = stack[-1][1]
+                    self._end_item(stack, name)
+                block = stack.elements[-1][1]
                 if name in _BLOCK:
-                    block = self._open(name, block, token.group(4))
+                    block = self._open(name, block, attributes)
                 else:
                     self.inputs[block] += name == "button"
-                stack.append((name, block))
-                links += name == "a"
+                stack.push(name, block)
         if at < len(source) and not (head and source[at:].isspace()):
-            self._text(source[at:], stack[-1][1], links > 0)
+            self._text(source[at:], stack)
 
-    def _text(self, text: str, block: int, linked: bool) -> None:
-        self.texts.append((block, html.unescape(text) if "&" in text else text, linked, self._run))
+    def _text(self, text: str, stack: _Open) -> None:
+        self.texts.append((stack.elements[-1][1], html.unescape(text) if "&" in text else text, stack.links > 0, self._run))
 
     def _open(self, name: str, parent: int, attributes: str) -> int:
         self.tags.append(name)
         self.parents.append(parent)
         self.inputs.append(0)
         kinds, mark = 0, None
-        for key, value in _NAMED.findall(attributes) if attributes else ():
+        for key, value in self._named.findall(attributes) if attributes else ():
             value = value.strip("\"'").lower()
             if key == html_layouts.MARK:
                 mark = int(value)
@@ -124,33 +200,19 @@ class Page:
         self._run += 1
         return len(self.tags) - 1
 
-    def _close(self, stack: list[tuple[str, int]], name: str, links: int) -> tuple[int, bool]:
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth][0] == name:
-                closed = stack[depth:]
-                del stack[depth:]
-                self._run += any(n in _BLOCK for n, _ in closed)
-                return links - sum(n == "a" for n, _ in closed), True
-            if name not in _BLOCK and stack[depth][0] in _BLOCK:
-                break  # an inline end tag does not close the block around it
-        return links, False
-
-    def _end_paragraph(self, stack: list[tuple[str, int]], links: int) -> int:
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth][0] == "p":
-                return self._close(stack, "p", links)[0]
-            if stack[depth][0] in _BLOCK:
-                break
-        return links
-
-    def _end_item(self, stack: list[tuple[str, int]], name: str, links: int) -> int:
+    def _close(self, stack: _Open, name: str) -> bool:
+        place = stack.nearest(name)
+        # an inline end tag does not close the block around it
+        if not place or (name not in _BLOCK and stack.blocks and stack.blocks[-1] > place):
+            return False
+        self._run += stack.cut(place)
+        return True
+
+    def _end_item(self, stack: _Open, name: str) -> None:
         alike = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth][0] in alike:
-                return self._close(stack, stack[depth][0], links)[0]
-            if stack[depth][0] in _LIST_ITEMS[name]:
-                break
-        return links
+        place = stack.nearest(*alike)
+        if place > stack.nearest(*_LIST_ITEMS[name]):
+            self._run += stack.cut(place)
 
     def features(self) -> np.ndarray:
         """One row per block."""
@@ -277,7 +339,7 @@ def odds(model: dict, x: np.ndarray) -> np.ndarray:
 
 def train(spark: SparkSession, layouts: int = html_layouts.LAYOUTS) -> Broadcast:
     """Fit on ``layouts`` annotated pages; the outermost block counts as kept."""
-    pages = [Page(p) for p in html_layouts.pages(layouts)]
+    pages = [Page(p, marked=True) for p in html_layouts.pages(layouts)]
     marks = np.array([m if m is not None else 1 for p in pages for m in p.marks], float)
     return spark.sparkContext.broadcast(boost(np.concatenate([p.features() for p in pages]), marks))
 
@@ -297,7 +359,8 @@ def extract(df: DataFrame, model: Broadcast, source: str = "html", out: str = "t
     """Add ``out``: the main text of the page in ``source``.
 
     Null and empty pages, and pages without an article, give empty texts. Markup that is not closed or nested as it
-    should be is read as browsers do. A column named ``out`` is replaced; the other columns and repeated rows stay; an
+    should be is read as browsers do; a tag, comment or raw element that has no end takes the rest of the page. The time
+    a page takes grows with its length, whatever it holds. A column named ``out`` is replaced; the other columns and repeated rows stay; an
     empty table gives an empty table.
     """
     prepare(df.sparkSession)

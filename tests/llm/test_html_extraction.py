@@ -1,4 +1,7 @@
+import itertools
+import random
 import re
+import time
 
 import pytest
 
@@ -19,7 +22,7 @@ def test_unseen_layouts(model):
     lost = extra = total = 0
     for seed in range(50_000, 50_150):
         source = html_layouts._Writer(seed).page()
-        page = h.Page(source)
+        page = h.Page(source, marked=True)
         want = page.text([m == 1 for m in page.marks]).split("\n")
         got = one(model, re.sub(r' data-mark="\d"', "", source)).split("\n")
         total, lost, extra = total + len(want), lost + len(set(want) - set(got)), extra + len(set(got) - set(want))
@@ -97,3 +100,49 @@ def test_query(spark):
         blocks = re.split("</?(?:p|h1)>", article)
         plain = [" ".join(h.html.unescape(re.sub("<[^>]*>", " ", b.replace("<b>", "").replace("</b>", ""))).split()) for b in blocks]
         assert r["text"] == "\n".join(filter(None, plain)) and r["n_chars"] == len(r["text"])
+
+
+def test_attributes_of_real_pages_mark_nothing(model):
+    for value in ("x", "", "1.5", "0", "1"):
+        source = f'<article data-mark="{value}"><h1>Title of it</h1>{PARTS}</article><p data-mark={value}></p>'
+        page = h.Page(source)
+        assert page.marks == [None] * len(page.tags)
+        assert one(model, source) == one(model, source.replace("data-mark", "data-any"))
+
+
+HOSTILE = {
+    "unfinished raw elements": lambda n: "<script " * (n // 8),
+    "unfinished links": lambda n: "<a " * (n // 3),
+    "unmatched paragraph ends": lambda n: "<div>" * (n // 9) + "</p>" * (n // 9),
+    "unmatched inline ends": lambda n: "<b>" * (n // 7) + "</i>" * (n // 7),
+    "inline ends of an outer block": lambda n: "<i><div>" + "<b>" * (n // 7) + "</i>" * (n // 7),
+    "quotes that hide every end": lambda n: '<a ">" ' * (n // 7) + "'",
+    "quotes left open": lambda n: "<a \" '" * (n // 6) + ">",
+    "items in deep blocks": lambda n: "<ul>" + "<div>" * (n // 12) + "<li></b>" * (n // 12),
+    "paragraphs in open markup": lambda n: "<b>" * (n // 10) + "<p></p>" * (n // 10),
+    "raw elements without an end": lambda n: "<script>" + "</script " * (n // 9),
+    "attributes without values": lambda n: "<div " + "class   " * (n // 8) + "><p>x</p>",
+    "comments": lambda n: "<!--" * (n // 4),
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_time_grows_with_the_page(kind):
+    source = HOSTILE[kind](1_000_000)
+    started = time.process_time()
+    page = h.Page(source)
+    page.text([True] * len(page.tags))
+    assert time.process_time() - started < 4  # measured: at most about a second
+
+
+def test_decoding_is_the_best_of_all_kept_sets():
+    draw = random.Random(8)
+    for _ in range(150):
+        page = h.Page("")
+        size = draw.randint(1, 9)
+        page.parents = [-1] + [draw.randrange(i) for i in range(1, size)]
+        odds = [draw.uniform(-3, 3) for _ in range(size)]
+        allowed = [kept for kept in itertools.product([False, True], repeat=size)
+                   if all(kept[page.parents[i]] or not kept[i] for i in range(1, size))]
+        best = max(allowed, key=lambda kept: sum(o for o, k in zip(odds, kept) if k))
+        assert page.decode(h.np.array(odds)) == list(best)
