@@ -43,6 +43,7 @@ SKETCHES, LENGTH = 16, 3
 FINER = ((0, 1, 2), (0, 3, 7), (0, 1, 5, 10), (0, 2, 6, 9))
 _TOGETHER = 4096  # shingles of one text hashed for all sketches at once
 CELL_BITS, CHUNK_BITS = 22, 16  # shingles are counted in so many cells, and the counts added up in chunks
+SIEVE_BITS = 28  # 32 MB
 
 _ODD = np.random.default_rng(20).integers(1, 2**63, SKETCHES + WORDS, np.uint64) | np.uint64(1)
 
@@ -164,7 +165,55 @@ def _longer(left: DataFrame, sketched: DataFrame, turn: int) -> DataFrame:
     return left.join(sketched, "id").select(_of_sketches(3 * turn, more, F.col("key")).alias("key"), "id", "rank")
 
 
+class Sieve:
+    """A Bloom filter of one hash that drops, where rows are read, most of those whose key is not among ``keys``.
+
+    It has 16 bits a key up to ``2^SIEVE_BITS`` bits; beyond, it drops less. What passes is joined exactly afterwards.
+    """
+
+    def __init__(self, keys: DataFrame, column: str):
+        count = keys.count()
+        self.bits = min(SIEVE_BITS, max(15, (16 * count).bit_length()))
+        place = self._place(F.col(column)) + 1
+        buckets = keys.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy(
+            "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        whole = np.zeros((1 << self.bits - 15, 1 << 12), np.uint8)
+        for r in materialize(buckets, "sieve").collect():  # at most 2^SIEVE_BITS bits
+            whole[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
+        self.held = keys.sparkSession.sparkContext.broadcast(whole.ravel())
+
+    def _place(self, key: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(key), 64 - self.bits)
+
+    def passes(self, key: Column) -> Column:
+        """Whether a key may be among them."""
+        held = self.held
+
+        @F.arrow_udf("boolean")
+        def known(places: pa.Array) -> pa.Array:
+            return pa.array(_set(held.value, places.to_numpy(zero_copy_only=False)))
+
+        return known(self._place(key))
+
+    def passing(self, keys: Column) -> Column:
+        """The places in an array of those that may be among them."""
+        held = self.held
+
+        @F.arrow_udf("array<int>")
+        def known(places: pa.Array) -> pa.Array:
+            found = [np.flatnonzero(_set(held.value, np.array(p, np.int64))) if p else [] for p in places.to_pylist()]
+            return pa.array(found, pa.list_(pa.int32()))
+
+        return known(F.transform(keys, self._place))
+
+
+def _set(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
+
+
 def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    asked = Sieve(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
+    prints = prints.filter(asked.passes(F.col("id")))
     both = pairs.join(prints.select(F.col("id").alias("a"), F.col("print").alias("_pa")), "a").join(
         prints.select(F.col("id").alias("b"), F.col("print").alias("_pb")), "b")
     return materialize(both.select("a", "b", _compared("_pa", "_pb").alias("similarity"))
@@ -197,7 +246,7 @@ def _led(rows: DataFrame, sketched: DataFrame, prints: DataFrame) -> DataFrame:
                               .filter("id <> leader"), "starred")
         if starred.isEmpty():
             break
-        pairs = starred.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        pairs = materialize(starred.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "pairs")
         verified = _verified(pairs, prints)
         found.append(verified)
         matched = verified.select(F.explode(F.array(
@@ -255,9 +304,9 @@ def shingle_levels(texts: DataFrame) -> Broadcast:
                                          ["chunk", "levels"])
 
     found = texts.select("text").mapInArrow(counted, "chunk int, cells binary").groupBy("chunk").applyInArrow(
-        added, "chunk int, levels binary").collect()
+        added, "chunk int, levels binary")
     levels = np.zeros(1 << CELL_BITS, np.uint8)
-    for r in found:
+    for r in materialize(found, "levels").collect():
         levels[r["chunk"] * chunk:(r["chunk"] + 1) * chunk] = np.frombuffer(r["levels"], np.uint8)
     return texts.sparkSession.sparkContext.broadcast(levels)
 
@@ -283,7 +332,8 @@ def missed(lists: DataFrame, prints_of: Callable[[DataFrame], DataFrame]) -> Dat
     # a shingle that only one class has among its first ones links nothing
     several = materialize(lists.select(F.explode("first").alias("key"), "class").groupBy("key").agg(
         F.min("class").alias("_a"), F.max("class").alias("_z")).filter("_a <> _z").select("key"), "several")
-    rows = lists.select("id", "class", "n", F.posexplode("first").alias("at", "key"))
+    rows = lists.select("id", "class", "n", "first", F.explode(Sieve(several, "key").passing(F.col("first"))).alias("at"))
+    rows = rows.select("id", "class", "n", "at", F.col("first")[F.col("at")].alias("key"))
     rows = materialize(rows.join(several, "key"), "first_shingles")
     # the shorter text, of equal ones that of the smaller id, is looked up by fewer of its shingles
     share = SIMILARITY / (1 + SIMILARITY)
