@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import packed_order
 from ..session import materialize
 from .align import errors_long
 from .filters import interval, last, time_range
@@ -113,9 +114,9 @@ def recent_activity(points: DataFrame, now: str, duration: str = "10m") -> DataF
 # --- latest values ---------------------------------------------------------
 
 def last_value(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Newest value per series; ``max_by`` keeps one row per series before the shuffle."""
-    newest = F.max_by(F.struct("ts", "value"), F.struct("ts", "event_id")).alias("newest")
-    return points.groupBy(*keys).agg(newest).select(*keys, "newest.ts", "newest.value")
+    """Newest value per series, ties by id; one row per series leaves the hash table of each task."""
+    newest = F.max_by("value", packed_order("ts", "event_id")).alias("value")
+    return points.groupBy(*keys).agg(F.max("ts").alias("ts"), newest)
 
 
 def latest_wide(points: DataFrame, fields: list[str], keys: list[str] = ("mac",)) -> DataFrame:

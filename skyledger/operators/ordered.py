@@ -100,10 +100,9 @@ _MARGIN = 5.0 / _ACCURACY  # the sketch is within 1 / accuracy of the true rank
 def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
     """Exact linearly interpolated quantiles: one row per column, ``n, q0 .. qk``.
 
-    A sketch brackets each quantile, a second scan counts what lies below each
-    bracket and keeps only the values inside (about a thousandth of the rows),
-    and the exact value is picked among those. Should a bracket miss its rank,
-    all values are ranked.
+    A sketch brackets each quantile; a second scan keeps the values inside brackets (about a thousandth of the rows)
+    and, for all others, only how many lie in each gap between brackets. Running totals over both give every kept value
+    its rank in the whole column. Should a bracket miss its rank, all values are ranked.
     """
     aggs = []
     for c in columns:
@@ -112,50 +111,64 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFram
         aggs += [F.count(value).alias(f"{c}|n"), F.percentile_approx(value, sides, _ACCURACY).alias(f"{c}|b")]
     sketch = df.agg(*aggs).first()
     totals = {c: sketch[f"{c}|n"] for c in columns}
-    found = _bracketed(df, columns, probs, totals, {c: sketch[f"{c}|b"] for c in columns})
+    brackets = {c: list(zip(sketch[f"{c}|b"][::2], sketch[f"{c}|b"][1::2])) for c in columns if totals[c]}
+    found = _bracketed(df, probs, totals, brackets)
     return quantiles_of(ranked_values(df, columns), probs) if found is None else found
 
 
-def _bracketed(df: DataFrame, columns: list[str], probs: list[float], totals: dict[str, int],
-               sides: dict[str, list[float] | None]) -> DataFrame | None:
+def _merged(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Brackets in order, those that touch as one."""
+    out: list[tuple[float, float]] = []
+    for lo, hi in sorted(brackets):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _cell(value: Column, kept: list[tuple[float, float]]) -> Column:
+    """Odd numbers for brackets, even ones for the gaps before, between and after them."""
+    place = F.when(value < kept[0][0], 0).when(value <= kept[0][1], 1)
+    for i, (lo, hi) in enumerate(kept[1:], 1):
+        place = place.when(value < lo, 2 * i).when(value <= hi, 2 * i + 1)
+    return place.otherwise(2 * len(kept))
+
+
+def _bracketed(df: DataFrame, probs: list[float], totals: dict[str, int],
+               brackets: dict[str, list[tuple[float, float]]]) -> DataFrame | None:
     """Quantiles from the values inside the brackets, or None if a bracket missed its rank."""
-    brackets = {
-        (c, i): (sides[c][2 * i], sides[c][2 * i + 1]) for c in columns if totals[c] for i in range(len(probs))
-    }
     schema = "column string, n long, " + ", ".join(f"q{i} double" for i in range(len(probs)))
     if not brackets:
         return df.sparkSession.createDataFrame([], schema)
-    inside = F.array_compact(F.array(*[
-        F.when(F.col(c).cast("double").between(lo, hi),
-               F.struct(F.lit(f"{c}|{i}").alias("slot"), F.col(c).cast("double").alias("value")))
-        for (c, i), (lo, hi) in brackets.items()
-    ]))
-    below = df.agg(*[
-        F.count_if(F.col(c).cast("double") < lo).alias(f"{c}|{i}") for (c, i), (lo, _) in brackets.items()
-    ]).first()
-    counts = df.select(F.inline(inside)).groupBy("slot", "value").agg(F.count("*").alias("n"))
-    ranked = running_before(counts, ["slot"], ["value"], F.col("n"), "before")
-
-    wanted = []  # (slot, rank inside the bracket's values, is upper neighbour)
-    for c, i in brackets:
-        position = probs[i] * (totals[c] - 1)
-        for upper, rank in ((False, math.floor(position)), (True, math.ceil(position))):
-            wanted.append((f"{c}|{i}", rank - below[f"{c}|{i}"], upper))
+    values = [(c, F.col(c).cast("double"), _merged(b)) for c, b in brackets.items()]
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.when(v.isNotNull(), _cell(v, kept)).alias("cell"), v.alias("value"))
+        for c, v, kept in values
+    ])
+    inside = F.when(F.col("cell") % 2 == 1, F.col("value")).alias("value")
+    counts = (
+        df.select(F.inline(cells)).filter(F.col("cell").isNotNull())
+        .groupBy("column", "cell", inside).agg(F.count("*").alias("n"))
+    )
+    ranked = running_before(counts, ["column"], ["cell", "value"], F.col("n"), "before")
+
+    positions = {(c, i): p * (totals[c] - 1) for c in brackets for i, p in enumerate(probs)}
+    wanted = [(c, i, rank(position), upper) for (c, i), position in positions.items()
+              for upper, rank in ((False, math.floor), (True, math.ceil))]
     spark = df.sparkSession
-    asked = spark.createDataFrame(wanted, "slot string, rank long, upper boolean")
-    hits = ranked.join(asked, "slot").filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
-    picked = {(r["slot"], r["upper"]): r["value"] for r in hits.select("slot", "upper", "value").collect()}  # two per bracket
+    asked = spark.createDataFrame(wanted, "column string, i int, rank long, upper boolean")
+    hits = ranked.filter(F.col("value").isNotNull()).join(asked, "column").filter(
+        (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
+    picked = {(r["column"], r["i"], r["upper"]): r["value"] for r in hits.select("column", "i", "upper", "value").collect()}  # two per quantile
     if len(picked) < len(wanted):
         return None
-    rows = []
-    for c in columns:
-        row = [c, totals[c]]
-        for i, p in enumerate(probs):
-            lo, hi = picked.get((f"{c}|{i}", False)), picked.get((f"{c}|{i}", True))
-            position = p * (totals[c] - 1)
-            row.append(None if lo is None else lo + (hi - lo) * (position - math.floor(position)))
-        rows.append(tuple(row))
-    return spark.createDataFrame([r for r in rows if r[1]], schema)
+
+    def at(c: str, i: int) -> float:
+        lo, hi = picked[c, i, False], picked[c, i, True]
+        return lo + (hi - lo) * (positions[c, i] - math.floor(positions[c, i]))
+
+    return spark.createDataFrame([(c, totals[c], *[at(c, i) for i in range(len(probs))]) for c in brackets], schema)
 
 
 def lookup(values: dict[str, float], key: Column) -> Column:

@@ -9,6 +9,7 @@ from ..functions.scalars import banded
 from ..session import materialize
 from .aggregates import aggregate_window
 from .filters import last
+from .ordered import running_before
 
 SALTS = 64
 
@@ -83,7 +84,9 @@ def timed_moving_average(series: DataFrame, every: str, period: str, keys: list[
 def alert_intervals(errors: DataFrame, horizon: int = 24, every: str = "30 minutes", rules: list = ALERT_RULES) -> DataFrame:
     """Spans in which the windowed temperature MAE met a rule without a break for its hold time.
 
-    Islands are found on the windowed series, one row per window, not on readings.
+    Islands are found on the windowed series, one row per window, not on readings: windows that do not meet the rule
+    are counted over sorted ranges, so decades of one source spread over all tasks, and windows with the same count
+    before them are one span.
     """
     mae = aggregate_window(
         errors.filter(F.col("horizon_hours") == horizon), every, ["source"], [F.avg("temp_abs_error").alias("mae")]
@@ -95,9 +98,8 @@ def alert_intervals(errors: DataFrame, horizon: int = 24, every: str = "30 minut
     ]))
     tested = mae.withColumn("r", rule).select("source", "ts", "mae", "r.*")
     met = F.when(F.col("op") == ">", F.col("mae") > F.col("threshold")).otherwise(F.col("mae") < F.col("threshold"))
-    w = Window.partitionBy("source", "level").orderBy("ts")
-    broken = F.sum(F.when(F.col("met"), 0).otherwise(1)).over(w)
-    islands = tested.withColumn("met", met).withColumn("island", broken).filter("met")
+    broken = F.when(F.col("met"), 0).otherwise(1)
+    islands = running_before(tested.withColumn("met", met), ["source", "level"], ["ts"], broken, "island").filter("met")
     spans = islands.groupBy("source", "level", "island").agg(
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.avg("mae").alias("mean_mae"),
         F.max("hold_minutes").alias("hold_minutes"), F.count("*").alias("windows"),

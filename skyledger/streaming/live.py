@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from ..functions.scalars import packed_order, packed_tie
 from ..operators.align import METRICS, align_run, forecast_errors, hourly_means
 from ..operators.filters import _instant
 from ..session import scratch_path
@@ -70,11 +71,14 @@ def stream_ingest(frames: DataFrame) -> DataFrame:
 
 
 def stream_latest(readings: DataFrame, interval: str = FLUSH) -> DataFrame:
-    """Only the newest reading per sensor and flush interval."""
-    fields = ["event_id", "ts", "temperature", "humidity", "pressure", "battery_voltage", "rssi"]
-    newest = F.max_by(F.struct(*fields), F.struct("ts", "event_id")).alias("r")
-    windows = readings.withWatermark("ts", WATERMARK).groupBy(F.window("ts", interval), "mac").agg(newest)
-    return windows.select("mac", F.col("window.end").alias("flush_ts"), "r.*")
+    """Only the newest reading per sensor and flush interval, ties by id."""
+    newest = packed_order("ts", "event_id")
+    fields = ["temperature", "humidity", "pressure", "battery_voltage", "rssi"]
+    windows = readings.withWatermark("ts", WATERMARK).groupBy(F.window("ts", interval), "mac").agg(
+        F.max(newest).alias("newest"), F.max("ts").alias("ts"), *[F.max_by(f, newest).alias(f) for f in fields])
+    id_type = readings.schema["event_id"].dataType
+    return windows.select(
+        "mac", F.col("window.end").alias("flush_ts"), packed_tie(F.col("newest")).cast(id_type).alias("event_id"), "ts", *fields)
 
 
 @contextmanager

@@ -143,3 +143,41 @@ def test_constant_column_has_no_correlation(spark):
     assert correlation.corr_pearson(df, ["a", "b"]).first()["corr"] is None
     assert correlation.corr_kendall(df, ["a", "b"]).first()["corr"] is None
     assert correlation.corr_spearman(df, ["a", "b"]).first()["corr"] is None
+
+
+def test_packed_order_sorts_like_its_parts(spark):
+    from skyledger.functions.scalars import packed_order, packed_tie
+
+    times = [None, "0001-01-01 00:00:00", "1969-12-31 23:59:59.999999", "2024-01-01 00:00:00", "9999-12-31 23:59:59.999999"]
+    ids = [None, -2 ** 63, -1, 0, 2 ** 63 - 1]
+    rows = [(t, i, n, m) for n, t in enumerate(times) for m, i in enumerate(ids)]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "t string, id long, n int, m int").withColumn("ts", F.col("t").cast("timestamp"))
+    got = df.withColumn("p", packed_order("ts", "id")).orderBy("p").select("n", "m", "id", packed_tie(F.col("p")).cast("long").alias("back")).collect()
+    assert [(r["n"], r["m"]) for r in got] == sorted((n, m) for _, _, n, m in rows)
+    assert all(r["id"] == r["back"] for r in got)
+
+
+def test_quantiles_rank_in_one_scan_after_the_sketch(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    columns = {"flat": rng.random(20_000), "heavy": np.where(rng.random(20_000) < 0.4, 3.0, rng.normal(size=20_000)),
+               "few": rng.integers(0, 3, 20_000).astype(float), "big": rng.pareto(0.5, 20_000)}
+    pdf = pd.DataFrame(columns)
+    pdf.loc[::7, "flat"] = np.nan
+    path = str(tmp_path / "wide")
+    spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "flat double, heavy double, few double, big double").write.parquet(path)
+    probs = [0.0, 0.003, 0.25, 0.5, 0.504, 0.95, 1.0]
+    for row in ordered.quantiles(spark.read.parquet(path), list(columns), probs).collect():
+        want = pdf[row["column"]].quantile(probs).tolist()
+        assert row["n"] == pdf[row["column"]].count() and [row[f"q{i}"] for i in range(len(probs))] == pytest.approx(want, rel=1e-12)
+
+
+def test_spans_of_one_source_meet_across_ranges(spark):
+    """One source with many windows: every span equals a plain walk, also those cut by a range."""
+    rng = random.Random(11)
+    mae = [6.0 if rng.random() < 0.9 else 1.0 for _ in range(4000)]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(mae)], "i int, temp_abs_error double").selectExpr(
+        "timestamp '2024-01-01' + make_dt_interval(0, 0, i * 30) ts", "24 horizon_hours", "'p' source", "temp_abs_error")
+    got = sorted(r["windows"] for r in windows.alert_intervals(df).filter("level = 'critical'").collect())
+    runs = [len(list(run)) for high, run in itertools.groupby(mae, lambda m: m > 5) if high]
+    assert got == sorted(n for n in runs if (n - 1) * 30 >= 60)

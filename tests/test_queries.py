@@ -62,6 +62,15 @@ def test_filters_and_columns_reach_the_scan(spark, tables):
     assert "props" not in plan.split("ReadSchema")[1]
 
 
+@pytest.mark.parametrize("name", ["d10_last_value", "d11_latest_wide", "h02_stream_latest"])
+def test_latest_rows_combine_without_a_sort(spark, name):
+    before = max(executed_plans(spark), default=-1)
+    df = QUERIES[name](spark, SF_DIR)
+    df.count()
+    plans = [plan_of(df), *executed_plans(spark, before).values()]
+    assert any("HashAggregate" in plan for plan in plans) and not any("SortAggregate" in plan for plan in plans)
+
+
 def test_expired_points_are_deleted(spark, tables, tmp_path):
     from skyledger.sources import points
 
