@@ -1,14 +1,15 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and the beginnings of words, so that an inflected form unseen among the examples still shares a term
-with those seen. Only terms whose presence goes with the label (log odds of at least ``ASSOCIATION`` standard errors)
-span the space: the rest of a long text would drown the few that matter.
+Every word of an example is a term, so each example finds itself at cosine 1. Beginnings of words are terms as well
+where their presence goes with the label, so that an inflected form unseen among the examples still shares a term with
+those seen. Association is a weight and chooses no neighbours by itself: words that go with the label (log odds of at
+least ``ASSOCIATION`` standard errors) weigh fully, all others ``FAINT`` as much, or a long text would drown the few that matter.
 
-The examples are a bounded sample of the labelled documents, sorted so that like vectors are neighbours and cut into
-blocks. For every term the index keeps its postings by block and the largest weight in each block. A text looks at the
+The examples are a bounded sample of the labelled documents, as many of either label, sorted so that like vectors are
+neighbours and cut into blocks. For every term the index keeps its postings by block and the largest weight in each block. A text looks at the
 blocks in the order of their upper bounds and stops at the first bound that cannot beat its k-th neighbour, so the
 neighbours are exact. Their votes, weighted by similarity, are mapped to probabilities learned from the votes that the
-examples get from each other; the neighbours themselves are the evidence.
+examples get from each other, each counted as often as its label is among all labelled documents; the neighbours themselves are the evidence.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, worker_state
-from .labels import labelled_sample
+from .labels import labelled, labelled_sample
 
-LABELLED = 10_000  # at most so many labelled documents are examples
+LABELLED = 2_048  # at most so many labelled documents of either label are examples
 BEGINNINGS = (4, 5, 6, 7, 8)
-LEAST_EXAMPLES = 5  # a term of fewer examples is chance
+LEAST_EXAMPLES = 5  # what goes with the label in fewer examples is chance
 ASSOCIATION, EFFECT = 3.0, 1.5
+FAINT = 0.005  # weight of a word that does not go with the label
+SORTED_BY = 48  # so many of the commonest words order the examples: texts of one language come together
 CALIBRATED = 2_000  # examples whose votes from the others teach the probabilities
 NEIGHBOURS, BLOCK = 15, 256
 STEEPNESS = 3  # votes fall with this power of the similarity: far neighbours of a long text say little
@@ -72,7 +75,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
 
 
 class Terms(dict):
-    """Word -> numbers of its terms in the space, remembered; most words have none."""
+    """Word -> numbers of its terms in the space, remembered."""
 
     def __init__(self, numbers: dict[str, int]):
         super().__init__()
@@ -84,55 +87,79 @@ class Terms(dict):
         found = self[word] = tuple(n for t in word_terms(word) if (n := self.numbers.get(t)) is not None)
         return found
 
-    def counts(self, text: str | None) -> Counter:
+    def counts(self, text: str | None) -> dict[int, int]:
         """Occurrences of each term in the whole text."""
-        out: Counter = Counter()
-        for found in filter(None, map(self.__getitem__, _WORD.findall(text.lower()) if text else ())):
-            out.update(found)
+        out: dict[int, int] = {}
+        for word, n in Counter(_WORD.findall(text.lower())).items() if text else ():
+            for term in self[word]:
+                out[term] = out.get(term, 0) + n
         return out
 
 
 class Index:
-    """Postings by term and block, with the largest weight of each."""
+    """Postings by block and term, with the largest weight of each."""
 
     def __init__(self, held: dict):
         self.terms = Terms({t: i for i, t in enumerate(held["terms"])})
-        self.idf, self.labels, self.ids = held["idf"], held["labels"], held["ids"]
+        self.idf, self.labels, self.ids = np.asarray(held["idf"], float), held["labels"], held["ids"]
         self.empty_rate, self.steps = held["empty_rate"], held.get("steps")
         vectors = held["vectors"]
-        self.blocks = -(-len(vectors) // BLOCK)
-        self.bounds = np.zeros((len(self.idf), self.blocks))
-        self.postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        gathered: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for row, vector in enumerate(vectors):
-            for term, weight in vector.items():
-                gathered.setdefault((term, row // BLOCK), []).append((row % BLOCK, weight))
-        for (term, block), entries in gathered.items():
-            rows, weights = zip(*entries)
-            self.postings[term, block] = np.array(rows), np.array(weights)
-            self.bounds[term, block] = max(weights)
+        self.blocks, width = -(-len(vectors) // BLOCK), len(self.idf)
+        sizes = np.array([len(v) for v in vectors], int)
+        terms = np.fromiter((t for v in vectors for t in v), int, sizes.sum())
+        weights = np.fromiter((w for v in vectors for w in v.values()), float, sizes.sum())
+        rows = np.repeat(np.arange(len(vectors)), sizes)
+        slots = rows // BLOCK * width + terms
+        order = np.argsort(slots, kind="stable")
+        self.rows, self.weights = rows[order].astype(np.int32), weights[order]
+        # postings of term t in block b lie between starts[b * width + t] and the next start
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(slots, minlength=self.blocks * width))]).astype(np.int32)
+        bounds = np.zeros(self.blocks * width)
+        np.maximum.at(bounds, slots, weights)
+        self.bounds = np.ascontiguousarray(bounds.reshape(self.blocks, width).T)
+        self.width = width
 
     def weigh(self, counts: dict[int, int]) -> dict[int, float]:
         return weighted(counts, self.idf)
 
+    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines with the examples of some blocks; zero for the others."""
+        slots = (blocks[:, None] * self.width + terms).ravel()
+        first = self.starts[slots]
+        sizes = self.starts[slots + 1] - first
+        ends = np.cumsum(sizes)
+        at = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])
+        each = np.repeat(np.tile(weights, len(blocks)), sizes)
+        return np.bincount(self.rows[at], each * self.weights[at], self.blocks * BLOCK)
+
     def nearest(self, vector: dict[int, float], k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int]]:
-        """The k examples of the largest cosine above zero, ties by their order; ``without`` leaves one out."""
+        """The k examples of the largest cosine above zero, ties by their order; ``without`` leaves one out.
+
+        Blocks are read in the order of their bounds, one, two, four .. at a time, until no bound can beat the k-th.
+        """
         if not vector or not self.blocks:
             return []
-        terms, weights = np.array(list(vector)), np.array(list(vector.values()))
+        terms, weights = np.fromiter(vector, int, len(vector)), np.fromiter(vector.values(), float, len(vector))
         upper = weights @ self.bounds[terms]
+        order = np.argsort(-upper, kind="stable")
         best: list[tuple[float, int]] = []
-        for block in np.argsort(-upper, kind="stable").tolist():
-            if upper[block] <= 0 or (len(best) == k and upper[block] < -best[-1][0] - 1e-12):
+        at, many = 0, 1
+        while at < len(order):
+            least = max(1e-12, best[-1][0] if len(best) == k else 0.0)
+            group = order[at:at + many]
+            group = group[upper[group] >= least - 1e-9]
+            if not len(group):
                 break
-            scores = np.zeros(BLOCK)
-            for term, weight in vector.items():
-                if (entry := self.postings.get((term, block))) is not None:
-                    scores[entry[0]] += weight * entry[1]
-            rows = np.flatnonzero(scores > 0)
-            found = [(-round(float(scores[r]), 12), block * BLOCK + r) for r in rows.tolist()]
-            best = sorted(best + [f for f in found if f[1] != without])[:k]
-        return [(-s, row) for s, row in best]
+            scores = self._scores(terms, weights, group)
+            if without is not None:
+                scores[without] = 0.0
+            found = np.flatnonzero(scores >= least - 1e-9)
+            if len(found) > 4 * k:  # the k-th largest of these is a bound too
+                found = found[scores[found] >= np.partition(scores[found], -k)[-k] - 1e-9]
+            best = sorted(best + [(round(float(scores[r]), 12), r) for r in found.tolist() if scores[r] > 0],
+                          key=lambda f: (-f[0], f[1]))[:k]
+            at, many = at + many, 2 * many
+        return best
 
     def vote(self, neighbours: list[tuple[float, int]]) -> float:
         """Share of the label among the neighbours by similarity, shrunk to the rate of texts without any."""
@@ -147,18 +174,24 @@ class Index:
         return float(np.interp(self.vote(neighbours), *self.steps)), neighbours
 
 
-def weighted(counts: dict[int, int], idf: list[float]) -> dict[int, float]:
+def weighted(counts: dict[int, int], idf: np.ndarray | list[float]) -> dict[int, float]:
     """Unit TF-IDF vector, term frequency damped by a logarithm."""
-    raw = {t: (1 + math.log(n)) * idf[t] for t, n in counts.items()}
-    norm = math.sqrt(sum(v * v for v in raw.values()))
-    return {t: v / norm for t, v in raw.items()} if norm else {}
+    if not counts:
+        return {}
+    terms, n = np.fromiter(counts, int, len(counts)), np.fromiter(counts.values(), float, len(counts))
+    raw = (1 + np.log(n)) * np.asarray(idf, float)[terms]
+    norm = math.sqrt(raw @ raw)
+    return dict(zip(counts, (raw / norm).tolist())) if norm else {}
+
 
+def _rising(votes: np.ndarray, labels: np.ndarray, times: np.ndarray) -> tuple[list[float], list[float]]:
+    """Probability by vote: the best rising step function, each step shrunk by one example of either label.
 
-def _rising(votes: np.ndarray, labels: np.ndarray) -> tuple[list[float], list[float]]:
-    """Probability by vote: the best rising step function, each step shrunk by one example of either label."""
+    An example counts ``times``: as often as the labelled documents have its label more often than the sample.
+    """
     steps: list[list[float]] = []
     for at in np.argsort(votes, kind="stable"):
-        steps.append([votes[at], labels[at], 1.0])
+        steps.append([votes[at], labels[at] * times[at], times[at]])
         while len(steps) > 1 and steps[-2][1] / steps[-2][2] >= steps[-1][1] / steps[-1][2]:
             last = steps.pop()
             steps[-1] = [(steps[-1][0] * steps[-1][2] + last[0] * last[2]) / (steps[-1][2] + last[2]),
@@ -168,24 +201,30 @@ def _rising(votes: np.ndarray, labels: np.ndarray) -> tuple[list[float], list[fl
 
 def train(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "toxic", doc_id: str = "doc_id",
           text: str = "text") -> Broadcast:
-    """Index at most ``LABELLED`` labelled documents for which ``learnable`` (over ``doc_id``) holds."""
+    """Index at most ``LABELLED`` documents of either label for which ``learnable`` (over ``doc_id``) holds."""
     spark = prepare(docs.sparkSession)
-    sample = labelled_sample(docs, labels, label, learnable, LABELLED, doc_id, text)
+    sample = labelled_sample(docs, labels, label, learnable, LABELLED, doc_id, text, each=True)
+    every = labelled(labels, label, learnable, doc_id).agg(
+        F.count_if(F.col("label") > 0).alias("positive"), F.count("*").alias("n")).first()
     sizes = {r["positive"]: r["n"] for r in sample.groupBy((F.col("label") > 0).alias("positive")).agg(
         F.count("*").alias("n")).collect()}
     n_pos, n_neg = sizes.get(True, 0), sizes.get(False, 0)
 
     pos, neg = F.col("positive") + 0.5, F.col("negative") + 0.5
     odds = F.log(pos / (n_pos + 1.0)) - F.log(neg / (n_neg + 1.0))
-    telling = _term_counts(sample).filter(
+    telling = (
         (F.col("positive") + F.col("negative") >= LEAST_EXAMPLES)
         & (F.abs(odds) >= ASSOCIATION * F.sqrt(1 / pos + 1 / neg))
         # what goes with the absence of the label says little in a text that has both
         & (odds >= EFFECT))
-    chosen = sorted((r["term"], r["positive"] + r["negative"]) for r in telling.collect())
-    terms = [t for t, _ in chosen]
-    idf = [math.log((1 + n_pos + n_neg) / (1 + n)) + 1 for _, n in chosen]
+    held_by = F.col("positive") + F.col("negative")
+    found = _term_counts(sample).select("term", held_by.alias("n"), telling.alias("telling")).filter(
+        F.col("telling") | ~F.col("term").endswith("*"))
+    chosen = sorted((r["term"], r["n"], r["telling"]) for r in found.collect())  # words of a bounded sample
+    terms = [t for t, _, _ in chosen]
+    idf = np.array([(math.log((1 + n_pos + n_neg) / (1 + n)) + 1) * (1.0 if full else FAINT) for _, n, full in chosen])
     numbers = {t: i for i, t in enumerate(terms)}
+    common = [i for i, _ in sorted(enumerate(chosen), key=lambda c: (-c[1][1], c[1][0]))[:SORTED_BY]]
 
     @F.arrow_udf("map<int, int>")
     def vectors(texts: pa.Array) -> pa.Array:
@@ -196,22 +235,31 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "t
     rows = [{**r.asDict(), "counts": {c["key"]: c["value"] for c in r["counts"]}} for r in each.groupBy("doc_id").agg(
         F.max("counts").alias("counts"), F.max("label").alias("label")).collect()]
     empty = [r for r in rows if not r["counts"]]
-    kept = sorted((r for r in rows if r["counts"]), key=lambda r: (
-        sorted(r["counts"].items(), key=lambda c: (-idf[c[0]], c)), r["doc_id"]))
-    rate = (sum(r["label"] > 0 for r in empty) + n_pos / (n_pos + n_neg + 1)) / (len(empty) + 1)
+
+    def like(row: dict) -> tuple:
+        """Examples of the same telling terms come together, then those of the same common words."""
+        strong = sorted((-idf[t], t) for t in row["counts"] if chosen[t][2])
+        return (strong, [t not in row["counts"] for t in common], row["doc_id"])
+
+    kept = sorted((r for r in rows if r["counts"]), key=like)
+    rate = (sum(r["label"] > 0 for r in empty) + every["positive"] / (every["n"] + 1)) / (len(empty) + 1)
     held = {"terms": terms, "idf": idf, "ids": [r["doc_id"] for r in kept], "labels": [r["label"] > 0 for r in kept],
             "vectors": [weighted(r["counts"], idf) for r in kept], "empty_rate": rate}
     index = Index(held)
     taught = range(0, len(kept), -(-len(kept) // CALIBRATED) or 1)
     votes = np.array([index.vote(index.nearest(held["vectors"][i], without=i)) for i in taught])
-    held["steps"] = _rising(votes, np.array([float(held["labels"][i]) for i in taught])) if kept else ([0.0], [rate])
+    truth = np.array([float(held["labels"][i]) for i in taught])
+    # counted as in all labelled documents, but together no more than there are examples
+    share = every["positive"] / max(every["n"], 1)
+    times = np.where(truth > 0, share / max(truth.mean(), 1e-9), (1 - share) / max(1 - truth.mean(), 1e-9)) if kept else truth
+    held["steps"] = _rising(votes, truth, np.maximum(times, 1e-9)) if kept else ([0.0], [rate])
     return spark.sparkContext.broadcast(held)
 
 
 def score(df: DataFrame, model: Broadcast, text: str = "text", out: str = "toxicity") -> DataFrame:
     """Add ``out``: struct ``score`` (0 to 1) and ``evidence`` (neighbours with similarity and label, nearest first).
 
-    Null and empty texts, and texts that share no term with an example, get the rate of the label among such examples
+    Null and empty texts, and texts that share no word with an example, get the rate of the label among such examples
     and no evidence; without labelled documents that is 0. A column named ``out`` is replaced; the other columns and
     repeated rows stay; an empty table gives an empty table.
     """

@@ -108,3 +108,40 @@ def test_toxicity_edges(spark, docs, labels, edges):
     assert {r["toxicity"]["score"] for r in toxicity.score(docs.limit(5), none).collect()} == {0.0}
     repeated = toxicity.train(docs, labels.union(labels), F.lit(True))
     assert repeated.value["ids"] == model.value["ids"]
+
+
+def test_every_example_finds_itself(spark, docs, labels):
+    """All words of the examples are indexed: each example is its own nearest neighbour, as are texts of rare words."""
+    rare = [(10_000_000 + i, f"zyq{chr(97 + i % 26)}{chr(97 + i // 26)} wumbro{chr(97 + i % 26)} lorp", 1) for i in range(40)]
+    more = spark.createDataFrame(rare, "doc_id long, text string, toxic int")
+    some = docs.select("doc_id", "text").unionByName(more.select("doc_id", "text"))
+    truth = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).unionByName(more.select("doc_id", "toxic"))
+    model = toxicity.train(some, truth, F.lit(True))
+    examples = some.join(truth.dropna(), "doc_id").filter("text rlike '[A-Za-z]'")
+    rows = toxicity.score(examples, model).collect()
+    assert len(rows) > 400
+    for r in rows:
+        best = r["toxicity"]["evidence"][0]["similarity"]
+        itself = [e["similarity"] for e in r["toxicity"]["evidence"] if e["doc_id"] == r["doc_id"]]
+        assert best == pytest.approx(1.0) and (itself == [] or itself[0] == pytest.approx(1.0))
+    alone = [r for r in rows if r["doc_id"] >= 10_000_000]
+    assert len(alone) == 40 and all(r["toxicity"]["evidence"][0]["doc_id"] == r["doc_id"] for r in alone)
+    assert all(r["toxicity"]["score"] > 0.5 for r in alone)
+
+
+def test_index_equals_plain_cosine_over_all_words(spark, docs, labels):
+    model = toxicity.train(docs, labels, F.lit(True)).value
+    index = toxicity.Index(model)
+    for r in docs.select("text").dropna().limit(60).collect():
+        query = index.weigh(index.terms.counts(r["text"]))
+        plain = [(-round(sum(w * v.get(t, 0.0) for t, w in query.items()), 12), row) for row, v in enumerate(model["vectors"])]
+        want = sorted(p for p in plain if p[0] < 0)[:toxicity.NEIGHBOURS]
+        assert [s for s, _ in index.nearest(query)] == pytest.approx([-s for s, _ in want], abs=1e-9)
+
+
+def test_a_rare_label_is_not_crowded_out(spark):
+    from skyledger.llm.labels import labelled_sample
+
+    rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), (F.col("id") < 20).cast("int").alias("toxic"))
+    sample = labelled_sample(rows, rows, "toxic", F.lit(True), 50, each=True)
+    assert {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()} == {1: 20, 0: 50}
