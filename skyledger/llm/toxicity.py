@@ -103,11 +103,11 @@ class Index:
         self.terms = Terms({t: i for i, t in enumerate(held["terms"])})
         self.idf, self.labels, self.ids = np.asarray(held["idf"], float), held["labels"], held["ids"]
         self.empty_rate, self.steps = held["empty_rate"], held.get("steps")
-        vectors = held["vectors"]
+        vectors = [arrays(v) for v in held["vectors"]]
         self.blocks, width = -(-len(vectors) // BLOCK), len(self.idf)
-        sizes = np.array([len(v) for v in vectors], int)
-        terms = np.fromiter((t for v in vectors for t in v), int, sizes.sum())
-        weights = np.fromiter((w for v in vectors for w in v.values()), float, sizes.sum())
+        sizes = np.array([len(t) for t, _ in vectors], int)
+        terms = np.concatenate([np.zeros(0, int), *[t for t, _ in vectors]])
+        weights = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
         rows = np.repeat(np.arange(len(vectors)), sizes)
         slots = rows // BLOCK * width + terms
         order = np.argsort(slots, kind="stable")
@@ -132,14 +132,14 @@ class Index:
         each = np.repeat(np.tile(weights, len(blocks)), sizes)
         return np.bincount(self.rows[at], each * self.weights[at], self.blocks * BLOCK)
 
-    def nearest(self, vector: dict[int, float], k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int]]:
+    def nearest(self, vector: dict[int, float] | tuple, k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int]]:
         """The k examples of the largest cosine above zero, ties by their order; ``without`` leaves one out.
 
         Blocks are read in the order of their bounds, one, two, four .. at a time, until no bound can beat the k-th.
         """
-        if not vector or not self.blocks:
+        terms, weights = arrays(vector)
+        if not len(terms) or not self.blocks:
             return []
-        terms, weights = np.fromiter(vector, int, len(vector)), np.fromiter(vector.values(), float, len(vector))
         upper = weights @ self.bounds[terms]
         order = np.argsort(-upper, kind="stable")
         best: list[tuple[float, int]] = []
@@ -174,14 +174,23 @@ class Index:
         return float(np.interp(self.vote(neighbours), *self.steps)), neighbours
 
 
+def arrays(vector: dict[int, float] | tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and weights of a sparse vector, which may come as these two already."""
+    if isinstance(vector, tuple):
+        return vector
+    return np.fromiter(vector, int, len(vector)), np.fromiter(vector.values(), float, len(vector))
+
+
+def _unit(terms: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    raw = (1 + np.log(n)) * idf[terms]
+    norm = math.sqrt(raw @ raw)
+    return raw / norm if norm else raw
+
+
 def weighted(counts: dict[int, int], idf: np.ndarray | list[float]) -> dict[int, float]:
     """Unit TF-IDF vector, term frequency damped by a logarithm."""
-    if not counts:
-        return {}
-    terms, n = np.fromiter(counts, int, len(counts)), np.fromiter(counts.values(), float, len(counts))
-    raw = (1 + np.log(n)) * np.asarray(idf, float)[terms]
-    norm = math.sqrt(raw @ raw)
-    return dict(zip(counts, (raw / norm).tolist())) if norm else {}
+    terms, n = arrays(counts)
+    return dict(zip(counts, _unit(terms, n.astype(float), np.asarray(idf, float)).tolist()))
 
 
 def _rising(votes: np.ndarray, labels: np.ndarray, times: np.ndarray) -> tuple[list[float], list[float]]:
@@ -217,34 +226,34 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "t
         & (F.abs(odds) >= ASSOCIATION * F.sqrt(1 / pos + 1 / neg))
         # what goes with the absence of the label says little in a text that has both
         & (odds >= EFFECT))
-    held_by = F.col("positive") + F.col("negative")
-    found = _term_counts(sample).select("term", held_by.alias("n"), telling.alias("telling")).filter(
+    found = _term_counts(sample).select("term", (F.col("positive") + F.col("negative")).alias("n"), telling.alias("telling")).filter(
         F.col("telling") | ~F.col("term").endswith("*"))
-    chosen = sorted((r["term"], r["n"], r["telling"]) for r in found.collect())  # words of a bounded sample
-    terms = [t for t, _, _ in chosen]
-    idf = np.array([(math.log((1 + n_pos + n_neg) / (1 + n)) + 1) * (1.0 if full else FAINT) for _, n, full in chosen])
+    words = found.toArrow().sort_by("term")  # of a bounded sample; Arrow holds them without an object per row
+    terms, held_by, strong = words["term"].to_pylist(), words["n"].to_numpy(), words["telling"].to_numpy()
+    idf = (np.log((1 + n_pos + n_neg) / (1 + held_by)) + 1) * np.where(strong, 1.0, FAINT)
     numbers = {t: i for i, t in enumerate(terms)}
-    common = [i for i, _ in sorted(enumerate(chosen), key=lambda c: (-c[1][1], c[1][0]))[:SORTED_BY]]
+    common = np.argsort(-held_by, kind="stable")[:SORTED_BY]
 
-    @F.arrow_udf("map<int, int>")
+    @F.arrow_udf("binary")
     def vectors(texts: pa.Array) -> pa.Array:
+        """Term numbers in order, then their counts, as 32-bit integers: an example is one short value."""
         known = Terms(numbers)
-        return pa.array([list(known.counts(t).items()) for t in texts.to_pylist()], pa.map_(pa.int32(), pa.int32()))
-
-    each = sample.select("doc_id", "label", F.array_sort(F.map_entries(vectors("text"))).alias("counts"))
-    rows = [{**r.asDict(), "counts": {c["key"]: c["value"] for c in r["counts"]}} for r in each.groupBy("doc_id").agg(
-        F.max("counts").alias("counts"), F.max("label").alias("label")).collect()]
-    empty = [r for r in rows if not r["counts"]]
-
-    def like(row: dict) -> tuple:
-        """Examples of the same telling terms come together, then those of the same common words."""
-        strong = sorted((-idf[t], t) for t in row["counts"] if chosen[t][2])
-        return (strong, [t not in row["counts"] for t in common], row["doc_id"])
-
-    kept = sorted((r for r in rows if r["counts"]), key=like)
-    rate = (sum(r["label"] > 0 for r in empty) + every["positive"] / (every["n"] + 1)) / (len(empty) + 1)
-    held = {"terms": terms, "idf": idf, "ids": [r["doc_id"] for r in kept], "labels": [r["label"] > 0 for r in kept],
-            "vectors": [weighted(r["counts"], idf) for r in kept], "empty_rate": rate}
+        return pa.array([np.array(sorted(known.counts(t).items()), "<i4").reshape(-1, 2).T.tobytes() for t in texts.to_pylist()],
+                        pa.binary())
+
+    rows = []
+    each = sample.select("doc_id", "label", vectors("text").alias("counts"))
+    for r in each.groupBy("doc_id").agg(F.max("counts").alias("counts"), F.max("label").alias("label")).toLocalIterator():
+        at, n = np.frombuffer(r["counts"], "<i4").reshape(2, -1)
+        telling_here = at[strong[at]]
+        # examples of the same telling terms come together, then those of the same common words
+        like = (sorted(zip((-idf[telling_here]).tolist(), telling_here.tolist())), np.isin(common, at, invert=True).tolist(), r["doc_id"])
+        rows.append((like, r["label"] > 0, at, n))
+    empty = [label for _, label, at, _ in rows if not len(at)]
+    kept = sorted((r for r in rows if len(r[2])), key=lambda r: r[0])
+    rate = (sum(empty) + every["positive"] / (every["n"] + 1)) / (len(empty) + 1)
+    held = {"terms": terms, "idf": idf, "ids": [like[-1] for like, _, _, _ in kept], "labels": [label for _, label, _, _ in kept],
+            "vectors": [(at, _unit(at, n, idf)) for _, _, at, n in kept], "empty_rate": rate}
     index = Index(held)
     taught = range(0, len(kept), -(-len(kept) // CALIBRATED) or 1)
     votes = np.array([index.vote(index.nearest(held["vectors"][i], without=i)) for i in taught])
