@@ -127,15 +127,19 @@ class Index:
         slots = (blocks[:, None] * self.width + terms).ravel()
         first = self.starts[slots]
         sizes = self.starts[slots + 1] - first
+        held = np.flatnonzero(sizes)  # most words stand in few blocks
+        if not len(held):
+            return np.zeros(self.blocks * BLOCK)
+        first, sizes = first[held], sizes[held]
         ends = np.cumsum(sizes)
         at = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])
-        each = np.repeat(np.tile(weights, len(blocks)), sizes)
+        each = np.repeat(weights[held % len(weights)], sizes)
         return np.bincount(self.rows[at], each * self.weights[at], self.blocks * BLOCK)
 
     def nearest(self, vector: dict[int, float] | tuple, k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int]]:
         """The k examples of the largest cosine above zero, ties by their order; ``without`` leaves one out.
 
-        Blocks are read in the order of their bounds, one, two, four .. at a time, until no bound can beat the k-th.
+        Blocks are read in the order of their bounds, one, four, sixteen .. at a time, until no bound can beat the k-th.
         """
         terms, weights = arrays(vector)
         if not len(terms) or not self.blocks:
@@ -158,7 +162,7 @@ class Index:
                 found = found[scores[found] >= np.partition(scores[found], -k)[-k] - 1e-9]
             best = sorted(best + [(round(float(scores[r]), 12), r) for r in found.tolist() if scores[r] > 0],
                           key=lambda f: (-f[0], f[1]))[:k]
-            at, many = at + many, 2 * many
+            at, many = at + many, 4 * many
         return best
 
     def vote(self, neighbours: list[tuple[float, int]]) -> float:
