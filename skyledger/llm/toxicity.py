@@ -38,7 +38,6 @@ CALIBRATED = 2_000  # examples whose votes from the others teach the probabiliti
 NEIGHBOURS, BLOCK = 15, 256
 STEEPNESS = 3  # votes fall with this power of the similarity: far neighbours of a long text say little
 SHRINK = 0.5  # weight that the vote of texts without a neighbour counts as
-CACHED_WORDS = 150_000
 COUNTED_TERMS = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -74,25 +73,26 @@ def _term_counts(sample: DataFrame) -> DataFrame:
         F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
 
 
-class Terms(dict):
-    """Word -> numbers of its terms in the space, remembered."""
+class Terms:
+    """Numbers of the terms in the space, by word and by beginning."""
 
     def __init__(self, numbers: dict[str, int]):
-        super().__init__()
-        self.numbers = numbers
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        found = self[word] = tuple(n for t in word_terms(word) if (n := self.numbers.get(t)) is not None)
-        return found
+        self.words = {t: n for t, n in numbers.items() if not t.endswith("*")}
+        self.beginnings = {t[:-1]: n for t, n in numbers.items() if t.endswith("*")}
+        sizes: dict[str, set[int]] = {}  # by their first letters: most words begin like none
+        for beginning in self.beginnings:
+            sizes.setdefault(beginning[:BEGINNINGS[0]], set()).add(len(beginning))
+        self.sizes = {first: sorted(found) for first, found in sizes.items()}
 
     def counts(self, text: str | None) -> dict[int, int]:
         """Occurrences of each term in the whole text."""
-        out: dict[int, int] = {}
-        for word, n in Counter(_WORD.findall(text.lower())).items() if text else ():
-            for term in self[word]:
-                out[term] = out.get(term, 0) + n
+        counted = Counter(_WORD.findall(text.lower())) if text else {}
+        out = {t: n for t, n in zip(map(self.words.get, counted), counted.values()) if t is not None}
+        for word in counted:
+            if (first := word[:BEGINNINGS[0]]) in self.sizes:
+                for size in self.sizes[first]:
+                    if (term := self.beginnings.get(word[:size])) is not None and len(word) >= size:
+                        out[term] = out.get(term, 0) + counted[word]
         return out
 
 
@@ -109,22 +109,23 @@ class Index:
         terms = np.concatenate([np.zeros(0, int), *[t for t, _ in vectors]])
         weights = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
         rows = np.repeat(np.arange(len(vectors)), sizes)
-        slots = rows // BLOCK * width + terms
+        slots = terms * self.blocks + rows // BLOCK
         order = np.argsort(slots, kind="stable")
         self.rows, self.weights = rows[order].astype(np.int32), weights[order]
-        # postings of term t in block b lie between starts[b * width + t] and the next start
+        # postings of term t in block b lie between starts[t * blocks + b] and the next start: those of a term together
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(slots, minlength=self.blocks * width))]).astype(np.int32)
         bounds = np.zeros(self.blocks * width)
         np.maximum.at(bounds, slots, weights)
-        self.bounds = np.ascontiguousarray(bounds.reshape(self.blocks, width).T)
-        self.width = width
+        self.bounds = bounds.reshape(width, self.blocks)
 
-    def weigh(self, counts: dict[int, int]) -> dict[int, float]:
-        return weighted(counts, self.idf)
+    def weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of the unit TF-IDF vector."""
+        terms, n = arrays(counts)
+        return terms, _unit(terms, n, self.idf)
 
     def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         """Cosines with the examples of some blocks; zero for the others."""
-        slots = (blocks[:, None] * self.width + terms).ravel()
+        slots = (terms[:, None] * self.blocks + blocks).ravel()
         first = self.starts[slots]
         sizes = self.starts[slots + 1] - first
         held = np.flatnonzero(sizes)  # most words stand in few blocks
@@ -133,7 +134,7 @@ class Index:
         first, sizes = first[held], sizes[held]
         ends = np.cumsum(sizes)
         at = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])
-        each = np.repeat(weights[held % len(weights)], sizes)
+        each = np.repeat(weights[held // len(blocks)], sizes)
         return np.bincount(self.rows[at], each * self.weights[at], self.blocks * BLOCK)
 
     def nearest(self, vector: dict[int, float] | tuple, k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int]]:
@@ -158,9 +159,9 @@ class Index:
             if without is not None:
                 scores[without] = 0.0
             found = np.flatnonzero(scores >= least - 1e-9)
-            if len(found) > 4 * k:  # the k-th largest of these is a bound too
+            if len(found) > k:  # the k-th largest of these is a bound too
                 found = found[scores[found] >= np.partition(scores[found], -k)[-k] - 1e-9]
-            best = sorted(best + [(round(float(scores[r]), 12), r) for r in found.tolist() if scores[r] > 0],
+            best = sorted(best + [(round(s, 12), r) for r, s in zip(found.tolist(), scores[found].tolist()) if s > 0],
                           key=lambda f: (-f[0], f[1]))[:k]
             at, many = at + many, 4 * many
         return best
@@ -281,12 +282,16 @@ def score(df: DataFrame, model: Broadcast, text: str = "text", out: str = "toxic
     @F.arrow_udf(f"struct<score: double, evidence: {EVIDENCE}>")
     def scored(texts: pa.Array) -> pa.Array:
         index = worker_state(model, Index)
-        rows = []
+        scores, ends, near = [], [0], []
         for one in texts.to_pylist():
             found, neighbours = index.score(one)
-            rows.append({"score": found, "evidence": [
-                {"doc_id": index.ids[r], "similarity": s, "label": int(index.labels[r])} for s, r in neighbours]})
-        return pa.array(rows, pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.struct(
-            [("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())])))]))
+            scores.append(found)
+            near += neighbours
+            ends.append(len(near))
+        evidence = pa.StructArray.from_arrays([
+            pa.array([index.ids[r] for _, r in near], pa.int64()), pa.array([s for s, _ in near], pa.float64()),
+            pa.array([int(index.labels[r]) for _, r in near], pa.int32())], ["doc_id", "similarity", "label"])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), evidence)
+        return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), lists], ["score", "evidence"])
 
     return df.withColumn(out, scored(F.col(text)))

@@ -134,7 +134,8 @@ def test_index_equals_plain_cosine_over_all_words(spark, docs, labels):
     index = toxicity.Index(model)
     vectors = [dict(zip(terms.tolist(), weights.tolist())) for terms, weights in model["vectors"]]
     for r in docs.select("text").dropna().limit(60).collect():
-        query = index.weigh(index.terms.counts(r["text"]))
+        at, weights = index.weigh(index.terms.counts(r["text"]))
+        query = dict(zip(at.tolist(), weights.tolist()))
         plain = [(-round(sum(w * v.get(t, 0.0) for t, w in query.items()), 12), row) for row, v in enumerate(vectors)]
         want = sorted(p for p in plain if p[0] < 0)[:toxicity.NEIGHBOURS]
         assert [s for s, _ in index.nearest(query)] == pytest.approx([-s for s, _ in want], abs=1e-9)
