@@ -122,9 +122,12 @@ def rule_metrics(rules: DataFrame) -> DataFrame:
 
 
 def top_rules(rules: DataFrame, min_lift: float = 1.0, k: int | None = 10) -> DataFrame:
-    """Rules with enough lift, best first; ties by item text."""
+    """Rules with enough lift, best first; ties by item text.
+
+    A rule and its reverse have equal lift up to the last bit, so the order looks at twelve digits.
+    """
     ordered = rules.filter(F.col("lift") >= min_lift).orderBy(
-        F.desc("lift"), F.desc("confidence"), F.array_join("antecedents", ","), F.array_join("consequents", ",")
+        F.round("lift", 12).desc(), F.round("confidence", 12).desc(), F.array_join("antecedents", ","), F.array_join("consequents", ",")
     )
     return ordered.limit(k) if k else ordered
 

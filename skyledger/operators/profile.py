@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -113,6 +114,41 @@ def missing_patterns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupBy(F.concat(*flags).alias("pattern")).agg(F.count("*").alias("n"))
 
 
+def missing_distances(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, differing): rows in which exactly one of two columns is missing; patterns are counted before pairs are made."""
+    patterns = df.groupBy(*[F.col(c).isNull().alias(c) for c in columns]).agg(F.count("*").alias("_n"))
+    pairs = F.array(*[
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(F.col(a) != F.col(b), F.col("_n")).otherwise(0).alias("n"))
+        for a, b in combinations(sorted(columns), 2)
+    ]).cast("array<struct<a: string, b: string, n: bigint>>")  # one column has no pairs
+    return patterns.select(F.inline(pairs)).groupBy("a", "b").agg(F.sum("n").alias("differing"))
+
+
+def missing_dendrogram(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(step, left, right, distance, size): columns joined by how alike their missing rows are, closest first.
+
+    The distance of two columns is the Euclidean one of their missing flags, that of two groups the mean over their
+    pairs; ties go to the smaller names. Only the distances, one per pair of columns, reach the driver. A group is
+    named by its columns in order; a table without rows has distances of zero.
+    """
+    found = {frozenset((r["a"], r["b"])): math.sqrt(r["differing"]) for r in missing_distances(df, columns).collect()}
+    groups, steps = [(c,) for c in sorted(columns)], []
+
+    def mean(left: tuple, right: tuple) -> float:
+        return math.fsum(found.get(frozenset((a, b)), 0.0) for a in left for b in right) / (len(left) * len(right))
+
+    between = {(a, b): mean(a, b) for a, b in combinations(groups, 2)}
+    while len(groups) > 1:
+        (left, right), distance = min(between.items(), key=lambda g: (round(g[1], 12), g[0]))
+        joined = tuple(sorted(left + right))
+        groups = [g for g in groups if g not in (left, right)]
+        between = {pair: d for pair, d in between.items() if not {left, right} & set(pair)}
+        between |= {(min(g, joined), max(g, joined)): mean(g, joined) for g in groups}
+        groups.append(joined)
+        steps.append((len(steps) + 1, ",".join(left), ",".join(right), distance, len(joined)))
+    return df.sparkSession.createDataFrame(steps, "step int, left string, right string, distance double, size int")
+
+
 def samples(df: DataFrame, order: list[str], n: int = 10, seed: int = 42) -> DataFrame:
     """First, last and hash-ordered rows."""
     shuffled = F.md5(F.concat_ws("|", F.lit(seed), *order))

@@ -13,7 +13,7 @@ from ..operators import correlation, mining, profile, sensors
 from ..schemas import RANGE_SPEC
 from .catalog_tables import _NEWEST, _issue_sql
 from .comprehensive import comprehensive
-from .oracle import with_views
+from .oracle import CTES, with_views
 from .registry import query
 from .views import NOW, Tables, mac_sql
 
@@ -116,21 +116,20 @@ def _(t: Tables) -> DataFrame:
     return _joined(_rules(t))
 
 
-@query("j06_top_rules", with_views(
-    "binned", "SELECT * FROM rules WHERE lift >= 1 ORDER BY round(lift, 12) DESC, round(confidence, 12) DESC, antecedents, consequents LIMIT 10",
-    sets=_SETS, rules=_RULES,
-), _METRICS)
+_TOP_RULES = (
+    "SELECT * FROM rules WHERE lift >= 1 ORDER BY round(lift, 12) DESC, round(confidence, 12) DESC, antecedents, consequents LIMIT 10")
+_RULE_SUMMARY = (
+    "SELECT count(*) AS rules, avg(confidence) AS mean_confidence, avg(lift) AS mean_lift, max(lift) AS max_lift FROM rules")
+
+
+@query("j06_top_rules", with_views("binned", _TOP_RULES, sets=_SETS, rules=_RULES), _METRICS)
 def _(t: Tables) -> DataFrame:
     # a rule and its reverse have equal lift up to the last bit: settle it before the sort
     settled = _rules(t).withColumns({c: F.round(c, 12) for c in ("lift", "confidence")})
     return _joined(mining.top_rules(settled, 1.0, 10))
 
 
-@query("j07_rule_summary", with_views(
-    "binned",
-    "SELECT count(*) AS rules, avg(confidence) AS mean_confidence, avg(lift) AS mean_lift, max(lift) AS max_lift FROM rules",
-    sets=_SETS, rules=_RULES,
-), "mean_confidence mean_lift max_lift")
+@query("j07_rule_summary", with_views("binned", _RULE_SUMMARY, sets=_SETS, rules=_RULES), "mean_confidence mean_lift max_lift")
 def _(t: Tables) -> DataFrame:
     return mining.rule_summary(_rules(t))
 
@@ -142,12 +141,14 @@ def _(t: Tables) -> DataFrame:
 
 # --- profile -------------------------------------------------------------------
 
-@query("j09_profile_overview", with_views(
-    "env_wide",
+_OVERVIEW = (
     "SELECT cast(sum(n) AS BIGINT) AS n_rows, cast(3 AS BIGINT) AS n_columns, cast(sum(n * ((temperature IS NULL)::INT + "
     "(humidity IS NULL)::INT + (pressure IS NULL)::INT)) AS BIGINT) AS missing_cells, count(*) FILTER (n > 1) AS duplicate_groups, "
-    "cast(sum(n - 1) AS BIGINT) AS duplicate_rows FROM (SELECT temperature, humidity, pressure, count(*) AS n FROM env_wide GROUP BY ALL)",
-))
+    "cast(sum(n - 1) AS BIGINT) AS duplicate_rows FROM (SELECT temperature, humidity, pressure, count(*) AS n FROM env_wide GROUP BY ALL)"
+)
+
+
+@query("j09_profile_overview", with_views("env_wide", _OVERVIEW))
 def _(t: Tables) -> DataFrame:
     return profile.profile_overview(t.env_wide.select(*ENV))
 
@@ -198,11 +199,13 @@ _PAIR_ROWS = _pair_sql(
 )
 
 
-@query("j13_corr_spearman", with_views(
-    "env_wide", "SELECT a, b, corr(rx, ry) AS corr FROM ranked GROUP BY a, b", pair_rows=_PAIR_ROWS,
-    ranked="SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2.0e0 AS rx, "
-    "rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0e0 AS ry FROM pair_rows",
-), "corr")
+_RANKED = (
+    "SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2.0e0 AS rx, "
+    "rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0e0 AS ry FROM pair_rows")
+_SPEARMAN = "SELECT a, b, corr(rx, ry) AS corr FROM ranked GROUP BY a, b"
+
+
+@query("j13_corr_spearman", with_views("env_wide", _SPEARMAN, pair_rows=_PAIR_ROWS, ranked=_RANKED), "corr")
 def _(t: Tables) -> DataFrame:
     return correlation.corr_spearman(t.env_wide, ENV)
 
@@ -258,9 +261,10 @@ def _(t: Tables) -> DataFrame:
     return correlation.contingency(mining.discretize(t.env_wide, ENV), BINS)
 
 
-@query("j16_missing_bar", with_views("env_wide", " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", count({c}) AS present FROM env_wide" for c in ENV
-)))
+_MISSING_BAR = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS present FROM env_wide" for c in ENV)
+
+
+@query("j16_missing_bar", with_views("env_wide", _MISSING_BAR))
 def _(t: Tables) -> DataFrame:
     return profile.missing_bar(t.env_wide, ENV)
 
@@ -282,6 +286,27 @@ def _(t: Tables) -> DataFrame:
     return profile.missing_patterns(t.env_wide, ENV)
 
 
+@query("j17_missing_distances", with_views("env_wide", " UNION ALL ".join(
+    f"SELECT '{min(p)}' AS a, '{max(p)}' AS b, count(*) FILTER (({p[0]} IS NULL) <> ({p[1]} IS NULL)) AS differing FROM env_wide" for p in PAIRS
+)))
+def _(t: Tables) -> DataFrame:
+    return profile.missing_distances(t.env_wide, ENV)
+
+
+@query("j17_missing_dendrogram", with_views(
+    "env_wide",
+    "SELECT 1 AS step, a AS left, b AS right, d AS distance, 2 AS size FROM closest UNION ALL "
+    "SELECT 2, least(c.c, c.a || ',' || c.b), greatest(c.c, c.a || ',' || c.b), (SELECT avg(d) FROM d WHERE d.a = c.c OR d.b = c.c), 3 FROM closest c",
+    d=" UNION ALL ".join(
+        f"SELECT '{min(p)}' AS a, '{max(p)}' AS b, '{min(set(ENV) - set(p))}' AS c, "
+        f"sqrt(count(*) FILTER (({p[0]} IS NULL) <> ({p[1]} IS NULL))) AS d FROM env_wide" for p in PAIRS),
+    closest="SELECT * FROM d ORDER BY d, a, b LIMIT 1",
+), "distance")
+def _(t: Tables) -> DataFrame:
+    """The tree of three columns: the closest pair, then the third."""
+    return profile.missing_dendrogram(t.env_wide, ENV)
+
+
 @query("j18_interactions", with_views("env_wide", " UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, {_bin(a)} AS bin_a, {_bin(b)} AS bin_b, count(*) AS n FROM env_wide "
     f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL" for a, b in PAIRS
@@ -314,31 +339,75 @@ def _(t: Tables) -> DataFrame:
 _LIMITS = {"missing_percent": 4.0, "zeros_percent": 5.0, "correlation": 0.5, "skewness": 0.1, "outlier_percent": 0.0}
 
 
-@query("j20_profile_alerts", with_views(
-    "env_wide",
-    "SELECT alert, \"column\", value FROM (SELECT 'high_missing' AS alert, \"column\", missing * 100.0e0 / (count + missing) AS value, 4.0 AS lim "
-    "FROM numeric UNION ALL SELECT 'constant', \"column\", CASE WHEN \"distinct\" <= 1 THEN 1.0 ELSE 0.0 END, 0.5 FROM numeric "
-    "UNION ALL SELECT 'zeros', \"column\", zeros * 100.0e0 / (count + missing), 5.0 FROM numeric "
-    "UNION ALL SELECT 'skewed', \"column\", abs(skewness), 0.1 FROM numeric "
-    "UNION ALL SELECT 'outliers', n.\"column\", (SELECT count(*) FROM long l WHERE l.\"column\" = n.\"column\" AND "
-    "(l.v < n.p25 - 1.5 * n.iqr OR l.v > n.p75 + 1.5 * n.iqr)) * 100.0e0 / count, 0.0 FROM numeric n "
-    "UNION ALL SELECT 'high_correlation', a || ',' || b, abs(corr), 0.5 FROM pearson) WHERE value > lim",
-    numeric=f"SELECT * FROM ({_NUMERIC})",
-    long=" UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS v FROM env_wide" for c in ENV),
-    pearson=_pair_sql("SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS corr FROM env_wide"),
-), "value")
+def _alerts_sql(limits: dict[str, float]) -> str:
+    """Alerts over the tables ``numeric``, ``long`` and ``pearson``."""
+    return (
+        "SELECT alert, \"column\", value FROM (SELECT 'high_missing' AS alert, \"column\", missing * 100.0e0 / (count + missing) AS value, "
+        f"{limits['missing_percent']} AS lim FROM numeric "
+        "UNION ALL SELECT 'constant', \"column\", CASE WHEN \"distinct\" <= 1 THEN 1.0 ELSE 0.0 END, 0.5 FROM numeric "
+        f"UNION ALL SELECT 'zeros', \"column\", zeros * 100.0e0 / (count + missing), {limits['zeros_percent']} FROM numeric "
+        f"UNION ALL SELECT 'skewed', \"column\", abs(skewness), {limits['skewness']} FROM numeric "
+        "UNION ALL SELECT 'outliers', n.\"column\", (SELECT count(*) FROM long l WHERE l.\"column\" = n.\"column\" AND "
+        f"(l.v < n.p25 - 1.5 * n.iqr OR l.v > n.p75 + 1.5 * n.iqr)) * 100.0e0 / count, {limits['outlier_percent']} FROM numeric n "
+        f"UNION ALL SELECT 'high_correlation', a || ',' || b, abs(corr), {limits['correlation']} FROM pearson) WHERE value > lim"
+    )
+
+
+_ALERT_TABLES = {
+    "numeric": f"SELECT * FROM ({_NUMERIC})",
+    "long": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS v FROM env_wide" for c in ENV),
+    "pearson": _pair_sql("SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS corr FROM env_wide"),
+}
+
+
+@query("j20_profile_alerts", with_views("env_wide", _alerts_sql(_LIMITS), **_ALERT_TABLES), "value")
 def _(t: Tables) -> DataFrame:
     return profile.profile_alerts(t.env_wide, ENV, _LIMITS)
 
 
-@query("j21_comprehensive")
-def _(t: Tables) -> DataFrame:
-    """Row counts of every part over the readings."""
+# Every part of the composed analysis as rows of part, item, measure and value: what names an item, and its measures.
+_PAIR = ("a || ',' || b", ["corr"])
+_MEASURED = {
+    "summary": ("'all'", ["points", "first_s", "last_s"]),
+    "overview": ("'all'", ["n_rows", "n_columns", "missing_cells", "duplicate_groups", "duplicate_rows"]),
+    "numeric": ("{column}", "count missing min max mean std skewness kurtosis zeros negatives distinct p5 p25 p50 p75 p95 iqr cv".split()),
+    "pearson": _PAIR,
+    "spearman": _PAIR,
+    "missing": ("{column}", ["present"]),
+    "alerts": ("alert || ':' || {column}", ["value"]),
+    "top_rules": ("antecedents || '>' || consequents", _METRICS.split()[:-1]),
+    "rule_summary": ("'all'", ["rules", "mean_confidence", "mean_lift", "max_lift"]),
+}
+_ANALYSED = {
+    "env_wide": f"SELECT ts, temperature, humidity, pressure FROM readings WHERE ts >= timestamp '{NOW}' - interval '31 days' "
+    f"AND ts < timestamp '{NOW}' AND coalesce(temperature, humidity, pressure) IS NOT NULL",
+    "edges": CTES["edges"], "binned": CTES["binned"], "sets": _SETS, "rules": f"SELECT * FROM ({_RULES}) WHERE lift >= 1",
+    **_ALERT_TABLES,
+    "summary": "SELECT count(*) AS points, epoch(date_trunc('second', min(ts))) AS first_s, "
+    "epoch(date_trunc('second', max(ts))) AS last_s FROM env_wide",
+    "overview": _OVERVIEW, "pair_rows": _PAIR_ROWS, "ranked": _RANKED, "spearman": _SPEARMAN, "missing": _MISSING_BAR,
+    "alerts": _alerts_sql(profile.ALERTS), "top_rules": _TOP_RULES, "rule_summary": _RULE_SUMMARY,
+}
+
+
+@query("j21_comprehensive", with_views("readings", " UNION ALL ".join(
+    f"SELECT '{part}' AS part, " + item.format(column='"column"') + f" AS item, '{m}' AS measure, cast(\"{m}\" AS DOUBLE) AS value FROM {part}"
+    for part, (item, measures) in _MEASURED.items() for m in measures
+), **_ANALYSED), "value")
+def _(t: Tables) -> DataFrame:
+    """Every measure of every part over the readings of 31 days."""
     results, failures = comprehensive(t.readings, NOW, 31, min_confidence=0.3)
-    counts = [df.agg(F.count("*").alias("rows")).withColumn("part", F.lit(name)) for name, df in results.items()]
     if failures:
         raise RuntimeError(str(failures))
-    return reduce(DataFrame.unionByName, counts)
+    results["summary"] = results["summary"].select(
+        "points", F.unix_timestamp("first_ts").alias("first_s"), F.unix_timestamp("last_ts").alias("last_s"))
+    results["top_rules"] = _joined(results["top_rules"])
+    parts = [
+        results[part].select(F.lit(part).alias("part"), F.expr(item.format(column="`column`")).alias("item"), F.inline(F.array(*[
+            F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])))
+        for part, (item, measures) in _MEASURED.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- diagnostics -----------------------------------------------------------------

@@ -20,7 +20,7 @@ from .catalog_sources import _F3, _F5, POINT_COLUMNS
 from .catalog_tables import ERROR_COLUMNS, ERROR_VALUES
 from .oracle import with_views
 from .registry import query
-from .views import HORIZONS, NOW, Tables
+from .views import HORIZONS, NOW, RANGE_START, RANGE_STOP, Tables
 
 CLOSED = "(SELECT date_trunc('milliseconds', max(ts)) - interval '10 minutes' FROM readings)"
 
@@ -237,3 +237,39 @@ def _(t: Tables) -> DataFrame:
     return t.spark.sql(
         "SELECT normalize_mac(mac) AS mac, battery_band(battery_voltage) AS band, count(*) AS n FROM readings GROUP BY ALL"
     )
+
+
+def _tables(t: Tables) -> None:
+    extend.register_table_functions(t.spark, {"points": t.points, "forecast_errors": t.forecast_errors})
+
+
+@query("i04_window_mean", with_views(
+    "points",
+    "SELECT mac, time_bucket(interval '1 hour', ts, timestamp '1970-01-01') + interval '1 hour' AS ts, avg(value) AS mean FROM points "
+    f"WHERE field = 'temperature' AND ts >= timestamp '{RANGE_START}' AND ts < timestamp '{RANGE_STOP}' GROUP BY ALL",
+), "mean")
+def _(t: Tables) -> DataFrame:
+    _tables(t)
+    return t.spark.sql(f"SELECT * FROM window_mean('temperature', 3600, timestamp '{RANGE_START}', timestamp '{RANGE_STOP}')")
+
+
+@query("i04_horizon_report", with_views(
+    "forecast_errors",
+    "SELECT horizon_hours, count(*) AS records, avg(temp_abs_error) AS temp_mae, max(temp_abs_error) AS temp_max_error, "
+    "avg(temp_signed_error) AS temp_bias, avg(pressure_abs_error) AS pressure_mae, avg(humidity_abs_error) AS humidity_mae, "
+    "CASE WHEN avg(temp_signed_error) > 0 THEN 'over-prediction' ELSE 'under-prediction' END AS direction "
+    f"FROM forecast_errors WHERE ts >= timestamp '{RANGE_START}' AND ts < timestamp '{RANGE_STOP}' GROUP BY horizon_hours",
+), "temp_mae temp_max_error temp_bias pressure_mae humidity_mae")
+def _(t: Tables) -> DataFrame:
+    _tables(t)
+    return t.spark.sql(f"SELECT * FROM horizon_report(timestamp '{RANGE_START}', timestamp '{RANGE_STOP}')")
+
+
+@query("i04_alert_windows", with_views(
+    "forecast_errors",
+    "SELECT source, time_bucket(interval '30 minutes', ts, timestamp '1970-01-01') + interval '30 minutes' AS ts, "
+    "avg(temp_abs_error) AS mae FROM forecast_errors WHERE horizon_hours = 24 GROUP BY ALL HAVING avg(temp_abs_error) > 3",
+), "mae")
+def _(t: Tables) -> DataFrame:
+    _tables(t)
+    return t.spark.sql("SELECT * FROM alert_windows(24, 1800, 3.0D)")

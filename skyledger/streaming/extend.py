@@ -109,6 +109,41 @@ def register_functions(spark: SparkSession) -> list[str]:
     return list(bodies)
 
 
+# SQL table functions: parameters, result and the query over the registered views ``points`` and ``forecast_errors``.
+_BUCKET = "timestamp_seconds((floor(unix_timestamp(ts) / every) + 1) * every)"
+TABLE_FUNCTIONS = {
+    "window_mean": (
+        "wanted STRING, every BIGINT, since TIMESTAMP, until TIMESTAMP", "mac STRING, ts TIMESTAMP, mean DOUBLE",
+        f"SELECT mac, {_BUCKET} AS ts, avg(value) AS mean FROM points WHERE field = wanted AND points.ts >= since "
+        f"AND points.ts < until GROUP BY mac, {_BUCKET}",
+    ),
+    "horizon_report": (
+        "since TIMESTAMP, until TIMESTAMP",
+        "horizon_hours INT, records BIGINT, temp_mae DOUBLE, temp_max_error DOUBLE, temp_bias DOUBLE, pressure_mae DOUBLE, "
+        "humidity_mae DOUBLE, direction STRING",
+        "SELECT horizon_hours, count(*), avg(temp_abs_error), max(temp_abs_error), avg(temp_signed_error), avg(pressure_abs_error), "
+        "avg(humidity_abs_error), CASE WHEN avg(temp_signed_error) > 0 THEN 'over-prediction' ELSE 'under-prediction' END "
+        "FROM forecast_errors WHERE ts >= since AND ts < until GROUP BY horizon_hours",
+    ),
+    "alert_windows": (
+        "horizon INT, every BIGINT, threshold DOUBLE", "source STRING, ts TIMESTAMP, mae DOUBLE",
+        f"SELECT source, {_BUCKET} AS ts, avg(temp_abs_error) AS mae FROM forecast_errors WHERE horizon_hours = horizon "
+        f"GROUP BY source, {_BUCKET} HAVING avg(temp_abs_error) > threshold",
+    ),
+}
+
+
+def register_table_functions(spark: SparkSession, views: dict[str, DataFrame]) -> list[str]:
+    """Table operators to be called from SQL alone: ``SELECT * FROM window_mean('temperature', 3600, since, until)``.
+
+    ``views`` holds the tables they read. Widths are seconds, ranges half-open, windows are named by their end.
+    """
+    register_views(views)
+    for name, (params, result, body) in TABLE_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS TABLE({result}) RETURN {body}")
+    return list(TABLE_FUNCTIONS)
+
+
 def register_views(views: dict[str, DataFrame]) -> None:
     """Tables and operator results under SQL names."""
     for name, df in views.items():

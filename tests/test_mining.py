@@ -1,6 +1,7 @@
 """Discretisation rules, guards, rules and profile invariants."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,3 +106,36 @@ def test_constant_and_empty_columns(spark):
     assert [tuple(r) for r in profile.profile_histogram(df, ["temperature", "humidity"]).collect()] == [("temperature", 0, 12)]
     alerts = {(r["alert"], r["column"]) for r in profile.profile_alerts(df, ["temperature", "humidity"]).collect()}
     assert ("constant", "temperature") in alerts and ("high_missing", "humidity") in alerts
+
+
+def brute_tree(flags):
+    """Average linkage by trying all pairs of groups in every step, over all rows."""
+    groups, steps = [(c,) for c in sorted(flags)], []
+
+    def distance(g, h):
+        return sum(math.dist(flags[a], flags[b]) for a in g for b in h) / (len(g) * len(h))
+
+    while len(groups) > 1:
+        d, g, h = min((round(distance(g, h), 12), min(g, h), max(g, h)) for g in groups for h in groups if g != h)
+        groups = [x for x in groups if x not in (g, h)] + [tuple(sorted(g + h))]
+        steps.append((len(steps) + 1, ",".join(g), ",".join(h), d, len(g + h)))
+    return steps
+
+
+def test_tree_of_missing_columns_equals_brute_force(spark):
+    draw = random.Random(5)
+    rows = [tuple(None if draw.random() < share else 1.0 for share in (0.1, 0.1, 0.5, 0.9, 0.6, 0.0, 1.0)) for _ in range(400)]
+    names = list("gbcafde")
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names))
+    found = [tuple(r) for r in profile.missing_dendrogram(df, names).sort("step").collect()]
+    want = brute_tree({c: [float(r[i] is None) for r in rows] for i, c in enumerate(names)})
+    assert [f[:3] + f[4:] for f in found] == [w[:3] + w[4:] for w in want]
+    assert [f[3] for f in found] == pytest.approx([w[3] for w in want])
+
+
+def test_tree_of_few_rows_and_columns(spark):
+    df = spark.createDataFrame([(None, 1.0, None)], "b double, a double, c double")
+    assert [tuple(r) for r in profile.missing_dendrogram(df, ["a", "b", "c"]).sort("step").collect()] == [
+        (1, "b", "c", 0.0, 2), (2, "a", "b,c", 1.0, 3)]
+    assert [r["distance"] for r in profile.missing_dendrogram(df.limit(0), ["a", "b", "c"]).collect()] == [0.0, 0.0]
+    assert profile.missing_dendrogram(df, ["a"]).isEmpty()

@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from skyledger.operators import aggregates, filters
 from skyledger.streaming import extend, live
 
 SCHEMA = "event_id bigint, mac string, ts timestamp, temperature double, humidity double, pressure double, " \
@@ -220,3 +221,26 @@ def test_sql_functions(spark):
         "horizon_hours(timestamp '2024-01-01', timestamp '2024-01-02') h, tx_power_from_word(51224) t, battery_from_word(51224) v"
     ).first()
     assert tuple(row) == ("Fair", "AA:BB:CC:DD:EE:FF", 2.0, -2.0, 24, 8, 3.2)
+
+
+def test_sql_table_functions_equal_their_operators(spark, tables):
+    names = extend.register_table_functions(spark, {"points": tables.points, "forecast_errors": tables.forecast_errors})
+    since, until = "2024-01-05 00:00:00", "2024-01-20 00:00:00"
+    between = f"timestamp '{since}', timestamp '{until}'"
+
+    def same(sql, df):
+        left, right = spark.sql(sql), df.select(*spark.sql(sql).columns)
+        keys = [c for c, kind in left.dtypes if kind != "double"]
+        a, b = ({tuple(r[k] for k in keys): [r[c] for c in left.columns if c not in keys] for r in d.collect()} for d in (left, right))
+        assert a and a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+    temperature = filters.time_range(tables.points.filter("field = 'temperature'"), since, until)
+    same(f"SELECT * FROM window_mean('temperature', 21600, {between})",
+         aggregates.aggregate_window(temperature, "6 hours", ["mac"], [F.avg("value").alias("mean")]))
+    same(f"SELECT * FROM horizon_report({between})",
+         aggregates.horizon_report(filters.time_range(tables.forecast_errors, since, until)))
+    day = tables.forecast_errors.filter("horizon_hours = 24")
+    mae = aggregates.aggregate_window(day, "30 minutes", ["source"], [F.avg("temp_abs_error").alias("mae")])
+    same("SELECT * FROM alert_windows(24, 1800, 3.0D)", mae.filter("mae > 3"))
+    joined = spark.sql(f"SELECT count(*) AS n FROM alert_windows(24, 3600, 2.0D) a JOIN horizon_report({between}) r ON r.horizon_hours = 24")
+    assert joined.first()["n"] > 0 and set(names) == set(extend.TABLE_FUNCTIONS)
