@@ -1,16 +1,22 @@
-"""Licence scan: parts of a text against licence templates by the Dice coefficient of their word bigrams.
+"""Licence scan: windows of a text against licence templates by the Dice coefficient of their word bigrams.
 
-The parts are the whole text, its blocks between blank lines, its lines and its sentences, each in lower case with
-single blanks between runs of letters and digits. A part is compared with a template only if their sizes allow the
-wanted coefficient: with a bigrams and b bigrams it is at most 2 min(a, b) / (a + b). A few words of the templates are
-enough to tell that a part can match none (``keywords``), so most texts are settled by one look at their words. All of
-it is column expressions over one row: no join, no shuffle and no Python.
+A text is taken as its words in lower case, runs of letters and digits; line ends and the marks of comments fall away
+with the rest of the punctuation, so a notice may run over the lines of a comment. A template of n words is compared
+with windows of n consecutive words: those that begin with one of its bigrams, and the one that ends the text. A text
+of fewer words is one window. Sizes prune: a window of b distinct bigrams and a template of a have at most
+2 min(a, b) / (a + b), so a template is a candidate only where the text holds two thirds of its bigrams, and a window
+only where as many stand in it. Where windows that reach the coefficient overlap, the one with more bigrams in common
+stays (then the larger coefficient, the earlier start, the smaller name): the words of one licence that are also in
+another do not name the other. A few words of the templates are enough to tell that a text can match none
+(``keywords``), so most texts are settled by one look at their words. All of it is column expressions over one row:
+no join, no shuffle and no Python.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +33,33 @@ TEMPLATES = {
         "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
     ],
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version.",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
+    "BSD-2-Clause": [
+        "Released under the 2-Clause BSD License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+        "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+        "with the distribution.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ],
     "BSD-3-Clause": [
         "Released under the 3-Clause BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met:",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+        "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+        "with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used "
+        "to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "CC-BY-4.0": [
         "Licensed under CC BY 4.0.",
@@ -41,6 +69,10 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
+    "CC-BY-ND-4.0": [
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ],
     "CC-BY-SA-4.0": [
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -48,6 +80,19 @@ TEMPLATES = {
     "CC0-1.0": [
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
+        "later version.",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
@@ -59,6 +104,20 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ],
+    "LGPL-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+        "option) any later version.",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+    ],
+    "LGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+    ],
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -69,6 +128,9 @@ TEMPLATES = {
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "SPDX-License-Identifier: MPL-2.0",
     ],
     "Unlicense": [
         "This is free and unencumbered software released into the public domain.",
@@ -92,9 +154,9 @@ def size_bounds(size: int, dice: float = DICE) -> tuple[int, int]:
     return math.ceil(dice * size / (2 - dice) - 1e-9), math.floor((2 - dice) * size / dice + 1e-9)
 
 
-def templates() -> list[tuple[str, int, list[str]]]:
-    """``licence, number, bigrams`` of every template."""
-    return [(name, number, bigrams(text)) for name, texts in sorted(TEMPLATES.items()) for number, text in enumerate(texts)]
+def templates() -> list[tuple[str, int, int, list[str]]]:
+    """``licence, number, words, bigrams`` of every template."""
+    return [(name, number, len(words(text)), bigrams(text)) for name, texts in sorted(TEMPLATES.items()) for number, text in enumerate(texts)]
 
 
 def keywords() -> list[str]:
@@ -104,7 +166,7 @@ def keywords() -> list[str]:
     that more than a third hold one.
     """
     chosen: set[str] = set()
-    for _, _, found in templates():
+    for _, _, _, found in templates():
         left, needed = [g.split() for g in found], len(found) // 3 + 1
         telling = sorted({w for g in left for w in g} - COMMON)
         while len(found) - len(left) < needed:
@@ -122,43 +184,74 @@ def _telling() -> Column:
     return F.array(*map(F.lit, keywords()))
 
 
-def _parts(text: Column) -> Column:
-    sentences = F.split(F.regexp_replace(text, r"([.!?])[ \t\r]+", "$1\n"), "\n")
-    every = F.concat(F.array(text), F.split(text, r"\n[ \t\r]*\n"), F.split(text, "\n"), sentences)
-    longest = max(size_bounds(len(found))[1] for _, _, found in templates())
-    # a bigram set is no larger than the words of its part; repeats may make it smaller, so short parts stay
-    plain = F.transform(F.filter(every, lambda p: F.length(p) > 0), _plain)
-    split = F.transform(F.array_distinct(plain), lambda p: F.struct(p.alias("part"), F.split(p, " ").alias("w")))
-    pairs = F.filter(split, lambda p: F.arrays_overlap(p["w"], _telling()) & (F.size(p["w"]) > 1))
-    grams = F.transform(pairs, lambda p: F.struct(p["part"].alias("part"), F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.size(p["w"]) - 1),
-        lambda i: F.concat_ws(" ", F.element_at(p["w"], i), F.element_at(p["w"], i + 1)))).alias("grams")))
-    return F.filter(grams, lambda p: F.size(p["grams"]) <= longest)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _windows(t: Column, grams: Column, at: Column, dice: float) -> Column:
+    """Windows of one template that reach the coefficient; ``at`` lists the positions of bigrams of any template."""
+    last = F.greatest(F.size(grams) - t["words"] + 1, F.lit(0))  # where the window that ends the text begins
+
+    def window(start: Column) -> Column:
+        stop = F.least(start + t["words"] - 2, F.size(grams) - 1)
+        return _let(F.array_distinct(F.slice(grams, start + 1, stop - start + 1)), lambda g: _let(
+            F.size(F.array_intersect(g, t["grams"])), lambda shared: F.struct(
+                start.alias("start"), stop.alias("stop"), (-shared).alias("shared"),
+                (-2.0 * shared / (F.size(g) + F.size(t["grams"]))).alias("dice"),
+                t["license"].alias("license"), t["template"].alias("template"))))
+
+    def found(own: Column) -> Column:
+        # the position that completes the fewest bigrams a window needs must lie in the window
+        near = F.filter(own, lambda x, i: (x["p"] <= last) & (F.try_element_at(own, i + t["least"])["p"] <= x["p"] + t["words"] - 2))
+        starts = F.array_distinct(F.concat(F.transform(near, lambda x: x["p"]), F.array(last)))
+        return F.filter(F.transform(starts, window), lambda w: w["dice"] <= -dice)
+
+    return _let(F.filter(at, lambda x: F.array_contains(t["grams"], x["gram"])), found)
+
+
+def _best(windows: Column) -> Column:
+    """Windows that no better one overlaps: more bigrams in common, then the larger coefficient, the earlier start, names."""
+    known = templates()
+    # windows by their start: no more than this many begin within the length of one
+    reach = max(n for _, _, n, _ in known) * len(known)
+
+    def rank(w: Column) -> Column:
+        return F.struct(w["shared"], w["dice"], w["start"], w["license"], w["template"])
+
+    return _let(F.array_sort(windows), lambda every: F.filter(every, lambda w, i: ~F.exists(
+        F.slice(every, F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)),
+        lambda v: (v["start"] <= w["stop"]) & (w["start"] <= v["stop"]) & (rank(v) < rank(w)))))
 
 
 def scan(df: DataFrame, text: str = "text", out: str = "licenses", dice: float = DICE) -> DataFrame:
-    """Add ``out``: array of struct ``license, template, dice, part`` for every part that reaches ``dice``.
+    """Add ``out``: array of struct ``license, template, dice, part`` for the windows that reach ``dice``.
 
-    Sorted by licence, template and part. Null and empty texts, and texts without a match, give an empty array; a part
-    that occurs more than once in a text counts once, and one that matches several templates is listed with each. A
-    column named ``out`` is replaced; the other columns and repeated rows stay; an empty table gives an empty table.
+    Sorted by licence, template and part, the words of the window. Null and empty texts, and texts without a match, give
+    an empty array; a part that occurs more than once in a text counts once. A column named ``out`` is replaced; the
+    other columns and repeated rows stay; an empty table gives an empty table.
     """
     prepare(df.sparkSession)
     known = F.array(*[F.struct(
-        F.lit(name).alias("license"), F.lit(number).alias("template"), F.lit(size_bounds(len(found), dice)[0]).alias("least"),
-        F.lit(size_bounds(len(found), dice)[1]).alias("most"), F.array(*map(F.lit, found)).alias("grams"),
-    ) for name, number, found in templates()])
-
-    def matches(part: Column) -> Column:
-        size = F.size(part["grams"])
-        near = F.filter(known, lambda t: (size >= t["least"]) & (size <= t["most"]))
-        return F.transform(near, lambda t: F.struct(
-            t["license"].alias("license"), t["template"].alias("template"),
-            (2.0 * F.size(F.array_intersect(part["grams"], t["grams"])) / (size + F.size(t["grams"]))).alias("dice"),
-            part["part"].alias("part")))
-
-    whole = F.coalesce(F.col(text), F.lit(""))
-    found = F.filter(F.flatten(F.transform(_parts(whole), matches)), lambda m: m["dice"] >= dice)
-    any_word = F.arrays_overlap(F.split(_plain(whole), " "), _telling())
+        F.lit(name).alias("license"), F.lit(number).alias("template"), F.lit(n).alias("words"),
+        F.lit(size_bounds(len(found), dice)[0]).alias("least"), F.array(*map(F.lit, found)).alias("grams"),
+    ) for name, number, n, found in templates()])
+    every = F.array(*map(F.lit, sorted({g for _, _, _, found in templates() for g in found})))
+
+    def matches(w: Column, grams: Column, shared: Column) -> Column:
+        near = F.filter(known, lambda t: F.size(F.array_intersect(shared, t["grams"])) >= t["least"])
+        numbered = F.transform(grams, lambda g, i: F.struct(i.alias("p"), g.alias("gram")))
+        found = _let(F.filter(numbered, lambda x: F.array_contains(shared, x["gram"])),
+                     lambda at: F.flatten(F.transform(near, lambda t: _windows(t, grams, at, dice))))
+        return F.transform(_best(found), lambda k: F.struct(
+            k["license"].alias("license"), k["template"].alias("template"), (-k["dice"]).alias("dice"),
+            F.array_join(F.slice(w, k["start"] + 1, k["stop"] - k["start"] + 2), " ").alias("part")))
+
     none = F.expr("cast(array() AS array<struct<license: string, template: int, dice: double, part: string>>)")
-    return df.withColumn(out, F.when(any_word, F.array_sort(found)).otherwise(none))
+
+    def settled(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))
+        found = _let(grams, lambda g: _let(F.array_intersect(g, every), lambda shared: matches(w, g, shared)))
+        return F.when((F.size(w) > 1) & F.arrays_overlap(w, _telling()), F.array_sort(F.array_distinct(found))).otherwise(none)
+
+    return df.withColumn(out, _let(F.split(_plain(F.coalesce(F.col(text), F.lit(""))), " "), settled))

@@ -163,23 +163,31 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_oracle() -> str:
-    known = ", ".join(f"('{name}', {number}, {found})" for name, number, found in licenses.templates())
-    plain = r"trim(regexp_replace(lower(p), '[^a-z0-9]+', ' ', 'g'))"
+    """Every window by joins over the positions of words."""
+    known = ", ".join(f"('{name}', {number}, {n}, {found})" for name, number, n, found in licenses.templates())
     return rf"""
-WITH t AS (SELECT * FROM (VALUES {known}) AS v(license, template, grams)),
-d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-raw AS (SELECT doc_id, text AS p FROM d
-  UNION ALL SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) FROM d
-  UNION ALL SELECT doc_id, unnest(string_split(text, chr(10))) FROM d
-  UNION ALL SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10))) FROM d),
-part AS (SELECT DISTINCT doc_id, {plain} AS part FROM raw),
-short AS (SELECT doc_id, part, string_split(part, ' ') AS w FROM part WHERE part LIKE '% %'),
-g AS (SELECT doc_id, part, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM short),
-m AS (SELECT doc_id, part, license, 2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice
-      FROM g JOIN t ON len(g.grams) <= 1.6 * len(t.grams) AND len(t.grams) <= 1.6 * len(g.grams)),
-hit AS (SELECT * FROM m WHERE dice >= {licenses.DICE}),
-best AS (SELECT doc_id, license, dice FROM hit QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license) = 1),
-ids AS (SELECT doc_id, count(DISTINCT part) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM hit GROUP BY 1)
+WITH t AS (SELECT * FROM (VALUES {known}) AS v(license, template, n, grams)),
+tg AS MATERIALIZED (SELECT license, template, n, len(grams) AS a, unnest(grams) AS gram FROM t),
+d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents),
+word AS MATERIALIZED (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM d),
+g AS MATERIALIZED (SELECT * FROM (SELECT doc_id, p, word || ' ' || lead(word) OVER (PARTITION BY doc_id ORDER BY p) AS gram FROM word)
+  WHERE gram IS NOT NULL),
+size AS (SELECT doc_id, count(*) AS m FROM g GROUP BY 1),
+h AS MATERIALIZED (SELECT doc_id, m, p, license, template, n, a, gram, greatest(m - n + 1, 0) AS latest FROM g JOIN tg USING (gram) JOIN size USING (doc_id)),
+start AS (SELECT DISTINCT doc_id, license, template, p AS first FROM h WHERE p <= latest
+  UNION SELECT DISTINCT doc_id, license, template, latest FROM h),
+win AS MATERIALIZED (SELECT doc_id, license, template, first, any_value(least(first + n - 2, m - 1)) AS final, any_value(a) AS a, count(DISTINCT gram) AS shared
+  FROM start JOIN h USING (doc_id, license, template) WHERE p BETWEEN first AND first + n - 2 GROUP BY ALL HAVING 3 * shared >= 2 * any_value(a)),
+span AS (SELECT DISTINCT doc_id, first, final FROM win),
+wide AS (SELECT doc_id, first, final, count(DISTINCT gram) AS b FROM span JOIN g USING (doc_id) WHERE p BETWEEN first AND final GROUP BY ALL),
+hit AS MATERIALIZED (SELECT *, 2.0 * shared / (a + b) AS dice FROM win JOIN wide USING (doc_id, first, final) WHERE dice >= {licenses.DICE}),
+kept AS (SELECT * FROM hit w WHERE NOT EXISTS (SELECT 1 FROM hit v WHERE v.doc_id = w.doc_id AND v.first <= w.final AND w.first <= v.final
+  AND (-v.shared, -v.dice, v.first, v.license, v.template) < (-w.shared, -w.dice, w.first, w.license, w.template))),
+part AS (SELECT doc_id, first, final, string_agg(word, ' ' ORDER BY p) AS part FROM (SELECT DISTINCT doc_id, first, final FROM kept) JOIN word USING (doc_id)
+  WHERE p BETWEEN first AND final + 1 GROUP BY ALL),
+best AS (SELECT doc_id, license, dice FROM kept QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license) = 1),
+ids AS (SELECT doc_id, count(DISTINCT part) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
+  FROM kept JOIN part USING (doc_id, first, final) GROUP BY 1)
 SELECT d.doc_id, coalesce(ids.n, 0) AS n_parts, coalesce(ids.licenses, '') AS licenses, best.license AS best_license,
        best.dice AS best_dice
 FROM d LEFT JOIN ids USING (doc_id) LEFT JOIN best USING (doc_id)
