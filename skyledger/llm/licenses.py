@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 DICE = 0.8
+BESIDE = 6  # windows on either side that one is compared with first
 
 # Notices and opening paragraphs of public licences.
 TEMPLATES = {
@@ -219,9 +220,13 @@ def _best(windows: Column) -> Column:
     def rank(w: Column) -> Column:
         return F.struct(w["shared"], w["dice"], w["start"], w["license"], w["template"])
 
-    return _let(F.array_sort(windows), lambda every: F.filter(every, lambda w, i: ~F.exists(
-        F.slice(every, F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)),
-        lambda v: (v["start"] <= w["stop"]) & (w["start"] <= v["stop"]) & (rank(v) < rank(w)))))
+    def beaten(every: Column, w: Column, i: Column, reach: int) -> Column:
+        return F.exists(F.slice(every, F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)),
+                        lambda v: (v["start"] <= w["stop"]) & (w["start"] <= v["stop"]) & (rank(v) < rank(w)))
+
+    # nearly all are beaten by one beside them; the others are compared with all that can overlap them
+    return _let(F.array_sort(windows), lambda every: F.filter(
+        every, lambda w, i: ~beaten(every, w, i, BESIDE) & ~beaten(every, w, i, reach)))
 
 
 def scan(df: DataFrame, text: str = "text", out: str = "licenses", dice: float = DICE) -> DataFrame:
