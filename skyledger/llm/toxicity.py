@@ -116,7 +116,9 @@ class Index:
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(slots, minlength=self.blocks * width))]).astype(np.int32)
         bounds = np.zeros(self.blocks * width)
         np.maximum.at(bounds, slots, weights)
-        self.bounds = bounds.reshape(width, self.blocks)
+        # rounded up, so that they stay bounds
+        self.bounds = np.nextafter(bounds.astype(np.float32), np.float32(2)).reshape(width, self.blocks)
+        self.bounds[bounds.reshape(width, self.blocks) == 0] = 0
 
     def weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of the unit TF-IDF vector."""
@@ -179,6 +181,13 @@ class Index:
         return float(np.interp(self.vote(neighbours), *self.steps)), neighbours
 
 
+def _lasting(held: dict) -> Index:
+    """The index of a worker, which needs nothing else of what was sent."""
+    index = Index(held)
+    held["vectors"] = held["terms"] = None
+    return index
+
+
 def arrays(vector: dict[int, float] | tuple) -> tuple[np.ndarray, np.ndarray]:
     """Terms and weights of a sparse vector, which may come as these two already."""
     if isinstance(vector, tuple):
@@ -281,7 +290,7 @@ def score(df: DataFrame, model: Broadcast, text: str = "text", out: str = "toxic
 
     @F.arrow_udf(f"struct<score: double, evidence: {EVIDENCE}>")
     def scored(texts: pa.Array) -> pa.Array:
-        index = worker_state(model, Index)
+        index = worker_state(model, _lasting)
         scores, ends, near = [], [0], []
         for one in texts.to_pylist():
             found, neighbours = index.score(one)
