@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,21 +78,65 @@ def _subsets(items: str, first: int, last: str) -> Column:
     ))
 
 
+def _numbered(items: Column, frequent: list, seed: int) -> Column:
+    """The frequent items of a basket as sorted numbers; other items go."""
+    known = [i for i in frequent if i is not None]
+
+    def kept(x: Column) -> Column:
+        found = F.coalesce(x.isin(known), F.lit(False)) if known else F.lit(False)
+        return found | x.isNull() if None in frequent else found
+
+    return F.array_sort(F.transform(F.filter(items, kept), lambda x: F.xxhash64(F.lit(seed), x)))
+
+
 def frequent_itemsets(baskets: DataFrame, min_support: float = 0.05) -> DataFrame:
     """(items, n, support) of itemsets with at least ``min_support``.
 
-    FP-growth is asked for one basket less than that, because it rounds the count up after a floating-point product;
-    the exact comparison follows.
+    Itemsets grow by one item per pass over the baskets (Apriori): a basket is unfolded into the frequent itemsets it
+    holds and the items after each, and these are counted where they are read. So a task reads its share of the baskets
+    and shuffles one count per candidate, however many baskets there are; nothing is cached. Baskets of the same
+    frequent items are merged first. The frequent items, at most mean basket size / ``min_support`` of them, come to
+    the driver; itemsets stay in tables.
     """
+    spark = baskets.sparkSession
     known = materialize(baskets.select(F.array_distinct("items").alias("items")), "baskets")
     total = known.count()
-    least = max(0.0, (min_support * total - 1) / max(total, 1))
-    found = FPGrowth(itemsCol="items", minSupport=least).fit(known).freqItemsets
-    return (
-        found.select(F.array_sort("items").alias("items"), F.col("freq").alias("n"),
-                     (F.col("freq") / F.lit(float(total))).alias("support"))
-        .filter(F.col("support") >= min_support)
-    )
+    support = F.col("n") / F.lit(float(total))
+    items = known.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n")).filter(support >= min_support)
+    items = materialize(items, "items")
+    frequent = [r["item"] for r in items.collect()]
+    number, seed = F.xxhash64(F.lit(0), "item"), 0
+    while items.select(number).distinct().count() < len(frequent):  # each item a number of its own
+        seed += 1
+        number = F.xxhash64(F.lit(seed), "item")
+    items = items.select("item", number.alias("number"), "n")
+
+    # ``rest``: the numbers of a basket that may still join the itemset; all itemsets begin with the empty one
+    numbers = known.select(_numbered(F.col("items"), frequent, seed).alias("rest")).filter(F.size("rest") > 0)
+    merged = materialize(numbers.groupBy("rest").agg(F.count("*").alias("times")), "numbers")
+    held = merged.select(F.lit(0).cast("long").alias("set"), "rest", "times")
+    level = items.select(F.lit(0).cast("long").alias("set"), "number", F.monotonically_increasing_id().alias("longer"),
+                         F.array("item").alias("items"), "n")
+    found = []
+    while True:
+        level = materialize(level, "itemsets")
+        if level.isEmpty():
+            break
+        found.append(level.select(F.array_sort("items").alias("items"), "n", support.alias("support")))
+        held = _unfolded(held).join(level.select("set", "number", "longer"), ["set", "number"]).select(
+            F.col("longer").alias("set"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"), "times")
+        counted = _unfolded(held).groupBy("set", "number").agg(F.sum("times").alias("n")).filter(support >= min_support)
+        sets = level.select(F.col("longer").alias("set"), F.col("items").alias("shorter"))
+        level = materialize(counted, "counted").join(sets, "set").join(items.select("number", "item"), "number").select(
+            "set", "number", F.monotonically_increasing_id().alias("longer"),
+            F.array_append("shorter", F.col("item")).alias("items"), "n")
+    none = spark.createDataFrame([], items.select(F.array("item").alias("items"), "n", support.alias("support")).schema)
+    return reduce(DataFrame.unionByName, found, none)
+
+
+def _unfolded(held: DataFrame) -> DataFrame:
+    """One row per itemset in a basket and item after it: its ``number`` and where it stands in ``rest``."""
+    return held.select("set", "rest", "times", F.posexplode("rest").alias("at", "number"))
 
 
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.5) -> DataFrame:

@@ -2,9 +2,12 @@
 
 import math
 import random
+from collections import Counter
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
+from test_queries import executed_plans
 
 from skyledger.operators import filters, mining, profile
 from skyledger.plans.comprehensive import comprehensive
@@ -68,6 +71,23 @@ def test_support_exactly_at_the_threshold_of_wide_baskets(spark):
     assert sets.count() == 2**12 - 1 and sets.agg(F.min("n"), F.max("n")).first() == (7, 7)
 
 
+def brute_sets(rows, least):
+    """Counts of every itemset, by unfolding each basket whole."""
+    counts = Counter(s for r in rows if r for k in range(1, len(set(r)) + 1) for s in combinations(sorted(set(r), key=str), k))
+    return {s: n for s, n in counts.items() if n / len(rows) >= least}
+
+
+def test_itemsets_equal_brute_force_without_cached_baskets(spark):
+    """Repeated items, empty and null baskets, a null item; baskets never leave the tables to be cached as objects."""
+    draw = random.Random(3)
+    rows = [[f"i{draw.randrange(9)}" for _ in range(draw.randrange(8))] for _ in range(300)] + [[None, "i1"]] * 40 + [None] * 10
+    df = spark.createDataFrame([(r,) for r in rows], "items array<string>")
+    before = max(executed_plans(spark), default=-1)
+    found = {tuple(sorted(r["items"], key=str)): r["n"] for r in mining.frequent_itemsets(df, 0.08).collect()}
+    assert found == brute_sets(rows, 0.08) and (None, "i1") in found
+    assert not [p for p in executed_plans(spark, before).values() if "DeserializeToObject" in p]
+
+
 def test_columns_that_are_absent_are_skipped(spark):
     df = spark.createDataFrame([(1.0,)], "other double")
     assert mining.discretize(df, ["temperature"]).columns == ["other"]
