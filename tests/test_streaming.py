@@ -1,11 +1,15 @@
 """Streams over several batches, restarts and late rows."""
 
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
+from test_queries import executed_plans
 
 from skyledger.operators import aggregates, filters
+from skyledger.sources import points
+from skyledger.sources.points import readings_to_points
 from skyledger.streaming import extend, live
 
 SCHEMA = "event_id bigint, mac string, ts timestamp, temperature double, humidity double, pressure double, " \
@@ -244,3 +248,19 @@ def test_sql_table_functions_equal_their_operators(spark, tables):
     same("SELECT * FROM alert_windows(24, 1800, 3.0D)", mae.filter("mae > 3"))
     joined = spark.sql(f"SELECT count(*) AS n FROM alert_windows(24, 3600, 2.0D) a JOIN horizon_report({between}) r ON r.horizon_hours = 24")
     assert joined.first()["n"] > 0 and set(names) == set(extend.TABLE_FUNCTIONS)
+
+
+def test_late_history_is_shuffled_by_second_not_by_point(spark, tables, tmp_path):
+    """A new field arrives with the late rows; stored fields keep their values, and a repeat changes nothing."""
+    path = str(tmp_path / "table")
+    some = tables.readings.filter(F.to_date("ts") == "2024-01-05")
+    points.write_points(readings_to_points(some.filter("event_id % 3 <> 0").drop("rssi")), path)
+    for _ in range(2):
+        before = max(executed_plans(spark), default=-1)
+        live.backfill(some.filter("event_id % 3 = 0"), path)
+        written = [p for p in executed_plans(spark, before).values() if "InsertIntoHadoopFsRelationCommand" in p]
+        assert written and not [p for p in written if re.search(r"hashpartitioning\(measurement#\d+, mac", p)]
+    want = points.dedupe_points(readings_to_points(some).filter("field <> 'rssi' or event_id % 3 = 0"))
+    columns = ["measurement", "mac", "data_format", "field", "ts", "value"]
+    got = points.read_points(spark, path).select(*columns)
+    assert got.count() == want.count() and got.exceptAll(want.select(*columns)).isEmpty()
