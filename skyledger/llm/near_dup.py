@@ -53,12 +53,22 @@ def _stirred(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
+def word_numbers(text: str | None) -> np.ndarray:
+    """A 32-bit number for each word, in order: all that shingles are made of, at half their size."""
+    found = words(text.lower()) if text else []
+    return np.fromiter(map(zlib.crc32, found), np.uint32, len(found))
+
+
 def shingles(text: str | None) -> np.ndarray:
     """Hashes of every five consecutive words, in order; a shorter text of any words is one shingle."""
-    found = words(text.lower()) if text else []
-    if not found:
+    return joined_words(word_numbers(text))
+
+
+def joined_words(numbers: np.ndarray) -> np.ndarray:
+    """The shingles of a text by the numbers of its words."""
+    if not len(numbers):
         return np.zeros(0, np.uint64)
-    numbers = np.fromiter(map(zlib.crc32, found), np.uint64, len(found))
+    numbers = numbers.astype(np.uint64)
     width = min(WORDS, len(numbers))
     count = len(numbers) - width + 1
     total = np.full(count, width, np.uint64)
@@ -137,13 +147,19 @@ def _sketched(texts: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.BinaryType())
 def _shingled(texts: pa.Array) -> pa.Array:
-    return pa.array([distinct(shingles(t)).tobytes() for t in texts.to_pylist()], pa.binary())
+    return pa.array([word_numbers(t).tobytes() for t in texts.to_pylist()], pa.binary())
 
 
 @F.arrow_udf(T.DoubleType())
 def _compared(left: pa.Array, right: pa.Array) -> pa.Array:
-    pairs = zip(left.to_pylist(), right.to_pylist())
-    return pa.array([aligned(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in pairs], pa.float64())
+    made: dict[bytes, np.ndarray] = {}  # a leader stands in many pairs of a batch
+
+    def read(a: bytes) -> np.ndarray:
+        if a not in made:
+            made[a] = distinct(joined_words(np.frombuffer(a, np.uint32)))
+        return made[a]
+
+    return pa.array([aligned(read(a), read(b)) for a, b in zip(left.to_pylist(), right.to_pylist())], pa.float64())
 
 
 def _of_sketches(start: int, offsets: tuple[int, ...], *more: Column) -> Column:
@@ -175,8 +191,8 @@ def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
 def links(sketched: DataFrame, prints_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Verified pairs ``a, b, similarity`` between the distinct ids of ``id, sketches`` rows, as far as buckets find them.
 
-    ``prints_of`` returns ``id, print`` for a table of ids: shingles are made only of texts that share a bucket. They
-    are returned as well.
+    ``prints_of`` returns ``id, print`` for a table of ids, the numbers of a text's words, of which its shingles are made
+    where it is compared: prints are most of what is shuffled and stored. They are returned as well.
     """
     each = sketched.select("id", F.posexplode("sketches").alias("_of", "_value"))
     rows = each.select(F.xxhash64("_of", "_value").alias("key"), "id")

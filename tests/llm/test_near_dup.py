@@ -4,6 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 from conftest import SF_DIR
+from pyspark.sql import functions as F
 
 from skyledger.llm import near_dup as n
 
@@ -178,3 +179,17 @@ def test_ids_of_two_texts_lose_no_link(spark):
     assert found == {(d, d if d < 1000 else (d - 1000) // 2) for d, _ in rows}
     kept = sorted((r["doc_id"], r["text"]) for r in n.keep_one(df).collect())
     assert kept == sorted((d, t) for d, t in rows if d < 1000)  # both texts of every id, none of the copies
+
+
+def test_prints_are_no_larger_than_the_words_need(spark):
+    """Four bytes a word instead of eight a shingle; the similarities are those of the shingles."""
+    texts = [" ".join(f"w{(i * 7 + j) % 90}" for j in range(120 + i)) for i in range(12)] + ["one two"]
+    texts += [t + " tail of it" for t in texts[:12]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    prints = rows.select("id", n._shingled("text").alias("print"))
+    assert all(len(r["print"]) <= 4 * len(texts[r["id"]].split()) for r in prints.collect())
+    pairs = prints.alias("s").join(prints.alias("t"), F.col("s.id") < F.col("t.id")).select(
+        F.col("s.id").alias("a"), F.col("t.id").alias("b"), n._compared("s.print", "t.print").alias("similarity"))
+    words_of = {i: n.distinct(n.shingles(t)) for i, t in enumerate(texts)}
+    found = [tuple(r) for r in pairs.collect()]
+    assert len(found) == 300 and all(s == n.aligned(words_of[a], words_of[b]) for a, b, s in found)
