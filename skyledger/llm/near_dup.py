@@ -326,6 +326,20 @@ class Sieve:
 
         return known(F.transform(keys, self._place))
 
+    def prints(self, texts: DataFrame, column: str) -> DataFrame:
+        """``id, print`` and ``column`` of the ``texts`` whose key may be among them: no other is made a print or shuffled."""
+        held = self.held
+
+        def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                places = batch.column(2).to_numpy()
+                kept = batch.filter(pa.array(_set(held.value, places)))
+                made = pa.array([word_numbers(t).tobytes() for t in kept.column(3).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), made], ["id", column, "print"])
+
+        rows = texts.select("id", column, self._place(F.col(column)).alias("place"), "text")
+        return rows.mapInArrow(printed, T.StructType([*rows.schema.fields[:2], T.StructField("print", T.BinaryType())]))
+
 
 def _set(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
@@ -398,8 +412,9 @@ def _text_classes(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Dat
 
     def prints_of(ids: DataFrame) -> DataFrame:
         wanted = materialize(standing.join(ids.select(F.col("id").alias("tid")), "tid", "left_semi"), "wanted")  # broadcast if few
-        found = hashed.join(wanted, ["id", "same"]).dropDuplicates(["tid"])
-        return found.select(F.col("tid").alias("id"), _shingled("text").alias("print"))
+        # repeated rows are told by what they were joined by: as tid, at the price of no second shuffle
+        found = Sieve(wanted, "same").prints(hashed, "same").join(wanted, ["id", "same"]).dropDuplicates(["id", "same"])
+        return found.select(F.col("tid").alias("id"), "print")
 
     linked, prints = links(sketched, prints_of)
     joined = components(linked.select("a", "b"))
@@ -407,7 +422,7 @@ def _text_classes(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Dat
         "class", F.coalesce("class", "tid"))
     # an inner join, which is not moved below the lists of shingles: no text is shuffled
     listed = prefixes(hashed).join(classed, ["id", "same"])
-    lists = materialize(listed.dropDuplicates(["tid"]).select(F.col("tid").alias("id"), "class", "n", "first"), "prefixes")
+    lists = materialize(listed.dropDuplicates(["id", "same"]).select(F.col("tid").alias("id"), "class", "n", "first"), "prefixes")
 
     def all_prints(ids: DataFrame) -> DataFrame:
         new = materialize(ids.join(prints, "id", "left_anti"), "new_ids")

@@ -1,10 +1,12 @@
 import random
+import re
 from itertools import combinations
 
 import numpy as np
 import pytest
 from conftest import SF_DIR
 from pyspark.sql import functions as F
+from test_queries import executed_plans
 
 from skyledger.llm import near_dup as n
 
@@ -193,3 +195,25 @@ def test_prints_are_no_larger_than_the_words_need(spark):
     words_of = {i: n.distinct(n.shingles(t)) for i, t in enumerate(texts)}
     found = [tuple(r) for r in pairs.collect()]
     assert len(found) == 300 and all(s == n.aligned(words_of[a], words_of[b]) for a, b, s in found)
+
+
+def test_no_text_is_shuffled_and_only_wanted_ones_are_made_prints(spark):
+    """Null and repeated rows, ids of several texts; the classes are the same with and without a sort-merge join."""
+    draw = random.Random(8)
+    texts = [text_of(draw, 60) for _ in range(300)]
+    rows = list(enumerate(texts)) + [(1000 + i, edited(draw, texts[i], 1)) for i in range(10)]
+    rows += [(0, texts[0]), (5, texts[299]), (None, texts[1]), (700, None), (701, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, n.classes(df).collect()))
+    threshold, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), max(executed_plans(spark), default=-1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(str, n.classes(df).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    moved = [x for p in executed_plans(spark, before).values() for x in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", p)]
+    assert any("print#" in x for x in moved) and not any(re.search(r"\btext#", x) for x in moved)
+    hashed = df.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("same", F.sha2("text", 256))
+    made = n.Sieve(hashed.filter("id >= 1000").select("same"), "same").prints(hashed, "same").collect()
+    assert {1000 + i for i in range(10)} <= {r["id"] for r in made} and len(made) < 60
+    assert all(bytes(r["print"]) == n.word_numbers(dict(rows)[r["id"]]).tobytes() for r in made if r["id"] and r["id"] >= 1000)
