@@ -77,7 +77,7 @@ class Terms:
     """Numbers of the terms in the space, by word and by beginning."""
 
     def __init__(self, numbers: dict[str, int]):
-        self.words = {t: n for t, n in numbers.items() if not t.endswith("*")}
+        self.words = numbers  # beginnings too, which equal no word: they end with a star
         self.beginnings = {t[:-1]: n for t, n in numbers.items() if t.endswith("*")}
         sizes: dict[str, set[int]] = {}  # by their first letters: most words begin like none
         for beginning in self.beginnings:
@@ -96,48 +96,74 @@ class Terms:
         return out
 
 
+class Model(dict):
+    """A trained model as it is sent: the finished index and its terms as one text. ``vectors`` are read back from the postings."""
+
+    def __missing__(self, key: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        if key != "vectors":
+            raise KeyError(key)
+        rows, weights, first, _, starts, _ = self["postings"]
+        terms = np.repeat(np.repeat(np.arange(len(first) - 1), np.diff(first)), np.diff(starts))
+        order = np.argsort(rows, kind="stable")
+        ends = np.cumsum(np.bincount(rows, minlength=len(self["ids"])))[:-1]
+        return list(zip(np.split(terms[order], ends), np.split(weights[order], ends)))
+
+
+def _numbered(terms: str | list[str]) -> dict[str, int]:
+    """The terms of a list, or of a text with blanks between them, by their place."""
+    return {t: i for i, t in enumerate(terms.split() if isinstance(terms, str) else terms)}
+
+
+def _postings(vectors: list, width: int) -> tuple[np.ndarray, ...]:
+    """``rows, weights, first, block_of, starts, tops`` of an index over ``width`` terms.
+
+    Most terms stand in few blocks: only pairs of a term and a block that has it take room. Pairs of term t lie between
+    ``first[t]`` and ``first[t + 1]``, postings of pair p between ``starts[p]`` and ``starts[p + 1]``.
+    """
+    vectors = [arrays(v) for v in vectors]
+    terms = np.concatenate([np.zeros(0, np.int32), *[t for t, _ in vectors]])
+    weights = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
+    rows = np.repeat(np.arange(len(vectors), dtype=np.min_scalar_type(max(len(vectors), BLOCK))), [len(t) for t, _ in vectors])
+    order = np.argsort(terms, kind="stable")
+    terms, rows, weights = terms[order], rows[order], weights[order]
+    blocks = rows // BLOCK
+    new = np.concatenate([np.ones(min(len(terms), 1), bool), (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])])
+    starts = np.flatnonzero(new)
+    first = np.concatenate([[0], np.cumsum(np.bincount(terms[starts], minlength=width))]).astype(np.int32)
+    # rounded up, so that they stay bounds
+    tops = np.maximum.reduceat(weights, starts) if len(starts) else np.zeros(0)
+    tops = np.nextafter(tops.astype(np.float32), np.float32(2))
+    return rows, weights, first, blocks[starts], np.append(starts, len(rows)).astype(np.int32), tops
+
+
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of some ranges, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Index:
-    """Postings by block and term, with the largest weight of each."""
+    """Postings by term and block, with the largest weight of each."""
 
     def __init__(self, held: dict):
-        self.terms = Terms({t: i for i, t in enumerate(held["terms"])})
+        self.terms = Terms(_numbered(held["terms"]))
         self.idf, self.labels, self.ids = np.asarray(held["idf"], float), held["labels"], held["ids"]
         self.empty_rate, self.steps = held["empty_rate"], held.get("steps")
-        vectors = [arrays(v) for v in held["vectors"]]
-        self.blocks, width = -(-len(vectors) // BLOCK), len(self.idf)
-        sizes = np.array([len(t) for t, _ in vectors], int)
-        terms = np.concatenate([np.zeros(0, int), *[t for t, _ in vectors]])
-        weights = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
-        rows = np.repeat(np.arange(len(vectors)), sizes)
-        slots = terms * self.blocks + rows // BLOCK
-        order = np.argsort(slots, kind="stable")
-        self.rows, self.weights = rows[order].astype(np.int32), weights[order]
-        # postings of term t in block b lie between starts[t * blocks + b] and the next start: those of a term together
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(slots, minlength=self.blocks * width))]).astype(np.int32)
-        bounds = np.zeros(self.blocks * width)
-        np.maximum.at(bounds, slots, weights)
-        # rounded up, so that they stay bounds
-        self.bounds = np.nextafter(bounds.astype(np.float32), np.float32(2)).reshape(width, self.blocks)
-        self.bounds[bounds.reshape(width, self.blocks) == 0] = 0
+        self.blocks = -(-len(self.ids) // BLOCK)
+        self.postings = held["postings"] if "postings" in held else _postings(held["vectors"], len(self.idf))
+        self.rows, self.weights, self.first, self.block_of, self.starts, self.tops = self.postings
 
     def weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of the unit TF-IDF vector."""
         terms, n = arrays(counts)
         return terms, _unit(terms, n, self.idf)
 
-    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Cosines with the examples of some blocks; zero for the others."""
-        slots = (terms[:, None] * self.blocks + blocks).ravel()
-        first = self.starts[slots]
-        sizes = self.starts[slots + 1] - first
-        held = np.flatnonzero(sizes)  # most words stand in few blocks
-        if not len(held):
-            return np.zeros(self.blocks * BLOCK)
-        first, sizes = first[held], sizes[held]
-        ends = np.cumsum(sizes)
-        at = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])
-        each = np.repeat(weights[held // len(blocks)], sizes)
-        return np.bincount(self.rows[at], each * self.weights[at], self.blocks * BLOCK)
+    def _scores(self, pairs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Cosines with the examples of the blocks of some pairs; zero for the others."""
+        first = self.starts[pairs]
+        sizes = self.starts[pairs + 1] - first
+        at = _ranges(first, sizes)
+        return np.bincount(self.rows[at], np.repeat(weights, sizes) * self.weights[at], self.blocks * BLOCK)
 
     def nearest(self, vector: dict[int, float] | tuple, k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int]]:
         """The k examples of the largest cosine above zero, ties by their order; ``without`` leaves one out.
@@ -147,7 +173,10 @@ class Index:
         terms, weights = arrays(vector)
         if not len(terms) or not self.blocks:
             return []
-        upper = weights @ self.bounds[terms]
+        sizes = self.first[terms + 1] - self.first[terms]
+        pairs, weights = _ranges(self.first[terms], sizes), np.repeat(weights, sizes)
+        block_of = self.block_of[pairs]
+        upper = np.bincount(block_of, weights * self.tops[pairs], self.blocks)
         order = np.argsort(-upper, kind="stable")
         best: list[tuple[float, int]] = []
         at, many = 0, 1
@@ -157,7 +186,10 @@ class Index:
             group = group[upper[group] >= least - 1e-9]
             if not len(group):
                 break
-            scores = self._scores(terms, weights, group)
+            read = np.zeros(self.blocks, bool)
+            read[group] = True
+            read = np.flatnonzero(read[block_of])
+            scores = self._scores(pairs[read], weights[read])
             if without is not None:
                 scores[without] = 0.0
             found = np.flatnonzero(scores >= least - 1e-9)
@@ -184,10 +216,14 @@ class Index:
 def _lasting(held: dict) -> Index:
     """The index of a worker, which needs nothing else of what was sent."""
     index = Index(held)
-    held["vectors"] = held["terms"] = None
+    held["terms"] = None  # the rest is what the index reads
     return index
 
 
+def _known(held: dict) -> Terms:
+    return Terms(_numbered(held.pop("terms")))
+
+
 def arrays(vector: dict[int, float] | tuple) -> tuple[np.ndarray, np.ndarray]:
     """Terms and weights of a sparse vector, which may come as these two already."""
     if isinstance(vector, tuple):
@@ -245,13 +281,13 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "t
     words = found.toArrow().sort_by("term")  # of a bounded sample; Arrow holds them without an object per row
     terms, held_by, strong = words["term"].to_pylist(), words["n"].to_numpy(), words["telling"].to_numpy()
     idf = (np.log((1 + n_pos + n_neg) / (1 + held_by)) + 1) * np.where(strong, 1.0, FAINT)
-    numbers = {t: i for i, t in enumerate(terms)}
+    shared = spark.sparkContext.broadcast({"terms": " ".join(terms)})
     common = np.argsort(-held_by, kind="stable")[:SORTED_BY]
 
     @F.arrow_udf("binary")
     def vectors(texts: pa.Array) -> pa.Array:
         """Term numbers in order, then their counts, as 32-bit integers: an example is one short value."""
-        known = Terms(numbers)
+        known = worker_state(shared, _known)
         return pa.array([np.array(sorted(known.counts(t).items()), "<i4").reshape(-1, 2).T.tobytes() for t in texts.to_pylist()],
                         pa.binary())
 
@@ -266,11 +302,12 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "t
     empty = [label for _, label, at, _ in rows if not len(at)]
     kept = sorted((r for r in rows if len(r[2])), key=lambda r: r[0])
     rate = (sum(empty) + every["positive"] / (every["n"] + 1)) / (len(empty) + 1)
-    held = {"terms": terms, "idf": idf, "ids": [like[-1] for like, _, _, _ in kept], "labels": [label for _, label, _, _ in kept],
-            "vectors": [(at, _unit(at, n, idf)) for _, _, at, n in kept], "empty_rate": rate}
+    examples = [(at, _unit(at, n, idf)) for _, _, at, n in kept]
+    held = Model({"terms": " ".join(terms), "idf": idf, "ids": [like[-1] for like, _, _, _ in kept], "empty_rate": rate,
+                  "labels": [label for _, label, _, _ in kept], "postings": _postings(examples, len(terms))})
     index = Index(held)
     taught = range(0, len(kept), -(-len(kept) // CALIBRATED) or 1)
-    votes = np.array([index.vote(index.nearest(held["vectors"][i], without=i)) for i in taught])
+    votes = np.array([index.vote(index.nearest(examples[i], without=i)) for i in taught])
     truth = np.array([float(held["labels"][i]) for i in taught])
     # counted as in all labelled documents, but together no more than there are examples
     share = every["positive"] / max(every["n"], 1)

@@ -1,5 +1,7 @@
 """Language, quality and toxicity: held-out accuracy, exact neighbours, edges."""
 
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +149,18 @@ def test_a_rare_label_is_not_crowded_out(spark):
     rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), (F.col("id") < 20).cast("int").alias("toxic"))
     sample = labelled_sample(rows, rows, "toxic", F.lit(True), 50, each=True)
     assert {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()} == {1: 20, 0: 50}
+
+
+def test_an_index_takes_room_by_its_postings():
+    """Fifty thousand words that stand in one example each: no room for words times blocks; what is sent has it all."""
+    draw = np.random.default_rng(9)
+    vectors = [(np.arange(i * 25, i * 25 + 25), draw.random(25)) for i in range(2000)] + [(np.zeros(0, int), np.zeros(0))]
+    held = {"terms": [f"w{i}" for i in range(50_000)], "idf": [1.0] * 50_000, "ids": list(range(2001)), "labels": [True] * 2001,
+            "vectors": vectors, "empty_rate": 0.0}
+    index = toxicity.Index(held)
+    assert sum(a.nbytes for a in vars(index).values() if isinstance(a, np.ndarray)) < 40 * 50_000
+    sent = toxicity.Model({k: v for k, v in held.items() if k != "vectors"} | {"postings": index.postings, "terms": " ".join(held["terms"])})
+    got = pickle.loads(pickle.dumps(sent))
+    assert all((a == c).all() and (b == d).all() for (a, b), (c, d) in zip(vectors, got["vectors"], strict=True))
+    again = toxicity.Index(got)
+    assert again.terms.words == index.terms.words and again.nearest(vectors[7]) == index.nearest(vectors[7]) != []
