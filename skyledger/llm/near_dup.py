@@ -11,7 +11,8 @@ led by a third text, and finer keys keep fewer texts together.
 
 What the buckets lose is found exactly by a prefix filter. Shingles have one order for all texts, rare ones first. Two
 texts of the wanted similarity share one of their first shingles (``prefix_sizes``), whatever the order is, so texts of
-different classes that share one, and whose sizes and places in the order still allow the similarity, are compared.
+different classes that share one, and whose sizes and places in the order still allow the similarity, are compared,
+in turns between which classes are joined: a pair inside a class needs no comparison.
 
 A pair is verified by alignment: the longest common subsequence of the two shingle sequences inside the diagonal band
 that a similarity of ``SIMILARITY`` allows. Similarity is matched over all distinct shingles of the pair, so it is the
@@ -25,6 +26,7 @@ import math
 import zlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ FINER = ((0, 1, 2), (0, 3, 7), (0, 1, 5, 10), (0, 2, 6, 9))
 _TOGETHER = 4096  # shingles of one text hashed for all sketches at once
 CELL_BITS, CHUNK_BITS = 22, 16  # shingles are counted in so many cells, and the counts added up in chunks
 SIEVE_BITS = 28  # 32 MB
+LEADERS, GROWTH = 8, 8  # texts of a key that the others are compared with in the first turn, and times more in each next
+_SHARE = SIMILARITY / (1 + SIMILARITY)  # of the shingles of both texts of a pair, that must be common
 
 _ODD = np.random.default_rng(20).integers(1, 2**63, SKETCHES + WORDS, np.uint64) | np.uint64(1)
 
@@ -184,7 +188,7 @@ def _longer(left: DataFrame, sketched: DataFrame, turn: int) -> DataFrame:
 def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     both = pairs.join(prints.select(F.col("id").alias("a"), F.col("print").alias("_pa")), "a").join(
         prints.select(F.col("id").alias("b"), F.col("print").alias("_pb")), "b")
-    return materialize(both.select("a", "b", _compared("_pa", "_pb").alias("similarity"))
+    return materialize(both.select(*pairs.columns, _compared("_pa", "_pb").alias("similarity"))
                        .filter(F.col("similarity") >= SIMILARITY), "links")
 
 
@@ -346,26 +350,81 @@ def _set(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def missed(lists: DataFrame, prints_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Every pair ``a, b, similarity`` of texts ``id, class, n, first`` whose classes differ."""
+    """Pairs ``a, b, similarity`` of texts ``id, class, n, first`` whose classes differ: all that are needed to join them.
+
+    A pair is left out only where pairs of an earlier turn have already put both texts into one class.
+    """
     # a shingle that only one class has among its first ones links nothing
     several = materialize(lists.select(F.explode("first").alias("key"), "class").groupBy("key").agg(
         F.min("class").alias("_a"), F.max("class").alias("_z")).filter("_a <> _z").select("key"), "several")
     rows = lists.select("id", "class", "n", "first", F.explode(Sieve(several, "key").passing(F.col("first"))).alias("at"))
     rows = rows.select("id", "class", "n", "at", F.col("first")[F.col("at")].alias("key"))
-    rows = materialize(rows.join(several, "key"), "first_shingles")
     # the shorter text, of equal ones that of the smaller id, is looked up by fewer of its shingles
-    share = SIMILARITY / (1 + SIMILARITY)
-    short = rows.filter(F.col("at") < F.col("n") - F.ceil(2 * share * F.col("n") - 1e-9) + 1)
-    s, t = short.alias("s"), rows.alias("t")
-    pairs = s.join(t, (F.col("s.key") == F.col("t.key")) & (F.col("s.class") != F.col("t.class"))
-                   & ((F.col("s.n") < F.col("t.n")) | ((F.col("s.n") == F.col("t.n")) & (F.col("s.id") < F.col("t.id"))))
-                   & (F.col("s.n") >= SIMILARITY * F.col("t.n") - 1e-9)
-                   # were this their first common shingle, enough would have to follow in both
-                   & (F.least(F.col("s.n") - F.col("s.at"), F.col("t.n") - F.col("t.at"))
-                      >= share * (F.col("s.n") + F.col("t.n")) - 1e-9))
-    pairs = materialize(pairs.select(F.least("s.id", "t.id").alias("a"), F.greatest("s.id", "t.id").alias("b")).distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return _verified(pairs, materialize(prints_of(ids), "prints"))
+    rows = rows.withColumn("early", F.col("at") < F.col("n") - F.ceil(2 * _SHARE * F.col("n") - 1e-9) + 1)
+    rows = materialize(rows.join(several, "key"), "first_shingles")
+    # the class most of a key's texts are in: two of them are no pair, and nothing looks for one
+    most = rows.groupBy("key", "class").count().groupBy("key").agg(F.max(F.struct("count", "class"))["class"].alias("main"))
+    rows = materialize(rows.join(most, "key"), "main_classes")
+    others = materialize(_partnered(rows.filter("class <> main"), rows), "others")
+    rows = materialize(others.unionByName(_partnered(rows.filter("class = main"), others)), "partnered")
+    return _in_turns(rows, materialize(prints_of(rows.select("id").distinct()), "prints"))
+
+
+def _possible() -> Column:
+    """Whether texts ``s`` and ``t`` that share a first shingle may be similar and are not in one class."""
+    n, m = F.col("s.n"), F.col("t.n")
+    shorter = (n < m) | ((n == m) & (F.col("s.id") < F.col("t.id")))
+    return ((F.col("s.key") == F.col("t.key")) & (F.col("s.class") != F.col("t.class"))
+            & F.when(shorter, F.col("s.early")).otherwise(F.col("t.early"))
+            & (F.least(n, m) >= SIMILARITY * F.greatest(n, m) - 1e-9)
+            # were this their first common shingle, enough would have to follow in both
+            & (F.least(n - F.col("s.at"), m - F.col("t.at")) >= _SHARE * (n + m) - 1e-9))
+
+
+def _partnered(rows: DataFrame, partners: DataFrame) -> DataFrame:
+    return rows.alias("s").join(partners.alias("t"), _possible(), "left_semi")
+
+
+def _in_turns(rows: DataFrame, prints: DataFrame) -> DataFrame:
+    """Compare the texts of each key with its first ``LEADERS`` ones, then with ``GROWTH`` times as many, and so on.
+
+    The classes are joined after every turn. A stray copy of a large class meets a few of its texts until one matches,
+    not all of them; texts that match nothing are compared with every text the filter leaves, each pair once.
+    """
+    in_main, u = F.col("class") == F.col("main"), F.shiftrightunsigned(F.xxhash64("id"), 33) / 2.0**31
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.count_if(in_main).alias("_m"))
+    # the main class leads, in an order that keys of the same texts have in common
+    place = F.when(in_main, F.floor(u * F.col("_m"))).otherwise(F.col("_m") + F.floor(u * (F.col("size") - F.col("_m"))))
+    rows = materialize(rows.join(sizes, "key").withColumn("place", place).drop("_m"), "placed")
+    found, done, start, end = [], [], 0, LEADERS
+    while True:
+        leader = F.least("s.place", "t.place")
+        pairs = rows.alias("s").join(rows.filter("class <> main").alias("t"), _possible() & (leader >= start) & (leader < end)
+                                     & ((F.col("s.class") == F.col("s.main")) | (F.col("s.id") < F.col("t.id"))))
+        pairs = pairs.select(F.least("s.id", "t.id").alias("a"), F.greatest("s.id", "t.id").alias("b"),
+                             F.least("s.class", "t.class").alias("_c"), F.greatest("s.class", "t.class").alias("_d")).distinct()
+        for before in done:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        done.append(pairs.select("a", "b"))
+        verified = _verified(pairs, prints)
+        found.append(verified.select("a", "b", "similarity"))
+        rows = rows.filter(F.col("size") > end)  # all pairs of the others have had their turn
+        if rows.isEmpty():
+            break
+        if not verified.isEmpty():
+            moved = components(verified.select(F.col("_c").alias("a"), F.col("_d").alias("b")))
+            rows = _renamed(_renamed(rows, moved, "class"), moved, "main")
+        rows = materialize(rows, "open")
+        if rows.filter("class <> main").isEmpty():
+            break
+        start, end = end, GROWTH * end
+    return reduce(DataFrame.unionByName, found)
+
+
+def _renamed(rows: DataFrame, moved: DataFrame, column: str) -> DataFrame:
+    to = moved.select(F.col("id").alias(column), F.col("class").alias("_to"))
+    return rows.join(to, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
 
 
 def components(edges: DataFrame) -> DataFrame:

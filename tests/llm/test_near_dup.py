@@ -217,3 +217,33 @@ def test_no_text_is_shuffled_and_only_wanted_ones_are_made_prints(spark):
     made = n.Sieve(hashed.filter("id >= 1000").select("same"), "same").prints(hashed, "same").collect()
     assert {1000 + i for i in range(10)} <= {r["id"] for r in made} and len(made) < 60
     assert all(bytes(r["print"]) == n.word_numbers(dict(rows)[r["id"]]).tobytes() for r in made if r["id"] and r["id"] >= 1000)
+
+
+def test_stray_copies_are_not_compared_with_all_of_a_class(spark, monkeypatch):
+    """A large class and near copies that the buckets left out: every one is joined, and three times as many texts of
+    both kinds make no nine times as many pairs. Families that are not alike are still compared in full."""
+    draw = random.Random(12)
+    base, apart = text_of(draw, 150), text_of(draw, 100)
+    copies = [edited(draw, base, 1 + i % 2) for i in range(330)]
+    others = [edited(draw, apart, 12) for _ in range(20)]  # share shingles, match nothing
+    compared, verified = [], n._verified
+    monkeypatch.setattr(n, "_verified", lambda pairs, prints: compared.append(
+        {(r["a"], r["b"]) for r in pairs.collect()}) or verified(pairs, prints))
+    counts = []
+    for size, strays in ((100, 10), (300, 30)):
+        texts = copies[:size + strays] + others
+        kinds = [0 if i < size else i for i in range(len(texts))]
+        rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+        classed = rows.join(spark.createDataFrame(list(enumerate(kinds)), "id long, class long"), "id")
+        lists = n.materialize(n.prefixes(classed), "lists")
+        compared.clear()
+        found = n.missed(lists, lambda ids: rows.join(ids, "id", "left_semi").select("id", n._shingled("text").alias("print")))
+        links = [(r["a"], r["b"]) for r in found.collect()]
+        prints = [n.distinct(n.shingles(t)) for t in texts]
+        alike = [(a, b) for a, b in combinations(range(len(texts)), 2)
+                 if kinds[a] != kinds[b] and n.aligned(prints[a], prints[b]) >= n.SIMILARITY]
+        own = [(i, k) for i, k in enumerate(kinds)]
+        assert set(links) <= set(alike) and plain_classes(range(len(texts)), own + links) == plain_classes(range(len(texts)), own + alike)
+        counts.append(sum(map(len, compared)))
+        assert counts[-1] == len(set().union(*compared))  # no pair twice
+    assert counts[1] < 6 * counts[0] and counts[1] < 300 * 30 / 3
