@@ -212,7 +212,9 @@ def decode_history(records: DataFrame, base_seconds: str = "base_seconds") -> Da
     """Little-endian log record of 16 to 24 bytes; longer records carry more fields."""
     size = F.length("record")
     power = _power_fields(unsigned_le(16, 2))
-    return with_words(records.filter(size >= 16), "record").withColumns({
+    # a plain comparison makes Spark look for null payloads first, which builds a derived payload twice
+    whole = records.filter(F.coalesce(size >= 16, F.lit(False)))
+    return with_words(whole, "record").withColumns({
         "ts": epoch_offset(F.col(base_seconds), unsigned_le(0, 4)),
         "temperature": signed(unsigned_le(4, 2), 16) * F.lit(0.005),
         "humidity": unsigned_le(6, 2) * F.lit(0.0025),

@@ -1,11 +1,13 @@
 """Golden frames and malformed input."""
 
+import glob
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from skyledger import session
 from skyledger.plans import views
 from skyledger.sources import frames as fr
 
@@ -138,3 +140,24 @@ def test_little_endian_text(spark):
     want = [None if d is None else b"".join((x & (1 << 8 * n) - 1).to_bytes(n, "little") for x, n in ((a, 2), (d, 4), (b, 2), (c, 2), (e, 4)))
             + bytes(2) for a, b, c, d, e in rows]
     assert got == [w if w is None else w.hex().upper() for w in want]
+
+
+def test_history_blobs_are_built_once_and_not_stored(spark, tmp_path):
+    """Blobs take several times the room of the table behind them; a null field leaves a blob without records."""
+    rows = [(1, 7, 3, 2), (5, 9, None, 1), (2**33, 70_000, 4, 3), (6, 8, 2, None), (None, 8, 2, 2), (10, None, 2, 1), (1, 7, 3, 2)]
+    table = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int")
+    table.write.parquet(str(tmp_path / "lineitem.parquet"))
+    stored = lambda: set(glob.glob(f"{session._app_folder(spark)}/blobs-*"))
+    before, split = stored(), fr.split_records(views.Tables(spark, str(tmp_path)).history_blobs)
+    decoded = fr.decode_history(split)
+    got = [(r["l_orderkey"], r["record_no"], r["ts"] and int(r["ts"].timestamp()), r["temperature"], r["measurement_sequence"]) for r in decoded.collect()]
+    want = []
+    for order, part, supp, n in rows:
+        for k in range(n or 0) if order is not None and part is not None else ():
+            raw = int.from_bytes(((part * 31 + k * 7) % 65536).to_bytes(2, "little"), "little", signed=True)
+            ts = None if supp is None else 1_700_000_000 + supp + (order * 60 + k * 10) % 2**32
+            want.append((order, k, ts, raw * 0.005, (order + k) % 65536))
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert stored() == before
+    for df in (split, decoded):
+        assert df._jdf.queryExecution().executedPlan().toString().count("unhex(") == 1
